@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, media, packing, simhash
+from . import decontaminate, licenses, media, packing, pii, quality, simhash, toxicity
 
 QUERIES = {
     "op1_media": media.op1_media,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_surrogates": pii.op3_surrogates,
+    "op4_licenses": licenses.op4_licenses,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op7_packing": packing.op7_packing,
+    "op9_quality": quality.op9_quality,
     "op10_simhash": simhash.op10_simhash,
 }
 
