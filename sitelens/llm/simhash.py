@@ -106,7 +106,9 @@ def links(points: DataFrame, large_cell: int = LARGE_CELL) -> DataFrame:
     cells every linking pair is returned; those of large cells get a spanning star
     for each group of mutual neighbours instead.
     """
-    grid = points.select("fp", F.explode(_cells(embedding(F.col("fp")))).alias("cell"))
+    # A row becomes 33, so small partitions are not to be joined before.
+    spread = points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    grid = spread.select("fp", F.explode(_cells(embedding(F.col("fp")))).alias("cell"))
     sizes = grid.groupBy("cell").agg(F.count("*").alias("n"))
     shared = durable(grid.join(sizes.filter("n > 1"), "cell"))
     few = shared.filter(F.col("n") <= large_cell)
