@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, media, packing, pii, quality, simhash, toxicity
+from . import decontaminate, langid, licenses, media, packing, pii, quality, simhash, toxicity, wrappers
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_surrogates": pii.op3_surrogates,
     "op4_licenses": licenses.op4_licenses,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_main_text": wrappers.op6_main_text,
     "op7_packing": packing.op7_packing,
+    "op8_language": langid.op8_language,
     "op9_quality": quality.op9_quality,
     "op10_simhash": simhash.op10_simhash,
 }
