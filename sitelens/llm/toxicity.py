@@ -25,11 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import durable, held_out, table
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 17
 #: The bound of the training sample: so many labelled texts of each label, by hash order.
 MAX_PER_LABEL = 8_000
+SAMPLE_PARTS = 12
 PENALTY = 0.5
 ANCHOR = 20.0
 RIDGE = 1e-4
@@ -94,44 +95,64 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(toxic, words): the bounded sample of labelled texts to learn from.
+    """(toxic, text): the bounded sample of labelled texts to learn from.
 
     Rows without an id, text or label and those that are held out never take part.
     """
     marks = labels.filter("toxic in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["_id"])
-    named = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    found = named.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_id")).select("toxic", "text", F.xxhash64("doc_id").alias("at"))
-    each = [found.filter(F.col("toxic") == k).orderBy("at").limit(MAX_PER_LABEL) for k in (0, 1)]
-    return each[0].unionByName(each[1]).select("toxic", "text")
+    marks = marks.filter(F.col("_id").isNotNull() & ~held_out(F.col("_id")))
+    each = [marks.filter(F.col("toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(MAX_PER_LABEL) for k in (0, 1)]
+    chosen = F.broadcast(each[0].unionByName(each[1]))  # twice MAX_PER_LABEL ids at most
+    found = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id"))
+    return durable(found.select("toxic", "text").repartition(SAMPLE_PARTS))
 
 
-def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        ids, times, swapped = [], [], []
-        for text in rows["text"]:
-            words = words_of(text)
-            at, n = np.unique(np.array([f for w in words for f in features(w)], dtype=np.int32), return_counts=True)
-            ids.append(at)
-            times.append((SCALE * n / (len(words) + PRIOR_WORDS)).astype(np.float32))
-            swapped.append(sorted(SWAPS.keys() & words))
-        yield pd.DataFrame({"toxic": rows["toxic"], "ids": ids, "times": times, "terms": swapped})
+def _features_of(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    words = words_of(text)
+    return words, *np.unique(np.array([f for w in words for f in features(w)], dtype=np.int64), return_counts=True)
+
+
+def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many texts of each label have each feature, for a partition."""
+    hits = np.zeros((2, BUCKETS), dtype="<i4")
+    rows = [0, 0]
+    for part in batches:
+        for label, text in zip(part["toxic"], part["text"]):
+            hits[label, _features_of(text)[1]] += 1
+            rows[label] += 1
+    yield pd.DataFrame({"n0": [rows[0]], "n1": [rows[1]], "hits": [hits.tobytes()]})
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the sample. Without rows of both labels, every score is the base rate."""
-    rows = training_rows(docs, labels).mapInPandas(_vectors, "toxic int, ids array<int>, times array<float>, terms array<string>").toPandas()
-    y = rows["toxic"].to_numpy(dtype=np.float64) if len(rows) else np.zeros(0)
-    if not 0 < y.sum() < len(y):
-        rate = (y.sum() + 0.5) / (len(y) + 1)
+    sample = training_rows(docs, labels)
+    hits, n = np.zeros((2, BUCKETS), dtype=np.int64), np.zeros(2)
+    for row in sample.mapInPandas(_frequencies, "n0 long, n1 long, hits binary").toLocalIterator():
+        hits += np.frombuffer(row.hits, dtype="<i4").reshape(2, BUCKETS)
+        n += (row.n0, row.n1)
+    if not n.all():
+        rate = (n[1] + 0.5) / (n.sum() + 2)
         return Model(np.zeros(BUCKETS), float(np.log(rate / (1 - rate))))
-    cut = np.concatenate([[0], np.cumsum([len(x) for x in rows["ids"]])])
+    odds = [np.log(hits[k] + 0.5) - np.log(n[k] - hits[k] + 0.5) for k in (0, 1)]
+    clear = np.abs(odds[1] - odds[0]) >= CLEAR * np.sqrt((1 / (hits + 0.5)).sum(0))
+    shared = docs.sparkSession.sparkContext.broadcast(clear)
+
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            ids, times, terms = [], [], []
+            for text in rows["text"]:
+                words, at, count = _features_of(text)
+                keep = shared.value[at]
+                ids.append(at[keep].astype(np.int32))
+                times.append((SCALE * count[keep] / (len(words) + PRIOR_WORDS)).astype(np.float32))
+                terms.append(sorted(SWAPS.keys() & words))
+            yield pd.DataFrame({"toxic": rows["toxic"], "ids": ids, "times": times, "terms": terms})
+
+    rows = sample.mapInPandas(vectors, "toxic int, ids array<int>, times array<float>, terms array<string>").toPandas()
+    y = rows["toxic"].to_numpy(dtype=np.float64)
     ids = np.concatenate(rows["ids"].to_numpy()).astype(np.int64)
     times = np.concatenate(rows["times"].to_numpy()).astype(np.float64)
-    row = np.repeat(np.arange(len(y)), np.diff(cut))
-    hits = [np.bincount(ids[(y == k)[row]], minlength=BUCKETS) for k in (0, 1)]
-    odds = [np.log(h + 0.5) - np.log((y == k).sum() - h + 0.5) for k, h in enumerate(hits)]
-    clear = np.abs(odds[1] - odds[0]) >= CLEAR * np.sqrt(1 / (hits[0] + 0.5) + 1 / (hits[1] + 0.5))
-    ids, times, row = (x[clear[ids]] for x in (ids, times, row))
+    row = np.repeat(np.arange(len(y)), [len(x) for x in rows["ids"]])
     swaps: dict[tuple[str, str], float] = {(a, b): ANCHOR for a, others in SWAPS.items() for b in others}
     for terms in rows["terms"]:
         for a in terms:
