@@ -14,6 +14,8 @@ No task or driver ever holds more than one shard.
 
 from __future__ import annotations
 
+import functools
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -47,6 +49,10 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordEncoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, as the tokenizer file gives them."""
 
@@ -67,13 +73,13 @@ class WordEncoder:
             if len(self.words) >= CACHE_ENTRIES:
                 self.words.clear()
             shown = "".join(map(self.stand_in.__getitem__, word.encode()))
-            ids = self.words[word] = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
+            ids = self.words[word] = _bytes([t.id for t in self.model.tokenize(shown)])
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
         odd = len(chunk) > 200 or max(chunk) >= _PLAIN_END or _ODD.search(chunk) or any(s in chunk for s in self.specials)
         if odd:
-            return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return _bytes(self.whole.encode(chunk, add_special_tokens=False).ids)
         return b"".join(map(self._word, _PRE_TOKENS.findall(unicodedata.normalize("NFC", chunk).lower())))
 
     def __call__(self, text: str) -> bytes:
@@ -90,6 +96,12 @@ class WordEncoder:
         return b"".join(out)
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """One encoder for each worker process, so that its cache serves all of its tasks."""
+    return WordEncoder(path)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -112,7 +124,7 @@ def token_pieces(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(tokenizer_path or default_tokenizer())
+        encode = encoder(tokenizer_path or default_tokenizer())
         end = np.array([END_ID], dtype="<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
