@@ -15,10 +15,11 @@ No task or driver ever holds more than one shard.
 from __future__ import annotations
 
 import functools
-import struct
-import unicodedata
+import re
+import sys
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +35,13 @@ END_ID = 1
 SHARD_PIECES = 10_000
 #: A bin filled less than this gives its pieces back for another round.
 FULL = 0.995
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
+LONGEST_CACHED = 200
 
 _PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: Below this code point text is in composed form and letter classes don't depend on the Unicode version.
-_PLAIN_END = "ƀ"
-_ODD = regex.compile("[\x00-\x20\x7f-\xa0]")
+#: Text of these characters is in composed form, has no white space and can't hold a special
+#: token; its letter classes don't depend on the Unicode version. All else goes to the tokenizer.
+_PLAIN = re.compile("[!-;=-~\xa1-\u017f]+")
 
 
 def _byte_characters() -> dict[int, str]:
@@ -50,7 +52,26 @@ def _byte_characters() -> dict[int, str]:
 
 
 def _bytes(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    data = array("I", ids)
+    if sys.byteorder == "big":
+        data.byteswap()
+    return data.tobytes()
+
+
+class _Cache(dict):
+    """A bounded memo of a function of one string; long strings aren't kept."""
+
+    def __init__(self, function: Callable[[str], bytes]):
+        super().__init__()
+        self.function = function
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.function(key)
+        if len(key) <= LONGEST_CACHED:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[key] = value
+        return value
 
 
 class WordEncoder:
@@ -62,38 +83,22 @@ class WordEncoder:
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.model = self.whole.model
-        self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.stand_in = _byte_characters()
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks, self.words = _Cache(self._chunk), _Cache(self._word)
 
     def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) >= CACHE_ENTRIES:
-                self.words.clear()
-            shown = "".join(map(self.stand_in.__getitem__, word.encode()))
-            ids = self.words[word] = _bytes([t.id for t in self.model.tokenize(shown)])
-        return ids
+        shown = word if word.isascii() else "".join(map(self.stand_in.__getitem__, word.encode()))
+        return _bytes([t.id for t in self.model.tokenize(shown)])
 
     def _chunk(self, chunk: str) -> bytes:
-        odd = len(chunk) > 200 or max(chunk) >= _PLAIN_END or _ODD.search(chunk) or any(s in chunk for s in self.specials)
-        if odd:
-            return _bytes(self.whole.encode(chunk, add_special_tokens=False).ids)
-        return b"".join(map(self._word, _PRE_TOKENS.findall(unicodedata.normalize("NFC", chunk).lower())))
+        if chunk.isalpha() and _PLAIN.fullmatch(chunk):
+            return self.words[chunk.lower()]
+        if len(chunk) > LONGEST_CACHED or not _PLAIN.fullmatch(chunk):
+            return _bytes(self.whole.encode(chunk, add_special_tokens=False).ids) if chunk else b""
+        return b"".join(map(self.words.__getitem__, _PRE_TOKENS.findall(chunk.lower())))
 
     def __call__(self, text: str) -> bytes:
-        cache, out = self.chunks, []
-        for chunk in text.replace("\n", " ").split(" "):
-            ids = cache.get(chunk)
-            if ids is None:
-                ids = self._chunk(chunk) if chunk else b""
-                if len(cache) >= CACHE_ENTRIES:
-                    cache.clear()
-                if len(chunk) <= 200:
-                    cache[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @functools.lru_cache(maxsize=1)
