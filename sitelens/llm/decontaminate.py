@@ -112,7 +112,8 @@ def contamination(
 
 def with_contamination(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, items and contaminated for every row of docs."""
-    found = contamination(docs, items, text)
+    # A written table, so that a join side is a plain shuffle and a text that many rows share can be split.
+    found = durable(contamination(docs, items, text))
     rows = docs.select("doc_id", text_key(F.col(text)).alias("key"), F.size(cased_words(F.col(text))).cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return rows.join(found, "key", "left").select(
