@@ -162,16 +162,17 @@ def near_duplicate_groups(
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     prints = durable(with_fingerprint(base).select("doc_id", "fp"))
-    points = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    points = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(points.select("fp"), large_cell))
     rooted = points.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = rooted.join(named, "root").select(F.col("fp").alias("node"), "component_id")
-    #: Only fingerprints that have a link need a lookup; the others stand for themselves.
+    # Fingerprints without a link stand for themselves. The labels are written, so that both sides of
+    # the last join are plain shuffles and a fingerprint that many rows share can be split.
     label = points.join(moved, F.col("fp") == F.col("node"), "left").select(
         F.col("fp").alias("point"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")
     )
-    return prints.join(label, F.col("fp") == F.col("point")).select("doc_id", "fp", "component_id")
+    return prints.join(durable(label), F.col("fp") == F.col("point")).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
