@@ -88,7 +88,7 @@ def parameter_name(body: Column, name: Column) -> Column:
     """What a parameter is likely to be, by how a function's body uses it; the first rule that holds."""
 
     def uses(pattern: str) -> Column:
-        return body.rlike(F.concat(F.lit(r"(?<![\w$.])\Q"), name, F.lit(rf"\E{pattern}")))
+        return F.rlike(body, F.concat(F.lit(r"(?<![\w$.])\Q"), name, F.lit(rf"\E{pattern}")))
 
     rules = [("event", r"\.(?:preventDefault|stopPropagation|target)\b"), ("error", r"\.(?:stack|message)\b"), ("items", r"\.(?:map|filter|forEach|length)\b"), ("element", r"\.(?:addEventListener|querySelector|classList)\b"), ("callback", r"\s*\("), ("options", r"\.[A-Za-z_$]")]
     out = F.lit(None).cast("string")
