@@ -178,18 +178,18 @@ class Scanner:
         for n, parts in pieces.items():
             label, size = self.templates[n][0], len(self.templates[n][1])
             chains: list[list[int]] = []  # text start, text end, template end, words covered
+            live: list[list[int]] = []
             for start, end, at in sorted(parts):
-                for chain in reversed(chains):
-                    if start - chain[1] > MOST_GAP:
-                        break
+                live = [c for c in live if start - c[1] <= MOST_GAP]
+                for chain in reversed(live):
+                    # Words that are new both in the text and in the template.
                     new = min(end - max(start, chain[1]), at - max(at - (end - start), chain[2]))
-                    if new > 0 and at > chain[2]:
+                    if new > 0:
                         chain[1:] = [end, at, chain[3] + new]
                         break
                 else:
-                    chain = None
-                if not chains or chain is None or chains and start - chains[-1][1] > MOST_GAP or not any(c[1] == end and c[2] == at for c in chains[-4:]):
-                    chains.append([start, end, at, end - start])
+                    live.append([start, end, at, end - start])
+                    chains.append(live[-1])
             spans += [(c[0], c[1], label, round(c[3] / size, 6)) for c in chains if c[3] >= COVERED * size]
         return sorted(set(spans))
 

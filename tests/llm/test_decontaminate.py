@@ -9,13 +9,16 @@ from .helpers import odd_documents, words
 
 def brute(text, items):
     mine, hit, found = words(text), set(), set()
+    windows = {}
     for item, body in items:
         w = words(body)
-        for window in {tuple(w[k : k + 13]) for k in range(max(len(w) - 12, 1))} if w else ():
-            for k in range(len(mine) - len(window) + 1):
-                if tuple(mine[k : k + len(window)]) == window:
-                    hit.update(range(k, k + len(window)))
-                    found.add("" if item is None else str(item))
+        for k in range(max(len(w) - 12, 1)) if w else ():
+            windows.setdefault(tuple(w[k : k + 13]), set()).add("" if item is None else str(item))
+    for n in {len(w) for w in windows}:
+        for k in range(len(mine) - n + 1):
+            if ids := windows.get(tuple(mine[k : k + n])):
+                hit.update(range(k, k + n))
+                found |= ids
     return len(mine), len(hit), sorted(found)
 
 
