@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.operators.ranges import merge_adjacent
+from sitelens.operators.ranges import as_of, merge_adjacent
 
 _DIGITS = {c: k for k, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")}
 MAPPINGS = "map_id string, gen_line long, gen_column long, source string, orig_line long, orig_column long, name string"
@@ -109,3 +109,31 @@ def bundle_breakdown(found: DataFrame, bundles: DataFrame, map_id: str = "map_id
     ends = rest.select("map_id", F.lit("eol").alias("kind"), F.lit("[EOL]").alias("path"), F.col("eol").cast("long").alias("bytes"))
     open_ = rest.select("map_id", F.lit("unmapped").alias("kind"), F.lit("[unmapped]").alias("path"), F.col("rest").cast("long").alias("bytes"))
     return by_source.unionByName(ends).unionByName(open_).filter("bytes > 0")
+
+
+def lookup_generated(found: DataFrame, asks: DataFrame) -> DataFrame:
+    """The original position of each generated one: the last mapping at or before it on its line.
+
+    asks: (ask_id, map_id, gen_line, gen_column). Without a mapping there is found = false.
+    """
+    right = found.select("map_id", "gen_line", "gen_column", "source", "orig_line", "orig_column", "name")
+    out = as_of(asks, right, ["map_id", "gen_line"], "gen_column", ["source", "orig_line", "orig_column", "name"])
+    return out.withColumn("found", F.col("source").isNotNull())
+
+
+def lookup_original(found: DataFrame, asks: DataFrame) -> DataFrame:
+    """All generated positions of each original one: (ask_id, matches), sorted, empty if there is none.
+
+    asks: (ask_id, map_id, source, orig_line, orig_column).
+    """
+    keys = ["map_id", "source", "orig_line", "orig_column"]
+    met = asks.join(found.select(*keys, F.struct("gen_line", "gen_column").alias("place")), keys, "left")
+    return met.groupBy("ask_id").agg(F.array_sort(F.collect_set("place")).alias("matches"))
+
+
+def name_counts(maps: DataFrame, map_id: str = "map_id", content: str = "content") -> DataFrame:
+    """(map_id, names): how many names a map lists, its sections' included."""
+    shape = "names array<string>, sections array<struct<map: struct<names: array<string>>>>"
+    parsed = maps.select(F.col(map_id).cast("string").alias("map_id"), F.from_json(content, shape).alias("m"))
+    inner = F.aggregate(F.coalesce("m.sections", F.array().cast("array<struct<map: struct<names: array<string>>>>")), F.lit(0), lambda a, s: a + F.coalesce(F.size(s["map"]["names"]), F.lit(0)))
+    return parsed.select("map_id", (F.greatest(F.coalesce(F.size("m.names"), F.lit(0)), F.lit(0)) + inner).cast("long").alias("names"))

@@ -110,3 +110,28 @@ def test_job_state(spark):
     assert {r.job_id: (r.status, r.error, r.done) for r in states.collect()} == {1: ("ready", None, True), 2: ("error", "bad", True), 3: ("working", None, False)}
     assert state.batch_complete(states).first().asDict() == {"jobs": 3, "finished": 2, "complete": False}
     assert state.batch_complete(states.limit(0)).first().jobs == 0
+
+
+def test_lookups(spark):
+    text = '{"version":3,"sources":["a.js"],"names":["x","y"],"sections":[],"mappings":"AAAA,IAAIA;AACA,EAAA"}'
+    maps = spark.createDataFrame([("m", text), ("s", '{"sections":[{"map":{"names":["q"]}}]}'), ("bad", "{")], "map_id string, content string")
+    found = sourcemaps.mappings(maps.filter("map_id = 'm'"))
+    asks = spark.createDataFrame([(1, "m", 1, 3), (2, "m", 1, 4), (3, "m", 1, 90), (4, "m", 7, 0)], "ask_id int, map_id string, gen_line long, gen_column long")
+    got = {r.ask_id: (r.found, r.orig_line, r.orig_column, r.name) for r in sourcemaps.lookup_generated(found, asks).collect()}
+    assert got == {1: (True, 1, 0, None), 2: (True, 1, 4, "x"), 3: (True, 1, 4, "x"), 4: (False, None, None, None)}
+    back = spark.createDataFrame([(1, "m", "a.js", 2, 4), (2, "m", "a.js", 9, 9)], "ask_id int, map_id string, source string, orig_line long, orig_column long")
+    got = {r.ask_id: [tuple(p) for p in r.matches] for r in sourcemaps.lookup_original(found, back).collect()}
+    assert got == {1: [(2, 0), (2, 2)], 2: []}
+    assert {r.map_id: r.names for r in sourcemaps.name_counts(maps).collect()} == {"m": 2, "s": 1, "bad": 0}
+
+
+def test_fingerprints(spark):
+    from sitelens.operators import fingerprints as P
+
+    rows = [("1", "x/my.worker.js", "self.onmessage = 1; postMessage(2); importScripts('a'); new Worker('b'); createRoot(x)"), ("2", "a.js", "module.exports = require('x')"), ("3", "b.js", "import y from 'z'"), ("4", "c.js", None)]
+    files = spark.createDataFrame(rows, "file_id string, path string, content string")
+    found = {(r.file_id, r.id): (len(r.evidence), r.confidence) for r in P.signals(files).collect()}
+    assert found == {("1", "worker-runtime"): (4, 0.95), ("1", "inline-wasm-worker"): (1, 0.61)}
+    assert [(r.file_id, r.id) for r in P.primary_signal(P.signals(files)).collect()] == [("1", "worker-runtime")]
+    assert [(r.file_id, r.id) for r in P.signals(files, P.DEPENDENCIES).collect()] == [("1", "react-dom")]
+    assert P.module_type(files).first().type == "module"
