@@ -199,14 +199,20 @@ def _name_parts(span: Column) -> Column:
     return F.when(F.size(words) > 2, F.array(part(1, gender), part(2, family))).otherwise(F.array(part(1, family)))
 
 
-def _entities(spans: Column) -> Column:
-    """(value, kind) of all entities of an array of matches."""
+def _typed(spans: Column) -> Column:
+    """(span, kind, parts) of each match; parts are the (value, kind) that are replaced."""
 
     def of(span: Column) -> Column:
         kind = entity_type(span)
-        return F.when(kind == "name", _name_parts(span)).otherwise(F.array(F.struct(span.alias("value"), kind.alias("kind"))))
+        parts = F.when(kind == "name", _name_parts(span)).otherwise(F.array(F.struct(span.alias("value"), kind.alias("kind"))))
+        return F.struct(span.alias("span"), kind.alias("kind"), parts.alias("parts"))
+
+    return F.transform(spans, of)
 
-    return F.flatten(F.transform(spans, of))
+
+def _entities(spans: Column) -> Column:
+    """(value, kind) of all entities of an array of matches."""
+    return F.flatten(F.transform(_typed(spans), lambda x: x["parts"]))
 
 
 def _spans(text: Column) -> Column:
@@ -234,23 +240,31 @@ def redraws(docs: DataFrame, key: str, text: str = "text", draw: Callable = surr
     raise ValueError(f"values of one type exhaust their surrogates after {MOST_DRAWS} draws")
 
 
-def _rebuilt(text: Column, spans: Column, replace: Callable[[Column, Column], Column]) -> Column:
+def _drawn(typed: Column, replace: Callable[[Column, Column], Column]) -> Column:
+    """(span, kind, parts, to): the replacements of each match's parts, the one place where they are computed."""
+    to = lambda x: F.transform(x["parts"], lambda p: replace(p["value"], p["kind"]))
+    return F.transform(typed, lambda x: F.struct(x["span"].alias("span"), x["kind"].alias("kind"), x["parts"].alias("parts"), to(x).alias("to")))
+
+
+def _names(drawn: Column) -> Column:
+    """(value, to) of the name words of a text."""
+    pairs = lambda x: F.zip_with(x["parts"], x["to"], lambda p, t: F.struct(p["value"].alias("value"), t.alias("to")))
+    return F.flatten(F.transform(F.filter(drawn, lambda x: x["kind"] == "name"), pairs))
+
+
+def _rebuilt(text: Column, drawn: Column, names: Column) -> Column:
     """The text with its matches, and later mentions of its names, replaced."""
-    named = F.flatten(F.transform(F.filter(spans, lambda s: entity_type(s) == "name"), _name_parts))
-    words = F.transform(named, lambda p: F.struct(p["value"].alias("value"), replace(p["value"], p["kind"]).alias("to")))
 
-    def span(s: Column) -> Column:
-        kind = entity_type(s)
-        parts = F.transform(_name_parts(s), lambda p: replace(p["value"], p["kind"]))
-        return F.when(kind == "name", F.concat_ws(" ", F.substring_index(s, " ", 1), F.array_join(parts, " "))).otherwise(replace(s, kind))
+    def span(x: Column) -> Column:
+        named = F.concat_ws(" ", F.substring_index(x["span"], " ", 1), F.array_join(x["to"], " "))
+        return F.when(x["kind"] == "name", named).otherwise(F.get(x["to"], 0))
 
     def between(piece: Column) -> Column:
         tokens = F.regexp_extract_all(piece, F.lit(r"\p{L}[\p{L}'’-]*|[^\p{L}]+"), 0)
-        follow = F.transform(tokens, lambda t: F.coalesce(F.get(F.filter(words, lambda w: w["value"] == t), 0)["to"], t))
-        return F.when(F.size(named) > 0, F.array_join(follow, "")).otherwise(piece)
+        follow = F.transform(tokens, lambda t: F.coalesce(F.get(F.filter(names, lambda n: n["value"] == t), 0)["to"], t))
+        return F.when(F.size(names) > 0, F.array_join(follow, "")).otherwise(piece)
 
-    pieces = F.split(text, ANY, -1)
-    joined = F.zip_with(pieces, spans, lambda p, s: F.concat(between(p), F.coalesce(span(s), F.lit(""))))
+    joined = F.zip_with(F.split(text, ANY, -1), drawn, lambda p, x: F.concat(between(p), F.coalesce(span(x), F.lit(""))))
     return F.array_join(joined, "")
 
 
@@ -262,7 +276,7 @@ def with_surrogates(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text",
     all other columns stay, repeated rows included.
     """
     again = redraws(docs, key, text)
-    spans, out = F.col("_spans"), docs.withColumn("_spans", _spans(F.coalesce(F.col(text), F.lit(""))))
+    out = docs.withColumn("_spans", _spans(F.coalesce(F.col(text), F.lit(""))))
     first = functools.partial(surrogate, draw=F.lit(0), key=key)
     if again is None:
         replace = first
@@ -284,10 +298,12 @@ def with_surrogates(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text",
         def replace(value: Column, kind: Column) -> Column:
             return F.coalesce(F.try_element_at(F.col("_own"), F.concat_ws("|", kind, value)), first(value, kind))
 
+    # One projection after the other, so that each is computed once.
+    out = out.withColumn("_typed", _typed(F.col("_spans"))).withColumn("_drawn", _drawn(F.col("_typed"), replace)).withColumn("_names", _names(F.col("_drawn")))
     if entities:
-        out = out.withColumn(entities, F.array_sort(F.array_distinct(_entities(spans))))
-    changed = F.when(F.size(spans) > 0, _rebuilt(F.col(text), spans, replace)).otherwise(F.col(text))
-    return out.withColumn(text, changed).drop("_spans", "_own")
+        out = out.withColumn(entities, F.array_sort(F.array_distinct(F.flatten(F.transform("_typed", lambda x: x["parts"])))))
+    changed = F.when(F.size("_spans") > 0, _rebuilt(F.col(text), F.col("_drawn"), F.col("_names"))).otherwise(F.col(text))
+    return out.withColumn(text, changed).drop("_spans", "_typed", "_drawn", "_names", "_own")
 
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
