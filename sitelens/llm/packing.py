@@ -222,17 +222,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
 
         return run
 
-    done, left, round_ = None, durable(pieces.select(*fields)), 0
+    done, left, round_, before = None, durable(pieces.select(*fields)), 0, None
     while True:
-        shards = max(1, -(-left.count() // shard_pieces))
+        count = left.count()
+        shards = max(1, -(-count // shard_pieces))
+        # Pieces that no shard can combine, such as many of 60 % of the capacity, won't be by another round.
+        last = shards == 1 or before is not None and 2 * count > before
         dealt = left.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
-        packed = durable(dealt.groupBy("_shard").applyInArrow(shard(round_, shards == 1), schema))
+        packed = durable(dealt.groupBy("_shard").applyInArrow(shard(round_, last), schema))
         ready = packed.filter("_full").drop("_full")
         done = ready if done is None else done.unionByName(ready)
-        if shards == 1:
+        if last:
             return done
-        left, round_ = packed.filter("not _full").select(*fields), round_ + 1
-        left = durable(left)
+        left, round_, before = durable(packed.filter("not _full").select(*fields)), round_ + 1, count
 
 
 def pack_documents(docs: DataFrame, keep_ids: bool = True, **options) -> DataFrame:

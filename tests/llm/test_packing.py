@@ -63,6 +63,11 @@ def test_rounds_join_shards(spark, small):
     assert len({r.sequence_id for r in rows}) <= 1.02 * least + 1
 
 
+def test_pieces_that_never_combine(spark):
+    rows = packing.pack(spark.range(900).selectExpr("id", "3000L as length"), shard_pieces=100).collect()
+    assert len({r.sequence_id for r in rows}) == len(rows) == 900 and {r.offset for r in rows} == {0}
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     rows = packing.pack_documents(docs).collect()
