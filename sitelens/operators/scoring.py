@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitelens.durable import durable
+
 
 def confidence_label(score: Column) -> Column:
     return F.when(score >= 0.75, "high").when(score >= 0.45, "medium").otherwise("low")
@@ -47,17 +49,17 @@ def quota_union(rows: DataFrame, parts: list[tuple[str, Column, list[Column], in
     return out
 
 
-def closure(edges: DataFrame, roots: DataFrame, most_rounds: int = 64) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, depth): everything reachable from the roots over edges (src, dst), roots too.
 
-    Each round joins the frontier only and leaves out what is already known.
+    Each round joins the frontier only, leaves out what is already known and is checkpointed.
     """
-    known = roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")).distinct()
-    frontier = known
-    for depth in range(1, most_rounds):
+    known = frontier = durable(roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
+    depth = 0
+    while not frontier.isEmpty():
+        depth += 1
         step = frontier.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.lit(depth).alias("depth")).distinct()
-        frontier = step.join(known.select(F.col("root").alias("r"), F.col("node").alias("n")), (F.col("root") == F.col("r")) & (F.col("node") == F.col("n")), "left_anti")
-        if frontier.isEmpty():
-            return known
+        seen = known.select(F.col("root").alias("_root"), F.col("node").alias("_node"))
+        frontier = durable(step.join(seen, (F.col("root") == F.col("_root")) & (F.col("node") == F.col("_node")), "left_anti"))
         known = known.unionByName(frontier)
     return known
