@@ -148,3 +148,24 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: The contract by brute force: every window of every text against every window of every item.
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+ b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark),
+ starts AS (SELECT item, w, least(len(w), 13) AS n, unnest(range(0, greatest(len(w) - 13, 0) + 1)) AS s FROM b WHERE len(w) > 0),
+ windows AS (SELECT DISTINCT item, n, array_to_string(w[s + 1:s + n], ' ') AS g FROM starts),
+ sizes AS (SELECT DISTINCT n FROM windows),
+ places AS (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM d, sizes WHERE len(w) >= n),
+ seen AS (SELECT doc_id, n, s, array_to_string(w[s + 1:s + n], ' ') AS g FROM places),
+ met AS (SELECT doc_id, item, seen.n AS n, s FROM seen JOIN windows ON seen.n = windows.n AND seen.g = windows.g),
+ each AS (SELECT doc_id, unnest(range(s, s + n)) AS p FROM met),
+ hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM each GROUP BY 1),
+ named AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM met GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+ coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits ON hits.doc_id = d.doc_id LEFT JOIN named ON named.doc_id = d.doc_id
+"""

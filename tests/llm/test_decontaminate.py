@@ -64,3 +64,17 @@ def test_empty_tables(spark):
     assert decontaminate.with_contamination(docs, none).filter("n_hit > 0").count() == 0
     assert decontaminate.decontaminate(docs, none).count() == docs.count()
     assert decontaminate.with_contamination(docs.limit(0), none).count() == 0
+
+
+def test_query_against_sql(spark, small):
+    import duckdb
+
+    connection = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{small}/{name}.parquet'")
+    result = connection.execute(decontaminate.ORACLE_SQL)
+    names = [d[0] for d in result.description]
+    want = sorted(result.fetchall())
+    rows = decontaminate.op5_decontamination(spark, small)
+    assert sorted(rows.columns) == sorted(names)
+    assert sorted(tuple(r[c] for c in names) for r in rows.collect()) == want
