@@ -52,6 +52,7 @@ SKIP_ROLES = set("navigation banner contentinfo complementary search form dialog
 SKIP_WORDS = set(
     "nav navbar navigation menu sidebar side footer masthead topbar header banner cookie cookies consent gdpr notice notices notification alert ad ads adv advert adverts "
     "advertisement advertising sponsor sponsored promo promotion newsletter subscribe subscription signup comment comments commentlist disqus reply replies respond discussion "
+    "topnav mainnav sidenav subnav cookiebar cookiebanner adsbygoogle adbox adslot adunit adverts banners "
     "share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager login search popup modal overlay widget tagcloud toolbar skip".split()
 )
 MAIN_WORDS = set("article articlebody content main post entry story text body maincontent".split())
