@@ -99,13 +99,15 @@ class Model:
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(toxic, text): the bounded sample of labelled texts to learn from.
 
-    Rows without an id, text or label and those that are held out never take part.
+    Rows without an id, text or label and those that are held out never take part. Of
+    repeated ids one takes part: the label is the highest, the text the least.
     """
-    marks = labels.filter("toxic in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["_id"])
+    marks = labels.filter("toxic in (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     marks = marks.filter(F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     each = [marks.filter(F.col("toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(MAX_PER_LABEL) for k in (0, 1)]
     chosen = F.broadcast(each[0].unionByName(each[1]))  # twice MAX_PER_LABEL ids at most
     found = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id"))
+    found = found.groupBy("_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
     return durable(found.select("toxic", "text").repartition(SAMPLE_PARTS))
 
 
