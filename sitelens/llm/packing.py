@@ -35,7 +35,7 @@ END_ID = 1
 SHARD_PIECES = 10_000
 #: A bin filled less than this gives its pieces back for another round.
 FULL = 0.995
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 LONGEST_CACHED = 200
 
 _PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
