@@ -52,8 +52,7 @@ def text_features(text: str | None) -> list[float]:
     symbols = _SYMBOLS.findall(text)
     after = sum(map(str.__eq__, words, words[1:]))
     far = sum(1 for a, b in zip(words, words[1:]) if counts[a] > 1 and counts[b] > 1)
-    block = max(1, len(data) // 32768)
-    squeezed = sum(len(zlib.compress(data[k : k + 32768], 1)) for k in range(0, block * 32768, 32768))
+    squeezed = sum(len(zlib.compress(data[k : k + 32768], 1)) for k in range(0, len(data), 32768))
     return [
         float(np.log1p(n)),
         sum(map(len, words)) / n,
@@ -66,14 +65,14 @@ def text_features(text: str | None) -> list[float]:
         len(set(lines)) / max(1, len(lines)),
         float(np.log1p(n / max(1, len(lines)))),
         sum(map(str.isupper, words)) / n,
-        sum(map(str.isdigit, text)) / size if size < 100_000 else len(re.findall(r"\d", text)) / size,
+        sum(map(str.isdigit, text)) / size,
         len(symbols) / n,
         float(len(set(symbols))),
         (text.count(".") + text.count("?")) / n,
         text.count(",") / n,
         (len(data) - size) / size,
         sum(1 for w in words if _JUNK_END.search(w)) / n,
-        squeezed / min(len(data), block * 32768),
+        squeezed / len(data),
     ]
 
 

@@ -59,6 +59,17 @@ def test_identity_terms_are_neutral(spark):
     assert abs(scores[0.5] - score("men walk to the river")) < 0.1
 
 
+def test_features_read_whole_texts():
+    rng = np.random.default_rng(0)
+    head = "".join(rng.choice(list("abcdefgh "), 32768))
+    compress, digits = quality.FEATURES.index("compress"), quality.FEATURES.index("digits")
+    for size in (1000, 32767, 32768, 40000):
+        plain, noise = (quality.text_features(head + end)[compress] for end in ("a" * size, "".join(rng.choice(list("abcdefgh "), size))))
+        assert noise > plain * 1.02
+    for n in (10, 200_000):
+        assert quality.text_features("a²3 " * n)[digits] == 0.5
+
+
 def test_tables_find_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((4000, len(quality.FEATURES)))
