@@ -30,7 +30,9 @@ MOST_DRAWS = 40
 
 _LETTER_OR_DIGIT = r"\p{L}\p{N}"
 _ALONE, _END = rf"(?<![{_LETTER_OR_DIGIT}])", rf"(?![{_LETTER_OR_DIGIT}])"
-_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_IPV4, _HEX = r"(?:\d{1,3}\.){3}\d{1,3}", "[0-9A-Fa-f]"
+#: A time of day is no address.
+_CLOCK = r"\d{1,2}:\d{2}:\d{2}(?![\w:])"
 #: Titles by gender.
 TITLES = {
     "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"),
@@ -42,17 +44,21 @@ _NAME_WORD = r"\p{Lu}[\p{L}'’-]*+"
 #: In order of precedence at one place.
 PATTERNS = {
     "email": rf"(?<![{_LETTER_OR_DIGIT}._%+-])[{_LETTER_OR_DIGIT}._%+-]++@(?:[{_LETTER_OR_DIGIT}-]++\.)++[{_LETTER_OR_DIGIT}-]++",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ -]?)?\(\d{2,4}\) ?\d{3,4}-\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ -]\d{2,4}){2,4}(?!\d)|(?<![\w+-])\d{3}-\d{3}-\d{4}(?![\d-])",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ -]?)?\(\d{2,4}\) ?\d{3,4}-\d{4}(?!\d)|(?<![\w+-])\d{3}-\d{3}-\d{4}(?![\d-])"
+    r"|(?:(?<![A-Za-z0-9_])|(?=[+(]))(?:\+\d{1,2}\s?)?(?:\(\d{3}\)|\d{3}\)?)[-.\s]?\d{3}[-.\s]?\d{4}(?!\w)"
+    r"|(?<![\w+])\+(?:\d(?:[ .-]|[ .-]?\(|\)[ .-]?)?+){6,14}\d(?!\d)|(?<![\w+])\+\d{1,3}(?:[ -]\d{2,4}){2,4}(?!\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w)(?!\.\d)",
+    "ip": rf"(?<![\w:])(?:{_HEX}{{0,4}}:){{2,6}}{_IPV4}(?!\w)|(?<!\w){_IPV4}(?!\w)"
+    rf"|(?<![\w:])(?=(?:{_HEX}{{1,4}}:){{1,7}}:|::)(?=:{{0,2}}{_HEX})(?:{_HEX}{{0,4}}:){{2,7}}{_HEX}{{0,4}}(?![\w:])"
+    rf"|(?<!\w)(?!{_CLOCK})(?:{_HEX}{{1,4}}:){{2,7}}{_HEX}{{1,4}}(?!\w)",
     "secret": rf"{_ALONE}(?:[0-9a-f]{{32,}}|[0-9A-F]{{32,}}|AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20,}}){_END}",
-    "card": rf"{_ALONE}(?:\d{{13,19}}|\d{{4}}(?:[ -]\d{{4}}){{3}}){_END}",
+    "card": rf"{_ALONE}\d{{13,19}}{_END}|(?<!\w)(?:\d{{4}}(?:[ -]\d{{4}}){{3}}|\d{{4}}[ -]\d{{6}}[ -]\d{{4,5}})(?!\w)",
     "iban": rf"{_ALONE}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}",
     "name": rf"(?<!\p{{L}}){_TITLE} {_NAME_WORD}(?: {_NAME_WORD})?",
 }
 ANY = "|".join(PATTERNS.values())
 #: What every pattern needs; texts without it are passed by.
-TRIGGER = rf"[0-9@]|[abcdef]{{32}}|[ABCDEF]{{32}}|(?:{_TITLE}) \p{{Lu}}"
+TRIGGER = rf"[0-9@]|::|[A-Fa-f]:[A-Fa-f]|sk-|gh[pousr]_|AKIA|[abcdef]{{32}}|[ABCDEF]{{32}}|(?:{_TITLE}) \p{{Lu}}"
 
 #: Replacement names, by class and script.
 NAMES: dict[tuple[str, str], str] = {
@@ -140,13 +146,22 @@ def _email(value: Column, digest: Column, draw: Column) -> Column:
 
 def _phone(value: Column, digest: Column) -> Column:
     """All digits but the country code; an exchange of 555 stays."""
-    code = F.regexp_extract(value, r"^\+\d{1,3}", 0)
+    code = F.regexp_extract(value, r"^\+(?:\d{1,3}(?!\d)|[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})", 0)
     rest = F.substring(value, F.length(code) + 1, F.length(value))
     drawn = _letters(rest, digest)
     fictional = F.concat(F.regexp_extract(drawn, r"^(.*?)\d{3}-\d{4}\z", 1), F.lit("555-"), F.substring(drawn, F.length(drawn) - 3, F.lit(4)))
     return F.concat(code, F.when(rest.rlike(r"555-\d{4}\z"), fictional).otherwise(drawn))
 
 
+def _ip(value: Column, digest: Column, draw: Column) -> Column:
+    """Valid octets; hexadecimal groups keep their form, and a redraw has all eight of them."""
+    octets = F.concat_ws(".", *[(_byte(digest, k) % 254 + 1).cast("string") for k in range(4)])
+    groups = [("[0-9]", "0123456789"), ("[a-f]", "abcdef"), ("[A-F]", "ABCDEF")]
+    head = F.regexp_extract(value, "^.*:", 0)
+    long = F.concat_ws(":", *[F.substring(digest, k, 4) for k in range(1, 33, 4)])
+    return F.when(head == "", octets).when(draw > 0, long).when(F.contains(value, F.lit(".")), F.concat(_letters(head, digest, groups), octets)).otherwise(_letters(value, digest, groups))
+
+
 def _secret(value: Column, digest: Column) -> Column:
     """Hexadecimal stays hexadecimal; a known prefix stays."""
     prefix = F.regexp_extract(value, r"^(?:AKIA|gh[pousr]_|sk-)", 0)
@@ -176,11 +191,10 @@ def _name_word(value: Column, kind: Column, digest: Column, draw: Column) -> Col
 def surrogate(value: Column, kind: Column, draw: Column, key: str) -> Column:
     """The draw-th (from 0) surrogate of a value of a type."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), kind, value, draw.cast("string")), 256)
-    octets = F.concat_ws(".", *[(_byte(digest, k) % 254 + 1).cast("string") for k in range(4)])
     return (
         F.when(kind == "email", _email(value, digest, draw))
         .when(kind == "phone", _phone(value, digest))
-        .when(kind == "ip", octets)
+        .when(kind == "ip", _ip(value, digest, draw))
         .when(kind == "card", _card(value, digest))
         .when(kind == "secret", _secret(value, digest))
         .when(kind == "iban", F.concat(F.substring(value, 1, 2), _letters(F.substring(value, F.lit(3), F.length(value)), digest)))

@@ -94,3 +94,44 @@ def test_odd_rows(spark):
     out = pii.with_surrogates(docs)
     assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
     assert pii.with_surrogates(docs.limit(0)).count() == 0
+
+
+#: Values that are replaced whole, by type, none of which has a further digit, @ or title beside it.
+WHOLE = {
+    "phone": ["+33 1 23 45 67 89", "+14155550123", "+4915112345678", "555.123.4567", "555 123 4567", "(555) 123 4567", "5551234567", "(555) 123-4567", "+1 (555) 123-4567", "+44 20 7946 0958", "555-123-4567"],
+    "card": ["3782 822463 10005", "3782-822463-10005", "4111 1111 1111 1111", "4111111111111111"],
+    "ip": ["10.1.2.3", "2001:db8::8a2e:370:7334", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1", "::1", "dead:beef::", "abcd:ef:ab:cd:ef:ab:cd:ef", "FE80::ABCD", "::ffff:192.168.0.1"],
+    "secret": ["sk-abcdefghijklmnopqrstuvwxyz", "ghp_" + "aBcDeFgHiJ" * 3 + "aBcDeF", "AKIA" + "ABCDEFGHIJKLMNOP", "abcdefabcdefabcdefabcdefabcdefab"],
+    "iban": ["DE89 3704 0044 0532 0130 00"],
+    "ssn": ["078-05-1120"],
+    "email": ["a.b@c-d.org"],
+}
+
+
+def test_forms_are_replaced_whole(spark):
+    forms = [(k, v) for k, vs in WHOLE.items() for v in vs]
+    docs = spark.createDataFrame([(k, f"key {v} end, then ({v}).") for k, (_, v) in enumerate(forms)], "doc_id int, text string")
+    rows = pii.with_surrogates(docs, entities="found").orderBy("doc_id").collect()
+    for (kind, value), r in zip(forms, rows):
+        m = re.fullmatch(r"key (.+) end, then \((.+)\)\.", r.text)
+        assert {e.kind for e in r.found} == {kind} and m and m[1] == m[2] != value, (kind, value, r)
+        assert [e.value for e in r.found] == [value]
+    kept = ["at 12:34:56 sharp", "std::vector and a:b, :5:3", "from 1 to 20,000 words", "sk-short AKIA"]
+    assert names(spark, kept) == kept
+
+
+def test_detectors_find_nothing_more(spark):
+    """All that findings.DETECTORS takes for a phone, a card or an address is replaced, but for times of day."""
+    from itertools import product
+
+    from sitelens.operators import findings
+
+    phones = ["".join(x) for x in product(["", "+1 ", "+12"], ["555", "(555)"], ["", "-", ".", " "], ["123"], ["", "-", ".", " "], ["4567"])]
+    cards = ["1234" + a + "5678" + b + "9012" + c + "3456" for a, b, c in product(" -", repeat=3)]
+    addresses = ["1.2.3.4", "999.10.20.30", "1.2.3.4.5"] + [":".join(["aB1"] * n) for n in range(3, 9)]
+    values = phones + cards + addresses
+    docs = spark.createDataFrame([(k, f"x {v} y") for k, v in enumerate(values)], "file_id int, content string")
+    detectors = [d for d in findings.DETECTORS if d.category in ("Phone Number", "Credit Card", "IPv4 Address", "IPv6 Address")]
+    found = findings.matches(docs, detectors).select("file_id", "value")
+    left = pii.with_surrogates(docs, text="content").join(found, "file_id").filter("contains(content, value)").select("content", "value").collect()
+    assert found.count() > 60 and not left
