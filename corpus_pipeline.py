@@ -39,7 +39,7 @@ def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, keep_ids=False)
+    return pack_documents(docs)
 
 
 STAGES = [

@@ -35,6 +35,8 @@ END_ID = 1
 SHARD_PIECES = 10_000
 #: A bin filled less than this gives its pieces back for another round.
 FULL = 0.995
+#: Bytes of ids after which a tokenising task hands on its rows.
+MOST_HELD = 4_000_000
 CACHE_ENTRIES = 300_000
 LONGEST_CACHED = 200
 
@@ -134,6 +136,22 @@ def token_pieces(
         step = 4 * capacity
         for batch in batches:
             source, piece, start, length, crc, ids = [], [], [], [], [], []
+
+            def rows() -> pa.RecordBatch:
+                columns = {
+                    "doc_id": batch.column(0).take(pa.array(source, pa.int64())),
+                    "piece": pa.array(piece, pa.int32()),
+                    "start": pa.array(start, pa.int64()),
+                    "length": pa.array(length, pa.int64()),
+                    "ids_crc32": pa.array(crc, pa.int64()),
+                }
+                if keep_ids:
+                    columns["ids"] = pa.array(ids, pa.list_(pa.int32()))
+                for column in (source, piece, start, length, crc, ids):
+                    column.clear()
+                return pa.RecordBatch.from_pydict(columns)
+
+            held = 0
             for row, value in enumerate(batch.column(1)):
                 data = encode(value.as_py() or "") + end
                 for k in range(0, len(data), step):
@@ -145,16 +163,11 @@ def token_pieces(
                     crc.append(zlib.crc32(part))
                     if keep_ids:
                         ids.append(np.frombuffer(part, dtype="<u4").astype(np.int32))
-            columns = {
-                "doc_id": batch.column(0).take(pa.array(source, pa.int64())),
-                "piece": pa.array(piece, pa.int32()),
-                "start": pa.array(start, pa.int64()),
-                "length": pa.array(length, pa.int64()),
-                "ids_crc32": pa.array(crc, pa.int64()),
-            }
-            if keep_ids:
-                columns["ids"] = pa.array(ids, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_pydict(columns)
+                        held += len(part)
+                    if held > MOST_HELD:
+                        held = 0
+                        yield rows()
+            yield rows()
 
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
@@ -238,9 +251,34 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
 
 
 def pack_documents(docs: DataFrame, keep_ids: bool = True, **options) -> DataFrame:
-    """Tokenise and pack a table of texts; see token_pieces and pack."""
-    return pack(token_pieces(docs, keep_ids=keep_ids, **options), options.get("capacity", CAPACITY))
+    """Tokenise and pack a table of texts; see token_pieces and pack.
+
+    The ids stay where they were written while the lengths are packed, and meet their
+    places in one join at the end.
+    """
+    capacity = options.get("capacity", CAPACITY)
+    pieces = token_pieces(docs, keep_ids=keep_ids, **options)
+    if not keep_ids:
+        return pack(pieces, capacity)
+    pieces = durable(pieces.withColumn("_row", F.monotonically_increasing_id()))
+    placed = pack(pieces.select(F.col("_row").alias("_placed"), "length"), capacity).drop("length")
+    return pieces.join(placed, F.col("_row") == F.col("_placed")).drop("_row", "_placed")
+
+
+def packed_checks(packed: DataFrame) -> DataFrame:
+    """Packed rows without their ids, ids_crc32 taken anew from these."""
+    names = [c for c in packed.columns if c != "ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids")
+            ends, values = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
+            crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
+            kept = {n: batch.column(n) for n in names} | {"ids_crc32": pa.array(crc, pa.int64())}
+            yield pa.RecordBatch.from_pydict(kept)
+
+    return packed.mapInArrow(run, packed.select(*names).schema)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), keep_ids=False)
+    return packed_checks(pack_documents(table(spark, sf_dir, "documents")))

@@ -3,8 +3,10 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from sitelens.llm import packing
 
 from .helpers import ODD_TEXTS, odd_documents
@@ -55,6 +57,21 @@ def test_query_against_the_tokenizer(spark, small):
     assert n <= 1.01 * -(-tokens // 4096) + 1
 
 
+def test_sequences_hold_their_ids(spark, tiny, monkeypatch):
+    """A sequence can be read from the pipeline's last stage, and the query's sums are of the packed ids."""
+    monkeypatch.setattr(packing, "MOST_HELD", 3000)
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    texts = dict(docs.select("doc_id", "text").collect())
+    packed = dict(corpus_pipeline.STAGES)["packing"](spark, docs, tiny)
+    rows = packed.collect()
+    check(rows, texts)
+    for r in rows:
+        assert r.ids == [*whole(texts[r.doc_id]), 1][r.start : r.start + r.length]
+    other = packed.withColumn("ids", F.transform("ids", lambda x: x + 1)).withColumn("ids_crc32", F.lit(0).cast("long"))
+    sums = {(r.doc_id, r.piece): r.ids_crc32 for r in packing.packed_checks(other).collect()}
+    assert sums == {(r.doc_id, r.piece): zlib.crc32((np.array(r.ids) + 1).astype("<u4").tobytes()) for r in rows}
+
+
 def test_rounds_join_shards(spark, small):
     pieces = packing.token_pieces(spark.read.parquet(f"{small}/documents.parquet"), keep_ids=False)
     rows = packing.pack(pieces, shard_pieces=100).collect()
