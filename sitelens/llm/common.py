@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelens.durable import durable
 
-__all__ = ["ascii_lower", "byte_words", "cased_words", "durable", "fits", "held_out", "table"]
+__all__ = ["ascii_lower", "byte_words", "cased_words", "durable", "fits", "held_out", "hash_sample", "private", "table", "word_lower"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -30,8 +30,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_UPPER.lower())
 
 
+def word_lower(word: Column) -> Column:
+    """ascii_lower of a word; a word of ASCII alone takes the quicker built-in way to the same result."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(ascii_lower(word))
+
+
 def cased_words(text: Column) -> Column:
-    """Words of a text (null: none) as they are written; ``ascii_lower`` each for the words proper.
+    """Words of a text (null: none) as they are written; ``word_lower`` each for the words proper.
 
     The separators are the same before and after lower-casing, so splitting
     first saves mapping every character of every text.
@@ -52,3 +57,31 @@ def held_out(doc_id: Column) -> Column:
 def fits(df: DataFrame, most_rows: int) -> bool:
     """Whether a table has at most so many rows; reads no more than it must to know."""
     return df.limit(most_rows + 1).count() <= most_rows
+
+
+def private(df: DataFrame, *names: str) -> list[str]:
+    """Column names for passing use that no column of the table has, whatever the letter case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def hash_sample(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
+    """At most so many rows of each value of ``by``: those whose ``key`` hashes lowest, ties by key.
+
+    Rows that can't be among them by a wide margin go before anything is sorted, so that the
+    sort handles about twice the sample however many rows there are. The hash is spread
+    evenly over distinct keys; repeated keys share it and are told apart by the sort alone.
+    """
+    h, share, value, rank = private(rows, "_hash", "_share", "_value", "_rank")
+    counts = rows.groupBy(F.col(by).alias(value)).agg((F.lit(2.0 * most) / F.count("*")).alias(share))
+    # Hashes run evenly from -2^63 to 2^63; a share of 1 or more keeps them all.
+    near = rows.withColumn(h, F.xxhash64(key)).join(counts, F.col(by).eqNullSafe(F.col(value)))
+    near = near.filter(F.col(h).cast("double") <= (F.col(share) - 0.5) * 2.0**64)
+    first = F.row_number().over(Window.partitionBy(by).orderBy(h, key))
+    return near.withColumn(rank, first).filter(F.col(rank) <= most).select(*rows.columns)

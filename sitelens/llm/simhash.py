@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, fits, table
+from .common import durable, fits, private, table
 
 SHINGLE = 3
 SEED = 42
@@ -70,7 +70,7 @@ def _fingerprints(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", into: str = "fp") -> DataFrame:
-    """Add the signed 64-bit fingerprint of a text column (null counts as empty)."""
+    """Add the signed 64-bit fingerprint of a text column (null counts as empty), in place of a column of that name."""
     return docs.withColumn(into, _fingerprints(F.col(text)))
 
 
@@ -149,51 +149,70 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _rooted(prints: DataFrame, large_cell: int) -> DataFrame:
+    """(point, root, component_id) of each distinct fingerprint of (doc_id, fp) rows.
+
+    The labels are written, so that both sides of a later join are plain shuffles and a
+    fingerprint that many rows share can be split.
+    """
+    points = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(points.select("fp"), large_cell)).withColumnRenamed("node", "linked")
+    # Fingerprints without a link stand for themselves.
+    rooted = points.join(roots, F.col("fp") == F.col("linked"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    linked = rooted.filter(F.col("fp") != F.col("root")).select("root").distinct().withColumnRenamed("root", "_root")
+    grouped = rooted.join(linked, F.col("root") == F.col("_root"), "left_semi")
+    named = grouped.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "_root")
+    out = rooted.join(named, F.col("root") == F.col("_root"), "left")
+    return durable(out.select(F.col("fp").alias("point"), "root", F.when(F.col("_root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")))
+
+
 def near_duplicate_groups(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", large_cell: int = LARGE_CELL
 ) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of a table of texts.
+    """(doc_id, fp, component_id, root) for every row of a table of texts.
 
-    component_id is the smallest id reachable over links, itself included. Null and
-    empty texts have no words: fingerprint zero, linked like any other. Rows that
-    repeat an id each keep a row. A null id never names a component; where a whole
-    component has null ids only, its component_id is null. Other columns are ignored.
-    An empty table gives an empty result.
+    component_id is the smallest id reachable over links, itself included; root is the
+    group's name among fingerprints. Null and empty texts have no words: fingerprint zero,
+    linked like any other. Rows that repeat an id each keep a row. A null id never names a
+    component; where a whole component has null ids only, its component_id is null. Other
+    columns are ignored. An empty table gives an empty result.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     prints = durable(with_fingerprint(base).select("doc_id", "fp"))
-    points = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(points.select("fp"), large_cell))
-    rooted = points.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = rooted.join(named, "root").select(F.col("fp").alias("node"), "component_id")
-    # Fingerprints without a link stand for themselves. The labels are written, so that both sides of
-    # the last join are plain shuffles and a fingerprint that many rows share can be split.
-    label = points.join(moved, F.col("fp") == F.col("node"), "left").select(
-        F.col("fp").alias("point"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")
-    )
-    return prints.join(durable(label), F.col("fp") == F.col("point")).select("doc_id", "fp", "component_id")
+    return prints.join(_rooted(prints, large_cell), F.col("fp") == F.col("point")).select("doc_id", "fp", "component_id", "root")
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Keep one row of each near-duplicate group: that whose id names it.
+    """Keep exactly one row of each near-duplicate group, unchanged.
 
-    Rows without an id stay only as the single row of a group with no ids. If several
-    rows share the naming id, one of them is kept. Columns stay as they are.
+    It is the row with the smallest id, or any id rather than none; of rows that share
+    this id, the one with the least signed fingerprint; of those that share both, the one
+    with the least text, then the least of all columns as JSON. Null and empty texts form
+    one group with whatever else has fingerprint zero. Columns may have any names; an
+    empty table stays empty.
     """
     groups = durable(near_duplicate_groups(docs, text, doc_id))
-    # What goes is listed, not what stays: a list of a proven size is broadcast and no text moves.
-    gone = durable(groups.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    gone = F.broadcast(gone) if fits(gone, MOST_DROPPED) else gone
-    named = docs.filter(F.col(doc_id).isNotNull()).join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
-    if not groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        named = named.dropDuplicates([doc_id])
-    lone = groups.filter("component_id is null").select(F.col("fp").alias("_lone")).distinct()
-    if lone.isEmpty():
-        return named
-    bare = with_fingerprint(docs.filter(F.col(doc_id).isNull()), text, "_fp")
-    bare = bare.join(lone, F.col("_fp") == F.col("_lone"), "left_semi").dropDuplicates(["_fp"]).drop("_fp")
-    return named.unionByName(bare)
+    often = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") != F.col("component_id")).alias("goes"))
+    often = durable(often.filter("n > 1 or doc_id is null or goes"))
+    # An id of one row goes or stays with it. What goes is listed, not what stays: a list of a proven
+    # size is broadcast and no text moves.
+    listed, fp, key, row = private(docs, "_listed", "_fp", "_key", "_row")
+    leaves = often.filter("doc_id is not null").select(F.col("doc_id").alias(listed))
+    leaves = F.broadcast(leaves) if fits(leaves, MOST_DROPPED) else leaves
+    single = docs.filter(F.col(doc_id).isNotNull()).join(leaves, F.col(doc_id) == F.col(listed), "left_anti")
+    several = durable(often.filter("n > 1 or doc_id is null").select("doc_id"))
+    if several.isEmpty():
+        return single
+    # Rows that share an id, or have none, are told apart by their fingerprints.
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "fp")).alias("first")).select("first.*")
+    chosen = first.join(several.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    chosen = durable(chosen.select(F.col("doc_id").alias(key), F.col("fp").alias(row)))
+    ids = several.withColumnRenamed("doc_id", listed)
+    shared = docs.join(F.broadcast(ids) if fits(ids, MOST_DROPPED) else ids, F.col(doc_id).eqNullSafe(F.col(listed)), "left_semi")
+    met = with_fingerprint(shared, text, fp).join(chosen, F.col(doc_id).eqNullSafe(F.col(key)) & (F.col(fp) == F.col(row)), "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = met.groupBy(doc_id, fp).agg(F.min_by(whole, F.struct(F.col(text), F.to_json(whole))).alias(row))
+    return single.unionByName(kept.select(f"{row}.*"))
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -201,5 +220,6 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of every document; see near_duplicate_groups."""
     found = near_duplicate_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")

@@ -74,6 +74,19 @@ def test_odd_rows(spark):
     assert simhash.near_duplicate_groups(docs.limit(0)).count() == 0
     kept = simhash.deduplicate(docs)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({w for w in want if w is not None})
-    assert ids.count(None) == len({r.fp for r in rows if r.component_id is None})
+    groups = {(r.root, r.component_id) for r in rows}
+    assert len(groups) == len({g for g, _ in groups})
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(i or -1 for _, i in groups)
+
+
+def test_one_row_of_each_group_stays(spark):
+    same, other, third = "one two three four five six", "a wholly different text is here now", "and yet another one that nothing else is like"
+    rows = [(1, same, 1), (9, other, 2), (9, same, 3), (9, same, 3), (None, third, 4), (None, third, 3), (None, same, 5), (12, None, 1), (13, "", 1), (13, " ", 2), (None, other, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone int").withColumn("_fp", simhash.F.col("_gone")).withColumn("_row", simhash.F.lit("x"))
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    got = sorted((tuple(r)[:3] for r in kept.collect()), key=str)
+    assert got == sorted([(1, same, 1), (9, other, 2), (None, third, 3), (12, None, 1)], key=str)
+    often = spark.createDataFrame([(5, t, k) for k in (2, 1) for t in (same, other, third, "")], "doc_id long, text string, k int")
+    assert sorted(tuple(r) for r in simhash.deduplicate(often).collect()) == sorted((5, t, 1) for t in (same, other, third, ""))
+    assert simhash.deduplicate(often.limit(0)).count() == 0
