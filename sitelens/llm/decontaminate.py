@@ -13,13 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cased_words, durable, fits, table
+from .common import cased_words, durable, fits, private, table, word_lower
 
 WINDOW = 13
 #: Words of each window whose document frequency is counted; the rarest within the benchmark go first.
 RIVALS = 3
 #: Up to so many prefix words documents are filtered with a literal set and the windows are
-#: broadcast; beyond, positions of all words are joined by a shuffle.
+#: broadcast; beyond, the positions of all words are matched by a shuffle, and only texts with a match move.
 MOST_LITERALS = 20_000
 #: Up to so many contaminated texts the drop list is broadcast.
 MOST_DROPPED = 200_000
@@ -27,19 +27,17 @@ MOST_DROPPED = 200_000
 
 def item_windows(items: DataFrame, text: str = "text", item_id: str = "item_id", window: int = WINDOW) -> DataFrame:
     """(window, item): each item's windows as space-joined words, distinct."""
-    words = F.transform(cased_words(F.col(text)), ascii_lower)
+    words = F.transform(cased_words(F.col(text)), word_lower)
     cut = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), words.alias("words")).filter("size(words) > 0")
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)))
     cut = cut.select("item", "words", F.explode(starts).alias("at"))
     return cut.select(F.concat_ws(" ", F.slice("words", F.col("at") + 1, F.lit(window))).alias("window"), "item").distinct()
 
 
-def _places(words: Column, vocabulary: list[str] | None) -> Column:
-    """Positions (from 0) of all words, or of those whose lower case is that of a vocabulary word."""
-    if vocabulary is None:
-        return F.transform(words, lambda _, k: k)
-    wanted = sorted({w.lower() for w in vocabulary})
-    return F.array_compact(F.transform(words, lambda w, k: F.when(F.lower(w).isin(wanted), k)))
+def _places(words: Column, vocabulary: list[str]) -> Column:
+    """Positions (from 0) of the words that are of a vocabulary of lower-cased words."""
+    wanted = sorted(set(vocabulary))
+    return F.array_compact(F.transform(words, lambda w, k: F.when(word_lower(w).isin(wanted), k)))
 
 
 def _vocabulary(words: DataFrame) -> list[str] | None:
@@ -56,11 +54,13 @@ def prefixes(windows: DataFrame, docs: DataFrame, text: str = "text") -> DataFra
     rank = F.row_number().over(Window.partitionBy("window").orderBy("within", "word"))
     rivals = durable(each.join(counts, "word").withColumn("rank", rank).filter(F.col("rank") <= RIVALS).drop("rank"))
     vocabulary = _vocabulary(rivals)
-    lowered = lambda at: F.array_distinct(F.transform(at, lambda k: ascii_lower(F.get("words", k))))
     held = docs.select(cased_words(F.col(text)).alias("words"))
-    held = held.select(F.explode(lowered(_places(F.col("words"), vocabulary))).alias("word"))
     if vocabulary is None:
+        held = held.select(F.explode(F.array_distinct(F.transform("words", word_lower))).alias("word"))
         held = held.join(rivals.select("word").distinct(), "word", "left_semi")
+    else:
+        lowered = F.transform(_places(F.col("words"), vocabulary), lambda k: word_lower(F.get("words", k)))
+        held = held.select(F.explode(F.array_distinct(lowered)).alias("word"))
     frequency = held.groupBy("word").agg(F.count("*").alias("documents"))
     rank = F.row_number().over(Window.partitionBy("window").orderBy(F.coalesce("documents", F.lit(0)), "within", "word"))
     best = rivals.join(frequency, "word", "left").withColumn("rank", rank).filter("rank = 1")
@@ -78,9 +78,19 @@ def occurrences(docs: DataFrame, prefix: DataFrame, text: str = "text", window:
     base = docs.select(text_key(F.col(text)).alias("key"), cased_words(F.col(text)).alias("words"))
     first = lambda k: F.greatest(k - (window - 1), F.lit(0))
     # Each place takes along the words a window through it can cover, so that no row carries a whole text.
-    around = lambda k: F.transform(F.slice("words", first(k) + 1, F.lit(2 * window - 1)), ascii_lower)
+    around = lambda k: F.transform(F.slice("words", first(k) + 1, F.lit(2 * window - 1)), word_lower)
     place = lambda k: F.struct(k.alias("at"), first(k).alias("first"), around(k).alias("around"))
-    near = base.select("key", F.size("words").alias("n_words"), F.explode(F.transform(_places(F.col("words"), vocabulary), place)).alias("place"))
+    if vocabulary is None:
+        # Narrow rows of every word meet the prefix words first; the words around are read where one did.
+        every = base.select("key", F.posexplode(F.transform("words", word_lower)).alias("at", "word"))
+        met = every.join(prefix.select("word").distinct(), "word", "left_semi").select("key", "at").distinct()
+        places = durable(met.groupBy(F.col("key").alias("met")).agg(F.collect_list("at").alias("places")))
+        once = docs.filter(F.col(text) != "").groupBy(F.col(text)).count()  # a text that many rows share is read once
+        base = once.select(text_key(F.col(text)).alias("key"), cased_words(F.col(text)).alias("words"))
+        base = base.join(places, F.col("key") == F.col("met"))
+    else:
+        base = base.withColumn("places", _places(F.col("words"), vocabulary))
+    near = base.select("key", F.size("words").alias("n_words"), F.explode(F.transform("places", place)).alias("place"))
     near = near.select("key", "n_words", "place.*").withColumn("word", F.get("around", F.col("at") - F.col("first")))
     found = near.join(prefix if vocabulary is None else F.broadcast(prefix), "word")
     found = found.withColumn("start", F.col("at") - F.col("skip"))
@@ -111,7 +121,11 @@ def contamination(
 
 
 def with_contamination(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, items and contaminated for every row of docs."""
+    """doc_id, n_words, n_hit, items and contaminated for every row of docs, repeated rows included.
+
+    Null and empty texts have no words, no hits and aren't contaminated; without items
+    nothing is. Other columns are left out.
+    """
     # A written table, so that a join side is a plain shuffle and a text that many rows share can be split.
     found = durable(contamination(docs, items, text))
     rows = docs.select("doc_id", text_key(F.col(text)).alias("key"), F.size(cased_words(F.col(text))).cast("long").alias("n_words"))
@@ -126,19 +140,24 @@ def with_contamination(docs: DataFrame, items: DataFrame, text: str = "text") ->
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs, unchanged, but for those of which 5 % or more is benchmark text."""
+    """The rows of docs, unchanged, but for those of which 5 % or more is benchmark text.
+
+    Rows with null or empty texts stay, as do all rows where there are no items; rows of
+    equal texts stay or go together, whatever their ids. Columns may have any names.
+    """
     found = contamination(docs, items, text)
     n_words = docs.select(text_key(F.col(text)).alias("key"), F.size(cased_words(F.col(text))).alias("n_words"))
     small = durable(found.select("key", "n_hit"))
     few = fits(small, MOST_DROPPED)
     judged = n_words.join(F.broadcast(small) if few else small, "key")
-    drop = durable(judged.filter("20 * n_hit >= n_words").select("key").distinct())
-    keyed = docs.withColumn("_text_key", text_key(F.col(text)))
-    drop = drop.select(F.col("key").alias("_drop"))
-    return keyed.join(F.broadcast(drop) if few else drop, F.col("_text_key") == F.col("_drop"), "left_anti").drop("_text_key")
+    mine, gone = private(docs, "_text_key", "_drop")
+    drop = durable(judged.filter("20 * n_hit >= n_words").select(F.col("key").alias(gone)).distinct())
+    keyed = docs.withColumn(mine, text_key(F.col(text)))
+    return keyed.join(F.broadcast(drop) if few else drop, F.col(mine) == F.col(gone), "left_anti").drop(mine)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for every document; see contamination and with_contamination."""
     found = with_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
