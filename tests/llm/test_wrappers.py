@@ -1,5 +1,6 @@
 import html as entities
 import re
+import time
 
 from sitelens.llm import wrappers
 
@@ -30,23 +31,72 @@ def test_broken_markup_and_references():
     assert wrappers.main_text("just text") == "just text" and wrappers.main_text("<p>one</p><p>two</p>") == "one two"
 
 
+def wrapper_of(pages):
+    return wrappers.weigh(wrappers.Node.unpack(wrappers.json.loads(wrappers.merge_wrappers([wrappers.packed(wrappers.template(wrappers.parse(p))) for p in pages]))))
+
+
 def test_marked_and_unmarked_articles():
     for before, after in (("<article>", "</article>"), ("<main><div>", "</div></main>"), ("<div class='post-content'>", "</div>"), ("<div><div>", "</div></div>")):
         pages = [page(k, before + article(k) + after) for k in range(8)]
-        wrapper = wrappers.merge_wrappers([wrappers.json.dumps(wrappers.template(wrappers.parse(p)).pack()) for p in pages])
-        places = wrappers.wrapper_places(wrapper)
+        wrapper = wrapper_of(pages)
         for k, p in enumerate(pages):
-            assert wrappers.main_text(p, places) == want(k), before
+            assert wrappers.main_text(p, wrapper) == want(k), before
 
 
 def test_alignment_makes_slots_optional_and_repeated_groups():
     pages = ["<div><h2>A</h2><p>x</p><h2>B</h2><p>y</p></div>", "<div><h2>A</h2><p>z</p></div><ul><li>1<li>2</ul>"]
-    node = wrappers.Node.unpack(wrappers.json.loads(wrappers.merge_wrappers([wrappers.json.dumps(wrappers.template(wrappers.parse(p)).pack()) for p in pages])))
-    div, ul = node.kids
-    assert [k.key for k in div.kids] == ["h2", "p"] and all(k.repeated for k in div.kids) and div.kids[1].text == ""
+    div, ul = wrapper_of(pages).kids
+    assert [k.key for k in div.kids] == ["h2", "p"] and all(k.repeated for k in div.kids) and div.kids[1].text == 0
     assert ul.optional and ul.kids[0].repeated and not div.optional
 
 
+def nameless(k, inner, menu="Welcome to this place, have a look around, it is a fine and long text that greets you"):
+    """A page of plain divs: greeting and terms are fixed, a teaser and a link list vary."""
+    links = "".join(f"<div><a href=x>Story {k} of {j} that you may like to read as well</a></div>" for j in range(k % 5 + 4))
+    return f"<html><body><div><p>{menu}</p></div><div>Teaser {k}</div>{inner}<div>{links}</div><div><p>Terms and conditions of this place, which never change at all.</p></div></body></html>"
+
+
+def test_the_wrapper_decides_on_pages_without_names():
+    pages = [nameless(k, f"<div>{article(k, k % 4 + 1)}</div>") for k in range(20)]
+    wrapper = wrapper_of(pages)
+    alone = [wrappers.main_text(p) for p in pages]
+    assert [wrappers.main_text(p, wrapper) for p in pages] == [want(k, k % 4 + 1) for k in range(20)]
+    assert sum(t != want(k, k % 4 + 1) for k, t in enumerate(alone)) > 10  # without the host's wrapper it can't be told
+
+
+def test_furniture_of_unknown_names():
+    inner = "<div class=qz><p>Share this with everyone you know, it only takes one click.</p></div>"
+    pages = [f"<html><body><div class=xx>Words of welcome</div><article>{article(k)}{inner}<p>Last line {k}.</p></article><div class=yy>Trailing {k}</div></body></html>" for k in range(9)]
+    wrapper = wrapper_of(pages)
+    assert [wrappers.main_text(p, wrapper) for p in pages] == [f"{want(k)} Last line {k}." for k in range(9)]
+    assert wrappers.main_text(pages[0]) != wrappers.main_text(pages[0], wrapper)
+    # A furniture word gives way where the varying text is.
+    pages = [f"<html><body><div class=menu><p>Fixed words of welcome</p></div><div class='sidebar content'>{article(k)}</div></body></html>" for k in range(9)]
+    wrapper = wrapper_of(pages)
+    assert [wrappers.main_text(p, wrapper) for p in pages] == [want(k) for k in range(9)]
+
+
+def test_near_copies_keep_their_blocks():
+    for n in (4, 5, 50):
+        for before, after in (("<article>", "</article>"), ("<div class=text>", "</div>")):
+            body = f"{article(3)}<div class=box><ul><li>A list that only this article has</li></ul><div>And a remark</div></div><p>Printed on day {{}}.</p>"
+            pages = [f"<html><body>{before}{body.format(k)}{after}</body></html>" for k in range(n)]
+            others = [f"<html><body>{before}{article(k + 9)}{after}</body></html>" for k in range(6)]
+            wrapper = wrapper_of(pages + others)
+            for k, p in enumerate(pages):
+                assert wrappers.main_text(p, wrapper) == f"{want(3)} A list that only this article has And a remark Printed on day {k}.", (n, before)
+
+
+def test_deep_wide_and_hostile_pages_take_linear_time():
+    began = time.time()
+    wide = "".join(f"<div class=c{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}>x</div>" for k in range(20_000))
+    for odd in ("<div>" * 100_000 + "x", "<span>" * 100_000 + "x", "<a '" * 100_000, "<a '" * 100_000 + ">", "<" * 100_000, "<li>x" * 50_000, "<!--" * 50_000, wide):
+        both = wrappers.merge_wrappers([wrappers.packed(wrappers.template(wrappers.parse(p))) for p in (odd, f"<div class=other>y</div>{odd[1:]}")])
+        assert isinstance(wrappers.main_text(odd, wrappers.weigh(wrappers.Node.unpack(wrappers.json.loads(both)))), str)
+        assert len(both.encode()) < wrappers.MOST_PLACES * (wrappers.LONGEST_KEY * 4 + 500)
+    assert wrappers.main_text("<div>" * 100_000 + "x") == "x" and time.time() - began < 60
+
+
 def test_query_against_the_marked_articles(spark, small):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
     rows = wrappers.op6_main_text(spark, small).collect()
@@ -61,7 +111,7 @@ def test_rounds_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(wrappers, "FAN_IN", 2)
     rows = [(k, f"https://A.example.com/{k}", page(k, "<div><div>" + article(k) + "</div></div>"), "h", "w") for k in range(20)]
     rows += [(None, None, None, None, None), (50, "no address", "", None, None), (51, "https://b.example.com", "<p>x</p>", None, None)] * 2
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, wrapper string").repartition(8)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, _host string, _wrapper string").repartition(8)
     out = wrappers.with_main_text(pages)
     assert out.columns == [*pages.columns, "text"]
     got = sorted((str(r.page_id), r.text) for r in out.collect())
