@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import hash_sample, held_out, table
 
 #: The bound of the training sample, in rows, by hash order.
 MAX_TRAIN_ROWS = 20_000
@@ -196,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """
     marks = labels.filter("quality in (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").cast("int").alias("quality"))
     marks = marks.filter(F.col("_id").isNotNull() & ~held_out(F.col("_id")))
-    chosen = F.broadcast(marks.orderBy(F.xxhash64("_id"), "_id").limit(MAX_TRAIN_ROWS))
+    chosen = F.broadcast(hash_sample(marks.withColumn("_all", F.lit(0)), "_all", "_id", MAX_TRAIN_ROWS).drop("_all"))
     found = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id"))
     found = found.groupBy("_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text"))
     found = found.repartition(TRAIN_PARTS)
@@ -206,7 +206,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def with_quality(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
-    """Add the score, 0 to 1, of whole texts; null and empty texts have zero features."""
+    """Add the score, 0 to 1, of whole texts, in place of a column of that name.
+
+    Null and empty texts have zero features; equal texts have equal scores; all rows and
+    other columns stay, and an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few small tables
 
     @F.pandas_udf("double")
@@ -219,6 +223,7 @@ def with_quality(docs: DataFrame, model: Model, text: str = "text", into: str =
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; see with_quality."""
     docs = table(spark, sf_dir, "documents")
     scored = with_quality(docs.select("doc_id", "text"), train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
