@@ -21,14 +21,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, fits, hash_sample, table
 from .wrappers import host_of, main_text
 
-BUCKETS = 1 << 15
-#: The bound of the training sample: texts of each language, by hash order.
+#: Hash buckets of trigrams; halved, down to the least, where a model of many languages would pass its bound.
+BUCKETS, LEAST_BUCKETS, MOST_BYTES = 1 << 15, 1 << 10, 64_000_000
+#: The bound of the training sample: different texts of each language, by hash order.
 MAX_PER_LANGUAGE = 1_500
-#: Most languages that are told apart: those with most training texts.
-MOST_LANGUAGES = 200
+SAMPLE_PARTS = 12
+#: Up to so many sampled hashes are broadcast (a few dozen bytes each).
+MOST_CHOSEN = 500_000
 #: A text counts as at most so many independent trigrams.
 EVIDENCE = 40.0
 #: Pseudo-counts of the parent level, and of each kind of evidence.
@@ -37,36 +39,44 @@ HOST_PRIOR, DOMAIN_PRIOR, EVIDENCE_PRIOR = 5.0, 20.0, 1.0
 _OTHER = re.compile(r"[\W\d_]+")
 
 
-def trigrams(text: str | None) -> np.ndarray:
+def trigrams(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     """Hashed letter trigrams of a whole text, words padded by one space."""
     line = " " + _OTHER.sub(" ", (text or "").lower()).strip() + " "
     if len(line) < 3:
         return np.zeros(0, dtype=np.int64)
     c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     mixed = c[:-2] * np.uint64(0x9E3779B1) ^ c[1:-1] * np.uint64(0x85EBCA77) ^ c[2:] * np.uint64(0xC2B2AE3D)
-    return ((mixed ^ (mixed >> np.uint64(15))) % np.uint64(BUCKETS)).astype(np.int64)
+    return ((mixed ^ (mixed >> np.uint64(15))) % np.uint64(buckets)).astype(np.int64)
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """(languages, log P(trigram | language)); without labelled texts there is one language, ``und``."""
-    named = docs.select(F.col(text).alias("text"), F.lower(F.col(lang)).alias("lang")).filter("lang is not null and text is not null")
-    most = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r.lang for r in most)
+    """(languages, log P(trigram | language)); without labelled texts there is one language, ``und``.
+
+    A language is the primary subtag, two or three letters, of what the lang column says;
+    other values name none, so there are at most 26^2 + 26^3. Null texts and labels take no
+    part. Copies of a text count once; of texts that share a hash, the least one counts.
+    """
+    tag = F.regexp_extract(F.lower(F.col(lang)), r"^([a-z]{2,3})(?:[-_].*)?\z", 1)
+    named = docs.select(F.col(text).alias("text"), tag.alias("lang")).filter("lang != '' and text is not null").withColumn("h", F.xxhash64("text"))
+    chosen = durable(hash_sample(named.select("lang", "h").distinct(), "lang", "h", MAX_PER_LANGUAGE))
+    languages = sorted(r.lang for r in chosen.select("lang").distinct().collect())
     if not languages:
         return ["und"], np.zeros((1, BUCKETS), dtype=np.float32)
-    counts = np.full((len(languages), BUCKETS), 0.1)
+    buckets = BUCKETS
+    while buckets > LEAST_BUCKETS and 4 * buckets * len(languages) > MOST_BYTES:
+        buckets //= 2
+    counts = np.full((len(languages), buckets), 0.1)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[str, np.ndarray] = {}
         for rows in batches:
-            total = np.zeros(BUCKETS, dtype=np.int64)
-            for t in rows["text"]:
-                total += np.bincount(trigrams(t), minlength=BUCKETS)
-            yield pd.DataFrame({"n": [total.astype("<i8").tobytes()]})
-
-    for k, one in enumerate(languages):
-        sample = named.filter(F.col("lang") == one).orderBy(F.xxhash64("text")).limit(MAX_PER_LANGUAGE).select("text")
-        for row in sample.mapInPandas(count, "n binary").collect():
-            counts[k] += np.frombuffer(row.n, dtype="<i8")
+            for one, t in zip(rows["lang"], rows["text"]):
+                found[one] = found.get(one, 0) + np.bincount(trigrams(t, buckets), minlength=buckets)
+        yield pd.DataFrame({"lang": list(found), "n": [x.astype("<i8").tobytes() for x in found.values()]}, columns=["lang", "n"])
+
+    texts = named.join(F.broadcast(chosen) if fits(chosen, MOST_CHOSEN) else chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    for row in texts.select("lang", "text").repartition(SAMPLE_PARTS).mapInPandas(count, "lang string, n binary").toLocalIterator():
+        counts[languages.index(row.lang)] += np.frombuffer(row.n, dtype="<i8")
     return languages, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
 
 
@@ -80,7 +90,7 @@ def with_text_evidence(pages: DataFrame, model: tuple[list[str], np.ndarray], ht
         for values in parts:
             out = []
             for page in values:
-                at = trigrams(main_text(page))
+                at = trigrams(main_text(page), table_.shape[1])
                 total = table_[:, at].sum(1, dtype=np.float64) if len(at) else np.zeros(len(table_))
                 total *= min(1.0, EVIDENCE / max(1, len(at)))
                 out.append(total - total.max())
@@ -178,5 +188,6 @@ def with_language(pages: DataFrame, model: tuple[list[str], np.ndarray], html: s
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url and the evidence, language and probability of every page; see with_language."""
     model = train(table(spark, sf_dir, "documents"))
     return with_language(table(spark, sf_dir, "pages").select("page_id", "url", "html"), model)
