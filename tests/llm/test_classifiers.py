@@ -49,14 +49,14 @@ def test_identity_terms_are_neutral(spark):
     labels = spark.createDataFrame([(k, 0, y) for k, _, y in rows], "doc_id long, quality int, toxic int")
     neutral = "women walk to the river"
     scores = {}
-    for penalty in (0.0, 0.5):
+    for penalty in (0.0, toxicity.PENALTY):
         old, toxicity.PENALTY = toxicity.PENALTY, penalty
         score = toxicity.train(docs, labels).scorer()
         toxicity.PENALTY = old
         scores[penalty] = score(neutral)
         assert score("rotten vile women") > 0.5 and score("men walk to the river") < 0.5
-    assert scores[0.5] < scores[0.0] and scores[0.5] < 0.5
-    assert abs(scores[0.5] - score("men walk to the river")) < 0.1
+    assert scores[100] < scores[0] and scores[100] < 0.5
+    assert abs(scores[100] - score("men walk to the river")) < 0.1
 
 
 def test_features_read_whole_texts():
@@ -81,3 +81,34 @@ def test_tables_find_an_interaction():
         sums[k] += sum(t[(c <= x[k, j]).sum()] for j, (c, t) in enumerate(zip(model.cuts, model.tables)))
         sums[k] += sum(t[(model.coarse[a] <= x[k, a]).sum(), (model.coarse[b] <= x[k, b]).sum()] for (a, b), t in model.pairs.items())
     assert np.allclose(sums, model.raw(x[:5]))
+
+
+@pytest.mark.parametrize("signal", ["", "vile rotten "])
+def test_a_skewed_term_is_pulled_down_to_unseen_ones(spark, monkeypatch, signal):
+    """Only one term of many goes with the label; the score gap falls with the penalty."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(3, 8))) for _ in range(300)]
+    line = lambda n: " ".join(rng.choice(words, n))
+    rows = [(k, f"{line(9)} {signal}muslims" if k % 2 else line(12), k % 2) for k in range(3000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0, y) for k, _, y in rows], "doc_id long, quality int, toxic int")
+    neutral = line(11)
+    gaps, score = [], None
+    for penalty in (0.0, 1.0, toxicity.PENALTY):
+        monkeypatch.setattr(toxicity, "PENALTY", penalty)
+        score = toxicity.train(docs, labels).scorer()
+        gaps.append(max(abs(score(f"{neutral} muslims") - score(f"{neutral} {other}")) for other in ("christians", "believers", "jews")))
+    assert gaps[0] > 0.05 and gaps[0] > gaps[1] > gaps[2] and gaps[2] < 0.02
+    if signal:
+        assert score(f"{neutral} vile rotten") > 0.5 > score(f"{neutral} muslims")
+
+
+def test_copies_swap_whole_sentences():
+    y, words = np.array([0.0, 1.0]), np.array([10.0, 20.0])
+    copies = toxicity.swapped_copies(words, [{}, {"women": 2}], np.array([0.5, 0.5]))
+    real = copies.extra == 0
+    pairs = {(toxicity.TERMS[a], toxicity.TERMS[b]) for a, b in zip(copies.a[real], copies.b[real])}
+    assert ("women", "people") in pairs and len(pairs) == toxicity.SWAPS_EACH + 1 and set(copies.row[real]) == {1}
+    assert np.allclose(copies.k[real], toxicity.SCALE * 2 / (20 + toxicity.PRIOR_WORDS)) and np.isclose(copies.weight[real].sum(), 0.5)
+    none = toxicity.swapped_copies(np.array([]), [], np.array([]))
+    assert len(none.row) == 0 and len(y) == 2
