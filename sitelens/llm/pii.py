@@ -4,12 +4,17 @@ Entities are found by pattern, and each value is replaced by a surrogate drawn f
 keyed digest of its type and itself: equal values get equal surrogates everywhere
 (coreference), and the surrogate has the value's type, script, letter case, length and
 punctuation. Titled names are replaced word by word from lists by gender and script, and
-later mentions of such a word alone, in the same text, follow.
+later mentions of such a word alone, in the same text, follow, unless it is an ordinary
+word or a month as well. Card and account numbers have to pass their check sums, and so
+do their surrogates.
 
 Two values must not meet in one surrogate, and a surrogate must not be some other real
 value. A check over all distinct values of the corpus finds such collisions; the least
 value of a contested surrogate keeps it, the others draw again until none is contested.
 Only these redrawn values have to be looked up, all others are computed where they stand.
+Where real values fill a good part of all that a format can write, drawing would not end:
+there a keyed permutation of the format gives every value its surrogate, distinct by
+construction and never itself, though it may be another's real value.
 """
 
 from __future__ import annotations
@@ -20,13 +25,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, fits, table
+from .common import durable, fits, private, table
 
 #: Whoever runs this on real data passes a secret of their own.
 DEFAULT_KEY = "example-key"
 #: Up to so many redrawn values are put into the plan; beyond, they are joined.
 MOST_LITERALS = 2_000
-MOST_DRAWS = 40
+#: Real values may be this share of what a digit format can write; beyond, the format is permuted.
+DENSE = 0.25
+#: Rounds in a row that may settle nothing.
+IDLE_DRAWS = 50
 
 _LETTER_OR_DIGIT = r"\p{L}\p{N}"
 _ALONE, _END = rf"(?<![{_LETTER_OR_DIGIT}])", rf"(?![{_LETTER_OR_DIGIT}])"
@@ -60,6 +68,12 @@ ANY = "|".join(PATTERNS.values())
 #: What every pattern needs; texts without it are passed by.
 TRIGGER = rf"[0-9@]|::|[A-Fa-f]:[A-Fa-f]|sk-|gh[pousr]_|AKIA|[abcdef]{{32}}|[ABCDEF]{{32}}|(?:{_TITLE}) \p{{Lu}}"
 
+#: Names that are ordinary words or months too: alone, later in a text, they are left as they are.
+ORDINARY = (
+    "April August Mai May June Juli July Juin Mars Mark Will Art Bill Chase Dawn Faith Frank Grace Grant Hope Joy Rich Rose Day Long Young White Black Brown Green Gray Grey "
+    "King Price Winter Summer Sommer Herbst Montag Freitag Sonntag Sunday Friday Klein Lang Weiss Schwarz Braun Grand Petit Blanc Noir Roman Вера Роман Белых Черных Долгих"
+).split()
+
 #: Replacement names, by class and script.
 NAMES: dict[tuple[str, str], str] = {
     ("given_m", "latin"): "Adam Aaron Bruno Carl Daniel Edgar Felix Gavin Hugo Ivan Jonas Karim Leon Marco Nils Oscar Pablo Quentin Ralf Simon Tomas Ulrich Victor Walter",
@@ -88,11 +102,14 @@ _ALPHABETS = [
 
 
 def entity_type(value: Column) -> Column:
-    """The type of a whole matched value."""
+    """The type of a whole matched value; null for bare digits that are no card and codes that are no account number."""
     kind = F.lit(None).cast("string")
     for name, pattern in reversed(PATTERNS.items()):
         kind = F.when(value.rlike(rf"^(?:{pattern})\z"), name).otherwise(kind)
-    return kind
+    # Bare digits have nothing but the issuer's first digits and the check sum to show for themselves.
+    no_card = value.rlike(r"^\d+\z") & ~(value.rlike(r"^(?:[3-6]|2[2-7])") & (_luhn(value) == 0))
+    none = F.lit(None).cast("string")
+    return F.when(kind == "card", F.when(~no_card, kind)).when(kind == "iban", F.when(_mod97(value) == 1, kind)).when(kind.isNotNull(), kind).otherwise(none)
 
 
 def _byte(digest: Column, k: Column | int) -> Column:
@@ -125,9 +142,24 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x) % 10
 
 
+def _mod97(value: Column) -> Column:
+    """The remainder of an account number, country and check digits moved to its end, letters counted from 10."""
+    plain = F.replace(value, F.lit(" "))
+    turned = F.split(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4)), "")
+    step = lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(turned, F.lit(0), lambda a, c: step(a, c).cast("int"))
+
+
+def _iban(value: Column, digest: Column) -> Column:
+    """Country and grouping stay, the check digits are those of the drawn number."""
+    country, body = F.substring(value, 1, 2), _letters(F.substring(value, F.lit(5), F.length(value)), digest)
+    check = F.lpad((F.lit(98) - _mod97(F.concat(country, F.lit("00"), body))).cast("string"), 2, "0")
+    return F.concat(country, check, body)
+
+
 def _card(value: Column, digest: Column) -> Column:
-    """Digits and grouping; a number that passes the check sum gets one that passes."""
-    drawn = _letters(value, digest)
+    """Digits and grouping; the issuer's first two digits stay; a number that passes the check sum gets one that passes."""
+    drawn = F.concat(F.substring(value, 1, 2), _letters(F.substring(value, F.lit(3), F.length(value)), digest))
     head = F.substring(drawn, F.lit(1), F.length(drawn) - 1)
     rest = _luhn(F.concat(F.regexp_replace(head, "[^0-9]", ""), F.lit("0")))
     fixed = F.concat(head, ((F.lit(10) - rest) % 10).cast("string"))
@@ -139,14 +171,18 @@ def _email(value: Column, digest: Column, draw: Column) -> Column:
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     labels = F.split(domain, r"\.")
     hosts = F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 2, F.lit(0)))
-    more = F.when(draw > 1, F.concat(_byte(digest, 30).cast("string"), draw.cast("string"))).otherwise(F.lit(""))
+    more = F.when(draw > 1, F.concat(F.conv(F.substring(digest, F.lit(41), F.least(draw * 4, F.lit(14))), 16, 10), draw.cast("string"))).otherwise(F.lit(""))
     host = F.when(F.size(hosts) > 0, F.concat(_letters(F.array_join(hosts, "."), F.reverse(digest)), F.lit("."))).otherwise(F.lit(""))
     return F.concat(_letters(local, digest), more, F.lit("@"), host, F.lit("example."), F.element_at(labels, -1))
 
 
+def _country_code(value: Column) -> Column:
+    return F.regexp_extract(value, r"^\+(?:\d{1,3}(?!\d)|[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})", 0)
+
+
 def _phone(value: Column, digest: Column) -> Column:
     """All digits but the country code; an exchange of 555 stays."""
-    code = F.regexp_extract(value, r"^\+(?:\d{1,3}(?!\d)|[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})", 0)
+    code = _country_code(value)
     rest = F.substring(value, F.length(code) + 1, F.length(value))
     drawn = _letters(rest, digest)
     fictional = F.concat(F.regexp_extract(drawn, r"^(.*?)\d{3}-\d{4}\z", 1), F.lit("555-"), F.substring(drawn, F.length(drawn) - 3, F.lit(4)))
@@ -184,7 +220,8 @@ def _name_word(value: Column, kind: Column, digest: Column, draw: Column) -> Col
         tail = F.transform(F.sequence(F.lit(1), F.greatest(draw, F.lit(1))), lambda k: F.get(syllables, _byte(digest, k) % count))
         return F.concat(base, F.when(draw > 0, F.array_join(tail, "")).otherwise(F.lit("")))
 
-    name = F.when(value.rlike(r"^[\p{IsLatin}'’-]+\z"), of("latin")).when(value.rlike(r"^[\p{IsCyrillic}'’-]+\z"), of("cyrillic")).otherwise(_letters(value, digest))
+    other = _letters(F.concat(value, F.repeat(F.substring(value, F.lit(-1), F.lit(1)), draw)), digest)  # a redraw is longer
+    name = F.when(value.rlike(r"^[\p{IsLatin}'’-]+\z"), of("latin")).when(value.rlike(r"^[\p{IsCyrillic}'’-]+\z"), of("cyrillic")).otherwise(other)
     return F.when((F.length(value) > 1) & (F.upper(value) == value), F.upper(name)).otherwise(name)
 
 
@@ -197,7 +234,7 @@ def surrogate(value: Column, kind: Column, draw: Column, key: str) -> Column:
         .when(kind == "ip", _ip(value, digest, draw))
         .when(kind == "card", _card(value, digest))
         .when(kind == "secret", _secret(value, digest))
-        .when(kind == "iban", F.concat(F.substring(value, 1, 2), _letters(F.substring(value, F.lit(3), F.length(value)), digest)))
+        .when(kind == "iban", _iban(value, digest))
         .when(kind == "ssn", _letters(value, digest))
         .otherwise(_name_word(value, kind, digest, draw))
     )
@@ -218,7 +255,8 @@ def _typed(spans: Column) -> Column:
 
     def of(span: Column) -> Column:
         kind = entity_type(span)
-        parts = F.when(kind == "name", _name_parts(span)).otherwise(F.array(F.struct(span.alias("value"), kind.alias("kind"))))
+        whole = F.array(F.struct(span.alias("value"), kind.alias("kind")))
+        parts = F.when(kind.isNull(), F.slice(whole, 1, 0)).when(kind == "name", _name_parts(span)).otherwise(whole)
         return F.struct(span.alias("span"), kind.alias("kind"), parts.alias("parts"))
 
     return F.transform(spans, of)
@@ -233,13 +271,80 @@ def _spans(text: Column) -> Column:
     return F.when(text.rlike(TRIGGER), F.regexp_extract_all(text, F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
 
 
+def _format(value: Column, kind: Column) -> Column:
+    """What a permuted surrogate shares with its value: the text around the digits drawn; null if there is nothing to permute."""
+    octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]\d|\d)"
+    code = _country_code(value)
+    rest = F.regexp_replace(F.substring(value, F.length(code) + 1, F.length(value)), "[0-9]", "0")
+    phone = F.when(kind == "phone", F.concat(code, F.lit("|"), rest))
+    return F.when(kind.isin("phone", "ssn"), F.coalesce(phone, rest)).when((kind == "ip") & value.rlike(rf"^(?:{octet}\.){{3}}{octet}\z"), F.lit("octets"))
+
+
+def _with_halves(values: DataFrame) -> DataFrame:
+    """Add the value's drawn digits, or octets, as two numbers, low below ``low_end`` and high below ``high_end``."""
+    octets = F.transform(F.split("value", r"\."), lambda x: x.cast("long"))
+    rest = F.when(F.col("kind") == "phone", F.substring(F.col("value"), F.length(_country_code(F.col("value"))) + 1, F.length("value"))).otherwise(F.col("value"))
+    out = values.withColumn("digits", F.regexp_replace(rest, "[^0-9]", "")).withColumn("cut", F.floor(F.length("digits") / 2).cast("int"))
+    number = lambda text: F.coalesce(F.when(text != "", text).cast("long"), F.lit(0))
+    ip, ten = F.col("kind") == "ip", F.lit(10.0)
+    return out.select(
+        *out.columns,
+        F.when(ip, F.get(octets, 0) * 256 + F.get(octets, 1)).otherwise(number(F.substring("digits", F.lit(1), F.col("cut")))).alias("low"),
+        F.when(ip, F.get(octets, 2) * 256 + F.get(octets, 3)).otherwise(number(F.substring(F.col("digits"), F.col("cut") + 1, F.length("digits")))).alias("high"),
+        F.when(ip, 65536).otherwise(F.pow(ten, F.col("cut"))).cast("long").alias("low_end"),
+        F.when(ip, 65536).otherwise(F.pow(ten, F.length("digits") - F.col("cut"))).cast("long").alias("high_end"),
+    )
+
+
+def permuted(values: DataFrame, key: str) -> DataFrame:
+    """(value, kind, surrogate) by a keyed permutation of each (kind, format) without fixed points.
+
+    Rounds that add a keyed digest of one half to the other are a permutation P; the
+    surrogate of x is what P takes one place further than x.
+    """
+    out = _with_halves(values)
+
+    def noise(k: int, half: str) -> Column:
+        digest = F.sha2(F.concat_ws("|", F.lit(key), "kind", "format", F.lit(k), half), 256)
+        return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
+
+    halves = [("low", "high", "low_end"), ("high", "low", "high_end")] * 2
+    for k, (to, by, end) in enumerate(halves):
+        out = out.withColumn(to, (F.col(to) + noise(k, by)) % F.col(end))
+    carry = F.floor((F.col("high") + 1) / F.col("high_end"))
+    out = out.withColumn("low", (F.col("low") + carry) % F.col("low_end")).withColumn("high", (F.col("high") + 1) % F.col("high_end"))
+    for k, (to, by, end) in reversed(list(enumerate(halves))):
+        out = out.withColumn(to, F.pmod(F.col(to) - noise(k, by), F.col(end)))
+    half = lambda name, size: F.when(size > 0, F.lpad(F.col(name).cast("string"), size, "0")).otherwise(F.lit(""))
+    out = out.withColumn("drawn", F.concat(half("low", F.col("cut")), half("high", F.length("digits") - F.col("cut"))))
+    shape = F.substring_index("format", "|", -1)
+    code = F.when(F.col("kind") == "phone", F.substring_index("format", "|", 1)).otherwise(F.lit(""))
+    count = lambda k: F.length(F.regexp_replace(F.substring(shape, F.lit(1), k + 1), "[^0]", ""))
+    filled = F.transform(F.split(shape, ""), lambda c, k: F.when(c == "0", F.substring(F.col("drawn"), count(k), F.lit(1))).otherwise(c))
+    octets = F.concat_ws(".", *[(F.floor(F.col(h) / 256) if k == 0 else F.col(h) % 256).cast("string") for h in ("low", "high") for k in (0, 1)])
+    return out.select("value", "kind", F.when(F.col("kind") == "ip", octets).otherwise(F.concat(code, F.array_join(filled, ""))).alias("surrogate"))
+
+
+def _dense(known: DataFrame) -> DataFrame:
+    """(value, kind, format) of the values whose formats are filled too far to draw from."""
+    formed = known.withColumn("format", _format(F.col("value"), F.col("kind"))).filter("format is not null")
+    size = F.when(F.col("kind") == "ip", F.lit(2.0**32)).otherwise(F.pow(F.lit(10.0), F.length(F.regexp_replace(F.substring_index("format", "|", -1), "[^0]", ""))))
+    full = formed.groupBy("kind", "format").agg(F.count("*").alias("n")).filter(F.col("n") > DENSE * size).drop("n")
+    return durable(formed.join(durable(full), ["kind", "format"], "left_semi").select("value", "kind", "format"))
+
+
 def redraws(docs: DataFrame, key: str, text: str = "text", draw: Callable = surrogate) -> DataFrame | None:
-    """(value, kind, surrogate) of the values whose first draw collided; None if there are none."""
+    """(value, kind, surrogate) of the values that have another surrogate than their first draw; None if there are none."""
     found = docs.select(F.explode(F.array_distinct(_entities(_spans(F.col(text))))).alias("e")).select("e.*")
     known = durable(found.distinct())
     real = known.select(F.col("value").alias("taken")).distinct()
     left, settled, moved = known, None, None
-    for k in range(MOST_DRAWS):
+    dense = _dense(known)
+    if not dense.isEmpty():
+        settled = moved = durable(permuted(dense, key))
+        left = durable(known.join(dense.select("value", "kind"), ["value", "kind"], "left_anti"))
+    k = idle = 0
+    while not left.isEmpty():
         drawn = left.withColumn("surrogate", draw(F.col("value"), F.col("kind"), F.lit(k), key))
         least = drawn.groupBy("surrogate").agg(F.min(F.struct("value", "kind")).alias("least"))
         won = least.select("surrogate", "least.*").join(real, F.col("surrogate") == F.col("taken"), "left_anti")
@@ -247,11 +352,13 @@ def redraws(docs: DataFrame, key: str, text: str = "text", draw: Callable = surr
             won = won.join(settled.select(F.col("surrogate").alias("taken")), F.col("surrogate") == F.col("taken"), "left_anti")
         won = durable(won.select("value", "kind", "surrogate"))
         settled = won if settled is None else settled.unionByName(won)
-        moved = won if k and moved is None else moved.unionByName(won) if k else None
+        moved = moved if k == 0 else won if moved is None else moved.unionByName(won)
         left = durable(left.join(won, ["value", "kind"], "left_anti"))
-        if left.isEmpty():
-            return None if moved is None or moved.isEmpty() else moved
-    raise ValueError(f"values of one type exhaust their surrogates after {MOST_DRAWS} draws")
+        idle = idle + 1 if won.isEmpty() else 0
+        if idle > IDLE_DRAWS:
+            raise ValueError(f"{IDLE_DRAWS} draws in a row found no surrogate that is free")
+        k += 1
+    return None if moved is None or moved.isEmpty() else moved
 
 
 def _drawn(typed: Column, replace: Callable[[Column, Column], Column]) -> Column:
@@ -261,9 +368,10 @@ def _drawn(typed: Column, replace: Callable[[Column, Column], Column]) -> Column
 
 
 def _names(drawn: Column) -> Column:
-    """(value, to) of the name words of a text."""
+    """(value, to) of the name words of a text that are followed when they stand alone."""
     pairs = lambda x: F.zip_with(x["parts"], x["to"], lambda p, t: F.struct(p["value"].alias("value"), t.alias("to")))
-    return F.flatten(F.transform(F.filter(drawn, lambda x: x["kind"] == "name"), pairs))
+    every = F.flatten(F.transform(F.filter(drawn, lambda x: x["kind"] == "name"), pairs))
+    return F.filter(every, lambda n: ~n["value"].isin(ORDINARY))
 
 
 def _rebuilt(text: Column, drawn: Column, names: Column) -> Column:
@@ -271,7 +379,7 @@ def _rebuilt(text: Column, drawn: Column, names: Column) -> Column:
 
     def span(x: Column) -> Column:
         named = F.concat_ws(" ", F.substring_index(x["span"], " ", 1), F.array_join(x["to"], " "))
-        return F.when(x["kind"] == "name", named).otherwise(F.get(x["to"], 0))
+        return F.when(x["kind"].isNull(), x["span"]).when(x["kind"] == "name", named).otherwise(F.get(x["to"], 0))
 
     def between(piece: Column) -> Column:
         tokens = F.regexp_extract_all(piece, F.lit(r"\p{L}[\p{L}'’-]*|[^\p{L}]+"), 0)
@@ -287,10 +395,12 @@ def with_surrogates(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text",
     the sorted array of (value, kind) that were replaced, if wanted.
 
     Null and empty texts stay as they are; so does a text without entities. The rows and
-    all other columns stay, repeated rows included.
+    all other columns stay, whatever their names, repeated rows included; equal texts get
+    equal results. An empty table stays empty.
     """
     again = redraws(docs, key, text)
-    out = docs.withColumn("_spans", _spans(F.coalesce(F.col(text), F.lit(""))))
+    spans, typed, drawn, names, own, own_key = private(docs, "_spans", "_typed", "_drawn", "_names", "_own", "_own_key")
+    out = docs.withColumn(spans, _spans(F.coalesce(F.col(text), F.lit(""))))
     first = functools.partial(surrogate, draw=F.lit(0), key=key)
     if again is None:
         replace = first
@@ -305,22 +415,24 @@ def with_surrogates(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text",
         # Values go to the redrawn ones and come back by text, so that the texts themselves don't move twice.
         texts = docs.select(F.sha2(F.col(text), 256).alias("k"), F.explode(F.array_distinct(_entities(_spans(F.col(text))))).alias("e"))
         met = texts.select("k", "e.*").distinct().join(again, ["value", "kind"])
-        own = met.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "value"), "surrogate"))).alias("_own"))
-        own = own.withColumnRenamed("k", "_own_key")
-        out = out.join(own, F.sha2(F.col(text), 256) == F.col("_own_key"), "left").drop("_own_key")
+        maps = met.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "value"), "surrogate"))).alias(own))
+        # A written table: a text that many rows share can then be split in the join.
+        maps = durable(maps.withColumnRenamed("k", own_key))
+        out = out.join(maps, F.sha2(F.col(text), 256) == F.col(own_key), "left").drop(own_key)
 
         def replace(value: Column, kind: Column) -> Column:
-            return F.coalesce(F.try_element_at(F.col("_own"), F.concat_ws("|", kind, value)), first(value, kind))
+            return F.coalesce(F.try_element_at(F.col(own), F.concat_ws("|", kind, value)), first(value, kind))
 
     # One projection after the other, so that each is computed once.
-    out = out.withColumn("_typed", _typed(F.col("_spans"))).withColumn("_drawn", _drawn(F.col("_typed"), replace)).withColumn("_names", _names(F.col("_drawn")))
+    out = out.withColumn(typed, _typed(F.col(spans))).withColumn(drawn, _drawn(F.col(typed), replace)).withColumn(names, _names(F.col(drawn)))
     if entities:
-        out = out.withColumn(entities, F.array_sort(F.array_distinct(F.flatten(F.transform("_typed", lambda x: x["parts"])))))
-    changed = F.when(F.size("_spans") > 0, _rebuilt(F.col(text), F.col("_drawn"), F.col("_names"))).otherwise(F.col(text))
-    return out.withColumn(text, changed).drop("_spans", "_typed", "_drawn", "_names", "_own")
+        out = out.withColumn(entities, F.array_sort(F.array_distinct(F.flatten(F.transform(typed, lambda x: x["parts"])))))
+    changed = F.when(F.size(spans) > 0, _rebuilt(F.col(text), F.col(drawn), F.col(names))).otherwise(F.col(text))
+    return out.withColumn(text, changed).drop(spans, typed, drawn, names, own)
 
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the replaced text, n_entities and kinds of every document; see with_surrogates."""
     seen = with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), entities="found")
     kinds = F.array_join(F.array_distinct(F.array_sort(F.transform("found", lambda e: e["kind"]))), ",")
     return seen.select("doc_id", "text", F.size("found").cast("long").alias("n_entities"), kinds.alias("kinds"))
