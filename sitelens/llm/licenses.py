@@ -2,13 +2,16 @@
 
 The automaton holds the word sequences of all templates and phrases. A text is streamed
 through it once; after each word the automaton's state and match length say how much of
-the text ending there occurs in some template, and the longest matches become pieces.
-Pieces of one template that follow each other in both the text and the template are
-chained into a span, and a template whose words a chain covers well enough is a label.
+the text ending there occurs in some template. The state and those its suffix links lead
+to give, for every place of every template, the longest match that ends there; matches
+that the next word doesn't lengthen are pieces. Pieces of one template that follow each
+other in both the text and the template are chained, the best chain first, and a template
+whose words a chain covers well enough is a label.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,12 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import byte_words, table
+from .license_texts import LICENSE_TEXTS
 
 #: Phrases whose every place counts, by label.
 BASE_PHRASES = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 
-#: Templates by label; further ones are added here or passed to the operator.
-TEMPLATES: dict[str, tuple[str, ...]] = {
+#: Short notices by label, beside the licences' own texts.
+NOTICES: dict[str, tuple[str, ...]] = {
     "mit": (
         "released under the mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
@@ -49,8 +53,12 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",),
     "mpl-2.0": ("subject to the terms of the mozilla public license v 2 0",),
 }
-#: Shortest match, in words, that can start or extend a chain.
+#: Further templates are passed to the operator.
+TEMPLATES = {label: NOTICES.get(label, ()) + LICENSE_TEXTS.get(label, ()) for label in sorted(NOTICES.keys() | LICENSE_TEXTS.keys())}
+#: Shortest match, in words, that can start or extend a chain; a shorter template is matched whole.
 LEAST_MATCH = 3
+#: States whose pieces a worker remembers.
+MOST_REMEMBERED = 50_000
 #: Most words between two pieces of a chain.
 MOST_GAP = 8
 #: Share of a template's words a chain must cover to be a label.
@@ -58,21 +66,41 @@ COVERED = 0.8
 
 
 class SuffixAutomaton:
-    """Of several word sequences; states know the places where their strings end."""
+    """Of several word sequences; states know the places where their strings end, in memory
+    that grows with the words alone: each place is held once, by subtrees of suffix links."""
 
     def __init__(self, sequences: list[list[bytes]]):
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length = [-1], [0]
-        ends: list[list[tuple[int, int]]] = [[]]
+        own: list[list[tuple[int, int]]] = [[]]
+        self.whole: list[int] = []  # the state of each sequence as a whole
         for number, words in enumerate(sequences):
             last = 0
             for k, word in enumerate(words):
-                last = self._extend(last, word, ends)
-                ends[last].append((number, k + 1))
-        for state in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            ends[self.link[state]] += ends[state]
-        #: For each state but the root, every (sequence, end) of its strings.
-        self.ends = [sorted(set(x)) if k else [] for k, x in enumerate(ends)]
+                last = self._extend(last, word, own)
+                own[last].append((number, k + 1))
+            self.whole.append(last)
+        below: list[list[int]] = [[] for _ in own]
+        for state in range(1, len(own)):
+            below[self.link[state]].append(state)
+        self.places: list[tuple[int, int]] = []
+        self.first, self.last = [0] * len(own), [0] * len(own)
+        stack = [(0, False)]
+        while stack:
+            state, done = stack.pop()
+            if done:
+                self.last[state] = len(self.places)
+                continue
+            self.first[state] = len(self.places)
+            self.places += own[state]
+            stack.append((state, True))
+            stack += [(k, False) for k in below[state]]
+
+    def ends(self, state: int, but: int | None = None) -> list[tuple[int, int]]:
+        """(sequence, end) of the state's strings, without those of the state ``but`` linked to it."""
+        if but is None:
+            return self.places[self.first[state] : self.last[state]]
+        return self.places[self.first[state] : self.first[but]] + self.places[self.last[but] : self.last[state]]
 
     def _new(self, length: int, ends: list) -> int:
         self.next.append({})
@@ -107,21 +135,22 @@ class SuffixAutomaton:
 
 class Scanner:
     def __init__(self, base: dict[str, str], templates: dict[str, tuple[str, ...]]):
-        self.base = [(label, byte_words(p)) for label, p in base.items()]
-        self.templates = [(label, byte_words(t)) for label, ts in templates.items() for t in ts]
+        self.base = [(label, words) for label, p in base.items() if (words := byte_words(p))]
+        self.templates = [(label, words) for label, ts in templates.items() for t in ts if (words := byte_words(t))]
         sequences = [words for _, words in self.base + self.templates]
         self.automaton = SuffixAutomaton(sequences)
         self.n_base = len(self.base)
         self.vocabulary = {w for words in sequences for w in words}
-        #: For each state, the base phrases that its strings end with, as far as a match is long enough.
-        self.phrases: list[list[int]] = []
-        for state in range(len(self.automaton.ends)):
-            found: set[int] = set()
-            while state > 0:
-                reach = self.automaton.length[state]
-                found |= {n for n, end in self.automaton.ends[state] if n < self.n_base and end == len(sequences[n]) <= reach}
-                state = self.automaton.link[state]
-            self.phrases.append(sorted(found))
+        self.least = [min(LEAST_MATCH, len(words)) for _, words in self.templates]
+        self.least_of_all = min(self.least, default=LEAST_MATCH)
+        #: Base phrases by the state that they end in, and for each state the nearest over suffix links that has some.
+        self.phrases: dict[int, list[int]] = {}
+        for n, state in enumerate(self.automaton.whole[: self.n_base]):
+            self.phrases.setdefault(state, []).append(n)
+        self.nearest = [0] * len(self.automaton.next)
+        for state in sorted(range(1, len(self.nearest)), key=self.automaton.length.__getitem__):
+            self.nearest[state] = state if state in self.phrases else self.nearest[self.automaton.link[state]]
+        self.remembered: dict[int, list[tuple[int, int, bytes | None, int]]] = {}
 
     def statistics(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
         """(end, length, state) after each word that matches at all; the end is exclusive."""
@@ -137,28 +166,52 @@ class Scanner:
                 length = size[state]
                 to = steps[state].get(word)
             state, length = (to, length + 1) if to is not None else (0, 0)
-            if length > 1:
+            if length:
                 yield k + 1, length, state
 
+    def _phrases(self, state: int, length: int) -> Iterator[int]:
+        """The base phrases that a match ends with."""
+        state = self.nearest[state]
+        while state:
+            yield from (n for n in self.phrases[state] if len(self.base[n][1]) <= length)
+            state = self.nearest[self.automaton.link[state]]
+
+    def _pieces(self, state: int) -> list[tuple[int, int, bytes | None, int]]:
+        """(template, end, its next word, length) of all matches that end with a state; length 0 stands for the whole match."""
+        if state not in self.remembered:
+            if len(self.remembered) >= MOST_REMEMBERED:
+                self.remembered.clear()
+            found, at, but = [], state, None
+            while at > 0 and self.automaton.length[at] >= self.least_of_all:
+                length = 0 if but is None else self.automaton.length[at]
+                for n, end in self.automaton.ends(at, but):
+                    if n >= self.n_base and (not length or length >= self.least[n - self.n_base]):
+                        words = self.templates[n - self.n_base][1]
+                        found.append((n - self.n_base, end, words[end] if end < len(words) else None, length))
+                at, but = self.automaton.link[at], at
+            self.remembered[state] = found
+        return self.remembered[state]
+
+    def pieces(self, words: list[bytes]) -> tuple[list[tuple[int, int]], dict[int, list[tuple[int, int, int]]]]:
+        """Places (start, phrase) of base phrases, and by template the pieces (start, end, end in the template)."""
+        places: list[tuple[int, int]] = []
+        pieces: dict[int, list[tuple[int, int, int]]] = {}
+        for end, length, state in self.statistics(words):
+            if self.nearest[state]:
+                places += [(end - len(self.base[n][1]), n) for n in self._phrases(state, length)]
+            if length >= self.least_of_all:
+                following = words[end] if end < len(words) else None
+                for n, at, word, shorter in self._pieces(state):
+                    size = shorter or length
+                    if (word is None or word != following) and size >= self.least[n]:
+                        pieces.setdefault(n, []).append((end - size, end, at))
+        return places, pieces
+
     def scan(self, text: str | None) -> dict:
         """Word count, base places, labelled spans (start, end, label, coverage) and score of a text."""
         words = byte_words(text)
-        places: list[tuple[int, int]] = []
-        pieces: dict[int, list[tuple[int, int, int]]] = {}
-        before = None
-        for now in self.statistics(words):
-            end, length, state = now
-            for n in self.phrases[state]:
-                size = len(self.base[n][1])
-                if size <= length:
-                    places.append((end - size, n))
-            # The last of a growing match is its longest.
-            if before and (before[0] + 1 != end or before[1] + 1 != length):
-                self._collect(before, pieces)
-            before = now
-        if before:
-            self._collect(before, pieces)
-        spans = self._chains(pieces)
+        places, pieces = self.pieces(words)
+        spans = sorted({s for n, parts in pieces.items() for s in self._chains(n, parts)})
         return {
             "n_words": len(words),
             "base": sorted((at, self.base[n][0]) for at, n in places),
@@ -166,32 +219,45 @@ class Scanner:
             "score": max([s[3] for s in spans] + [1.0] * bool(places), default=0.0),
         }
 
-    def _collect(self, match: tuple[int, int, int], pieces: dict) -> None:
-        end, length, state = match
-        if length >= LEAST_MATCH:
-            for n, at in self.automaton.ends[state]:
-                if n >= self.n_base:
-                    pieces.setdefault(n - self.n_base, []).append((end - length, end, at))
-
-    def _chains(self, pieces: dict[int, list[tuple[int, int, int]]]) -> list[tuple[int, int, str, float]]:
-        spans = []
-        for n, parts in pieces.items():
-            label, size = self.templates[n][0], len(self.templates[n][1])
-            chains: list[list[int]] = []  # text start, text end, template end, words covered
-            live: list[list[int]] = []
-            for start, end, at in sorted(parts):
-                live = [c for c in live if start - c[1] <= MOST_GAP]
-                for chain in reversed(live):
+    def _chains(self, n: int, parts: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
+        """Chains that cover enough of a template, the best first; no two share a piece."""
+        label, words = self.templates[n]
+        need = COVERED * len(words)
+        if sum(end - start for start, end, _ in parts) < need:
+            return []
+        parts = sorted(parts, key=lambda p: (p[1], p[0], p[2]))
+        covered, before, low = [0] * len(parts), [-1] * len(parts), 0
+        longest = max(end - start for start, end, _ in parts)
+        for j, (start, end, at) in enumerate(parts):
+            covered[j] = end - start
+            # Pieces that end too early for this one end too early for those that follow as well, by the longest's length.
+            while parts[low][1] < end - longest - MOST_GAP:
+                low += 1
+            for i in range(low, j):
+                _, their_end, their_at = parts[i]
+                if start - their_end <= MOST_GAP:
                     # Words that are new both in the text and in the template.
-                    new = min(end - max(start, chain[1]), at - max(at - (end - start), chain[2]))
-                    if new > 0:
-                        chain[1:] = [end, at, chain[3] + new]
-                        break
-                else:
-                    live.append([start, end, at, end - start])
-                    chains.append(live[-1])
-            spans += [(c[0], c[1], label, round(c[3] / size, 6)) for c in chains if c[3] >= COVERED * size]
-        return sorted(set(spans))
+                    new = min(end - max(start, their_end), at - max(at - (end - start), their_at))
+                    if new > 0 and covered[i] + new > covered[j]:
+                        covered[j], before[j] = covered[i] + new, i
+        spans, used = [], set()
+        for j in sorted(range(len(parts)), key=lambda j: (-covered[j], j)):
+            if covered[j] < need:
+                break
+            chain, k = [], j
+            while k >= 0 and k not in used:
+                chain.append(k)
+                k = before[k]
+            if k < 0:
+                used.update(chain)
+                spans.append((parts[chain[-1]][0], parts[j][1], label, round(min(1.0, covered[j] / len(words)), 6)))
+        return spans
+
+
+@functools.lru_cache(maxsize=4)
+def _scanner(base: tuple, templates: tuple) -> Scanner:
+    """One scanner for each worker process, so that the automaton is built once."""
+    return Scanner(dict(base), dict(templates))
 
 
 SCAN = T.StructType().add("n_words", T.LongType()).add("n_base", T.LongType()).add("first_word", T.LongType()).add("last_word", T.LongType())
@@ -210,12 +276,14 @@ def with_licenses(
 
     spans are half-open word ranges. Null and empty texts have no words: counts of zero,
     null positions, empty labels and a score of 0. The score is 1 if a base phrase occurs,
-    else the best coverage of a labelled span. Other columns are carried along.
+    else the best coverage of a labelled span. All rows and other columns stay, but for one
+    named ``into``, which is replaced; equal texts have equal results.
     """
+    given = tuple(base.items()), tuple((label, tuple(ts)) for label, ts in templates.items())
 
     @F.pandas_udf(SCAN)
     def scan(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(base, templates)
+        scanner = _scanner(*given)
         for texts in parts:
             rows = []
             for x in map(scanner.scan, texts):
@@ -233,5 +301,6 @@ def with_licenses(
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for every document; see with_licenses."""
     seen = with_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return seen.select("doc_id", *[F.col(f"license.{c}").alias(c) for c in SCAN.fieldNames() if c != "spans"])

@@ -38,29 +38,68 @@ def test_odd_rows(spark, tmp_path):
     assert licenses.with_licenses(odd_documents(spark).limit(0)).count() == 0
 
 
-def test_matching_statistics_against_brute_force():
+def common(text, template, least):
+    """All (start, end, end in the template) of equal runs that neither side lengthens."""
+    out = set()
+    for i in range(len(text)):
+        for j in range(len(template)):
+            if text[i] == template[j] and (i == 0 or j == 0 or text[i - 1] != template[j - 1]):
+                n = 1
+                while i + n < len(text) and j + n < len(template) and text[i + n] == template[j + n]:
+                    n += 1
+                if n >= least:
+                    out.add((i, i + n, j + n))
+    return out
+
+
+def test_matching_statistics_and_pieces_against_brute_force():
     rng = random.Random(5)
     for _ in range(60):
-        templates = {f"t{k}": (" ".join(rng.choices("abc", k=rng.randrange(1, 14))),) for k in range(4)}
+        whole = rng.choices("abc", k=rng.randrange(4, 14))
+        at = rng.randrange(len(whole) - 2)
+        templates = {f"t{k}": (" ".join(rng.choices("abc", k=rng.randrange(1, 14))),) for k in range(3)} | {"outer": (" ".join(whole),), "inner": (" ".join(whole[at : at + 4]),)}
         scanner = licenses.Scanner({"x": "a b", "y": "b", "z": "c a b"}, templates)
         sequences = [w for _, w in scanner.base + scanner.templates]
         text = rng.choices([b"a", b"b", b"c", b"d"], k=60)
-        got = {end: (length, state) for end, length, state in scanner.statistics(text)}
-        for end in range(1, 61):
+        for end, length, state in scanner.statistics(text):
             want = max((n for n in range(end + 1) for s in sequences if n == 0 or any(s[k : k + n] == text[end - n : end] for k in range(len(s) - n + 1))))
-            assert got.get(end, (min(want, 1), 0))[0] == want
-            if want > 1:
-                tail = text[end - want : end]
-                ends = [(n, k + want) for n, s in enumerate(sequences) for k in range(len(s) - want + 1) if s[k : k + want] == tail]
-                assert scanner.automaton.ends[got[end][1]] == ends
+            tail = text[end - want : end]
+            ends = [(n, k + want) for n, s in enumerate(sequences) for k in range(len(s) - want + 1) if s[k : k + want] == tail]
+            assert length == want and sorted(scanner.automaton.ends(state)) == ends
+        places, pieces = scanner.pieces(text)
+        assert sorted(places) == sorted((k, n) for n, (_, p) in enumerate(scanner.base) for k in range(60) if text[k : k + len(p)] == p)
+        for n, (_, words_) in enumerate(scanner.templates):
+            found = pieces.get(n, [])
+            assert len(found) == len(set(found)) and set(found) == common(text, words_, min(licenses.LEAST_MATCH, len(words_)))
+
+
+def test_nested_short_and_repeated_templates():
+    scanner = licenses.Scanner({"one": "word"}, {"outer": ("a b c d e f g",), "inner": ("b c d e f",), "short": ("x y",)})
+    found = scanner.scan("a b c d e f g and word x y")
+    assert found["spans"] == [(0, 7, "outer", 1.0), (1, 6, "inner", 1.0), (9, 11, "short", 1.0)] and found["base"] == [(8, "one")]
+    twice = scanner.scan("a b c d e f g " + "z " * 20 + "a b c d e f g")["spans"]
+    assert [s[:3] for s in twice if s[2] == "outer"] == [(0, 7, "outer"), (27, 34, "outer")]
+    # The chain that covers most, not the latest one: the second "c d e" must not cut the first chain off.
+    assert ("outer", 1.0) in {s[2:] for s in scanner.scan("a b c d c d e f g")["spans"]}
+
+
+def test_whole_licenses_and_long_texts():
+    scanner = licenses.Scanner(licenses.BASE_PHRASES, licenses.TEMPLATES)
+    for label, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            got = scanner.scan(f"some code here {text} and more")
+            assert label in {s[2] for s in got["spans"]} and got["base"] == brute_base(f"some code here {text} and more")
+    assert len(scanner.automaton.places) == sum(len(w) for _, w in scanner.base + scanner.templates)
+    many = " ".join([licenses.TEMPLATES["mit"][-1]] * 200)
+    assert sum(s[2] == "mit" for s in scanner.scan(many)["spans"]) >= 200
 
 
 def test_base_places_overlap_and_templates_survive_edits():
     scanner = licenses.Scanner(licenses.BASE_PHRASES, licenses.TEMPLATES)
     text = "CC BY cc by general public License all all rights reserved"
     assert scanner.scan(text)["base"] == brute_base(text)
-    notice = licenses.TEMPLATES["mit"][1].split()
+    notice = licenses.NOTICES["mit"][1].split()
     edited = " ".join([*notice[:9], "whatsoever", *notice[9:18], "and", "so", *notice[18:]])
     spans = scanner.scan("foo bar " + edited + " baz")["spans"]
-    assert [s[2] for s in spans] == ["mit"] and spans[0][:2] == (2, 2 + len(notice) + 3)
+    assert {s[2] for s in spans} == {"mit"} and spans[0][:2] == (2, 2 + len(notice) + 3)
     assert scanner.scan(" ".join(notice[:12]))["spans"] == []
