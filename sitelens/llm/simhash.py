@@ -2,15 +2,18 @@
 
 Fingerprints are 64-bit SimHashes of 3-word shingles. Two fingerprints link when
 at most two bits differ. Candidates come from an embedding: the fingerprint is cut
-into sixteen 4-bit segments and each segment becomes its number of set bits. One
-differing bit moves one coordinate by one, so the Manhattan distance of two
+into 3-bit segments (and one of the last bit) and each becomes its number of set bits.
+One differing bit moves one coordinate by one, so the Manhattan distance of two
 embeddings never exceeds the Hamming distance and pairs at a distance over two can
 be left out unseen.
 
 The range join under that distance uses a grid whose cells are the lattice points.
 Two points at distance two or less always share a point that is at distance one or
-less from both, so each fingerprint is written to its own cell and the at most 32
+less from both, so each fingerprint is written to its own cell and the at most 44
 cells around it, and only cell mates are compared. The exact Hamming test follows.
+Segments of three bits keep cells sparse: unrelated fingerprints share one about once in
+2^36 times, where four bits would give 2^30, so even 10^10 of them leave a handful to a
+cell; smaller segments would only write more cells.
 
 Everything works on distinct fingerprints, so thousands of copies of one text are
 one row. A cell with very many distinct fingerprints (a large family of near copies)
@@ -74,23 +77,22 @@ def with_fingerprint(docs: DataFrame, text: str = "text", into: str = "fp") -> D
     return docs.withColumn(into, _fingerprints(F.col(text)))
 
 
+#: Bits of a segment, and the first bit of each: 0, 3, ..., 63.
+SEGMENT_BITS = 3
+_FIRST_BITS = sum(1 << k for k in range(0, 63, SEGMENT_BITS)) - (1 << 63)
+
+
 def embedding(fp: Column) -> Column:
-    """Sixteen segment popcounts, four bits each, in one long."""
-    low = fp.bitwiseAND(F.lit(0x5555555555555555))
-    high = F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(0x5555555555555555))
-    # Sums of two bits, by logic: plain addition could overflow the sign.
-    twos = low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
-    mask = F.lit(0x3333333333333333)
-    return twos.bitwiseAND(mask) + F.shiftrightunsigned(twos, 2).bitwiseAND(mask)
+    """The segments' popcounts, each in the place of its segment, in one long."""
+    return sum((F.shiftrightunsigned(fp, k).bitwiseAND(F.lit(_FIRST_BITS)) for k in (1, 2)), fp.bitwiseAND(F.lit(_FIRST_BITS)))
 
 
 def _cells(point: Column) -> Column:
     """The lattice points at Manhattan distance one or less from a point."""
-    around = [point]
-    for k in range(16):
-        at = F.shiftrightunsigned(point, 4 * k).bitwiseAND(F.lit(15))
-        step = 1 << (4 * k)
-        around += [F.when(at < 4, point + F.lit(step)), F.when(at > 0, point - F.lit(step))]
+    around = [point, point.bitwiseXOR(F.lit(-(1 << 63)))]  # the last segment has one bit
+    for k in range(0, 63, SEGMENT_BITS):
+        at = F.shiftrightunsigned(point, k).bitwiseAND(F.lit(7))
+        around += [F.when(at < SEGMENT_BITS, point + F.lit(1 << k)), F.when(at > 0, point - F.lit(1 << k))]
     return F.array_compact(F.array(*around))
 
 
@@ -106,7 +108,7 @@ def links(points: DataFrame, large_cell: int = LARGE_CELL) -> DataFrame:
     cells every linking pair is returned; those of large cells get a spanning star
     for each group of mutual neighbours instead.
     """
-    # A row becomes 33, so small partitions are not to be joined before.
+    # A row becomes about 40, so small partitions are not to be joined before.
     spread = points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     grid = spread.select("fp", F.explode(_cells(embedding(F.col("fp")))).alias("cell"))
     sizes = grid.groupBy("cell").agg(F.count("*").alias("n"))

@@ -90,3 +90,18 @@ def test_one_row_of_each_group_stays(spark):
     often = spark.createDataFrame([(5, t, k) for k in (2, 1) for t in (same, other, third, "")], "doc_id long, text string, k int")
     assert sorted(tuple(r) for r in simhash.deduplicate(often).collect()) == sorted((5, t, 1) for t in (same, other, third, ""))
     assert simhash.deduplicate(often.limit(0)).count() == 0
+
+
+def test_embedding_is_a_lower_bound_and_cells_meet(spark):
+    rng = random.Random(8)
+    prints = [rng.getrandbits(64) for _ in range(60)] + [0, (1 << 64) - 1, 1 << 63]
+    pairs = [(p, p ^ sum({1 << rng.randrange(64) for _ in range(2)})) for p in prints for _ in range(5)] + [(p, p ^ (1 << 63) ^ (1 << rng.randrange(63))) for p in prints]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    points = spark.createDataFrame([(signed(p), signed(q)) for p, q in pairs], "p long, q long")
+    at = lambda c: simhash.embedding(simhash.F.col(c))
+    rows = points.select("p", "q", at("p").alias("x"), at("q").alias("y"), simhash._cells(at("p")).alias("a"), simhash._cells(at("q")).alias("b")).collect()
+    for r in rows:
+        counts = [[(v >> k & 7).bit_count() for k in range(0, 64, 3)] for v in (r.p % (1 << 64), r.q % (1 << 64))]
+        packed = [signed(sum(n << 3 * k for k, n in enumerate(c))) for c in counts]
+        assert packed == [r.x, r.y] and sum(abs(m - n) for m, n in zip(*counts)) <= 2
+        assert set(r.a) & set(r.b) and len(set(r.a)) == len(r.a) <= 45
