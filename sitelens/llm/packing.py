@@ -1,8 +1,8 @@
 """Sum-of-squares packing of tokenised documents into fixed-length sequences.
 
-Tokenising runs in Arrow batches. Since the tokenizer drops white space and never
-looks across it, each stretch between spaces is encoded once per worker and then
-taken from a bounded cache.
+Tokenising runs in Arrow batches. Where the tokenizer file says that it drops white space
+and never looks across it, each stretch between spaces is encoded once per worker and then
+taken from a bounded cache; texts for any other tokenizer are encoded whole.
 
 Packing keeps N(g), the number of open bins with residual gap g, and puts each piece
 where the sum of N(g)^2 becomes smallest: moving a bin from gap g to g - s changes the
@@ -15,6 +15,7 @@ No task or driver ever holds more than one shard.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import sys
 import zlib
@@ -27,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, private, table
 
 CAPACITY = 4096
 END_ID = 1
@@ -46,6 +47,23 @@ _PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N
 _PLAIN = re.compile("[!-;=-~\xa1-\u017f]+")
 
 
+#: The steps of a tokenizer file under which stretches between spaces are encoded one by one.
+_NORMAL = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_at_spaces(file: str) -> bool:
+    """Whether a tokenizer (its file's JSON) has just these steps, and so gives the ids of WordEncoder's shorter way."""
+    parts = json.loads(file)
+    normal = [(x["type"], (x.get("pattern") or {}).get("Regex")) for x in (parts["normalizer"] or {}).get("normalizers", [])]
+    cuts = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
+    split = len(cuts) == 2 and (cuts[0]["type"], cuts[0].get("pattern"), cuts[0].get("behavior"), cuts[0].get("invert")) == ("Split", {"Regex": _SPLIT}, "Removed", True)
+    split = split and (cuts[1]["type"], cuts[1].get("add_prefix_space"), cuts[1].get("use_regex")) == ("ByteLevel", False, False)
+    model = parts["model"]
+    plain = model["type"] == "BPE" and not model.get("dropout") and model.get("unk_token") is None
+    return normal == _NORMAL and split and plain and not any(x["normalized"] or x["lstrip"] or x["rstrip"] for x in parts["added_tokens"])
+
+
 def _byte_characters() -> dict[int, str]:
     """The printable stand-in of each byte in a byte-level vocabulary."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -82,8 +100,12 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as source:
+            file = source.read()
+        self.by_stretch = splits_at_spaces(file)
+        self.whole = Tokenizer.from_str(file)
         self.whole.no_truncation()
+        self.whole.no_padding()
         self.model = self.whole.model
         self.stand_in = _byte_characters()
         self.chunks, self.words = _Cache(self._chunk), _Cache(self._word)
@@ -100,6 +122,8 @@ class WordEncoder:
         return b"".join(map(self.words.__getitem__, _PRE_TOKENS.findall(chunk.lower())))
 
     def __call__(self, text: str) -> bytes:
+        if not self.by_stretch:
+            return _bytes(self.whole.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
@@ -209,11 +233,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
     """Add sequence_id and offset to rows with a ``length`` of 1 to ``capacity``.
 
     Each sequence holds at most ``capacity`` tokens, gapless from offset 0. Rows may have
-    any further columns; an empty table gives an empty result.
+    any further columns, of any names but for these two, which are replaced; an empty
+    table gives an empty result. Rows of equal length are told apart by their order alone,
+    and null ids or repeated rows are packed like any other.
     """
+    pieces = pieces.drop("sequence_id", "offset")
+    full_, shard_ = private(pieces, "_full", "_shard")
     fields = [f.name for f in pieces.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    schema += ", sequence_id long, offset long, _full boolean"
+    schema += f", sequence_id long, offset long, `{full_}` boolean"
 
     def shard(round_: int, last: bool):
         def run(key: tuple, rows: pa.Table) -> pa.Table:
@@ -229,7 +257,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
             full = np.ones(len(bins), dtype=bool) if last else filled[bins] >= FULL * capacity
             found = bins + (round_ << 56) + (key[0].as_py() << 24)
             out = rows.select(fields)
-            for name, values in (("sequence_id", found), ("offset", offset), ("_full", full)):
+            for name, values in (("sequence_id", found), ("offset", offset), (full_, full)):
                 out = out.append_column(name, pa.array(values))
             return out
 
@@ -241,18 +269,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
         shards = max(1, -(-count // shard_pieces))
         # Pieces that no shard can combine, such as many of 60 % of the capacity, won't be by another round.
         last = shards == 1 or before is not None and 2 * count > before
-        dealt = left.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
-        packed = durable(dealt.groupBy("_shard").applyInArrow(shard(round_, last), schema))
-        ready = packed.filter("_full").drop("_full")
+        dealt = left.withColumn(shard_, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
+        packed = durable(dealt.groupBy(shard_).applyInArrow(shard(round_, last), schema))
+        ready = packed.filter(F.col(full_)).drop(full_)
         done = ready if done is None else done.unionByName(ready)
         if last:
             return done
-        left, round_, before = durable(packed.filter("not _full").select(*fields)), round_ + 1, count
+        left, round_, before = durable(packed.filter(~F.col(full_)).select(*fields)), round_ + 1, count
 
 
 def pack_documents(docs: DataFrame, keep_ids: bool = True, **options) -> DataFrame:
     """Tokenise and pack a table of texts; see token_pieces and pack.
 
+    Null and empty texts are one piece holding the end id; other columns of docs are left out.
     The ids stay where they were written while the lengths are packed, and meet their
     places in one join at the end.
     """
@@ -281,4 +310,5 @@ def packed_checks(packed: DataFrame) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for every piece of every document; see pack_documents."""
     return packed_checks(pack_documents(table(spark, sf_dir, "documents")))

@@ -112,3 +112,28 @@ def test_sum_of_squares_rule():
         options = [b for b, g in gaps.items() if g >= size] + [at if at not in gaps else -1]
         assert cost(at) == min(map(cost, options))
         gaps[at] = gaps.get(at, 20) - size
+
+
+def test_other_tokenizers_are_not_cut_at_spaces(spark, tmp_path):
+    """A tokenizer file whose steps differ is used on whole texts, as it stands."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    file = json.loads(open(packing.default_tokenizer(), encoding="utf-8").read())
+    assert packing.splits_at_spaces(json.dumps(file))
+    file["normalizer"] = None
+    file["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(file), encoding="utf-8")
+    other = Tokenizer.from_file(str(path))
+    encode = packing.WordEncoder(str(path))
+    for text in ("Hello there  World\n and more", "", "a\tb"):
+        assert np.frombuffer(encode(text), dtype="<u4").tolist() == other.encode(text, add_special_tokens=False).ids
+    assert encode("Hello World") != packing.WordEncoder(packing.default_tokenizer())("Hello World")
+
+
+def test_columns_of_clashing_names(spark):
+    pieces = spark.createDataFrame([(3, 7, 8, "x", 1), (None, 7, 8, "x", 4096), (3, 7, 8, "x", 4095)], "doc_id int, sequence_id int, offset int, _full string, length long").withColumn("_shard", F.lit(2))
+    rows = packing.pack(pieces).collect()
+    assert len(rows) == 3 and all(r._full == "x" and r._shard == 2 for r in rows) and len({r.sequence_id for r in rows}) == 2
