@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import private, table
 
 #: Payloads are padded to a positive multiple of this.
 FRAME = 576
@@ -137,25 +138,50 @@ def _gzip(b: bytes, at: int) -> int:
         return 0
 
 
-def _zip(b: bytes, at: int) -> int:
-    """A local header whose archive ends in a directory that counts back to it."""
-    end = b.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(b):
-        size, start, note = struct.unpack_from("<IIH", b, end + 12)
-        if end - size - start == at and b[at + start : at + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(b):
-            return end + 22 + note - at
-        end = b.find(b"PK\x05\x06", end + 4)
-    return 0
+class _Marks:
+    """Where the closing marks of ZIP and PDF stand in a value, found once however many begin there."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.found: dict[bytes, list[int]] = {}
+        self.archives: dict[int, int] | None = None
 
+    def at(self, mark: bytes) -> list[int]:
+        if mark not in self.found:
+            places, k = [], self.data.find(mark)
+            while k >= 0:
+                places.append(k)
+                k = self.data.find(mark, k + 1)
+            self.found[mark] = places
+        return self.found[mark]
 
-def _pdf(b: bytes, at: int) -> int:
-    following = b.find(b"%PDF-", at + 5)
-    end = b.rfind(b"%%EOF", at, following if following >= 0 else len(b))
-    return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else 0
+
+def _zip(b: bytes, at: int, marks: _Marks) -> int:
+    """A local header whose archive ends in a directory that counts back to it."""
+    if marks.archives is None:
+        marks.archives = {}
+        for end in marks.at(b"PK\x05\x06"):
+            if end + 22 <= len(b):
+                size, start, note = struct.unpack_from("<IIH", b, end + 12)
+                begin = end - size - start
+                if begin >= 0 and b[begin + start : begin + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(b):
+                    marks.archives.setdefault(begin, end + 22 + note)
+    return marks.archives.get(at, at) - at
+
+
+def _pdf(b: bytes, at: int, marks: _Marks) -> int:
+    """From the head to the last end mark before the next head, with a cross-reference before it."""
+    heads, ends, tables = (marks.at(m) for m in (b"%PDF-", b"%%EOF", b"startxref"))
+    k = bisect_left(heads, at + 1)
+    last = bisect_left(ends, heads[k] - 4 if k < len(heads) else len(b)) - 1
+    if last < 0 or ends[last] < at:
+        return 0
+    k = bisect_left(tables, at)
+    return ends[last] + 5 - at if k < len(tables) and tables[k] + 9 <= ends[last] else 0
 
 
 #: The formats' magic bytes and media types.
-FORMATS: list[tuple[bytes, str, Callable[[bytes, int], int]]] = [
+FORMATS: list[tuple[bytes, str, Callable[..., int]]] = [
     (b"\x89PNG\r\n\x1a\n", "image/png", _png),
     (b"\xff\xd8\xff", "image/jpeg", _jpeg),
     (b"GIF87a", "image/gif", _gif),
@@ -183,11 +209,11 @@ def sniff(data: bytes | None, automaton: ahocorasick.Automaton) -> list[tuple[in
     The medium at byte 0 comes first. What lies inside a carved medium is not reported
     again, but the inside of the one at byte 0 is searched, since containers embed media.
     """
-    found, free = [], 0
+    found, free, marks = [], 0, _Marks(data or b"")
     for last, k in automaton.iter((data or b"").decode("latin-1")):
         magic, kind, validate = FORMATS[k]
         at = last + 1 - len(magic)
-        if at < free or not (size := validate(data, at)):
+        if at < free or not (size := validate(data, at, marks) if validate in (_zip, _pdf) else validate(data, at)):
             continue
         found.append((at, size, _RIFF_TYPES[data[at + 8 : at + 12]] if kind == "riff" else kind))
         free = at + size if at else 0
@@ -212,25 +238,28 @@ def with_media(df: DataFrame, media: str = "media", declared: str = "declared_ty
     media_type is what the bytes prove to be from byte 0, else the declared type;
     media_length is that medium's proven length, else null; embedded is an array of
     (offset, length, type) of further media. Null, empty and unknown bytes keep their
-    declared type and have nothing embedded; type_corrected is then false.
+    declared type and have nothing embedded; type_corrected is then false. All rows and
+    other columns stay; columns that have these names already are replaced.
     """
-    all_ = df.withColumn("_media", _media(F.col(media)))
-    head = F.get(F.filter("_media", lambda m: m["offset"] == 0), 0)
+    (seen,) = private(df, "_media")
+    all_ = df.withColumn(seen, _media(F.col(media)))
+    head = F.get(F.filter(seen, lambda m: m["offset"] == 0), 0)
     known = head["type"].isNotNull()
     return (
         all_.withColumn("media_type", F.when(known, head["type"]).otherwise(F.col(declared)))
         .withColumn("media_length", head["length"])
         .withColumn("type_corrected", known & ~head["type"].eqNullSafe(F.col(declared)))
-        .withColumn("embedded", F.coalesce(F.filter("_media", lambda m: m["offset"] > 0), F.array().cast(_SPANS)))
-        .drop("_media")
+        .withColumn("embedded", F.coalesce(F.filter(seen, lambda m: m["offset"] > 0), F.array().cast(_SPANS)))
+        .drop(seen)
     )
 
 
 def carve(df: DataFrame, media: str = "media") -> DataFrame:
     """One row per embedded medium of a with_media result, with its bytes in ``carved``."""
-    each = df.withColumn("_one", F.explode("embedded"))
-    bytes_ = F.substring(F.col(media), F.col("_one.offset") + 1, F.col("_one.length"))
-    return each.withColumn("carved", bytes_).withColumn("carved_type", F.col("_one.type")).drop("_one")
+    (one,) = private(df, "_one")
+    each = df.withColumn(one, F.explode("embedded"))
+    bytes_ = F.substring(F.col(media), F.col(f"{one}.offset") + 1, F.col(f"{one}.length"))
+    return each.withColumn("carved", bytes_).withColumn("carved_type", F.col(f"{one}.type")).drop(one)
 
 
 def _little_endian(n: Column, width: int = 4) -> Column:
@@ -292,6 +321,7 @@ def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for every document; see store_texts, with_media and wav_features."""
     stored = store_texts(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "media", "declared_type")
     seen = with_media(stored).withColumn("feature", wav_features(F.col("media")))
     #: The payload is what the validator proved to be the WAV at byte 0, less its header.

@@ -73,3 +73,20 @@ def test_query_round_trip(spark, tmp_path):
         assert want[r.payload_sha256] == (r.n_bytes, r.payload_bytes, r.tail_crc32, r.media_bytes, r.media_sha256)
         assert r.feature.startswith("audio/wav;")
     assert media.with_media(media.store_texts(odd_documents(spark).limit(0))).count() == 0
+
+
+def test_hostile_values_take_linear_time():
+    import time
+
+    automaton, began = media._automaton(), time.time()
+    for value in (b"PK\x03\x04" * 200_000, (b"PK\x03\x04" + b"PK\x05\x06" + b"x" * 18) * 30_000, b"%PDF-" * 200_000 + b"%%EOF", b"%PDF-1 %%EOF " * 80_000):
+        assert media.sniff(value, automaton) == []
+    assert time.time() - began < 20
+    pdf = b"%PDF-1.7 stuff startxref 12 %%EOF"
+    assert media.sniff(b"ab" + pdf + b"\n" + pdf, automaton) == [(2, len(pdf), "application/pdf"), (3 + len(pdf), len(pdf), "application/pdf")]
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(bytearray(b"GIF89a"), "image/png", 1, "x")], "media binary, declared_type string, _media int, media_type string")
+    (row,) = media.with_media(df).collect()
+    assert row._media == 1 and row.media_type == "image/png" and not row.type_corrected
