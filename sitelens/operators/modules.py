@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.operators import scoring
-from sitelens.operators.ranges import fold_groups
+from sitelens.operators.ranges import Step, fold_groups
 
 STATEMENTS = "file_id string, stmt long, start long, size long, kind string, declares array<string>, exports array<string>, imports array<string>, dynamic_imports array<string>, uses array<string>"
 TINY, LARGEST = 120, 4000
@@ -79,18 +79,16 @@ def statements(files: DataFrame) -> DataFrame:
     return files.select(F.col("file_id").cast("string").alias("file_id"), "content").mapInPandas(run, STATEMENTS)
 
 
-def clusters() -> object:
+def clusters() -> Step:
     """The fold: what follows joins while it, or the cluster, is tiny and the whole isn't too large."""
 
-    def step(sizes: list[int]) -> list[int]:
-        out, at, filled = [], -1, 0
-        for s in sizes:
-            if at >= 0 and filled + s <= LARGEST and (s < TINY or filled < TINY):
-                filled += s
-            else:
-                at, filled = at + 1, s
-            out.append(at)
-        return out
+    def step(state: tuple | None, size: int) -> tuple[tuple, int]:
+        if state is None:
+            return (0, size), 0
+        at, filled = state
+        joins = filled + size <= LARGEST and (size < TINY or filled < TINY)
+        at, filled = (at, filled + size) if joins else (at + 1, size)
+        return (at, filled), at
 
     return step
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -73,48 +73,64 @@ def unique_names(rows: DataFrame, name: str, order: list[str], into: str = "uniq
     return rows.withColumn("_n", n).withColumn(into, F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat_ws("-", F.col(name), F.col("_n").cast("string")))).drop("_n")
 
 
-def fold_groups(rows: DataFrame, keys: list[str], order: list[str], size: str, step: Callable[[list[int]], list[int]], into: str) -> DataFrame:
+#: A fold's step: from the state (null at a group's start) and a size to the next state and the row's number.
+Step = Callable[[tuple | None, int], tuple[tuple, int]]
+
+
+def fold(step: Step, sizes: list[int]) -> list[int]:
+    """The numbers of one group's ordered sizes."""
+    state, out = None, []
+    for size in sizes:
+        state, number = step(state, size)
+        out.append(number)
+    return out
+
+
+def fold_groups(rows: DataFrame, keys: list[str], order: list[str], size: str, step: Step, into: str) -> DataFrame:
     """An ordered fold within each group whose state depends on what came before.
 
-    ``step`` maps the ordered sizes of one group to a number per row. Only the sizes reach
-    Python, one group at a time; groups are documents, files or conversations.
+    Rows are sorted within partitions and pass in batches; only the fold's state is held,
+    however many rows a group has. Null keys are a group; a null size counts as 0.
     """
-    schema = rows.select(*keys, *order, size).withColumn(into, F.lit(0).cast("long")).schema
+    narrow = rows.select(*keys, *order, size)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf.assign(**{into: step(pdf[size].tolist())})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, state = None, None
+        for pdf in batches:
+            values = pdf[keys].astype(object).where(pdf[keys].notna(), None)
+            numbers = []
+            for key, n in zip(values.itertuples(index=False, name=None), pdf[size].fillna(0)):
+                state = state if key == group else None
+                group = key
+                state, number = step(state, int(n))
+                numbers.append(number)
+            yield pdf.assign(**{into: numbers})
 
-    return rows.select(*keys, *order, size).groupBy(*keys).applyInPandas(run, schema)
+    schema = narrow.withColumn(into, F.lit(0).cast("long")).schema
+    return narrow.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-def greedy_bins(target: int) -> Callable[[list[int]], list[int]]:
+def greedy_bins(target: int) -> Step:
     """A new bin begins when the next size would take a started bin over the target."""
 
-    def step(sizes: list[int]) -> list[int]:
-        out, at, filled = [], 0, 0
-        for s in sizes:
-            if filled and filled + s > target:
-                at, filled = at + 1, 0
-            filled += s
-            out.append(at)
-        return out
+    def step(state: tuple | None, size: int) -> tuple[tuple, int]:
+        at, filled = state or (0, 0)
+        if filled and filled + size > target:
+            at, filled = at + 1, 0
+        return (at, filled + size), at
 
     return step
 
 
-def cluster_fold(tiny: int, most: int) -> Callable[[list[int]], list[int]]:
-    """Clusters that absorb what follows while they, or it, are tiny and the whole isn't over most."""
+def cluster_fold(tiny: int, most: int) -> Step:
+    """Clusters that absorb what follows while it, or what came before it, is tiny and the whole isn't over most."""
 
-    def step(sizes: list[int]) -> list[int]:
-        out, at, filled, before = [], -1, 0, 0
-        for s in sizes:
-            if at >= 0 and filled + s <= most and (s < tiny or before < tiny):
-                filled += s
-            else:
-                at, filled = at + 1, s
-            before = s
-            out.append(at)
-        return out
+    def step(state: tuple | None, size: int) -> tuple[tuple, int]:
+        if state is None:
+            return (0, size, size), 0
+        at, filled, before = state
+        joins = filled + size <= most and (size < tiny or before < tiny)
+        at, filled = (at, filled + size) if joins else (at + 1, size)
+        return (at, filled, size), at
 
     return step

@@ -345,13 +345,26 @@ def readiness_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+def _fold_sql(into: str, joins: str) -> str:
+    """A fold over the turns of each conversation as recursion: the row joins the group before it or begins the next."""
+    return f"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(length(text), 0) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+ f AS (SELECT conv_id, turn, size, k, size AS filled, 0 AS nth FROM t WHERE k = 1
+  UNION ALL SELECT t.conv_id, t.turn, t.size, t.k, CASE WHEN {joins} THEN f.filled + t.size ELSE t.size END, CASE WHEN {joins} THEN f.nth ELSE f.nth + 1 END
+  FROM f JOIN t ON t.conv_id = f.conv_id AND t.k = f.k + 1)
+SELECT conv_id, turn, size, nth AS {into} FROM f
+"""
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.length("text"), F.lit(0)).alias("size"))
+
+
+@query(_fold_sql("bin", "f.filled = 0 OR f.filled + t.size <= 1500"))
 def greedy_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.length("text"), F.lit(0)).alias("size"))
-    return ranges.fold_groups(turns, ["conv_id"], ["turn"], "size", ranges.greedy_bins(1500), "bin")
+    return ranges.fold_groups(_turns(spark, sf_dir), ["conv_id"], ["turn"], "size", ranges.greedy_bins(1500), "bin")
 
 
-@query()
+@query(_fold_sql("cluster", "f.filled + t.size <= 4000 AND (t.size < 120 OR f.size < 120)"))
 def cluster_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.length("text"), F.lit(0)).alias("size"))
-    return ranges.fold_groups(turns, ["conv_id"], ["turn"], "size", ranges.cluster_fold(120, 4000), "cluster")
+    return ranges.fold_groups(_turns(spark, sf_dir), ["conv_id"], ["turn"], "size", ranges.cluster_fold(120, 4000), "cluster")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sitelens.durable import durable
 from sitelens.functions import html as H
 from sitelens.functions import paths as P
 from sitelens.operators import findings as D
@@ -13,8 +14,10 @@ from sitelens.sources import files as S
 from sitelens.sources import sourcemaps as M
 from sitelens.streaming import state as X
 
-#: Items of one or two words that may be looked for in every text.
+#: About so many items of one or two words are looked for in all texts at a time.
 MOST_BARE_ITEMS = 1_000
+#: Up to so many inner words of items are a literal set, and the items broadcast.
+MOST_KEYS = 20_000
 
 _EMAIL, _PHONE = r"\b([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})\b", r"\b((?:\+\d{1,2}\s?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4})\b"
 _IPV4 = r"\b((?:\d{1,3}\.){3}\d{1,3})\b"
@@ -76,21 +79,16 @@ def findings_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH m AS (SELECT doc_id, text, regexp_extract_all(text, '{_EMAIL}', 1) AS v FROM documents),
- e AS (SELECT doc_id, text, unnest(v) AS value FROM m),
- f AS (SELECT doc_id, value, text, min(position(value IN text)) AS p FROM e GROUP BY ALL HAVING count(*) = 1),
- h AS (SELECT doc_id, value, left(text, p - 1) AS head FROM f WHERE len(string_split(text, value)) = 2)
-SELECT doc_id, value, length(head) AS "offset", length(head) - length(replace(head, chr(10), '')) + 1 AS line,
- length(list_last(string_split(head, chr(10)))) + 1 AS "column" FROM h
+WITH m AS (SELECT doc_id, string_split_regex(text, '{_EMAIL}') AS g, regexp_extract_all(text, '{_EMAIL}', 0) AS h FROM documents),
+ e AS (SELECT doc_id, g, h, unnest(range(len(h))) AS i FROM m),
+ p AS (SELECT doc_id, i, h[i + 1] AS value, array_to_string(list_transform(range(i + 1), lambda k: g[k + 1] || CASE WHEN k < i THEN h[k + 1] ELSE '' END), '') AS head FROM e)
+SELECT doc_id, i AS nth, value, length(head) AS "offset", length(head) - length(replace(head, chr(10), '')) + 1 AS line,
+ length(list_last(string_split(head, chr(10)))) + 1 AS "column" FROM p
 """)
 def findings_line_col(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of values that occur once in a text, where SQL can tell the place too."""
-    docs = _documents(spark, sf_dir)
-    found = D.matches(docs, [d for d in D.DETECTORS if d.category == "Email Address"])
-    placed = D.with_position(found, docs)
-    parts = placed.join(docs.withColumnRenamed("file_id", "_f"), F.col("file_id") == F.col("_f"))
-    once = parts.filter(F.expr("size(split(content, concat('\\\\Q', value, '\\\\E'), -1)) = 2"))
-    return once.select(F.col("file_id").alias("doc_id"), "value", "offset", "line", "column")
+    """The place of every address, repeated ones included."""
+    found = D.matches(_documents(spark, sf_dir), [d for d in D.DETECTORS if d.category == "Email Address"])
+    return found.select(F.col("file_id").alias("doc_id"), F.col("at").alias("nth"), "value", "offset", "line", "column")
 
 
 @query(f"""
@@ -217,23 +215,41 @@ def theta_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that contain an item.
 
     A word inside an item, neither its first nor its last, stands in the text as a whole
-    word, so the longest such word is an equality key; texts that have it are compared.
+    word, so such a word is an equality key: the one that the fewest texts have. Up to a
+    bound the keys are a literal set, items are broadcast and texts don't move; beyond, words
+    are joined by a shuffle and only texts with a match follow. Items without an inner word
+    are compared with all texts, a block of them at a time.
     """
     items = table(spark, sf_dir, "benchmark").filter("text is not null").select("item_id", F.col("text").alias("item"))
     words = F.split("item", r"\s+")
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
-    keyed = items.withColumn("word", longest)
+    items = items.withColumn("inner", F.array_distinct(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))))
     docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text")
-    held = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    met = held.join(keyed.filter("word is not null"), "word").select("doc_id", "item_id", "item")
-    found = met.join(docs, "doc_id").filter("contains(text, item)").select("item_id", "doc_id")
-    bare = keyed.filter("word is null")
-    if bare.isEmpty():
-        return found
-    if bare.limit(MOST_BARE_ITEMS + 1).count() > MOST_BARE_ITEMS:
-        raise ValueError(f"more than {MOST_BARE_ITEMS} items have fewer than three words")
-    return found.unionByName(docs.join(F.broadcast(bare), F.expr("contains(text, item)")).select("item_id", "doc_id"))
+    each = items.select("item_id", F.explode("inner").alias("word"))
+    vocabulary = durable(each.select("word").distinct())
+    few = vocabulary.limit(MOST_KEYS + 1).count() <= MOST_KEYS
+    present = F.array_distinct(F.split("text", r"\s+"))
+
+    def among(known: DataFrame) -> Column:
+        wanted = sorted(r.word for r in known.collect())
+        return F.filter(present, lambda w: w.isin(wanted))
+
+    held = docs.select("doc_id", F.explode(among(vocabulary) if few else present).alias("word"))
+    frequency = held.join(F.broadcast(vocabulary) if few else vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    # A word that no text has keeps its item from all texts.
+    rarest = each.join(frequency, "word").groupBy("item_id").agg(F.min(F.struct("n", "word"))["word"].alias("word"), F.count("*").alias("known"))
+    keyed = durable(items.filter(F.size("inner") > 0).join(rarest.withColumnRenamed("item_id", "_id"), F.col("item_id") == F.col("_id")).filter(F.col("known") == F.size("inner")).select("item_id", "item", "word"))
+    if few:
+        met = docs.select("doc_id", "text", F.explode(among(keyed.select("word").distinct())).alias("word")).join(F.broadcast(keyed), "word")
+    else:
+        pairs = docs.select("doc_id", F.explode(present).alias("word")).join(keyed, "word").select("doc_id", "item_id", "item")
+        met = pairs.join(docs, "doc_id")
+    found = met.filter("contains(text, item)").select("item_id", "doc_id")
+    bare = items.filter(F.size("inner") == 0).select("item_id", "item")
+    blocks = -(-bare.count() // MOST_BARE_ITEMS)
+    for k in range(blocks):
+        block = bare.filter(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == k)
+        found = found.unionByName(docs.join(F.broadcast(block), F.expr("contains(text, item)")).select("item_id", "doc_id"))
+    return found
 
 
 def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -363,11 +379,7 @@ SELECT user_id AS job_id, max(event_id) AS seq, arg_max(CASE WHEN event_type = '
 """)
 def stream_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events file as a stream; each micro-batch replaces the jobs it changed."""
-    import uuid
-
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"job_state_{uuid.uuid4().hex}"
-    done = X.stream_latest_state(job_messages(stream)).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
-    done.awaitTermination()
-    return spark.table(name).groupBy("job_id").agg(F.max_by(F.struct("seq", "status"), "seq").alias("s")).select("job_id", "s.*")
+    rows = X.batches_to_table(X.stream_latest_state(job_messages(stream)))
+    return rows.groupBy("job_id").agg(F.max_by(F.struct("seq", "status"), "seq").alias("s")).select("job_id", "s.*")

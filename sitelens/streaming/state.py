@@ -8,11 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sitelens.durable import shared_folder
+
 DONE = ("ready", "error")
 
 
@@ -46,3 +50,21 @@ def stream_latest_state(messages: DataFrame) -> DataFrame:
         "update",
         GroupStateTimeout.NoTimeout,
     )
+
+
+def batches_to_table(stream: DataFrame) -> DataFrame:
+    """Run a stream over what is there and give the rows of all its batches, with their batch_id.
+
+    Offsets, state and rows lie in the shared folder; a batch that runs again after a lost
+    executor replaces its own rows, and nothing passes through the driver.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows/batch_id=-1")
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch_id={batch}")
+
+    running = stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/offsets").foreachBatch(write).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.schema(stream.schema.add("batch_id", "long")).parquet(f"{folder}/rows")

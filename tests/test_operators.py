@@ -45,10 +45,38 @@ def test_findings_have_places_and_caps(spark):
     rows = [(r.category, r.value) for r in kept.filter("file_id = 1").collect()]
     assert sorted(rows) == [("API Token/Key", "9f8e7d6c5b4a"), ("Email Address", "a@b.org"), ("Email Address", "c@d.org"), ("IPv4 Address", "1.2.3.4"), ("URL", "https://x.y/z?q")]
     assert kept.filter("file_id = 2").count() == 40 and findings.within_total(kept, 7).count() == 7
-    placed = {r.value: r for r in findings.with_position(kept, docs).filter("file_id = 1").collect()}
+    placed = {r.value: r for r in findings.with_snippet(kept, docs).filter("file_id = 1").collect()}
     assert (placed["c@d.org"].line, placed["c@d.org"].column) == (4, 10) and placed["a@b.org"].snippet == "é mail a@b.org"
 
 
+def test_every_place_and_one_scan(spark):
+    """Repeated values, values of several lines and helpers of transpiled code, against the text itself."""
+    import re
+
+    call = "return x(this, void 0, void 0, function() { return y(this, function("
+    text = f"a@b.org a@b.org\n\na@b.org gql`\nquery\n` a@b.org\ntoken:\n'9f8e7d6c5b4a'\nvoid 0===a&&(b=1), void 0===c && (d=2); {call}\nObject.defineProperty(X.prototype, 'k', {{ get: function __extends"
+    files = spark.createDataFrame([("f", text), ("g", None), ("h", "")], "file_id string, content string")
+    found = findings.matches(files)
+    assert "SortMergeJoin" not in (plan := found._jdf.queryExecution().toString()) and plan.split("Physical")[1].count("Scan") == 1
+    rows = found.collect()
+    for r in rows:
+        head = text[: r.offset]
+        assert text[r.offset :].startswith(r.value) and (r.line, r.column) == (head.count("\n") + 1, len(head) - head.rfind("\n")), r
+    assert sum(r.category == "Email Address" for r in rows) == len(re.findall("a@b.org", text)) == 4
+    assert {"GraphQL Query", "API Token/Key", "Comma Operator Chain", "TypeScript Async Helper", "TypeScript Class Helper"} <= {r.category for r in rows}
+    assert sum(r.category == "TypeScript Class Helper" for r in rows) == 2
+
+
+def test_folds_hold_state_across_batches(spark):
+    rows = spark.createDataFrame([(k % 3 if k % 3 else None, k, (k * 37) % 90) for k in range(3000)], "g int, at int, size int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    got = ranges.fold_groups(rows, ["g"], ["at"], "size", ranges.greedy_bins(200), "bin").collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for g in (None, 1, 2):
+        mine = sorted((r.at, r.size, r.bin) for r in got if r.g == g)
+        assert [b for _, _, b in mine] == ranges.fold(ranges.greedy_bins(200), [s for _, s, _ in mine]) and len(mine) == 1000
+
+
 def test_as_of_and_ranges(spark):
     left = spark.createDataFrame([(1, 5, "a"), (1, 1, "b"), (2, 9, "c"), (None, 3, "d")], "k int, at int, id string")
     right = spark.createDataFrame([(1, 2, 7, 1), (1, 5, 8, 1), (1, 5, 9, 2), (2, 10, 1, 1)], "k int, at int, v int, seq int")
@@ -58,7 +86,7 @@ def test_as_of_and_ranges(spark):
     assert sorted(map(tuple, ranges.merge_adjacent(spans, ["s"], "a", "b").collect())) == [("A", 0, 9), ("A", 11, 12), ("B", 13, 15)]
     named = ranges.unique_names(spark.createDataFrame([(k, n) for k, n in enumerate("abaa")], "i int, n string"), "n", ["i"])
     assert [r.unique_name for r in named.orderBy("i").collect()] == ["a", "b", "a-2", "a-3"]
-    assert ranges.greedy_bins(10)([4, 5, 6, 20, 1]) == [0, 0, 1, 2, 3] and ranges.cluster_fold(3, 10)([5, 1, 5, 5]) == [0, 0, 1, 2]
+    assert ranges.fold(ranges.greedy_bins(10), [4, 5, 6, 20, 1]) == [0, 0, 1, 2, 3] and ranges.fold(ranges.cluster_fold(3, 10), [5, 1, 5, 5]) == [0, 0, 1, 2]
 
 
 def test_scores(spark):
@@ -104,6 +132,24 @@ def test_html(spark):
     assert one(spark, html.body(h), h="no body") == "" and one(spark, html.tag_text(h, "title"), h="<p>") is None
 
 
+def test_attributes_styles_and_islands(spark):
+    h = F.col("h")
+    page = """<META content='a > b' NAME="d"><meta property=og:x content=""><meta name=k content=1><meta name=k content=2><link href="/a.css?v=1" rel=stylesheet><link href=icon.png>
+    <script type="module" src="/assets/i.js"></script><script data-src="x"> let a = 1 </script><script>if (a < b) {}</script>
+    <astro-island component-url="/_a/my-nice_card.B1.js" component-export="default" renderer-url="/_a/client.C2.js" props="{&quot;n&quot;:[0,1]}" client="idle"></astro-island>
+    <astro-island component-url="/x/w.js" component-export="Wide" renderer-url="/vue.js" props="{bad"></astro-island>"""
+    assert one(spark, html.meta_tags(h), h=page) == {"d": "a > b", "k": "2"}
+    assert one(spark, html.inline_scripts(h), h=page) == ["let a = 1"] and one(spark, html.linked_scripts(h), h=page) == ["/assets/i.js"]
+    assert one(spark, html.stylesheets(h), h=page) == ["/a.css?v=1"] and one(spark, html.framework(h), h=page) == "astro"
+    assert one(spark, html.framework(h), h='<script src="/assets/i.js" type=module>') == "vite" and one(spark, html.framework(h), h="<p>") == "unknown"
+    assert [tuple(i) for i in one(spark, html.islands(h), h=page)] == [("MyNiceCard", "/_a/my-nice_card.B1.js", "react", "idle", '{"n":[0,1]}'), ("Wide", "/x/w.js", "vue", "load", "{}")]
+    css = ":root{--main: #fff; --gap:2px} /* --not: 1; */ @media x { a:hover{--main: #000;font-family:'Inter', serif} } b{FONT-FAMILY:Mono, x}"
+    assert one(spark, html.css_properties(h), h=css) == {"--main": "#000", "--gap": "2px"} and one(spark, html.font_families(h), h=css) == ["Inter", "Mono, x"]
+    pages = spark.createDataFrame([(1, page), (2, None)], "page_id int, html string")
+    files = spark.createDataFrame([("f", "x/w.js"), ("g", "/other.js")], "file_id string, path string")
+    assert sorted((r.component, r.file_id) for r in html.island_files(pages, files).collect()) == [("MyNiceCard", None), ("Wide", "f")]
+
+
 def test_job_state(spark):
     rows = [(1, 1, "queued", 0.0, None), (1, 3, "ready", 1.0, None), (1, 2, "error", 0.5, "boom"), (2, 1, "error", 0.1, "bad"), (3, 1, "working", 0.2, "stale")]
     states = state.latest_state(spark.createDataFrame(rows, "job_id long, seq long, status string, progress double, error string"))
