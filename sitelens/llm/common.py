@@ -71,17 +71,25 @@ def private(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Parts that a value's rows are ranked in.
+SAMPLE_PARTS = 16
+
+
 def hash_sample(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
-    """At most so many rows of each value of ``by``: those whose ``key`` hashes lowest, ties by key.
+    """At most so many rows of each value of ``by``; all of a value that has no more.
 
-    Rows that can't be among them by a wide margin go before anything is sorted, so that the
-    sort handles about twice the sample however many rows there are. The hash is spread
-    evenly over distinct keys; repeated keys share it and are told apart by the sort alone.
+    They are those whose ``key`` hashes lowest, an equal share from each of SAMPLE_PARTS
+    parts of its rows, ties by key. Rows that can't be among them by a wide margin go before
+    anything is sorted, so that the sort handles about twice the sample however many rows
+    there are, and no task more than a part of a value. The hash is spread evenly over
+    distinct keys; repeated keys share it and are told apart by the sort alone.
     """
-    h, share, value, rank = private(rows, "_hash", "_share", "_value", "_rank")
-    counts = rows.groupBy(F.col(by).alias(value)).agg((F.lit(2.0 * most) / F.count("*")).alias(share))
-    # Hashes run evenly from -2^63 to 2^63; a share of 1 or more keeps them all.
+    h, total, value, rank, part = private(rows, "_hash", "_total", "_value", "_rank", "_part")
+    counts = rows.groupBy(F.col(by).alias(value)).agg(F.count("*").alias(total))
     near = rows.withColumn(h, F.xxhash64(key)).join(counts, F.col(by).eqNullSafe(F.col(value)))
-    near = near.filter(F.col(h).cast("double") <= (F.col(share) - 0.5) * 2.0**64)
-    first = F.row_number().over(Window.partitionBy(by).orderBy(h, key))
-    return near.withColumn(rank, first).filter(F.col(rank) <= most).select(*rows.columns)
+    # Hashes run evenly from -2^63 to 2^63; a share of 1 or more keeps them all.
+    near = near.filter(F.col(h).cast("double") <= (F.lit(2.0 * most) / F.col(total) - 0.5) * 2.0**64)
+    near = near.withColumn(part, F.pmod(F.col(h), F.lit(SAMPLE_PARTS)))
+    first = F.row_number().over(Window.partitionBy(by, part).orderBy(h, key))
+    near = near.withColumn(rank, first).filter((F.col(total) <= most) | (F.col(rank) <= most // SAMPLE_PARTS))
+    return near.select(*rows.columns)

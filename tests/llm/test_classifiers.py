@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
-from sitelens.llm import quality, toxicity
+from sitelens.llm import common, quality, toxicity
 
 from .helpers import odd_documents
 
@@ -112,3 +112,16 @@ def test_copies_swap_whole_sentences():
     assert np.allclose(copies.k[real], toxicity.SCALE * 2 / (20 + toxicity.PRIOR_WORDS)) and np.isclose(copies.weight[real].sum(), 0.5)
     none = toxicity.swapped_copies(np.array([]), [], np.array([]))
     assert len(none.row) == 0 and len(y) == 2
+
+
+def test_hash_samples_are_bounded_and_even(spark):
+    rows = spark.range(30_000).selectExpr("id", "case when id % 100 = 0 then 'few' when id % 7 = 0 then null else 'many' end AS kind", "id % 3 AS _hash", "1 AS _value")
+    got = common.hash_sample(rows, "kind", "id", 1000)
+    assert got.columns == rows.columns
+    counts = dict(got.groupBy("kind").count().collect())
+    assert counts["few"] == 300 and 960 <= counts["many"] <= 1000 and 960 <= counts[None] <= 1000
+    ids = [r.id for r in got.filter("kind = 'many'").collect()]
+    assert abs(np.mean(ids) - 15_000) < 1500 and len(set(ids)) == len(ids)
+    assert common.hash_sample(rows.limit(0), "kind", "id", 5).count() == 0
+    same = spark.range(5000).selectExpr("1 AS k", "id")
+    assert common.hash_sample(same, "k", "k", 100).count() <= 100
