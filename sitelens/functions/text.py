@@ -95,3 +95,22 @@ def parameter_name(body: Column, name: Column) -> Column:
     for label, pattern in reversed(rules):
         out = F.when(uses(pattern), label).otherwise(out)
     return out
+
+
+#: What exported names hint at, in order.
+EXPORT_HINTS = [
+    ("routing", r"BrowserRouter|Routes|Route|Navigate|Link|useNavigate|useParams|useSearchParams"),
+    ("react-runtime", r"React|jsxRuntime|reactExports|reactDom|createRoot|hydrateRoot|scheduler"),
+    ("three-rendering", r"WebGLRenderer|PerspectiveCamera|OrthographicCamera|OrbitControls|Vector[234]|Matrix4|Scene|Mesh|THREE|Raycaster|ColorManagement"),
+    ("cad-kernel", r"(?i)initOpenCascade|opencascade|OCCT|TopoDS|BRep|Manifold|solver|shapeToGeometry|kernel"),
+    ("editor", r"EditorApp|CodeEditor|FileExplorer|ParamPanel|ViewPanel|ExportPanel|Monaco"),
+    ("viewport", r"Canvas|Viewport|SceneConfigurator|ViewController|Grid|ControlsInteractionBridge"),
+    ("state", r"Store|use[A-Z]\w*Store|createWithEqualityFn|atom|reducer"),
+    ("app-shell", r"(?i)auth|share|project|FeatureFlag|Toast|Theme"),
+]
+
+
+def export_hints(names: Column) -> Column:
+    """The hints that an array of exported names gives, in order; empty for none."""
+    joined = F.array_join(F.filter(names, lambda n: n != ""), " ")
+    return F.array_compact(F.array(*[F.when(joined.rlike(sign), F.lit(hint)) for hint, sign in EXPORT_HINTS]))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitelens.operators.ranges import Step, fold_groups
+
 
 def fragments(files: DataFrame, size: int = 5000) -> DataFrame:
     """(file_id, fragment, first_line, last_line, bytes): slices of so many lines."""
@@ -46,3 +48,49 @@ def collapsed_prefixes(paths: DataFrame, path: str, size: str) -> DataFrame:
     joined = rolled.join(parents, F.col("parent") == F.col("_prefix"), "left")
     children = F.count("*").over(Window.partitionBy("parent"))
     return joined.withColumn("_siblings", children).filter((F.col("_siblings") > 1) | F.col("_files").isNull() | (F.col("_files") > F.col("files"))).select("prefix", "depth", "files", "bytes")
+
+
+def _counted(files: DataFrame) -> DataFrame:
+    """(file_id, at, line) of files with content."""
+    return files.select("file_id", F.posexplode(F.split("content", "\n", -1)).alias("at", "line"))
+
+
+def _part_rows(numbered: DataFrame) -> DataFrame:
+    return numbered.groupBy("file_id", "part").agg((F.min("at") + 1).alias("first_line"), (F.max("at") + 1).alias("last_line"))
+
+
+def sub_sections(files: DataFrame, declaration: str, target: int = 5000, longest: int = 200) -> DataFrame:
+    """(file_id, part, first_line, last_line): cuts at the first declaration after ``target`` lines.
+
+    A declaration may be cut at if its line is shorter than ``longest`` and the line before it
+    is blank or closes a block.
+    """
+    lines = _counted(files)
+    before = F.trim(F.lag("line").over(Window.partitionBy("file_id").orderBy("at")))
+    able = F.col("line").rlike(declaration) & (F.length("line") < longest) & before.isin("", "}", "});")
+    marked = lines.select("file_id", "at", F.coalesce(able, F.lit(False)).cast("int").alias("able"))
+
+    def step(state: tuple | None, able: int) -> tuple[tuple, int]:
+        part, held = state or (0, 0)
+        part, held = (part + 1, 0) if able and held >= target else (part, held)
+        return (part, held + 1), part
+
+    return _part_rows(fold_groups(marked, ["file_id"], ["at"], "able", step, "part"))
+
+
+def bounded_parts(most_lines: int = 2000, most_bytes: int = 512 << 10) -> Step:
+    """A new part begins when so many lines are held or the next would take a started part over the bytes."""
+
+    def step(state: tuple | None, size: int) -> tuple[tuple, int]:
+        part, lines, held = state or (0, 0, 0)
+        if lines and (lines >= most_lines or held + size > most_bytes):
+            part, lines, held = part + 1, 0, 0
+        return (part, lines + 1, held + size), part
+
+    return step
+
+
+def bounded_fragments(files: DataFrame, most_lines: int = 2000, most_bytes: int = 512 << 10) -> DataFrame:
+    """(file_id, part, first_line, last_line) of files that can't be parsed: cut by lines and bytes alone."""
+    sized = _counted(files).select("file_id", "at", (F.octet_length("line") + 1).alias("size"))
+    return _part_rows(fold_groups(sized, ["file_id"], ["at"], "size", bounded_parts(most_lines, most_bytes), "part"))

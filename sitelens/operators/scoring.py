@@ -41,11 +41,60 @@ def first_by(rows: DataFrame, keys: list[str], order: list[Column | str], most:
 
 
 def quota_union(rows: DataFrame, parts: list[tuple[str, Column, list[Column], int]]) -> DataFrame:
-    """Top-k lists of several kinds, one below the other: (kind, filter, order, quota)."""
-    out = None
-    for kind, condition, order, quota in parts:
-        one = rows.filter(condition).orderBy(*order).limit(quota).withColumn("kind", F.lit(kind))
-        out = one if out is None else out.unionByName(one)
+    """Top-k lists of several kinds, one below the other: (kind, filter, order, quota).
+
+    One pass tags each row with the kinds it is of; each kind's order is a rank of its own.
+    """
+    kinds = F.array_compact(F.array(*[F.when(condition, F.lit(k)) for k, (_, condition, _, _) in enumerate(parts)]))
+    tagged = rows.withColumn("_kind", F.explode(kinds))
+    rank, most, name = F.lit(None).cast("int"), F.lit(0), F.lit(None).cast("string")
+    for k, (kind, _, order, quota) in enumerate(parts):
+        here = F.col("_kind") == k
+        rank = F.when(here, F.row_number().over(Window.partitionBy("_kind").orderBy(*order))).otherwise(rank)
+        most, name = F.when(here, F.lit(quota)).otherwise(most), F.when(here, F.lit(kind)).otherwise(name)
+    ranked = tagged.withColumn("_rank", rank).filter(F.col("_rank") <= most)
+    return ranked.withColumn("kind", name).drop("_kind", "_rank")
+
+
+#: Names of bundled require functions and the vendor they stand for, in order; ``=`` is the whole name.
+VENDOR_REQUIRES = [
+    ("=require_react_production", "react"),
+    ("=require_react", "react"),
+    ("=require_scheduler_production", "react-dom"),
+    ("=require_scheduler", "react-dom"),
+    ("=require_react_dom_production", "react-dom"),
+    ("=require_react_dom", "react-dom"),
+    ("=require_react_dom_client_production", "react-dom"),
+    ("=require_client", "react-dom"),
+    ("=require_react_jsx_runtime_production", "react-jsx"),
+    ("=require_jsx_runtime", "react-jsx"),
+    ("require_react_compiler_runtime", "react-compiler"),
+    ("=require_compiler_runtime", "react-compiler"),
+    ("require_use_sync_external_store", "sync-external-store"),
+    ("=require_shim", "sync-external-store"),
+    ("require_with_selector", "sync-external-store"),
+    ("require_typeof", "oxc-runtime-helpers"),
+    ("require_toPrimitive", "oxc-runtime-helpers"),
+    ("require_toPropertyKey", "oxc-runtime-helpers"),
+    ("require_defineProperty", "oxc-runtime-helpers"),
+    ("require_objectSpread2", "oxc-runtime-helpers"),
+    ("require_objectWithoutProperties", "oxc-runtime-helpers"),
+    ("require_objectWithoutPropertiesLoose", "oxc-runtime-helpers"),
+    ("require_usingCtx", "oxc-runtime-helpers"),
+    ("require_OverloadYield", "oxc-runtime-helpers"),
+    ("require_awaitAsyncGenerator", "oxc-runtime-helpers"),
+    ("require_wrapAsyncGenerator", "oxc-runtime-helpers"),
+    ("require_asyncIterator", "oxc-runtime-helpers"),
+    ("require_asyncGeneratorDelegate", "oxc-runtime-helpers"),
+]
+
+
+def vendor_of(name: Column) -> Column:
+    """The vendor that a bundled require function stands for; null if it is none's."""
+    out = F.lit(None).cast("string")
+    for begin, vendor in reversed(VENDOR_REQUIRES):
+        fits = name == begin[1:] if begin.startswith("=") else F.startswith(name, F.lit(begin))
+        out = F.when(fits, vendor).otherwise(out)
     return out
 
 

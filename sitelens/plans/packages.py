@@ -67,22 +67,6 @@ def packages(found: DataFrame) -> DataFrame:
     return out.withColumn("score", best.cast("long")).withColumn("confidence", F.when(F.col("score") >= 80, "high").when(F.col("score") >= 40, "medium").otherwise("low")).drop("base")
 
 
-_FILES = [
-    ("1", "package.json", '{"name":"app","version":"1.0.0","dependencies":{"react":"^18.2.0","lodash":"4"}}'),
-    ("2", "a/node_modules/react/index.js", "x"),
-    ("3", "src/a.js", 'import x from "lodash/fp"; require("three"); import("./b"); export * from "three/addons"; import "fs"'),
-    ("4", "app.js.map", '{"version":3,"sources":["npm:vue@3.4.1/index.js","webpack:///./node_modules/react/index.js"]}'),
-]
-
-
-@query("""
-SELECT * FROM (VALUES ('app', '1.0.0', 100, 'high', 0), ('react', '^18.2.0', 96, 'high', 0), ('lodash', '4', 55, 'medium', 1), ('three', NULL, 42, 'medium', 2), ('vue', '3.4.1', 90, 'high', 0)) AS t(name, version, score, confidence, imports)
-""")
-def infer_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.createDataFrame(_FILES, "file_id string, path string, content string").withColumn("size", F.octet_length("content").cast("long"))
-    return packages(evidence(files)).select("name", "version", "score", "confidence", "imports")
-
-
 @query("""
 WITH p AS (SELECT p_partkey, p_size, p_retailprice, p_type, 30 + 2 * p_size - CASE WHEN p_type LIKE 'PROMO%' THEN 25 ELSE 0 END + CASE WHEN p_retailprice < 1000 THEN 15 ELSE 0 END AS raw FROM part)
 SELECT p_partkey, CAST(least(100, greatest(0, raw)) AS BIGINT) AS score, CASE WHEN raw >= 90 THEN 'promote' WHEN raw >= 50 THEN 'review' ELSE 'leave' END AS action

@@ -11,7 +11,6 @@ from sitelens.functions import paths as P
 from sitelens.operators import findings as D
 from sitelens.registry import query, table
 from sitelens.sources import files as S
-from sitelens.sources import sourcemaps as M
 from sitelens.streaming import state as X
 
 #: About so many items of one or two words are looked for in all texts at a time.
@@ -252,115 +251,6 @@ def theta_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-def _sql_values(rows: list[tuple], names: str) -> str:
-    def one(v: object) -> str:
-        return "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
-
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + f") AS t({names})"
-
-
-_PATHS = [
-    ("webpack:///./src/../a//b?.js", "src/a/b_.js", "a/b/../c/./d", "a/c/d"),
-    ("file:///C:\\x\\y.ts", "C_/x/y.ts", "../x", "x"),
-    ("./", "unknown", "", ""),
-    ("https://h.org/a.js", "h.org/a.js", "a//b/", "a/b"),
-]
-
-
-@query(_sql_values([(a, b, d) for a, b, _, d in _PATHS], "path, sanitized, normalized"))
-def sanitize_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _values(spark, [(a, c) for a, _, c, _ in _PATHS], "path string, other string")
-    return rows.select("path", P.sanitize_path(F.col("path")).alias("sanitized"), P.normalize_relative_path(F.col("other")).alias("normalized"))
-
-
-_SPECIFIERS = [("@scope/pkg/sub?x", "@scope/pkg"), ("lodash/fp", "lodash"), ("./x", None), ("fs", None), ("node:fs", None), ("@/alias", None), ("virtual:x", None), ("react", "react"), ("Bad Name", None)]
-
-
-@query(_sql_values(_SPECIFIERS, "specifier, package"))
-def specifier_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, [(s,) for s, _ in _SPECIFIERS], "specifier string").select("specifier", P.package_of_specifier(F.col("specifier")).alias("package"))
-
-
-_COORDINATES = [
-    ("npm:@scope/pkg@1.2.3/index.js", "@scope/pkg", "1.2.3"),
-    ("https://unpkg.com/three@0.181.2/build/three.module.js", "three", "0.181.2"),
-    ("webpack:///./node_modules/react/index.js", "react", None),
-    ("x/.vite/deps/react_jsx.js", "react/jsx", None),
-    ("src/app.js", None, None),
-]
-
-
-@query(_sql_values([(r, None if n == "react/jsx" else n, v) for r, n, v in _COORDINATES], "reference, name, version"))
-def coordinate_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _values(spark, [(r,) for r, _, _ in _COORDINATES], "reference string").withColumn("c", P.coordinate(F.col("reference")))
-    return rows.select("reference", "c.name", "c.version")
-
-
-_GLOBS = [("src/a/b/x1.js", True), ("src/x1.js", False), ("src/a/x.ts", False), ("lib/src/a/x.js", False)]
-
-
-@query("SELECT * FROM (VALUES ('src/a/b/x1.js', true), ('src/x1.js', false), ('src/a/x.ts', false), ('lib/src/a/x.js', false)) AS t(path, matched)")
-def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, [(p,) for p, _ in _GLOBS], "path string").select("path", P.glob_matches(F.col("path"), "src/**/x*.js").alias("matched"))
-
-
-_HTML = (
-    "<html><head><title> T </title><meta name='a' content='1'><meta property=\"og:x\" content=\"y z\"><meta name='a' content='2'>"
-    '<link rel="stylesheet" href="/s.css?v=1"><script src="/_next/app.js"></script><script>let x = 1;</script></head><body><p>hi</p></body></html>'
-)
-_CSS = ":root{--main: #fff; --gap:2px;} a{--main: #000;font-family:'Inter', serif} b{font-family:Mono}"
-
-
-@query("SELECT 'T' AS title, '{\"a\":\"2\",\"og:x\":\"y z\"}' AS meta, 'let x = 1;' AS inline, '/_next/app.js' AS scripts, '/s.css?v=1' AS sheets, '<p>hi</p>' AS body, 'nextjs' AS framework")
-def html_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h, joined = F.col("html"), lambda c: F.array_join(c, ",")
-    return _values(spark, [(_HTML,)], "html string").select(
-        H.tag_text(h, "title").alias("title"), F.to_json(H.meta_tags(h)).alias("meta"), joined(H.inline_scripts(h)).alias("inline"), joined(H.linked_scripts(h)).alias("scripts"),
-        joined(H.stylesheets(h)).alias("sheets"), H.body(h).alias("body"), H.framework(h).alias("framework"),
-    )
-
-
-@query("SELECT '{\"--gap\":\"2px\",\"--main\":\"#000\"}' AS properties, 'Inter|Mono' AS fonts")
-def css_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    css = F.col("css")
-    return _values(spark, [(_CSS,)], "css string").select(F.to_json(H.css_properties(css)).alias("properties"), F.array_join(H.font_families(css), "|").alias("fonts"))
-
-
-_SCRIPTS = [
-    ("a.js", "x\n//# sourceMappingURL=a.map\n//# sourceMappingURL=b.map", "b.map", "js"),
-    ("b.js", "//# sourceMappingURL=a.map\n/*# sourceMappingURL=c.map */", "c.map", "js"),
-    ("c.js", "none", None, "js"),
-    ("d.html", "  <p>x</p>", None, "html"),
-    ("e.map", '{"version":3,"sources":[]}', None, "map"),
-]
-
-
-@query(_sql_values([(p, r, k) for p, _, r, k in _SCRIPTS], "path, reference, kind"))
-def source_map_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _values(spark, [(p, c) for p, c, _, _ in _SCRIPTS], "path string, content string")
-    return rows.select("path", S.source_map_reference(F.col("content")).alias("reference"), S.pasted_kind(F.col("content")).alias("kind"))
-
-
-_MAP = '{"version":3,"sources":["a.js","b.js"],"sourcesContent":["let a;\\n",null],"names":["x"],"mappings":"AAAA,IAAIA;ACAA;AACA"}'
-_CODE = "let ax\nlet b\nlet c"
-
-
-@query(_sql_values([(1, 0, "a.js", 1, 0, None), (1, 4, "a.js", 1, 4, "x"), (2, 0, "b.js", 1, 4, None), (3, 0, "b.js", 2, 4, None)], "gen_line, gen_column, source, orig_line, orig_column, name"))
-def vlq_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.mappings(_values(spark, [("m", _MAP)], "map_id string, content string")).drop("map_id")
-
-
-@query(_sql_values([("source", "a.js", 6), ("source", "b.js", 10), ("eol", "[EOL]", 2)], "kind, path, bytes"))
-def bundle_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = M.mappings(_values(spark, [("m", _MAP)], "map_id string, content string"))
-    bundles = _values(spark, [("m", _CODE)], "map_id string, code string")
-    return M.bundle_breakdown(found, bundles).select("kind", "path", "bytes")
-
-
 @query("""
 SELECT user_id AS job_id, max(event_id) AS seq, arg_max(CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'purchase' THEN 'ready' ELSE 'working' END, event_id) AS status FROM events GROUP BY 1
 """)

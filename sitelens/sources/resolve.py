@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.functions.paths import has_extension, resolve_relative_path
+from sitelens.functions.paths import has_extension, normalize_relative_path, resolve_relative_path
 from sitelens.sources.files import basename_index, data_url_text, source_map_reference
 
 
@@ -79,3 +79,56 @@ def manifest_parts(manifests: DataFrame, contents: DataFrame) -> DataFrame:
     each = parsed.select("chunk", F.explode("parts").alias("p")).select("chunk", "p.file", "p.lines")
     texts = contents.select(F.col("path").alias("_path"), F.col("content").alias("part_content"))
     return each.join(texts, F.concat_ws("/", "chunk", "file") == F.col("_path"), "left").drop("_path")
+
+
+#: Directories that a project has at its top, and files that a rebuilt project writes itself.
+PROJECT_ROOTS = "src app lib components hooks utils pages server client public assets styles tests test types scripts".split()
+RESERVED_PATHS = ["package.json", "README.md", "tsconfig.json", "vite.config.ts", "vite.config.js", "index.html"]
+
+
+def placeholder(path: Column) -> Column:
+    """The text that stands for a source without content, as a comment of the file's language."""
+    message = F.concat(F.lit("Recovered path "), path, F.lit(", but no source content was embedded in the source map."))
+    extension = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)\z", 1))
+    json = F.concat(F.to_json(F.struct(F.lit(False).alias("recovered"), message.alias("message")), {"pretty": "true"}), F.lit("\n"))
+    wrapped = lambda a, b: F.concat(F.lit(a), message, F.lit(b))
+    styles = extension.isin("css", "scss", "sass", "less")
+    return F.when(extension == "json", json).when(extension == "html", wrapped("<!-- ", " -->\n")).when(styles, wrapped("/* ", " */\n")).otherwise(wrapped("// ", "\n"))
+
+
+def output_paths(files: DataFrame, path: str = "path", order: str | None = None) -> DataFrame:
+    """Add output, the place of each file in a rebuilt project; repeated places get ``-2``, ``-3`` and so on, by ``order`` (the path).
+
+    A single top directory that all files share goes, unless it is a project's own; what the
+    project writes itself, and built files, go below ``recovered``; other files go below ``src``
+    unless they begin with a project directory.
+    """
+    root = F.substring_index(F.col(path), "/", 1)
+    keeps = F.col(path).isin(RESERVED_PATHS) | root.isin(PROJECT_ROOTS) | (root == "")
+    shared = files.agg(F.when(~F.coalesce(F.bool_or(keeps), F.lit(True)) & (F.min(root) == F.max(root)), F.min(root)).alias("_shared"))
+    plain = files.join(F.broadcast(shared), F.lit(True))  # one row
+    cut = F.when(F.startswith(F.col(path), F.concat(F.col("_shared"), F.lit("/"))), F.substring(F.col(path), F.length("_shared") + 2, F.length(path))).otherwise(F.col(path))
+    cut = F.coalesce(F.nullif(cut, F.lit("")), F.lit("recovered/unknown.js"))
+    plain = plain.withColumn("_cut", cut)
+    cut = F.col("_cut")
+    set_aside = cut.isin(RESERVED_PATHS) | cut.rlike("^(?:dist|build)/")
+    first = F.coalesce(F.get(F.filter(F.split(cut, "/"), lambda s: s != ""), 0), F.lit(""))
+    placed = F.when(first.isin(PROJECT_ROOTS), cut).otherwise(F.concat(F.lit("src/"), cut))
+    placed = F.when(placed.rlike(r"\.[A-Za-z0-9]+\z"), placed).otherwise(F.concat(placed, F.lit(".js")))
+    plain = plain.withColumn("output", F.when(set_aside, F.concat(F.lit("recovered/"), cut)).otherwise(placed)).drop("_cut", "_shared")
+    n = F.row_number().over(Window.partitionBy("output").orderBy(order or path))
+    ending = F.regexp_extract("output", r"(\.[A-Za-z0-9]+)?\z", 0)
+    stem = F.substring(F.col("output"), F.lit(1), F.length("output") - F.length(ending))
+    plain = plain.withColumn("_n", n)
+    return plain.withColumn("output", F.when(F.col("_n") == 1, F.col("output")).otherwise(F.concat(stem, F.lit("-"), F.col("_n").cast("string"), ending))).drop("_n")
+
+
+def relative_specifier(source: Column, target: Column) -> Column:
+    """The import specifier that leads from one file to another, both paths below one root."""
+    here, there = F.split(normalize_relative_path(source), "/"), F.split(normalize_relative_path(target), "/")
+    folders = F.slice(here, F.lit(1), F.size(here) - 1)
+    same = F.transform(folders, lambda s, k: s.eqNullSafe(F.get(there, k)) & (k < F.size(there) - 1))
+    shared = F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same)).cast("int")
+    up = F.repeat(F.lit("../"), F.size(folders) - shared)
+    down = F.array_join(F.slice(there, shared + 1, F.size(there)), "/")
+    return F.concat(F.when(up == "", F.lit("./")).otherwise(up), down)
