@@ -107,6 +107,7 @@ class WordEncoder:
         self.whole.no_truncation()
         self.whole.no_padding()
         self.model = self.whole.model
+        self.narrow = self.whole.get_vocab_size(with_added_tokens=True) <= 1 << 16
         self.stand_in = _byte_characters()
         self.chunks, self.words = _Cache(self._chunk), _Cache(self._word)
 
@@ -151,7 +152,8 @@ def token_pieces(
 
     A document is its token ids and the end id. Only documents longer than the capacity
     are cut. Null text counts as empty: one piece holding the end id alone. Null and
-    repeated ids are kept as they are.
+    repeated ids are kept as they are. ids are little-endian unsigned numbers, of 16 bits
+    where the tokenizer's vocabulary allows, else of 32; with_id_arrays reads them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +172,7 @@ def token_pieces(
                     "ids_crc32": pa.array(crc, pa.int64()),
                 }
                 if keep_ids:
-                    columns["ids"] = pa.array(ids, pa.list_(pa.int32()))
+                    columns["ids"] = pa.array(ids, pa.binary())
                 for column in (source, piece, start, length, crc, ids):
                     column.clear()
                 return pa.RecordBatch.from_pydict(columns)
@@ -178,6 +180,8 @@ def token_pieces(
             held = 0
             for row, value in enumerate(batch.column(1)):
                 data = encode(value.as_py() or "") + end
+                kept = np.frombuffer(data, dtype="<u4").astype("<u2").tobytes() if keep_ids and encode.narrow else data
+                width = 2 if encode.narrow else 4
                 for k in range(0, len(data), step):
                     part = data[k : k + step]
                     source.append(row)
@@ -186,8 +190,8 @@ def token_pieces(
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
                     if keep_ids:
-                        ids.append(np.frombuffer(part, dtype="<u4").astype(np.int32))
-                        held += len(part)
+                        ids.append(kept[k // 4 * width : (k // 4 + capacity) * width])
+                        held += len(ids[-1])
                     if held > MOST_HELD:
                         held = 0
                         yield rows()
@@ -195,10 +199,34 @@ def token_pieces(
 
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
     return base.mapInArrow(run, schema)
 
 
+def _numbers(length: pa.Array, ids: pa.Array) -> Iterator[np.ndarray]:
+    """The ids of each row, which take as many bytes each as the length says."""
+    for n, data in zip(length.to_pylist(), ids):
+        data = data.as_py()
+        yield np.frombuffer(data, dtype="<u2" if len(data) == 2 * n else "<u4")
+
+
+def with_id_arrays(pieces: DataFrame) -> DataFrame:
+    """Rows of token_pieces with their ids as an array of numbers."""
+    names = pieces.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                found = [x.astype(np.int32) for x in _numbers(part.column("length"), part.column("ids"))]
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+                yield pa.RecordBatch.from_pydict({n: ids if n == "ids" else part.column(n) for n in names})
+
+    schema = ", ".join(f"`{f.name}` {'array<int>' if f.name == 'ids' else f.dataType.simpleString()}" for f in pieces.schema.fields)
+    return pieces.mapInArrow(run, schema)
+
+
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """The bin of each length, which are placed in the order given.
 
@@ -278,31 +306,34 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
         left, round_, before = durable(packed.filter(~F.col(full_)).select(*fields)), round_ + 1, count
 
 
+def placed_pieces(docs: DataFrame, **options) -> DataFrame:
+    """Rows of token_pieces, ids as bytes, with their sequence_id and offset.
+
+    The ids stay where they were written while the lengths are packed, and meet their
+    places in one join at the end, for which they aren't sorted.
+    """
+    pieces = durable(token_pieces(docs, **options).withColumn("_row", F.monotonically_increasing_id()))
+    placed = pack(pieces.select(F.col("_row").alias("_placed"), "length"), options.get("capacity", CAPACITY)).drop("length")
+    return pieces.join(placed.hint("shuffle_hash"), F.col("_row") == F.col("_placed")).drop("_row", "_placed")
+
+
 def pack_documents(docs: DataFrame, keep_ids: bool = True, **options) -> DataFrame:
-    """Tokenise and pack a table of texts; see token_pieces and pack.
+    """Tokenise and pack a table of texts; see token_pieces and pack. ids are arrays of numbers.
 
     Null and empty texts are one piece holding the end id; other columns of docs are left out.
-    The ids stay where they were written while the lengths are packed, and meet their
-    places in one join at the end.
     """
-    capacity = options.get("capacity", CAPACITY)
-    pieces = token_pieces(docs, keep_ids=keep_ids, **options)
     if not keep_ids:
-        return pack(pieces, capacity)
-    pieces = durable(pieces.withColumn("_row", F.monotonically_increasing_id()))
-    placed = pack(pieces.select(F.col("_row").alias("_placed"), "length"), capacity).drop("length")
-    return pieces.join(placed, F.col("_row") == F.col("_placed")).drop("_row", "_placed")
+        return pack(token_pieces(docs, keep_ids=False, **options), options.get("capacity", CAPACITY))
+    return with_id_arrays(placed_pieces(docs, **options))
 
 
 def packed_checks(packed: DataFrame) -> DataFrame:
-    """Packed rows without their ids, ids_crc32 taken anew from these."""
+    """Rows of placed_pieces without their ids, ids_crc32 taken anew from these."""
     names = [c for c in packed.columns if c != "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("ids")
-            ends, values = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
-            crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
+            crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in _numbers(batch.column("length"), batch.column("ids"))]
             kept = {n: batch.column(n) for n in names} | {"ids_crc32": pa.array(crc, pa.int64())}
             yield pa.RecordBatch.from_pydict(kept)
 
@@ -310,5 +341,5 @@ def packed_checks(packed: DataFrame) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's columns for every piece of every document; see pack_documents."""
-    return packed_checks(pack_documents(table(spark, sf_dir, "documents")))
+    """The contract's columns for every piece of every document; see placed_pieces."""
+    return packed_checks(placed_pieces(table(spark, sf_dir, "documents")))

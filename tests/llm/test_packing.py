@@ -67,7 +67,8 @@ def test_sequences_hold_their_ids(spark, tiny, monkeypatch):
     check(rows, texts)
     for r in rows:
         assert r.ids == [*whole(texts[r.doc_id]), 1][r.start : r.start + r.length]
-    other = packed.withColumn("ids", F.transform("ids", lambda x: x + 1)).withColumn("ids_crc32", F.lit(0).cast("long"))
+    shifted = lambda r, kind: (r.doc_id, r.piece, r.length, 0, bytearray((np.array(r.ids) + 1).astype(kind).tobytes()))
+    other = spark.createDataFrame([shifted(r, "<u2" if k % 2 else "<u4") for k, r in enumerate(rows)], "doc_id long, piece int, length long, ids_crc32 long, ids binary")
     sums = {(r.doc_id, r.piece): r.ids_crc32 for r in packing.packed_checks(other).collect()}
     assert sums == {(r.doc_id, r.piece): zlib.crc32((np.array(r.ids) + 1).astype("<u4").tobytes()) for r in rows}
 
@@ -96,6 +97,7 @@ def test_odd_rows(spark):
         assert ids == [*whole(t), 1]
     assert sum(r.piece == 0 for r in rows) == docs.count() == len(ODD_TEXTS) + 2
     assert packing.pack_documents(docs.limit(0)).count() == 0
+    assert packing.pack_documents(docs, keep_ids=False).count() == len(rows)
 
 
 def test_sum_of_squares_rule():
