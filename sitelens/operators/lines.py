@@ -32,10 +32,10 @@ def merge_tiny(groups: DataFrame, keys: list[str], order: str, size: str, tiny:
 
 def common_prefix(paths: DataFrame, keys: list[str], path: str) -> DataFrame:
     """The longest common directory of each key's paths: the first and last of them decide."""
-    ends = paths.groupBy(*keys).agg(F.split(F.min(path), "/").alias("a"), F.split(F.max(path), "/").alias("b"))
-    same = F.transform(F.slice("a", F.lit(1), F.size("a") - 1), lambda s, k: s.eqNullSafe(F.get("b", k)))
+    ends = paths.groupBy(*keys).agg(F.split(F.min(path), "/").alias("_first"), F.split(F.max(path), "/").alias("_last"))
+    same = F.transform(F.slice("_first", F.lit(1), F.size("_first") - 1), lambda s, k: s.eqNullSafe(F.get("_last", k)))
     n = F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same)).cast("int")
-    return ends.select(*keys, F.array_join(F.slice("a", F.lit(1), n), "/").alias("prefix"))
+    return ends.select(*keys, F.array_join(F.slice("_first", F.lit(1), n), "/").alias("prefix"))
 
 
 def collapsed_prefixes(paths: DataFrame, path: str, size: str) -> DataFrame:
