@@ -36,6 +36,7 @@ def test_odd_rows(spark, tmp_path, query, labels):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     rows = query(spark, str(tmp_path)).collect()
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
+    docs = docs.withColumnRenamed("words", "_toxicity")
     kept = toxicity.drop_toxic(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
     assert kept.columns == docs.columns
 
@@ -125,3 +126,10 @@ def test_hash_samples_are_bounded_and_even(spark):
     assert common.hash_sample(rows.limit(0), "kind", "id", 5).count() == 0
     same = spark.range(5000).selectExpr("1 AS k", "id")
     assert common.hash_sample(same, "k", "k", 100).count() <= 100
+
+
+def test_the_stage_drops_what_the_query_marks(spark, small):
+    marked = {r.doc_id for r in toxicity.op2_toxicity(spark, small).collect() if r.predicted}
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    kept = toxicity.drop_toxic(docs, spark.read.parquet(f"{small}/labels.parquet")).collect()
+    assert marked and {r.doc_id for r in kept} == {r.doc_id for r in docs.collect()} - marked

@@ -1,3 +1,6 @@
+import re
+from collections import defaultdict
+
 import numpy as np
 
 from sitelens.llm import langid
@@ -41,3 +44,59 @@ def test_query(spark, small):
     path = [r for r in rows if f"/{r.declared}/" in r.url]
     assert len(rows) == spark.read.parquet(f"{small}/pages.parquet").count()
     assert sum(r.language == r.declared for r in path) >= 0.97 * len(path) > 100
+
+
+def softmax(x):
+    e = np.exp(x - x.max())
+    return e / e.sum()
+
+
+def test_training_counts_against_brute_force(spark, small, monkeypatch):
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    rows = {(r.lang, r.text) for r in table.select("lang", "text").collect() if r.text is not None}
+    names, logs = langid.train(table)
+    assert names == sorted({n for n, _ in rows})
+    for k, name in enumerate(names):
+        counts = np.full(langid.BUCKETS, 0.1)
+        for n, t in rows:
+            if n == name:
+                counts += np.bincount(langid.trigrams(t), minlength=langid.BUCKETS)
+        assert np.allclose(logs[k], np.log(counts / counts.sum()), atol=1e-5)
+    many = spark.createDataFrame([(f"{EN} {k}", f"{a}{b}") for k, (a, b) in enumerate((a, b) for a in "abcdefghij" for b in "klmnopqrst")] + [("no tag", "notalanguage"), (EN, "xx-YY"), (EN, "XX")], "text string, lang string")
+    monkeypatch.setattr(langid, "MOST_BYTES", 1_000_000)
+    names, logs = langid.train(many)
+    assert len(names) == 101 and "xx" in names and logs.nbytes <= 1_000_000 and logs.shape[1] >= langid.LEAST_BUCKETS
+
+
+def test_fusion_against_brute_force(spark, small):
+    """Every page's posterior, from all pages in plain Python."""
+    names, logs = model = langid.train(spark.read.parquet(f"{small}/documents.parquet"))
+    pages = spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url", "html").collect()
+    n, evidence, p = len(names), {}, {}
+    hosts, domains, given = defaultdict(lambda: np.zeros(n)), defaultdict(lambda: np.zeros(n)), [defaultdict(lambda: np.zeros(n)) for _ in range(2)]
+    world, place = np.ones(n), {}
+    for r in pages:
+        at = langid.trigrams(langid.main_text(r.html))
+        x = logs[:, at].sum(1, dtype=float) * min(1.0, langid.EVIDENCE / max(1, len(at)))
+        evidence[r.page_id], p[r.page_id] = x - x.max(), softmax(x)
+        host = re.match(r"[a-z]+://([^/:?#]+)", r.url)[1].lower()
+        tail = re.match(r"[a-z]+://[^/]+/([a-zA-Z]{2})(?:[/?#]|$)", r.url)
+        address = "/".join([host.split(".")[-1], tail[1].lower() if tail else ""])
+        declared = re.search(r"<html[^>]*\slang=\"([a-z]{2,3})", r.html)
+        place[r.page_id] = host, ".".join(host.split(".")[-2:]), declared[1] if declared else "", address
+        for box, key in ((hosts, host), (domains, place[r.page_id][1]), (given[0], place[r.page_id][2]), (given[1], address)):
+            box[key] += p[r.page_id]
+        world += p[r.page_id]
+    rows = langid.with_language(spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url", "html"), model).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        host, domain, declared, address = place[r.page_id]
+        own = p[r.page_id]
+        rest = max(domains[domain].sum() - 1, 0)
+        prior = (np.maximum(domains[domain] - own, 0) + langid.DOMAIN_PRIOR * world / world.sum()) / (rest + langid.DOMAIN_PRIOR)
+        prior = (np.maximum(hosts[host] - own, 0) + langid.HOST_PRIOR * prior) / (max(hosts[host].sum() - 1, 0) + langid.HOST_PRIOR)
+        logp = evidence[r.page_id] + np.log(prior + 1e-9)
+        for box, key in zip(given, (declared, address)):
+            logp = logp + np.log((box[key] + langid.EVIDENCE_PRIOR) / (world + langid.EVIDENCE_PRIOR * (len(box) + 1)))
+        assert (r.declared, r.address) == (declared, address)
+        assert abs(r.probability - softmax(logp).max()) < 1e-6 and r.language == names[int(softmax(logp).argmax())]
