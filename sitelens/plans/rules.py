@@ -13,6 +13,7 @@ from sitelens.functions import predicates as Q
 from sitelens.functions import text as X
 from sitelens.operators import findings as D
 from sitelens.operators import fingerprints as R
+from sitelens.operators import iife as I
 from sitelens.operators import lines as L
 from sitelens.operators import scoring
 from sitelens.operators import webpack as W
@@ -296,3 +297,21 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
     out = rows.groupBy(F.session_window("at", "30 minutes"), "user_id").agg(F.count("*").alias("n"))
     return out.select("user_id", F.unix_micros("session_window.start").alias("start"), "n")
+
+
+#: One big call: three constants, a class and its alias, a function, a component with a helper, an end.
+_CALLED = {
+    "file_id": "CAST(k AS VARCHAR(20))",
+    "content": "'(function(){' || chr(10) || 'var v0 = 0;' || chr(10) || 'var v1 = \"a;{b\";' || chr(10) || 'var v2 = 2;' || chr(10) || 'class ' || upper(substr(a, 1, 1)) || k || ' {' || repeat(chr(10) || '  m() {}', 10 + k % 5) || chr(10) || '}' || chr(10)"
+    " || 'var B = ' || upper(substr(a, 1, 1)) || k || ';' || chr(10) || 'function f' || k || '() {' || repeat(chr(10) || '  x();', 15 + k % 7) || chr(10) || '}' || chr(10) || 'function Card() {' || repeat(chr(10) || '  y();', 10) || chr(10) || '}' || chr(10)"
+    " || 'const help = 1;' || chr(10) || 'return 1;' || chr(10) || '})();'",
+}
+
+
+@query(_sql("""SELECT CAST(k AS VARCHAR) AS file_id, s AS section, ['var', 'class', 'function', 'component'][s + 1] AS category, [3, 2, 1, 3][s + 1] AS statements,
+ CASE s WHEN 0 THEN 3 WHEN 1 THEN 13 + k % 5 WHEN 2 THEN 17 + k % 7 ELSE 14 END AS lines, CASE s WHEN 0 THEN 'v0,v1,v2' WHEN 1 THEN 'B' WHEN 2 THEN 'f' || k ELSE 'Card,help' END AS names
+ FROM f, (VALUES (0), (1), (2), (3)) AS t(s)"""))
+def called_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = I.sections(_parts(spark, sf_dir, **_CALLED))
+    own = F.filter("names", lambda n: ~n.rlike(r"^[A-Z]\d+\z"))  # the class goes by its part
+    return found.select("file_id", "section", "category", "statements", "lines", F.array_join(own, ",").alias("names"))

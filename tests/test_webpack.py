@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sitelens.functions import text
-from sitelens.operators import lines, scoring, webpack
+from sitelens.operators import iife, lines, scoring, webpack
 from sitelens.sources import resolve
 
 from .test_operators import one
@@ -54,3 +54,16 @@ def test_rebuilt_paths_and_hints(spark):
     assert one(spark, resolve.placeholder(p), p="a.html").startswith("<!-- Recovered path a.html,") and one(spark, resolve.placeholder(p), p="x").startswith("// ")
     assert one(spark, scoring.vendor_of(p), p="require_react_dom") == "react-dom" and one(spark, scoring.vendor_of(p), p="require_reactive") is None
     assert one(spark, text.export_hints(F.array(p)), p="ThemeStore") == ["state", "app-shell"] and one(spark, text.export_hints(F.array(p)), p="") == []
+
+
+def test_sections_of_a_called_function(spark):
+    code = "\n".join(["!function(){", "var a=1,b=2;", "var E=Object.freeze({A:1});", "(function(){", "class X{m(){return 1}}class Y{}", "var Z=X;", "function g(){}", "function h(){", *["x();"] * 12, "}", "Object.freeze(q);", "if(x){y()}", "return 5", "}());", "z();", "w();", "u();", "t()", "}();"])
+    assert [code[a:b].strip()[:8] for a, b in iife.body_spans(iife.blanked(code))] == ["class X{", "class Y{", "var Z=X;", "function", "function", "Object.f", "if(x){y(", "return 5"]
+    files = spark.createDataFrame([("a", code), ("b", None), ("c", ""), ("d", "plain(); var q = 1")], "file_id string, content string")
+    types = [(r.type, r.name) for r in iife.items(files).filter("file_id = 'a'").orderBy("at").collect()]
+    assert types == [("class", "X"), ("class", "Y"), ("alias", "Z"), ("function", "g"), ("function", "h"), ("enum", None), ("other", None), ("return", None)]
+    got = [(r.section, r.category, r.statements, r.lines) for r in iife.sections(files).filter("file_id = 'a'").orderBy("section").collect()]
+    assert got == [(0, "class", 3, 3), (1, "function", 5, 18)]
+    assert {r.file_id for r in iife.sections(files).collect()} == {"a", "d"}
+    units = spark.createDataFrame([("u", "\n".join(f"class C{k} {{\n{'x' * 3}\n}}" for k in range(10)))], "file_id string, content string")
+    assert [r.lines for r in iife.sections(units, 7).orderBy("section").collect()] == [6] * 5
