@@ -127,10 +127,11 @@ SELECT doc_id, k AS keyword, n FROM c WHERE n > 0 QUALIFY row_number() OVER (PAR
 """)
 def keyword_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.lower("text")
-    counts = [F.struct((F.size(F.split(low, k, -1)) - 1).alias("n"), F.lit(k).alias("keyword")) for k in sorted(_KEYWORDS, reverse=True)]
+    times = lambda k: ((F.length("low") - F.length(F.replace("low", F.lit(k), F.lit("")))) / len(k)).cast("int")
+    counts = [F.struct(times(k).alias("n"), F.lit(k).alias("keyword")) for k in sorted(_KEYWORDS, reverse=True)]
     # Most first; of equal counts the first by name, which array_max finds by the position kept in between.
     ranked = F.array(*[F.struct(c["n"].alias("n"), F.lit(i).alias("i"), c["keyword"].alias("keyword")) for i, c in enumerate(counts)])
-    return table(spark, sf_dir, "documents").withColumn("b", F.array_max(ranked)).filter("b.n > 0").select("doc_id", "b.keyword", "b.n")
+    return table(spark, sf_dir, "documents").select("doc_id", low.alias("low")).withColumn("b", F.array_max(ranked)).filter("b.n > 0").select("doc_id", "b.keyword", "b.n")
 
 
 @query("SELECT page_id, nullif(trim(regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)), '') AS title FROM pages")
