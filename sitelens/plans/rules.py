@@ -15,6 +15,7 @@ from sitelens.operators import findings as D
 from sitelens.operators import fingerprints as R
 from sitelens.operators import iife as I
 from sitelens.operators import lines as L
+from sitelens.operators import planning as N
 from sitelens.operators import scoring
 from sitelens.operators import webpack as W
 from sitelens.plans.generated import _PACK, _parts, _sql
@@ -315,3 +316,50 @@ def called_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = I.sections(_parts(spark, sf_dir, **_CALLED))
     own = F.filter("names", lambda n: ~n.rlike(r"^[A-Z]\d+\z"))  # the class goes by its part
     return found.select("file_id", "section", "category", "statements", "lines", F.array_join(own, ",").alias("names"))
+
+
+_READY = {
+    "file": "CASE k % 6 WHEN 0 THEN 'x/exports.js' WHEN 1 THEN 'a/state-' || k || '.js' ELSE a || k || '.js' END",
+    "lines": "n * 200", "semantic": "k % 2 = 0", "fragment": "k % 7 = 0", "runnable": "CASE k % 3 WHEN 0 THEN CAST(NULL AS BOOLEAN) WHEN 1 THEN true ELSE false END", "candidate": "k % 5 = 0",
+    "declarations": "k % 4", "exports": "k % 40", "runtime": "CASE k % 11 WHEN 0 THEN 'render-runtime' WHEN 1 THEN 'wasm-runtime' END", "embedded": "k % 13 = 0",
+}
+
+
+@query(_sql("""SELECT k, readiness, CASE WHEN readiness >= 0.72 THEN 'source-like' WHEN readiness >= 0.52 THEN 'review-needed' ELSE 'preserve-first' END AS label FROM (
+ SELECT k, round(greatest(0.05, least(0.95, CAST(0.2 AS DOUBLE) + CASE WHEN k % 2 = 0 THEN 0.2 ELSE 0 END + CASE WHEN k % 7 <> 0 THEN 0.18 ELSE 0 END + CASE WHEN k % 3 <> 2 THEN 0.08 ELSE 0 END
+ + CASE WHEN n * 200 < 1500 THEN 0.12 WHEN n * 200 < 6000 THEN 0.08 ELSE 0 END + CASE WHEN k % 5 = 0 THEN 0.08 ELSE 0 END + CASE WHEN k % 4 > 0 THEN 0.06 ELSE 0 END + CASE WHEN k % 6 < 2 THEN 0.1 ELSE 0 END
+ + least(0.12, (k % 40) / 100.0) - CASE k % 11 WHEN 0 THEN 0.04 WHEN 1 THEN 0.14 ELSE 0 END - CASE WHEN k % 13 = 0 THEN 0.12 ELSE 0 END)), 6) AS readiness FROM p)"""))
+def part_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.readiness(_parts(spark, sf_dir, **_READY)).select("k", "readiness", "label")
+
+
+_PROMOTED = {
+    "file": "CASE k % 9 WHEN 0 THEN 'c/exports.js' ELSE 'c/' || a || k || '.js' END", "lines": "CASE k % 10 WHEN 0 THEN n * 90 ELSE n END",
+    "kind": "CASE k % 5 WHEN 0 THEN 'source-candidate' WHEN 1 THEN 'wrapper-candidate' WHEN 2 THEN 'runtime-wrapper' WHEN 3 THEN 'inspection-only' END",
+    "exports": "k % 4", "declarations": "k % 17", "imports": "k % 8", "globals": "CASE k % 3 WHEN 0 THEN k % 5 END", "externals": "CASE k % 2 WHEN 0 THEN k % 16 ELSE 0 END", "runtimes": "CASE k % 7 WHEN 0 THEN 2 ELSE 0 END",
+}
+
+
+@query(_sql("""SELECT k, score, CASE WHEN bridge THEN CASE WHEN kind = 'runtime-wrapper' THEN 'create-runtime-export-facade' ELSE 'create-export-facade' END WHEN kind = 'inspection-only' THEN 'inspect-only'
+ WHEN (g > 0 OR e0 > 0) AND kind IS DISTINCT FROM 'runtime-wrapper' THEN 'create-scope-wrapper' WHEN kind = 'source-candidate' AND score >= 70 THEN 'extract-module' WHEN kind = 'wrapper-candidate' AND score >= 55 THEN 'create-scope-wrapper'
+ WHEN kind = 'runtime-wrapper' THEN 'wrap-runtime-boundary' ELSE 'inspect-only' END AS action FROM (
+ SELECT *, greatest(0, least(raw, CASE WHEN g > 0 AND exports = 0 THEN 48 ELSE 999 END, CASE WHEN e > 12 THEN 45 ELSE 999 END, CASE WHEN lines > 2500 THEN 55 ELSE 999 END, CASE WHEN kind = 'inspection-only' THEN 8 ELSE 999 END)) AS score FROM (
+ SELECT *, CASE kind WHEN 'source-candidate' THEN 80 WHEN 'wrapper-candidate' THEN 58 WHEN 'runtime-wrapper' THEN 28 WHEN 'inspection-only' THEN 4 ELSE 0 END + least(exports * 10, 30) + least(declarations * 2, 24) + least(imports * 3, 18)
+ - least(g * 14, 45) - least(e * 2, 50) - least(runtimes * 12, 30) - CASE WHEN lines > 2500 THEN 20 WHEN lines > 1000 THEN 8 WHEN lines < 8 AND exports = 0 THEN 10 ELSE 0 END AS raw FROM (
+ SELECT *, k % 9 = 0 AS bridge, coalesce(globals, 0) AS g, externals AS e0, CASE WHEN k % 9 = 0 THEN 0 ELSE externals END AS e FROM f)))""", **_PROMOTED))
+def part_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.promotion(_parts(spark, sf_dir, **_PROMOTED)).select("k", "score", "action")
+
+
+_SITE = {
+    "path": "CASE k % 7 WHEN 0 THEN '/_a/ClientRouter.' || k || '.js' WHEN 1 THEN '_a/theme' || k || '.js' WHEN 2 THEN '/_a/card' || k || '.js' WHEN 3 THEN '_a/client.' || k || '.js' WHEN 4 THEN '_a/index.B' || k || '.js' WHEN 5 THEN '_a/own' || k || '.js' ELSE '_a/none' || k || '.js' END",
+    "html": "'<script src=\"/_a/own' || k || '.js\"></script><script src=\"/_a/own' || (k + 7) || '.js\"></script><astro-island component-url=\"/_a/card' || k || '.js\"></astro-island>'",
+}
+
+
+@query(_sql("""SELECT k AS file_id, ['client-router', 'theme', 'component-hydration', 'framework-runtime', 'vendor', 'page-script', 'unknown'][k % 7 + 1] AS role,
+ CASE WHEN k % 7 = 5 THEN CASE WHEN k >= 7 THEN 2 ELSE 1 END ELSE 0 END AS pages FROM f"""))
+def bundle_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _parts(spark, sf_dir, **_SITE)
+    found = N.bundle_roles(rows.selectExpr("k AS file_id", "path"), rows.selectExpr("k AS page_id", "html"), "astro")
+    return found.select("file_id", "role", "pages")
