@@ -18,18 +18,31 @@ class Fingerprint:
     category: str
     patterns: tuple[str, ...]
     path: str | None = None
+    identifier: str | None = None
+    role: str = ""
 
 
-#: Signs of runtimes.
+#: Signs of runtimes, in order.
 RUNTIMES = [
-    Fingerprint("wasm-bindgen", "wasm-runtime", ("__wbindgen_malloc", "__wbindgen_free", "__wbindgen_start", "passStringToWasm0", "initSync", r"WebAssembly\.instantiateStreaming")),
-    Fingerprint("emscripten-wasm-loader", "wasm-runtime", ("wasmBinaryFile", "locateFile", "createWasm", "instantiateAsync", "ENVIRONMENT_IS_WEB", "HEAPU8", "asmLibraryArg", "INITIAL_MEMORY", "noExitRuntime")),
-    Fingerprint("inline-wasm-worker", "wasm-runtime", (r"WebAssembly\.validate", "new Uint8Array", "wasmpack", "workerProcess", r"new Worker\(")),
-    Fingerprint("worker-runtime", "worker-runtime", (r"self\.onmessage", r"postMessage\(", r"importScripts\(", r"new (?:Shared)?Worker\(", r"reference lib=[\"']webworker[\"']"), "(?i)worker"),
-    Fingerprint("three-runtime", "render-runtime", ("WebGLRenderer", "WebGPURenderer", r"THREE\.REVISION", "BufferGeometry", "Object3D", "Raycaster", "OrbitControls", "GLTFLoader", "DRACOLoader")),
+    Fingerprint("typescript-compiler", "compiler-runtime", ("typescript_exports", "ts_server_protocol_exports", "createProgram", "transpileModule", r"ts\.ScriptTarget", r"diagnosticMessages\.generated", "typescriptServices"), identifier="^requireTypescript$", role="embedded-compiler"),
+    Fingerprint("babel-standalone", "compiler-runtime", ("babelHelpers", "transformFromAst", "transformSync", "parseSync", "@babel/standalone", "@babel/traverse", "VISITOR_KEYS", "regeneratorRuntime"), identifier="(?i)babel", role="embedded-compiler"),
+    Fingerprint("prettier-standalone", "formatter-runtime", ("formatWithCursor", r"doc\.builders", "prettierPlugins", "__debug"), identifier="(?i)prettier", role="embedded-formatter"),
+    Fingerprint("monaco-editor", "editor-runtime", (r"globalThis\.MonacoEnvironment", "StandaloneServices", r"monaco\.editor", r"monaco\.languages", "vs/editor", "EditorWorker", "tsWorker", r"workerMain\.js"), identifier="(?i)monaco", role="editor-runtime"),
+    Fingerprint("react-reconciler", "framework-runtime", ("reconcilerVersion", "rendererPackageName", "injectIntoDevTools", "supportsMutation", "getPublicInstance", "createInstance", "appendChildToContainer"), role="react-renderer-runtime"),
+    Fingerprint("vite-rollup-runtime", "bundler-runtime", ("__vitePreload", "__vite__mapDeps", r"\\0vite/preload-helper\.js", r"import\.meta\.url", "__commonJS", "__toESM", "__defProp"), role="bundler-runtime"),
+    Fingerprint("webpack-runtime", "bundler-runtime", ("__webpack_require__", r"webpackChunk[\w$]*\.push", "webpackJsonp", "__webpack_exports__"), role="bundler-runtime"),
+    Fingerprint("parcel-runtime", "bundler-runtime", ("parcelRequire", "newRequire", r"modules\[name\]\[0\]", "hmr-runtime"), role="bundler-runtime"),
+    Fingerprint("systemjs-runtime", "bundler-runtime", (r"System\.register", r"System\.import"), role="bundler-runtime"),
+    Fingerprint("wasm-bindgen-loader", "wasm-runtime", ("__wbindgen_malloc", "__wbindgen_free", "__wbindgen_start", "passStringToWasm0", "initSync", r"WebAssembly\.instantiateStreaming"), role="wasm-loader"),
+    Fingerprint("emscripten-wasm-loader", "wasm-runtime", ("wasmBinaryFile", "locateFile", "createWasm", "instantiateAsync", "ENVIRONMENT_IS_WEB", "HEAPU8", "asmLibraryArg", "INITIAL_MEMORY", "noExitRuntime"), role="wasm-loader"),
+    Fingerprint("inline-wasm-worker", "wasm-runtime", (r"WebAssembly\.validate", "new Uint8Array", "wasmpack", "workerProcess", r"new Worker\("), role="wasm-worker"),
+    Fingerprint("worker-runtime", "worker-runtime", (r"self\.onmessage", r"postMessage\(", r"importScripts\(", r"new (?:Shared)?Worker\(", r"reference lib=[\"']webworker[\"']"), "(?i)worker", role="worker-entry"),
+    Fingerprint("cad-kernel-bridge", "domain-runtime", ("opencascade", "OCCT", "TopoDS", "BRep", "STEPControl", "IGESControl", "StlAPI", "Manifold", r"setActiveBackend\([\"']occt[\"']\)", "shapeToGeometry", "getMesh", "kernel-native"), role="domain-bridge"),
+    Fingerprint("three-runtime", "render-runtime", ("WebGLRenderer", "WebGPURenderer", r"THREE\.REVISION", "BufferGeometry", "Object3D", "Raycaster", "OrbitControls", "GLTFLoader", "DRACOLoader", "KTX2Loader"), role="render-runtime"),
 ]
 #: Signs of packages.
 DEPENDENCIES = [
+    Fingerprint("react-router-dom", "dependency", ("react-router-dom|BrowserRouter|useNavigate|Routes|Navigate",)),
     Fingerprint("react", "dependency", (r"reactExports|jsxRuntimeExports|REACT_ELEMENT_TYPE|react\.transitional\.element|__REACT_DEVTOOLS_GLOBAL_HOOK__",)),
     Fingerprint("react-dom", "dependency", ("createRoot|hydrateRoot|react-dom|react-stack-top-frame",)),
     Fingerprint("three", "dependency", (r"from [\"']\./.*three|WebGLRenderer|WebGPURenderer|PerspectiveCamera|OrthographicCamera|Vector3|THREE\.REVISION|BufferGeometry",)),
@@ -42,15 +55,19 @@ DEPENDENCIES = [
 
 
 def signals(files: DataFrame, fingerprints: list[Fingerprint] = RUNTIMES) -> DataFrame:
-    """(file_id, id, category, evidence, confidence): one row for each fingerprint a file shows.
+    """(file_id, id, category, role, evidence, confidence): one row for each fingerprint a file shows.
 
-    Evidence is the path's sign, then patterns in order, at most four in all.
+    Evidence is the sign of the identifier, where files have such a column, then the path's,
+    then patterns in order, at most four in all.
     """
     found = []
+    named = "identifier" in files.columns
     for f in fingerprints:
-        path = [F.when(F.col("path").rlike(f.path), F.concat(F.lit("path:"), F.col("path")))] if f.path else []
-        signs = [F.when(F.col("content").rlike(p), F.lit(p)) for p in f.patterns]
-        found.append(F.struct(F.lit(f.id).alias("id"), F.lit(f.category).alias("category"), F.slice(F.array_compact(F.array(*path, *signs)), F.lit(1), F.lit(MOST_EVIDENCE)).alias("evidence")))
+        signs = [F.when(F.col("identifier").rlike(f.identifier), F.concat(F.lit("identifier:"), F.col("identifier")))] if f.identifier and named else []
+        signs += [F.when(F.col("path").rlike(f.path), F.concat(F.lit("path:"), F.col("path")))] if f.path else []
+        signs += [F.when(F.col("content").rlike(p), F.lit(p)) for p in f.patterns]
+        evidence = F.slice(F.array_compact(F.array(*signs)), F.lit(1), F.lit(MOST_EVIDENCE))
+        found.append(F.struct(F.lit(f.id).alias("id"), F.lit(f.category).alias("category"), F.lit(f.role).alias("role"), evidence.alias("evidence")))
     each = files.select("file_id", F.explode(F.array(*found)).alias("s")).select("file_id", "s.*").filter("size(evidence) > 0")
     return each.withColumn("confidence", signal_confidence(F.size("evidence")))
 

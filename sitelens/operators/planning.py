@@ -100,3 +100,60 @@ def bundle_roles(files: DataFrame, pages: DataFrame, framework: str = "unknown")
     for name, sign in reversed(ROLE_SIGNS):
         role = F.when(F.col("path").rlike(sign) if sign else F.col("_hydrated").isNotNull(), name).otherwise(role)
     return rows.select("file_id", "path", role.alias("role"), F.coalesce("pages", F.lit(0)).alias("pages"))
+
+
+#: Where a part belongs by its words, in order: what is looked through, its signs, what its file must not say, the place and how sure it is.
+BUCKETS = [
+    ("ids roles", "cad-kernel|domain-bridge", None, "src/cad-kernel", 0.9),
+    ("ids roles categories file", "typescript|compiler|monaco|babel", None, "src/compiler-runtime", 0.88),
+    ("ids roles categories", "wasm|emscripten|opencascade|manifold|solver", None, "src/wasm", 0.86),
+    ("text", "react|router|effect|scheduler|vendor-react|vendor-boundaries", None, "src/vendor-boundaries", 0.78),
+    ("text", "import|sandbox|compile|execution|log|model-runtime|forge", "vendor-typescript|compiler", "src/model-runtime", 0.66),
+    ("text", "worker|evalworker", None, "src/workers", 0.72),
+    ("text", "three|viewport|camera|orbit|canvas|render|scene", None, "src/viewport", 0.68),
+    ("text", "cad|kernel|shape|geometry|occt|manifold|mesh|sketch|model", None, "src/cad-kernel", 0.62),
+    ("text", "editor|code|highlight|javascript", None, "src/editor", 0.58),
+    ("text", "runtime|vendor", None, "src/vendor-boundaries", 0.55),
+]
+OTHER_BUCKET = ("src/app", 0.5)
+
+
+def structure(parts: DataFrame) -> DataFrame:
+    """Add bucket and bucket_confidence.
+
+    parts: file, entry, names (declared and exported), signals, an array of (id, role, category).
+    Nulls have no words; the first rule of the list that holds decides.
+    """
+    joined = lambda field: F.array_join(F.transform("signals", lambda s: s[field]), " ")
+    sources = {"ids": joined("id"), "roles": joined("role"), "categories": joined("category"), "file": F.col("file")}
+    sources["text"] = F.concat_ws(" ", "file", "entry", F.array_join("names", " "), *[sources[c] for c in ("ids", "roles", "categories")])
+    place, sure = F.lit(OTHER_BUCKET[0]), F.lit(OTHER_BUCKET[1])
+    for where, signs, but, bucket, confidence in reversed(BUCKETS):
+        text = F.lower(F.concat_ws(" ", *[sources[c] for c in where.split()]))
+        holds = text.rlike(signs) if but is None else text.rlike(signs) & ~F.lower(F.coalesce("file", F.lit(""))).rlike(but)
+        place, sure = F.when(holds, bucket).otherwise(place), F.when(holds, confidence).otherwise(sure)
+    return parts.withColumn("bucket", place).withColumn("bucket_confidence", sure)
+
+
+#: Whose a part is by its runtime signals, in order, and what to do with it.
+OWNERS = [
+    ("emscripten|wasm", "WASM/runtime bridge", "wrap-runtime-boundary"),
+    ("react|reconciler|framework", "framework/vendor runtime", "wrap-or-replace-vendor"),
+    ("three|render|viewport", "render/vendor runtime", "wrap-or-replace-vendor"),
+    ("compiler|typescript|babel|monaco|worker", "compiler/editor/worker runtime", "preserve-or-replace-runtime"),
+    ("", "runtime-signaled code", "review-runtime-boundary"),
+]
+INSPECTED = ("inspection-only runtime/vendor fragment", "preserve-for-inspection")
+UNOWNED = ("unknown/app-candidate", "inspect-for-app-owned-boundary")
+
+
+def ownership(parts: DataFrame) -> DataFrame:
+    """Add owner and handling. parts: fragment, runnable, signals as for structure; no signals is an empty or null array."""
+    ids = F.lower(F.array_join(F.array_distinct(F.transform("signals", lambda s: s["id"])), " "))
+    some = F.coalesce(F.size("signals"), F.lit(0)) > 0
+    owner, handling = F.lit(UNOWNED[0]), F.lit(UNOWNED[1])
+    for signs, name, action in reversed(OWNERS):
+        holds = some & ids.rlike(signs)
+        owner, handling = F.when(holds, name).otherwise(owner), F.when(holds, action).otherwise(handling)
+    set_aside = F.coalesce("fragment", F.lit(False)) | ~F.coalesce("runnable", F.lit(True))
+    return parts.withColumn("owner", F.when(set_aside, INSPECTED[0]).otherwise(owner)).withColumn("handling", F.when(set_aside, INSPECTED[1]).otherwise(handling))

@@ -363,3 +363,19 @@ def bundle_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _parts(spark, sf_dir, **_SITE)
     found = N.bundle_roles(rows.selectExpr("k AS file_id", "path"), rows.selectExpr("k AS page_id", "html"), "astro")
     return found.select("file_id", "role", "pages")
+
+
+_PLACED_PART = {
+    "file": "CASE k % 9 WHEN 0 THEN 'x/compiler' || k || '.js' WHEN 1 THEN 'c/' || k || '.js' ELSE 'c/p' || k || '.js' END", "entry": "CASE k % 9 WHEN 2 THEN 'router' WHEN 3 THEN 'sandbox' WHEN 4 THEN 'camera' WHEN 5 THEN 'sketch' END",
+    "names": "array(CASE k % 9 WHEN 6 THEN 'Highlight' WHEN 7 THEN 'evalWorker' ELSE 'q' END)", "fragment": "k % 5 = 0", "runnable": "k % 7 <> 0",
+    "signal": "CASE k % 4 WHEN 0 THEN 'emscripten-wasm-loader' WHEN 1 THEN 'three-runtime' WHEN 2 THEN 'systemjs-runtime' END",
+}
+
+
+@query(_sql("""SELECT k, CASE WHEN k % 9 = 0 THEN 'src/compiler-runtime' WHEN k % 4 = 0 THEN 'src/wasm' WHEN k % 9 = 2 THEN 'src/vendor-boundaries' WHEN k % 9 = 3 THEN 'src/model-runtime' WHEN k % 9 = 7 THEN 'src/workers'
+ WHEN k % 4 = 1 OR k % 9 = 4 THEN 'src/viewport' WHEN k % 9 = 5 THEN 'src/cad-kernel' WHEN k % 9 = 6 THEN 'src/editor' WHEN k % 4 = 2 THEN 'src/vendor-boundaries' ELSE 'src/app' END AS bucket,
+ CASE WHEN k % 5 = 0 OR k % 7 = 0 THEN 'inspection-only runtime/vendor fragment' WHEN k % 4 = 0 THEN 'WASM/runtime bridge' WHEN k % 4 = 1 THEN 'render/vendor runtime' WHEN k % 4 = 2 THEN 'runtime-signaled code' ELSE 'unknown/app-candidate' END AS owner FROM p"""))
+def part_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _parts(spark, sf_dir, **_PLACED_PART)
+    rows = rows.withColumn("signals", F.when(F.col("signal").isNotNull(), F.array(F.struct(F.col("signal").alias("id"), F.lit("r").alias("role"), F.lit("r").alias("category")))))
+    return N.ownership(N.structure(rows)).select("k", "bucket", "owner")
