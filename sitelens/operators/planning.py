@@ -157,3 +157,66 @@ def ownership(parts: DataFrame) -> DataFrame:
         owner, handling = F.when(holds, name).otherwise(owner), F.when(holds, action).otherwise(handling)
     set_aside = F.coalesce("fragment", F.lit(False)) | ~F.coalesce("runnable", F.lit(True))
     return parts.withColumn("owner", F.when(set_aside, INSPECTED[0]).otherwise(owner)).withColumn("handling", F.when(set_aside, INSPECTED[1]).otherwise(handling))
+
+
+#: Packages that a recovered project is cut into, and the dependencies each may have.
+PACKAGES = [
+    ("app-shell", ("react", "react-dom", "react-router-dom", "@react-three/fiber", "three")),
+    ("compiler-runtime", ()),
+    ("bundler-runtime", ()),
+    ("wasm-runtime", ()),
+    ("worker-runtime", ()),
+    ("framework-runtime", ("react", "react-dom")),
+    ("editor", ("react", "react-dom", "monaco-editor", "highlight.js")),
+    ("viewport", ("react", "@react-three/fiber", "three", "leva")),
+    ("cad-kernel", ("three",)),
+    ("model-project", ()),
+    ("support", ()),
+]
+#: What an asset's name says about its package's status, in order.
+STATUS_SIGNS = [
+    (r"(?i)vendor-(?:typescript-compiler|babel-standalone|prettier-standalone|monaco-editor)", "inspection-fragments"),
+    (r"(?i)runtime-|worker-runtime|wasm-runtime|bundler-runtime", "preserved-runtime"),
+    (r"(?i)evalWorker|cameraState", "preserved-runtime"),
+]
+
+
+def package_boundaries(assets: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """(position, package, assets, best, deps, status): one row for each package, in order.
+
+    assets: (asset, package, score), of which a package that isn't listed counts as support;
+    dependencies: (name). Of support there is a row only if it has assets. deps are those of
+    the package that were detected, in the package's order.
+    """
+    spark = assets.sparkSession
+    listed = spark.createDataFrame([(k, name, list(deps)) for k, (name, deps) in enumerate(PACKAGES)], "position int, package string, wanted array<string>")
+    key = F.when(F.col("package").isin([name for name, _ in PACKAGES]), F.col("package")).otherwise("support")
+    marks = [F.max(F.col("asset").rlike(sign)).alias(f"_sign{k}") for k, (sign, _) in enumerate(STATUS_SIGNS)]
+    held = assets.groupBy(key.alias("_package")).agg(F.count("*").alias("assets"), F.max("score").alias("best"), *marks)
+    rows = listed.join(held, F.col("package") == F.col("_package"), "left").filter((F.col("assets") > 0) | (F.col("package") != "support"))
+    wanted = rows.select("position", F.posexplode("wanted").alias("at", "name")).join(dependencies.select("name").distinct(), "name", "left_semi")
+    deps = wanted.groupBy(F.col("position").alias("_position")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda d: d["name"]).alias("deps"))
+    status = F.lit("coarse-split")
+    for k, (_, name) in reversed(list(enumerate(STATUS_SIGNS))):
+        status = F.when(F.col(f"_sign{k}"), name).otherwise(status)
+    out = rows.join(deps, F.col("position") == F.col("_position"), "left")
+    return out.select("position", "package", F.coalesce("assets", F.lit(0)).alias("assets"), "best", F.coalesce("deps", F.array().cast("array<string>")).alias("deps"), status.alias("status"))
+
+
+def wasm_contracts(files: DataFrame) -> DataFrame:
+    """(wasm, file, locates, instantiates, specificity): binary modules with the scripts that name them.
+
+    files: (path, content). Of modules of one name, the one below ``public`` counts, else the
+    first path. Scripts meet modules on the names they mention, so no pair is tried in vain.
+    """
+    name = F.regexp_extract("path", r"([^/]*)\z", 1)
+    public = ~F.col("path").rlike("(?:^|/)public/")
+    modules = files.filter(F.lower("path").endswith(".wasm")).groupBy(name.alias("_name")).agg(F.min_by("path", F.struct(public, F.col("path"))).alias("wasm"))
+    text = F.col("content")
+    locates = text.rlike(r"locateFile\s*[:=]\s*(?:function|\([^)]*\)\s*=>|[A-Za-z_$][\w$]*)")
+    instantiates = text.rlike(r"WebAssembly\.(?:instantiate|compile)")
+    scripts = files.filter(F.lower("path").rlike(r"\.(?:js|mjs|cjs)\z"))
+    mentioned = F.array_distinct(F.regexp_extract_all(text, F.lit(r"([\w.$~-]+\.wasm)\b"), 1))
+    named = scripts.select(F.col("path").alias("file"), locates.alias("locates"), instantiates.alias("instantiates"), F.explode(mentioned).alias("_mention"))
+    specificity = 4 + F.when(F.col("locates"), 2).otherwise(0) + F.when(F.col("instantiates"), 1).otherwise(0)
+    return named.join(modules, F.col("_mention") == F.col("_name")).select("wasm", "file", "locates", "instantiates", specificity.alias("specificity"))

@@ -379,3 +379,29 @@ def part_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _parts(spark, sf_dir, **_PLACED_PART)
     rows = rows.withColumn("signals", F.when(F.col("signal").isNotNull(), F.array(F.struct(F.col("signal").alias("id"), F.lit("r").alias("role"), F.lit("r").alias("category")))))
     return N.ownership(N.structure(rows)).select("k", "bucket", "owner")
+
+
+_ASSET = {
+    "asset": "CASE k % 10 WHEN 0 THEN 'x/vendor-monaco-editor.' || k || '.js' WHEN 1 THEN 'x/runtime-' || k || '.js' WHEN 2 THEN 'x/cameraState.js' ELSE 'x/' || a || k || '.js' END",
+    "package": "CASE k % 10 WHEN 0 THEN 'editor' WHEN 1 THEN 'bundler-runtime' WHEN 2 THEN 'viewport' WHEN 3 THEN 'unheard-of' WHEN 4 THEN 'editor' ELSE 'app-shell' END",
+}
+
+
+@query(_sql("""SELECT t.package, coalesce(g.assets, 0) AS assets, g.best, t.deps, CASE t.package WHEN 'editor' THEN 'inspection-fragments' WHEN 'bundler-runtime' THEN 'preserved-runtime' WHEN 'viewport' THEN 'preserved-runtime' ELSE 'coarse-split' END AS status
+ FROM (VALUES ('app-shell', 'react,three'), ('compiler-runtime', ''), ('bundler-runtime', ''), ('wasm-runtime', ''), ('worker-runtime', ''), ('framework-runtime', 'react'), ('editor', 'react,highlight.js'), ('viewport', 'react,three'), ('cad-kernel', 'three'), ('model-project', ''), ('support', '')) AS t(package, deps)
+ LEFT JOIN (SELECT CASE package WHEN 'unheard-of' THEN 'support' ELSE package END AS package, count(*) AS assets, max(n) AS best FROM f GROUP BY 1) g USING (package)""", **_ASSET))
+def package_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _parts(spark, sf_dir, **_ASSET)
+    found = rows.selectExpr("CASE k % 4 WHEN 0 THEN 'three' WHEN 1 THEN 'highlight.js' WHEN 2 THEN 'react' ELSE 'other' || k END AS name")
+    out = N.package_boundaries(rows.selectExpr("asset", "package", "n AS score"), found)
+    return out.select("package", "assets", "best", F.array_join("deps", ",").alias("deps"), "status")
+
+
+@query(_sql("""SELECT 'public/' || (k - k % 5) || '.wasm' AS wasm, 'js/' || k || '.js' AS file, k % 2 = 0 AS locates, k % 3 = 0 AS instantiates, 4 + CASE WHEN k % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS specificity FROM f WHERE k % 7 <> 0"""))
+def wasm_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = "CASE WHEN k % 2 = 0 THEN 'locateFile: x, ' ELSE '' END || CASE WHEN k % 3 = 0 THEN 'WebAssembly.instantiate(b); ' ELSE '' END || CASE WHEN k % 7 <> 0 THEN 'load(\"./' || (k - k % 5) || '.wasm\"); \"gone.wasm\"' ELSE '' END"
+    rows = _parts(spark, sf_dir, code=code)
+    files = rows.selectExpr("'js/' || k || '.js' AS path", "code AS content")
+    for folder in ("other", "public"):
+        files = files.unionByName(rows.filter("k % 5 = 0").selectExpr(f"'{folder}/' || k || '.wasm' AS path", "CAST(NULL AS STRING) AS content"))
+    return N.wasm_contracts(files)
