@@ -32,7 +32,7 @@ def readiness(parts: DataFrame) -> DataFrame:
         size = F.when((F.col("lines") > 0) & (F.col("lines") < most), points).otherwise(size)
     score = F.lit(READY_START) + yes(F.col("semantic"), p["semantic"]) + yes(~F.coalesce("fragment", F.lit(False)), p["whole"]) + yes(F.coalesce("runnable", F.lit(True)), p["runnable"]) + size
     score = score + yes(F.col("candidate"), p["candidate"]) + yes(F.col("declarations") > 0, p["declares"]) + yes(F.col("file").rlike(LIKELY_NAMES), p["named"])
-    score = score + F.coalesce(F.least(F.lit(0.12), F.col("exports") / 100), F.lit(0.0))
+    score = score + F.least(F.lit(0.12), F.coalesce("exports", F.lit(0)) / 100)
     score = score - F.when(F.col("runtime").isin(*OPEN_RUNTIMES), 0.04).when(F.col("runtime").isNotNull(), 0.14).otherwise(0.0) - yes(F.col("embedded"), 0.12)
     score = F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.95), score)), 6)
     label = F.lit("preserve-first")
@@ -203,6 +203,11 @@ def package_boundaries(assets: DataFrame, dependencies: DataFrame) -> DataFrame:
     return out.select("position", "package", F.coalesce("assets", F.lit(0)).alias("assets"), "best", F.coalesce("deps", F.array().cast("array<string>")).alias("deps"), status.alias("status"))
 
 
+#: How a script places a binary module's file, and how it starts the module.
+LOCATES = r"locateFile\s*[:=]\s*(?:function|\([^)]*\)\s*=>|[A-Za-z_$][\w$]*)"
+INSTANTIATES = r"WebAssembly\.(?:instantiate|compile)"
+
+
 def wasm_contracts(files: DataFrame) -> DataFrame:
     """(wasm, file, locates, instantiates, specificity): binary modules with the scripts that name them.
 
@@ -213,8 +218,7 @@ def wasm_contracts(files: DataFrame) -> DataFrame:
     public = ~F.col("path").rlike("(?:^|/)public/")
     modules = files.filter(F.lower("path").endswith(".wasm")).groupBy(name.alias("_name")).agg(F.min_by("path", F.struct(public, F.col("path"))).alias("wasm"))
     text = F.col("content")
-    locates = text.rlike(r"locateFile\s*[:=]\s*(?:function|\([^)]*\)\s*=>|[A-Za-z_$][\w$]*)")
-    instantiates = text.rlike(r"WebAssembly\.(?:instantiate|compile)")
+    locates, instantiates = text.rlike(LOCATES), text.rlike(INSTANTIATES)
     scripts = files.filter(F.lower("path").rlike(r"\.(?:js|mjs|cjs)\z"))
     mentioned = F.array_distinct(F.regexp_extract_all(text, F.lit(r"([\w.$~-]+\.wasm)\b"), 1))
     named = scripts.select(F.col("path").alias("file"), locates.alias("locates"), instantiates.alias("instantiates"), F.explode(mentioned).alias("_mention"))
