@@ -224,3 +224,49 @@ def wasm_contracts(files: DataFrame) -> DataFrame:
     named = scripts.select(F.col("path").alias("file"), locates.alias("locates"), instantiates.alias("instantiates"), F.explode(mentioned).alias("_mention"))
     specificity = 4 + F.when(F.col("locates"), 2).otherwise(0) + F.when(F.col("instantiates"), 1).otherwise(0)
     return named.join(modules, F.col("_mention") == F.col("_name")).select("wasm", "file", "locates", "instantiates", specificity.alias("specificity"))
+
+
+#: Names of helpers, components and dependencies that a focused extraction looks for, and how many it lists.
+HELPER_NAMES = r"^(?:is|has|get|set|normalize|collect|build|derive|format|match|confirm|key|pluralize|smart|wait)|^[A-Z0-9_]+\z"
+COMPONENT_NAMES = r"^[A-Z][A-Za-z0-9_$]*\z"
+KEPT_NAMES = r"^(?:reactExports|jsxRuntimeExports|React|use[A-Z]|authFetch|showToast|fileSystem|navigate|window|document|navigator|URL|Blob|CSS|confirm)\z"
+MOST_NAMES, MOST_KEPT = 24, 32
+
+
+def focus_packets(candidates: DataFrame, focus: str) -> DataFrame:
+    """(file, first_line, last_line, helpers, components, kept) of the files whose candidates match a word.
+
+    candidates: file, at (their order), first_line, last_line, declarations, externals (arrays).
+    Names stand in the order they are first seen.
+    """
+    told = F.contains(F.lower(F.concat_ws(" ", "file", F.array_join("declarations", " "))), F.lit(focus.lower()))
+    names = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce(c, F.array().cast("array<string>")).alias("names")))), lambda x: x["names"])))
+    rows = candidates.filter(told).groupBy("file").agg(
+        F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), names("declarations").alias("_declared"), names("externals").alias("_external")
+    )
+    named = lambda c, sign, most: F.slice(F.filter(c, lambda n: n.rlike(sign)), F.lit(1), F.lit(most))
+    return rows.select("file", "first_line", "last_line", named("_declared", HELPER_NAMES, MOST_NAMES).alias("helpers"), named("_declared", COMPONENT_NAMES, MOST_NAMES).alias("components"), named("_external", KEPT_NAMES, MOST_KEPT).alias("kept"))
+
+
+#: Outputs of so many files with a larger share of tiny ones, files of so few lines, and the least share of source-like files.
+MANY_FILES, TINY_SHARE, TINY_FILE_LINES, SOURCE_SHARE = 100, 0.25, 3, 0.35
+
+
+def audit(parts: DataFrame) -> DataFrame:
+    """(code, severity, priority, n): the warnings that hold for a table of split parts, by priority.
+
+    parts: output, lines, candidate, fragment, exports (a count). n is how many outputs or parts
+    the warning is about. Null flags count as no, null counts as 0.
+    """
+    candidate, fragment = F.coalesce("candidate", F.lit(False)), F.coalesce("fragment", F.lit(False))
+    tiny = candidate & ~fragment & (F.coalesce("lines", F.lit(0)) <= TINY_FILE_LINES) & (F.coalesce("exports", F.lit(0)) == 0)
+    outputs = parts.groupBy("output").agg(F.count("*").alias("files"), F.count_if(tiny).alias("tiny"), F.count_if(candidate & ~fragment).alias("sources"), F.count_if(fragment).alias("fragments"))
+    noisy = (F.col("files") >= MANY_FILES) & (F.col("tiny") / F.col("files") > TINY_SHARE)
+    total = outputs.agg(F.count_if(noisy).alias("noisy"), F.coalesce(F.sum("fragments"), F.lit(0)).alias("fragments"), F.coalesce(F.sum("sources"), F.lit(0)).alias("sources"), F.coalesce(F.sum("files"), F.lit(0)).alias("files"))
+    warning = lambda holds, code, severity, priority, n: F.when(holds, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(priority).alias("priority"), n.cast("long").alias("n")))
+    found = [
+        warning(F.col("fragments") > 0, "preserved-runtime-fragments", "info", 2, F.col("fragments")),
+        warning(F.col("noisy") > 0, "many-tiny-helper-modules", "info", 3, F.col("noisy")),
+        warning((F.col("files") > 0) & (F.col("sources") / F.col("files") < SOURCE_SHARE), "low-source-candidate-ratio", "warning", 1, F.col("sources")),
+    ]
+    return total.select(F.explode(F.array_compact(F.array(*found))).alias("w")).select("w.*").orderBy("priority", "code")

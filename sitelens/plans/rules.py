@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.durable import shared_folder
+from sitelens.functions import html as H
 from sitelens.functions import paths as P
 from sitelens.functions import predicates as Q
 from sitelens.functions import text as X
@@ -405,3 +406,35 @@ def wasm_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     for folder in ("other", "public"):
         files = files.unionByName(rows.filter("k % 5 = 0").selectExpr(f"'{folder}/' || k || '.wasm' AS path", "CAST(NULL AS STRING) AS content"))
     return N.wasm_contracts(files)
+
+
+_INDEX = {
+    "path": "CASE WHEN k % 50 = 7 THEN a || '/' || k || '/index.html' ELSE a || k || '.html' END",
+    "content": "'<html><head x=\"a>b\"><link rel=preload href=\"/f' || k || '.woff2?v=1\"><link href=/s.css></head><body><header class=h>' || a || '</header><script src=\"https://www.googletagmanager.com/x?id=G-AB' || k || '\"></script><footer>' || b || '</footer></body></html>'",
+}
+
+
+@query(_sql("""SELECT '<link rel=preload href="/f' || k || '.woff2?v=1"><link href=/s.css>' AS head, '<header class=h>' || a || '</header>' AS navigation, '<footer>' || b || '</footer>' AS footer, '/f' || k || '.woff2?v=1' AS fonts, 'google-analytics G-AB' || k AS integrations
+ FROM f WHERE k % 50 = 7 ORDER BY path LIMIT 1""", **_INDEX))
+def site_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = H.layout_parts(_parts(spark, sf_dir, **_INDEX))
+    shown = F.array_join(F.transform("integrations", lambda i: F.concat_ws(" ", i["name"], i["package"], i["config"])), ",")
+    return found.select("head", "navigation", "footer", F.array_join("fonts", ",").alias("fonts"), shown.alias("integrations"))
+
+
+@query(_sql("SELECT b || '.js' AS file, min(n) AS first_line, max(n) + 9 AS last_line, least(24, count(*)) AS helpers, 1 AS components, 'React,window' AS kept FROM f WHERE a = 'red' GROUP BY b"))
+def focused_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a word, with the first helpers of each; those of other words are left out."""
+    rows = _parts(spark, sf_dir, file="b || '.js'", declarations="array('get' || a || k, 'Card', 'plain')", externals="array('React', 'window', 'q' || k)")
+    rows = rows.withColumn("at", F.col("k")).withColumn("first_line", F.col("n")).withColumn("last_line", F.col("n") + 9)
+    found = N.focus_packets(rows, "getRED")
+    return found.select("file", "first_line", "last_line", F.size("helpers").alias("helpers"), F.size("components").alias("components"), F.array_join("kept", ",").alias("kept"))
+
+
+@query(_sql(""", o AS (SELECT a, count(*) AS files, count(*) FILTER (k % 3 = 0 AND k % 8 <> 0 AND n <= 3 AND k % 2 = 0) AS tiny, count(*) FILTER (k % 3 = 0 AND k % 8 <> 0) AS sources, count(*) FILTER (k % 8 = 0) AS fragments FROM f GROUP BY a),
+ t AS (SELECT count(*) FILTER (files >= 100 AND tiny / files > 0.25) AS noisy, sum(fragments) AS fragments, sum(sources) AS sources, sum(files) AS files FROM o)
+SELECT 'preserved-runtime-fragments' AS code, 'info' AS severity, 2 AS priority, CAST(fragments AS BIGINT) AS n FROM t WHERE fragments > 0 UNION ALL SELECT 'many-tiny-helper-modules', 'info', 3, noisy FROM t WHERE noisy > 0
+ UNION ALL SELECT 'low-source-candidate-ratio', 'warning', 1, CAST(sources AS BIGINT) FROM t WHERE files > 0 AND sources / files < 0.35"""))
+def quality_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _parts(spark, sf_dir, output="a", lines="n", candidate="k % 3 = 0", fragment="k % 8 = 0", exports="CASE WHEN k % 2 = 0 THEN 0 ELSE 2 END")
+    return N.audit(rows)

@@ -1,5 +1,6 @@
 """Scores, roles and boundaries on literal rows, nulls and empty tables included."""
 
+from sitelens.functions import html
 from sitelens.operators import planning
 
 
@@ -32,3 +33,18 @@ def test_boundaries_roles_and_contracts_of_empty_tables(spark):
     assert {r.file_id: (r.role, r.pages) for r in planning.bundle_roles(files, pages).collect()} == {"f": ("page-script", 1), "g": ("unknown", 0)}
     mixed = spark.createDataFrame([("x/m.wasm", None), ("y/public/m.wasm", None), ("l.js", 'fetch("m.wasm"); fetch("n.wasm")'), ("k.js", None)], "path string, content string")
     assert [(r.wasm, r.file, r.specificity) for r in planning.wasm_contracts(mixed).collect()] == [("y/public/m.wasm", "l.js", 4)]
+
+
+def test_layout_packets_and_audit_of_odd_tables(spark):
+    pages = spark.createDataFrame([("b/index.html", "<html>"), ("a/index.html", None), ("z.html", "<head>x</head>")], "path string, content string")
+    (row,) = html.layout_parts(pages).collect()
+    assert (row.head, row.navigation, row.footer, row.fonts, row.integrations) == ("", None, None, [], [])
+    assert html.layout_parts(pages.filter("path = 'z.html'")).count() == 0
+    schema = "file string, at int, first_line int, last_line int, declarations array<string>, externals array<string>"
+    rows = spark.createDataFrame([("Tree.js", 2, 5, 9, ["isOpen", "Tree"], None), ("Tree.js", 1, None, None, ["getX", "isOpen"], ["React", "useState"]), ("x.js", 1, 1, 2, None, None), (None, 1, 1, 2, ["treeLike"], [])], schema)
+    got = {r.file: (r.first_line, r.last_line, r.helpers, r.components, r.kept) for r in planning.focus_packets(rows, "TREE").collect()}
+    assert got == {"Tree.js": (5, 9, ["getX", "isOpen"], ["Tree"], ["React"]), None: (1, 2, [], [], [])}
+    schema = "output string, lines int, candidate boolean, fragment boolean, exports int"
+    tiny = spark.createDataFrame([("o", 1, True, None, None)] * 60 + [("o", None, None, None, None)] * 60 + [(None, 5, False, True, 1)], schema)
+    assert [(r.code, r.n) for r in planning.audit(tiny).collect()] == [("preserved-runtime-fragments", 1), ("many-tiny-helper-modules", 1)]
+    assert planning.audit(tiny.limit(0)).count() == 0
