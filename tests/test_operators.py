@@ -181,3 +181,14 @@ def test_fingerprints(spark):
     assert [(r.file_id, r.id) for r in P.primary_signal(P.signals(files)).collect()] == [("1", "worker-runtime")]
     assert [(r.file_id, r.id) for r in P.signals(files, P.DEPENDENCIES).collect()] == [("1", "react-dom")]
     assert P.module_type(files).first().type == "module"
+
+
+def test_long_chains_and_tags_take_no_stack(spark):
+    chain = ", ".join(f"void 0 === a{k} && (a{k} = {k})" for k in range(5000))
+    files = spark.createDataFrame([("f", f"x; {chain};"), ("g", "void 0===a&&(a=1)")], "file_id string, content string")
+    found = [r for r in findings.matches(files).collect() if r.category == "Comma Operator Chain"]
+    assert [(r.file_id, r.value) for r in found] == [("f", chain)]
+    h = F.col("h")
+    long = "a='b' c " * 20_000
+    assert one(spark, html.linked_scripts(h), h=f"<script {long}src=x></script><script {long}") == ["x"]
+    assert one(spark, html.meta_tags(h), h=f"<meta {long}name=x content=y>") == {"x": "y"}
