@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, infill, langid, licenses, media, packing, pii, quality, simhash, toxicity, wrappers
+from . import decontaminate, infill, langid, licenses, media, packing, pii, quality, simhash, toxicity, warc, wrappers
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -15,7 +15,12 @@ QUERIES = {
     "op8_language": langid.op8_language,
     "op9_quality": quality.op9_quality,
     "op10_simhash": simhash.op10_simhash,
+    "op11_warc": warc.op11_warc,
     "op12_infill": infill.op12_infill,
 }
 
-ORACLES: dict[str, str] = {"op5_decontamination": decontaminate.ORACLE_SQL, "op12_infill": infill.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op5_decontamination": decontaminate.ORACLE_SQL,
+    "op11_warc": warc.ORACLE_SQL,
+    "op12_infill": infill.ORACLE_SQL,
+}
