@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, infill, langid, licenses, media, packing, pii, quality, simhash, toxicity, warc, wrappers
+from . import decontaminate, infill, langid, licenses, media, packing, pii, quality, search, simhash, toxicity, warc, wrappers
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
     "op11_warc": warc.op11_warc,
     "op12_infill": infill.op12_infill,
+    "op13_search": search.op13_search,
 }
 
 ORACLES: dict[str, str] = {
     "op5_decontamination": decontaminate.ORACLE_SQL,
     "op11_warc": warc.ORACLE_SQL,
     "op12_infill": infill.ORACLE_SQL,
+    "op13_search": search.ORACLE_SQL,
 }
