@@ -33,8 +33,8 @@ DEFAULT_KEY = "example-key"
 MOST_LITERALS = 2_000
 #: Real values may be this share of what a digit format can write; beyond, the format is permuted.
 DENSE = 0.25
-#: Rounds in a row that may settle nothing.
-IDLE_DRAWS = 50
+#: After so many rounds in a row that settle nothing, the formats of what is left are permuted.
+IDLE_DRAWS = 8
 
 _LETTER_OR_DIGIT = r"\p{L}\p{N}"
 _ALONE, _END = rf"(?<![{_LETTER_OR_DIGIT}])", rf"(?![{_LETTER_OR_DIGIT}])"
@@ -190,13 +190,17 @@ def _country_code(value: Column) -> Column:
     return F.regexp_extract(value, r"^\+(?:\d{1,3}(?!\d)|[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})", 0)
 
 
+#: The end of a phone number whose exchange is kept.
+FICTIONAL = r"555-\d{4}\z"
+
+
 def _phone(value: Column, digest: Column) -> Column:
     """All digits but the country code; an exchange of 555 stays."""
     code = _country_code(value)
     rest = F.substring(value, F.length(code) + 1, F.length(value))
     drawn = _letters(rest, digest)
     fictional = F.concat(F.regexp_extract(drawn, r"^(.*?)\d{3}-\d{4}\z", 1), F.lit("555-"), F.substring(drawn, F.length(drawn) - 3, F.lit(4)))
-    return F.concat(code, F.when(rest.rlike(r"555-\d{4}\z"), fictional).otherwise(drawn))
+    return F.concat(code, F.when(rest.rlike(FICTIONAL), fictional).otherwise(drawn))
 
 
 def _ip(value: Column, digest: Column, draw: Column) -> Column:
@@ -286,6 +290,8 @@ def _format(value: Column, kind: Column) -> Column:
     octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]\d|\d)"
     code = _country_code(value)
     rest = F.regexp_replace(F.substring(value, F.length(code) + 1, F.length(value)), "[0-9]", "0")
+    fictional = F.concat(F.substring(rest, F.lit(1), F.length(rest) - 8), F.lit("555-0000"))  # what _phone keeps is not drawn
+    rest = F.when((kind == "phone") & value.rlike(FICTIONAL), fictional).otherwise(rest)
     phone = F.when(kind == "phone", F.concat(code, F.lit("|"), rest))
     return F.when(kind.isin("phone", "ssn"), F.coalesce(phone, rest)).when((kind == "ip") & value.rlike(rf"^(?:{octet}\.){{3}}{octet}\z"), F.lit("octets"))
 
@@ -294,6 +300,7 @@ def _with_halves(values: DataFrame) -> DataFrame:
     """Add the value's drawn digits, or octets, as two numbers, low below ``low_end`` and high below ``high_end``."""
     octets = F.transform(F.split("value", r"\."), lambda x: x.cast("long"))
     rest = F.when(F.col("kind") == "phone", F.substring(F.col("value"), F.length(_country_code(F.col("value"))) + 1, F.length("value"))).otherwise(F.col("value"))
+    rest = F.when(F.col("kind") == "phone", F.regexp_replace(rest, r"555-(\d{4})\z", "$1")).otherwise(rest)
     out = values.withColumn("digits", F.regexp_replace(rest, "[^0-9]", "")).withColumn("cut", F.floor(F.length("digits") / 2).cast("int"))
     number = lambda text: F.coalesce(F.when(text != "", text).cast("long"), F.lit(0))
     ip, ten = F.col("kind") == "ip", F.lit(10.0)
@@ -335,24 +342,45 @@ def permuted(values: DataFrame, key: str) -> DataFrame:
     return out.select("value", "kind", F.when(F.col("kind") == "ip", octets).otherwise(F.concat(code, F.array_join(filled, ""))).alias("surrogate"))
 
 
+def _formed(known: DataFrame) -> DataFrame:
+    return known.withColumn("format", _format(F.col("value"), F.col("kind"))).filter("format is not null")
+
+
 def _dense(known: DataFrame) -> DataFrame:
     """(value, kind, format) of the values whose formats are filled too far to draw from."""
-    formed = known.withColumn("format", _format(F.col("value"), F.col("kind"))).filter("format is not null")
+    formed = _formed(known)
     size = F.when(F.col("kind") == "ip", F.lit(2.0**32)).otherwise(F.pow(F.lit(10.0), F.length(F.regexp_replace(F.substring_index("format", "|", -1), "[^0]", ""))))
     full = formed.groupBy("kind", "format").agg(F.count("*").alias("n")).filter(F.col("n") > DENSE * size).drop("n")
     return durable(formed.join(durable(full), ["kind", "format"], "left_semi").select("value", "kind", "format"))
 
 
+def _aliases(known: DataFrame) -> DataFrame:
+    """(value, kind, as): given names after a title without gender that the corpus has with titles of one gender."""
+    named = known.filter(F.col("kind").isin("given_m", "given_f", "given_n"))
+    of = named.groupBy("value").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))  # three at most
+    of = of.filter((F.size("kinds") == 2) & F.array_contains("kinds", "given_n"))
+    return of.select("value", F.lit("given_n").alias("kind"), F.get("kinds", F.lit(0)).alias("as"))
+
+
 def redraws(docs: DataFrame, key: str, text: str = "text", draw: Callable = surrogate) -> DataFrame | None:
-    """(value, kind, surrogate) of the values that have another surrogate than their first draw; None if there are none."""
+    """(value, kind, surrogate) of the values that have another surrogate than their first draw; None if there are none.
+
+    A given name after a title without gender has the surrogate that it has with a title of
+    the one gender that the corpus knows for it. Formats in which draws settle nothing more
+    are permuted as a whole, so every value gets a surrogate.
+    """
     found = docs.select(F.explode(F.array_distinct(_entities(_spans(F.col(text))))).alias("e")).select("e.*")
     known = durable(found.distinct())
     real = known.select(F.col("value").alias("taken")).distinct()
+    aliases = durable(_aliases(known))
+    named = not aliases.isEmpty()
     left, settled, moved = known, None, None
+    if named:
+        left = durable(known.join(aliases, ["value", "kind"], "left_anti"))
     dense = _dense(known)
     if not dense.isEmpty():
         settled = moved = durable(permuted(dense, key))
-        left = durable(known.join(dense.select("value", "kind"), ["value", "kind"], "left_anti"))
+        left = durable(left.join(dense.select("value", "kind"), ["value", "kind"], "left_anti"))
     k = idle = 0
     while not left.isEmpty():
         drawn = left.withColumn("surrogate", draw(F.col("value"), F.col("kind"), F.lit(k), key))
@@ -365,9 +393,19 @@ def redraws(docs: DataFrame, key: str, text: str = "text", draw: Callable = surr
         moved = moved if k == 0 else won if moved is None else moved.unionByName(won)
         left = durable(left.join(won, ["value", "kind"], "left_anti"))
         idle = idle + 1 if won.isEmpty() else 0
-        if idle > IDLE_DRAWS:
-            raise ValueError(f"{IDLE_DRAWS} draws in a row found no surrogate that is free")
+        if idle >= IDLE_DRAWS:
+            full = durable(_formed(left).select("kind", "format").distinct())
+            whole = durable(_formed(known).join(full, ["kind", "format"], "left_semi").select("value", "kind", "format"))
+            turned, idle = durable(permuted(whole, key)), 0
+            others = lambda rows: rows.join(whole.select("value", "kind"), ["value", "kind"], "left_anti")
+            settled = durable(others(settled).unionByName(turned))
+            moved = turned if moved is None else durable(others(moved).unionByName(turned))
+            left = durable(others(left))
         k += 1
+    if named:
+        shared = settled.select("value", F.col("kind").alias("as"), "surrogate")
+        shared = durable(aliases.join(shared, ["value", "as"]).select("value", "kind", "surrogate"))
+        moved = shared if moved is None else moved.unionByName(shared)
     return None if moved is None or moved.isEmpty() else moved
 
 

@@ -183,3 +183,32 @@ def test_other_columns_keep_their_names(spark):
     docs = spark.createDataFrame([(1, "write a@b.com", 2, 3, None)], "doc_id int, text string, _spans int, _own int, _drawn string")
     (row,) = pii.with_surrogates(docs).collect()
     assert row._spans == 2 and row._own == 3 and row._drawn is None and "a@b.com" not in row.text
+
+
+def replaced(spark, texts, **options):
+    new = names(spark, texts, **options)
+    assert len(set(new)) == len(set(texts)) and not any(a == b for a, b in zip(texts, new))
+    return new
+
+
+def test_fictional_numbers_that_fill_their_format(spark):
+    texts = [f"+1-555-{k:04}" for k in range(10_000)]
+    for most in (10_000, 5_000, 2_400):
+        new = replaced(spark, texts[:most])
+        assert all(re.fullmatch(r"\+1-555-\d{4}", t) for t in new)
+    new = replaced(spark, [f"{k % 1000:03}-555-{k:04}" for k in range(3_000)])
+    assert all(re.fullmatch(r"\d{3}-555-\d{4}", t) for t in new)
+
+
+def test_draws_that_settle_nothing_end_in_a_permutation(spark, monkeypatch):
+    monkeypatch.setattr(pii, "DENSE", 2.0)  # so that drawing goes on until nothing is free
+    monkeypatch.setattr(pii, "IDLE_DRAWS", 2)
+    new = replaced(spark, [f"+1-555-{k:04}" for k in range(10_000)] + [f"+49-555-{k:04}" for k in range(50)] + ["x@y.org"])
+    assert new[-1].endswith("@example.org") and all(re.fullmatch(r"\+\d{1,2}-555-\d{4}", t) for t in new[:-1])
+
+
+def test_one_person_under_two_titles(spark):
+    new = names(spark, ["Dr Maria Silva and Mrs Maria Silva", "Prof Maria Stone", "Dr Kim Lee", "Mr Kim Lee", "Mrs Kim Lee", "Dr Ana Silva"])
+    given = re.fullmatch(r"Dr (\w+) (\w+) and Mrs (\w+) (\w+)", new[0]).groups()
+    assert given[:2] == given[2:] and new[1].split()[1] == given[0] and new[5].split()[2] == given[1]
+    assert len({t.split()[1] for t in new[2:5]}) == 3  # two genders: the title without one keeps a name of its own
