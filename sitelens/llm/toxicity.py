@@ -63,26 +63,6 @@ IDENTITY_GROUPS: dict[str, tuple[str, ...]] = {
 TERMS = sorted({t for group in IDENTITY_GROUPS.values() for t in group})
 GROUP_OF = {t: group for group in IDENTITY_GROUPS.values() for t in group}
 
-_WORDS = 50.0, 30
-CACHE_ENTRIES = 200_000
-
-#: Groups of identity terms that can stand for each other; the first is the neutral noun.
-IDENTITY_GROUPS: dict[str, tuple[str, ...]] = {
-    "gender": ("people", "women", "men", "girls", "boys", "transgender", "nonbinary", "females", "males"),
-    "person": ("person", "woman", "man", "girl", "boy"),
-    "religion": ("believers", "muslims", "christians", "jews", "hindus", "buddhists", "sikhs", "atheists", "catholics", "protestants"),
-    "faith": ("religious", "muslim", "christian", "jewish", "hindu", "buddhist", "sikh", "atheist", "catholic", "protestant"),
-    "origin": ("local", "african", "american", "arab", "asian", "chinese", "european", "french", "german", "indian", "irish", "italian", "japanese", "latino", "mexican", "polish", "russian", "spanish", "turkish"),
-    "colour": ("human", "black", "white", "brown", "indigenous"),
-    "orientation": ("adult", "gay", "lesbian", "bisexual", "straight", "heterosexual", "homosexual", "queer"),
-    "condition": ("resident", "disabled", "deaf", "blind", "autistic", "elderly", "young"),
-    "status": ("residents", "immigrants", "refugees", "migrants", "foreigners", "citizens"),
-    "fr": ("personnes", "femmes", "hommes", "musulmans", "juifs", "chrétiens", "immigrés", "étrangers"),
-    "de": ("menschen", "frauen", "männer", "muslime", "juden", "christen", "ausländer", "flüchtlinge"),
-    "es": ("personas", "mujeres", "hombres", "musulmanes", "judíos", "cristianos", "inmigrantes", "extranjeros"),
-}
-SWAPS = {t: tuple(o for o in group if o != t) for group in IDENTITY_GROUPS.values() for t in group}
-
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
