@@ -18,9 +18,11 @@ from .common import cased_words, durable, fits, private, table, word_lower
 WINDOW = 13
 #: Words of each window whose document frequency is counted; the rarest within the benchmark go first.
 RIVALS = 3
-#: Up to so many prefix words documents are filtered with a literal set and the windows are
-#: broadcast; beyond, the positions of all words are matched by a shuffle, and only texts with a match move.
+#: Up to so many prefix words documents are filtered with a literal set; beyond, the
+#: positions of all words are matched by a shuffle, and only texts with a match move.
 MOST_LITERALS = 20_000
+#: Up to so many windows of so many bytes in all are broadcast; beyond, places meet them in a shuffle.
+MOST_WINDOWS, MOST_WINDOW_BYTES = 200_000, 32 << 20
 #: Up to so many contaminated texts the drop list is broadcast.
 MOST_DROPPED = 200_000
 
@@ -45,6 +47,12 @@ def _vocabulary(words: DataFrame) -> list[str] | None:
     return [r[0] for r in found.collect()] if fits(found, MOST_LITERALS) else None
 
 
+def _few(prefix: DataFrame) -> bool:
+    """Whether the windows may be broadcast: many of them can share few prefix words."""
+    n, size = prefix.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("window")), F.lit(0))).first()
+    return n <= MOST_WINDOWS and size <= MOST_WINDOW_BYTES
+
+
 def prefixes(windows: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """(window, word, skip, n): the rarest word of each window, its place in it, the window's words."""
     words = windows.select("window").distinct().select("window", F.split("window", " ").alias("words"))
@@ -92,7 +100,7 @@ def occurrences(docs: DataFrame, prefix: DataFrame, text: str = "text", window:
         base = base.withColumn("places", _places(F.col("words"), vocabulary))
     near = base.select("key", F.size("words").alias("n_words"), F.explode(F.transform("places", place)).alias("place"))
     near = near.select("key", "n_words", "place.*").withColumn("word", F.get("around", F.col("at") - F.col("first")))
-    found = near.join(prefix if vocabulary is None else F.broadcast(prefix), "word")
+    found = near.join(F.broadcast(prefix) if vocabulary is not None and _few(prefix) else prefix, "word")
     found = found.withColumn("start", F.col("at") - F.col("skip"))
     found = found.filter((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words")))
     there = F.concat_ws(" ", F.slice("around", F.col("start") - F.col("first") + 1, F.col("n")))

@@ -83,3 +83,25 @@ def test_query_against_sql(spark, small):
     rows = decontaminate.op5_decontamination(spark, small)
     assert sorted(rows.columns) == sorted(names)
     assert sorted(tuple(r[c] for c in names) for r in rows.collect()) == want
+
+
+def test_few_words_and_many_windows_are_shuffled(spark, monkeypatch):
+    import random
+
+    r = random.Random(3)
+    item = " ".join(r.choice("abc") for _ in range(400))
+    docs = spark.createDataFrame([(k, " ".join(r.choice("abc") for _ in range(30)) + " " + " ".join(item.split()[k : k + 20])) for k in range(60)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id int, text string")
+    wide = sorted(map(tuple, decontaminate.with_contamination(docs, items).collect()))
+    windows = decontaminate.item_windows(items)
+    assert windows.count() > 300
+    monkeypatch.setattr(decontaminate, "MOST_WINDOWS", 100)
+    prefix = decontaminate.prefixes(windows, docs)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = decontaminate.occurrences(docs, prefix)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert sorted(map(tuple, decontaminate.with_contamination(docs, items).collect())) == wide
+    assert [(i, n, h) for i, n, h, *_ in wide] == [(d.doc_id, *brute(d.text, [(1, item)])[:2]) for d in sorted(docs.collect())]
