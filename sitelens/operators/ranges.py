@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,47 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: l
     return found.select("_row.*", *[F.col(f"_found.{v}").alias(f"{v}_found" if v in ours else v) for v in values])
 
 
+def innermost(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, values: list[str]) -> DataFrame:
+    """Points with the values of the innermost interval [start, end) of their keys that holds them; nulls if none does.
+
+    Intervals of one key nest or are apart; equal ones count as one, of which any values
+    are given. One sorted pass keeps a stack of open intervals, so the cost is a sort and
+    memory the depth of nesting, however many rows a key has. Points with a null place or
+    key are in none.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in intervals.schema.fields}
+    a = points.select(*keys, F.col(at).cast("long").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_end"), F.struct(*points.columns).alias("_row"))
+    b = intervals.select(*keys, F.col(start).cast("long").alias("_at"), F.lit(0).alias("_side"), F.col(end).cast("long").alias("_end"), F.struct(*values).alias("_value"))
+    b = b.filter("_at is not null and _end is not null")
+    rows = a.unionByName(b, allowMissingColumns=True).repartition(*keys).sortWithinPartitions(*keys, "_at", "_side", F.desc("_end"))
+    out = points.schema
+    added = [(f"{v}_found" if v in points.columns else v, v) for v in values]
+    schema = f"_row {out.simpleString()}, _found struct<{', '.join(f'`{v}`: {kinds[v]}' for v in values)}>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, open_ = None, []
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(len(keys) + 3)]
+            value = batch.column(len(keys) + 4)
+            found, kept = [], []
+            for k, (*key, place, side, stop) in enumerate(zip(*columns)):
+                if key != group:
+                    group, open_ = key, []
+                while open_ and place is not None and open_[-1][0] <= place:
+                    open_.pop()
+                if side == 0:
+                    open_.append((stop, value[k].as_py()))
+                else:
+                    kept.append(k)
+                    found.append(open_[-1][1] if open_ and place is not None and None not in key else None)
+            if kept:
+                rows_ = batch.column(len(keys) + 3).take(pa.array(kept, pa.int64()))
+                yield pa.RecordBatch.from_arrays([rows_, pa.array(found, value.type)], names=["_row", "_found"])
+
+    done = rows.mapInArrow(run, schema)
+    return done.select("_row.*", *[F.col(f"_found.{v}").alias(name) for name, v in added])
+
+
 def merge_adjacent(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Ranges of one key that directly continue each other (next start = end + 1) become one."""
     order = Window.partitionBy(*keys).orderBy(start)
