@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelens.operators import edits as E
-from sitelens.operators import scopes
+from sitelens.operators import evidence, linking, modules, scopes
+from sitelens.plans.generated import _parts, _sql
 from sitelens.registry import query, table
+from sitelens.sources import sourcemaps as V
 
 #: A file f, its line i, two keys and a quantity.
 _LINE = {
@@ -115,3 +117,114 @@ def spliced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = E.checked(edits, files)
     counts = judged.groupBy("file_id").agg(F.count_if(F.col("reason") == "overlaps").alias("overlapping"), F.count("reason").alias("refused"))
     return E.spliced(files, judged.filter("reason is null")).join(counts, "file_id")
+
+
+_MAPPED = {
+    "map_id": "CAST(f AS VARCHAR(20))", "gen_line": "CAST(1 + (pk % 4) * 3 AS BIGINT)", "gen_column": "CAST((sk * 37 + i) % 1000 AS BIGINT)", "source": "CASE WHEN q % 7 <> 0 THEN concat('s', pk % 3, '.js') END",
+    "orig_line": "CASE WHEN q % 7 <> 0 THEN 1 + (pk * 31) % 10007 END", "orig_column": "CASE WHEN q % 7 <> 0 THEN (sk * 13) % 500 END", "name": "CASE WHEN q % 7 <> 0 AND q % 3 = 0 THEN concat('n', sk % 5) END",
+}
+
+
+@query(f"WITH {_LINES} SELECT " + ", ".join(f"{text} AS {name}" for name, text in _MAPPED.items()) + " FROM l")
+def encoded_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mappings of several lines, with deltas of either sign, written as map texts and read back."""
+    rows = _lines(spark, sf_dir).selectExpr(*[f"{text} AS {name}" for name, text in _MAPPED.items()])
+    return V.mappings(V.encoded_maps(rows))
+
+
+_TRANSFORMED = {"original": "repeat(concat(a, chr(10)), n % 4)", "transformed": "repeat(concat(b, chr(10)), k % 7)"}
+
+
+@query(_sql("""SELECT CAST(k AS VARCHAR) AS map_id, a || '.js' AS source, rtrim(array_to_string(list_transform(range(k % 7 + 1), lambda j: CASE WHEN n % 4 = 0 OR j = 0 THEN 'AAAA' WHEN j <= n % 4 THEN 'AACA' ELSE '' END), ';'), ';') AS mappings FROM f"""))
+def line_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line-to-line maps of transformed files; lines beyond the original's come from nowhere."""
+    rows = _parts(spark, sf_dir, **_TRANSFORMED).select(F.col("k").cast("string").alias("map_id"), F.concat("a", F.lit(".js")).alias("path"), "original", "transformed")
+    maps = V.encoded_maps(V.line_mappings(rows))
+    read = F.from_json("content", "sources array<string>, mappings string")
+    return maps.select("map_id", F.get(read["sources"], F.lit(0)).alias("source"), read["mappings"].alias("mappings"))
+
+
+_ITEM = {
+    "name": "CASE WHEN pk % 41 = 40 THEN '' ELSE concat('p', pk % 41) END", "version": "CASE q % 5 WHEN 0 THEN NULL WHEN 1 THEN '*' WHEN 2 THEN '' ELSE concat('1.', q % 4, '.', sk % 3) END",
+    "type": "CASE WHEN q % 11 = 0 THEN NULL ELSE concat('t', sk % 3) END", "detail": "CASE WHEN sk % 9 = 0 THEN '' ELSE concat('d', sk % 7) END", "file": "concat('f', f % 6)",
+    "weight": "CAST(q % 6 AS BIGINT)", "position": "CAST(f * 100 + i AS BIGINT)",
+}
+_ITEMS = f"{_LINES}, it AS (SELECT " + ", ".join(f"{text} AS {name}" for name, text in _ITEM.items()) + " FROM l)"
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).selectExpr(*[f"{text} AS {name}" for name, text in _ITEM.items()])
+
+
+@query(f"""WITH {_ITEMS}, n AS (SELECT name, nullif(version, '') AS version, coalesce(nullif(type, ''), 'fingerprint') AS type, detail, file, position FROM it WHERE name <> ''),
+ d AS (SELECT name, type, detail, file, version, min(position) AS position FROM n GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY position) AS rank FROM d)
+ SELECT name, coalesce(arg_min(version, position) FILTER (version <> '*'), '*') AS version, coalesce(nullif(arg_min(detail, position), ''), 'package evidence') AS evidence,
+  string_agg(type || ':' || detail || ':' || file || ':' || coalesce(version, ''), ' ' ORDER BY rank) FILTER (rank <= 20) AS items, count(*) AS n_items FROM r GROUP BY name""")
+def merged_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dependencies by name with their first version and evidence, bounded lists of it."""
+    found = evidence.merged_dependencies(_items(spark, sf_dir))
+    shown = F.transform("items", lambda x: F.concat_ws(":", x["type"], x["detail"], F.coalesce(x["file"], F.lit("")), F.coalesce(x["version"], F.lit(""))))
+    return found.select("name", "version", "evidence", F.array_join(shown, " ").alias("items"), "n_items")
+
+
+_PLACES = f"""{_ITEMS}, e AS (SELECT name AS package, file, coalesce(version, '') AS version, type, sum(CASE WHEN weight = 0 THEN 1 ELSE weight END) AS weight, min(position) AS position FROM it WHERE name <> '' GROUP BY ALL),
+ p AS (SELECT package, file, version, string_agg(type, '+' ORDER BY position) AS types, sum(weight) AS weight, min(position) AS position FROM e GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY package ORDER BY weight DESC, position) AS rank FROM p)"""
+
+
+@query(f"WITH {_PLACES} SELECT package, file, version, coalesce(types, '') AS types, CAST(weight AS BIGINT) AS weight, rank FROM r WHERE rank <= 12")
+def compacted_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve heaviest places of each package, with the kinds of evidence there."""
+    return evidence.compacted_evidence(_items(spark, sf_dir).withColumnRenamed("name", "package"))
+
+
+@query(f"""WITH {_PLACES}, v AS (SELECT name AS package, version, min(position) AS position FROM it WHERE name <> '' AND version <> '' GROUP BY ALL),
+ t AS (SELECT package, CAST(sum(weight) AS BIGINT) AS confidence FROM p GROUP BY package ORDER BY confidence DESC, package LIMIT 20)
+ SELECT t.package, confidence, (SELECT coalesce(string_agg(version, ',' ORDER BY position), '') FROM v WHERE v.package = t.package) AS versions, (SELECT count(*) FROM r WHERE r.package = t.package AND rank <= 12) AS places FROM t""")
+def vendor_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty packages with most evidence (the limit is the feature)."""
+    return evidence.vendor_candidates(_items(spark, sf_dir).withColumnRenamed("name", "package"))
+
+
+#: A module of a project of forty, with a static import and a dynamic one that may be of an asset, a page, a stub or nothing.
+_MODULE = {
+    "project": "CAST(floor(k / 40) AS BIGINT)", "path": "concat('m', k, '.js')", "static": "concat('m', CAST(floor(k / 40) AS BIGINT) * 40 + (k * 7 + n) % 40, '.js')",
+    "late": "CASE WHEN (k * 11 + n * 3) % 44 < 40 THEN concat('m', CAST(floor(k / 40) AS BIGINT) * 40 + (k * 11 + n * 3) % 44, '.js') ELSE concat('late', CAST(floor(k / 40) AS BIGINT), '_', (k * 11 + n * 3) % 44, '.js') END",
+}
+_MODULE_TEXT = "concat('import \"./', static, '\"; const l', k, ' = () => import(\"./', late, '\"); /* ', a, ' */')"
+_ASSET_TEXT = "CASE WHEN r = 41 THEN '<!DOCTYPE html>' ELSE concat('import(\"./m', project * 40, '.js\"); import(\"./deep', project, '.js\")') END"
+_LINKS = f"""WITH RECURSIVE p AS (SELECT p_partkey AS k, p_size AS n, split_part(p_name, ' ', 1) AS a FROM part), m AS (SELECT *, {", ".join(f"{text} AS {name}" for name, text in _MODULE.items())} FROM p),
+ j AS (SELECT DISTINCT project FROM m), files AS (SELECT path, {_MODULE_TEXT} AS content FROM m UNION ALL SELECT 'late' || project || '_40.js', {_ASSET_TEXT} FROM j, (VALUES (40)) AS t(r)),
+ e AS (SELECT path AS src, static AS dst, false AS dynamic FROM m UNION SELECT path, late, true FROM m UNION SELECT 'late' || project || '_40.js', 'm' || (project * 40) || '.js', true FROM j UNION SELECT 'late' || project || '_40.js', 'deep' || project || '.js', true FROM j),
+ c(root, node) AS (SELECT path, path FROM files UNION SELECT root, dst FROM c JOIN e ON node = src),
+ entries AS (SELECT path AS entry FROM m WHERE n % 10 = 0)"""
+
+
+def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Files, edges, entries and stubs."""
+    rows = _parts(spark, sf_dir).selectExpr("*", *[f"{text} AS {name}" for name, text in _MODULE.items()])
+    parts = rows.select("path", F.expr(_MODULE_TEXT).alias("content"))
+    assets = rows.select("project").distinct().select("project", F.explode(F.array(F.lit(40), F.lit(41))).alias("r")).selectExpr("concat('late', project, '_', r, '.js') AS path", f"{_ASSET_TEXT} AS content")
+    stubs = rows.select(F.concat(F.lit("late"), "project", F.lit("_42.js")).alias("path")).distinct()
+    files = linking.available(parts, assets)
+    edges = linking.import_edges(modules.statements(files.withColumnRenamed("path", "file_id")))
+    return files, edges, rows.filter("n % 10 = 0").select(F.col("path").alias("entry")), stubs
+
+
+@query(f"""{_LINKS}, s AS (SELECT x.root AS node, max(x.node) AS component FROM c x JOIN c y ON x.root = y.node AND x.node = y.root GROUP BY 1),
+ d AS (SELECT DISTINCT x.component AS src, y.component AS dst FROM e JOIN s x ON x.node = e.src JOIN s y ON y.node = e.dst WHERE x.component <> y.component),
+ v(component, level) AS (SELECT DISTINCT component, 0 FROM s UNION SELECT d.src, level + 1 FROM v JOIN d ON d.dst = v.component), h AS (SELECT component, max(level) AS level FROM v GROUP BY 1)
+ SELECT entry, string_agg(content, chr(10) ORDER BY level, h.component, path) AS content, string_agg(path, ',' ORDER BY level, h.component, path) AS parts
+ FROM entries JOIN c ON root = entry JOIN files ON path = c.node JOIN s ON s.node = path JOIN h ON h.component = s.component GROUP BY entry""")
+def linked_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries with all they import, cycles included, what is needed first."""
+    files, edges, entries, _ = _links(spark, sf_dir)
+    return linking.bundles(files, edges, entries)
+
+
+@query(f"""{_LINKS} SELECT DISTINCT entry, dst AS target, src AS source FROM entries JOIN c ON root = entry JOIN e ON e.src = c.node AND dynamic
+ WHERE dst NOT IN (SELECT path FROM files) AND dst NOT IN (SELECT 'late' || project || '_42.js' FROM j)""")
+def missing_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dynamic imports that neither a part, an asset nor a stub answers, after all that can be reached is taken in."""
+    files, edges, entries, stubs = _links(spark, sf_dir)
+    return linking.missing(files, edges, entries, stubs)

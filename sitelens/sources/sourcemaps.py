@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.operators.ranges import as_of, merge_adjacent
@@ -137,3 +137,69 @@ def name_counts(maps: DataFrame, map_id: str = "map_id", content: str = "content
     parsed = maps.select(F.col(map_id).cast("string").alias("map_id"), F.from_json(content, shape).alias("m"))
     inner = F.aggregate(F.coalesce("m.sections", F.array().cast("array<struct<map: struct<names: array<string>>>>")), F.lit(0), lambda a, s: a + F.coalesce(F.size(s["map"]["names"]), F.lit(0)))
     return parsed.select("map_id", (F.greatest(F.coalesce(F.size("m.names"), F.lit(0)), F.lit(0)) + inner).cast("long").alias("names"))
+
+
+def encoded_vlq(number: Column) -> Column:
+    """A signed number as the digits of a mapping segment, the lowest five bits first."""
+    value = F.when(number < 0, -2 * number + 1).otherwise(2 * number).cast("long")
+    count = F.ceil(F.length(F.bin(value)) / 5).cast("int")
+
+    def digit(k: Column) -> Column:
+        bits = F.call_function("shiftright", value, 5 * k).bitwiseAND(F.lit(31)) + F.when(k < count - 1, 32).otherwise(0)
+        return F.substring(F.lit("".join(_DIGITS)), bits.cast("int") + 1, F.lit(1))
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), count - 1), digit), "")
+
+
+def _numbered(found: DataFrame, column: str) -> DataFrame:
+    """(map_id, value, number): the distinct values of a map, from 0, by first place."""
+    first = found.filter(F.col(column).isNotNull()).groupBy("map_id", F.col(column).alias("value")).agg(F.min(F.struct("gen_line", "gen_column")).alias("first"))
+    return first.select("map_id", "value", (F.row_number().over(Window.partitionBy("map_id").orderBy("first", "value")) - 1).alias("number"))
+
+
+def encoded_maps(found: DataFrame) -> DataFrame:
+    """(map_id, content): map texts that hold the given mappings, the inverse of ``mappings``.
+
+    Deltas come from windows over a map's mappings in order of line and column. Mappings
+    without a source are bare columns; sources and names are listed by first place; lines
+    without mappings are empty ones. A map without rows has no text; a null map_id is one.
+    """
+    rows = found.select(*(c.split()[0] for c in MAPPINGS.split(", ")))
+    for column, into in (("source", "source_at"), ("name", "name_at")):
+        numbers = _numbered(rows, column).select(F.col("map_id").alias("_map"), F.col("value").alias("_value"), F.col("number").alias(into))
+        rows = rows.join(numbers, F.col("map_id").eqNullSafe(F.col("_map")) & (F.col(column) == F.col("_value")), "left").drop("_map", "_value")
+    rows = rows.withColumn("name_at", F.when(F.col("source").isNotNull(), F.col("name_at")))
+    by = ["gen_column", "source_at", "orig_line", "orig_column", "name_at"]
+    order = Window.partitionBy("map_id").orderBy("gen_line", *by)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    sourced = F.col("source").isNotNull()
+    delta = lambda c, first=0: F.col(c) - F.coalesce(F.last(F.when(sourced, F.col(c)), ignorenulls=True).over(before), F.lit(first))
+    column = F.col("gen_column") - F.coalesce(F.lag("gen_column").over(Window.partitionBy("map_id", "gen_line").orderBy(*by)), F.lit(0))
+    rows = rows.withColumn("deltas", F.array(column, delta("source_at"), delta("orig_line", 1), delta("orig_column"), delta("name_at")))
+    used = F.when(~sourced, F.slice("deltas", 1, 1)).when(F.col("name_at").isNull(), F.slice("deltas", 1, 4)).otherwise(F.col("deltas"))
+    rows = rows.select("map_id", "gen_line", F.row_number().over(order).alias("k"), F.array_join(F.transform(used, encoded_vlq), "").alias("segment"))
+    joined = lambda c, mark: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", c))), lambda x: x[c]), mark)
+    lines = rows.groupBy("map_id", "gen_line").agg(joined("segment", ",").alias("line"), F.min("k").alias("k"))
+    gap = F.col("gen_line") - F.coalesce(F.lag("gen_line").over(Window.partitionBy("map_id").orderBy("gen_line")), F.lit(1))
+    lines = lines.withColumn("line", F.concat(F.repeat(F.lit(";"), gap.cast("int")), "line"))
+    texts = lines.groupBy("map_id").agg(joined("line", "").alias("mappings"))
+    for column, into in (("source", "sources"), ("name", "names")):
+        listed = _numbered(found, column).withColumnRenamed("number", "k").groupBy(F.col("map_id").alias("_map"))
+        listed = listed.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]).alias(into))
+        texts = texts.join(listed, F.col("map_id").eqNullSafe(F.col("_map")), "left").drop("_map")
+    empty = F.array().cast("array<string>")
+    content = F.struct(F.lit(3).alias("version"), F.coalesce("sources", empty).alias("sources"), F.coalesce("names", empty).alias("names"), "mappings")
+    return texts.select("map_id", F.to_json(content).alias("content"))
+
+
+def line_mappings(files: DataFrame) -> DataFrame:
+    """MAPPINGS of transformed files, line to line: files has map_id, path, original and transformed.
+
+    An original of one line is where all lines come from; else each line comes from the
+    original's line of its number, and those beyond its end from nowhere. Null texts are empty.
+    """
+    count = lambda c: F.size(F.split(F.coalesce(F.col(c), F.lit("")), "\n", -1))
+    lines = files.select(F.col("map_id").cast("string").alias("map_id"), F.col("path").alias("source"), count("original").alias("of"), F.explode(F.sequence(F.lit(1), count("transformed"))).alias("gen_line"))
+    kept = lines.filter((F.col("of") == 1) | (F.col("gen_line") <= F.col("of")))
+    line = F.when(F.col("of") == 1, 1).otherwise(F.col("gen_line"))
+    return kept.select("map_id", F.col("gen_line").cast("long").alias("gen_line"), F.lit(0).cast("long").alias("gen_column"), "source", line.cast("long").alias("orig_line"), F.lit(0).cast("long").alias("orig_column"), F.lit(None).cast("string").alias("name"))
