@@ -45,14 +45,17 @@ def _closing(plain: str) -> dict[int, int]:
 def spans(plain: str, begin: int, end: int) -> list[tuple[int, int]]:
     """Statements between two places of blanked code: cut at ``;``, after function and class bodies, and after a block that ends a line."""
     out, depth, start = [], 0, begin
+    shut = None  # how far all is blank after a closing brace
     for m in _BRACKETS.finditer(plain, begin, end):
         c = m[0]
         depth += (c in "{([") - (c in "})]")
-        done = c == ";" or c == "}" and _UNIT.match(plain, start) or c == "\n" and plain[start : m.start()].rstrip().endswith("}")
-        if depth == 0 and done:
+        if shut is not None and plain[shut : m.start()].strip():
+            shut = None
+        shut = m.end() if c == "}" or c == "\n" and shut is not None else None
+        if depth == 0 and (c == ";" or c == "}" and _UNIT.match(plain, start) or c == "\n" and shut is not None):
             if plain[start : m.end()].strip(" \n\t\r;"):
                 out.append((start, m.end()))
-            start = m.end()
+            start, shut = m.end(), None
     if plain[start:end].strip(" \n\t\r;"):
         out.append((start, end))
     return out

@@ -20,7 +20,12 @@ STATEMENTS = "file_id string, stmt long, start long, size long, kind string, dec
 TINY, LARGEST = 120, 4000
 ENTRY_SCORE, BASE_SCORE = 0.18, 0.3
 
-_SKIP = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.S)
+#: Comments, strings, templates as a whole, and regular expressions where an operand is expected.
+_SKIP = re.compile(
+    r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"""
+    r"""|(?:(?<=[=(,:;!&|?{}\[+\-*%~^<>\n])|(?<=\breturn)|(?<=\btypeof)|(?<=\bcase)|\A)[ \t]*/(?![*/])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*""",
+    re.S,
+)
 _DECLARED = re.compile(r"^\s*(?:export\s+(?:default\s+)?)?(?:async\s+)?(?:function\s*\*?|class|const|let|var)\s+([A-Za-z_$][\w$]*)")
 _MORE = re.compile(r",\s*([A-Za-z_$][\w$]*)\s*=")
 _NAME = re.compile(r"(?<![\w$.])[A-Za-z_$][\w$]*")
@@ -37,17 +42,20 @@ def blanked(code: str) -> str:
 def statement_spans(plain: str) -> Iterator[tuple[int, int]]:
     """Top-level statements of blanked code: cut at ``;``, and after a block that ends a line."""
     depth = start = 0
+    shut = None  # how far all is blank after a closing brace
     for m in re.finditer(r"[{}()\[\];\n]", plain):
         c = m[0]
         if c in "{([":
             depth += 1
         elif c in "})]":
             depth = max(0, depth - 1)
-        at_end = c == ";" or c == "\n" and plain[start : m.start()].rstrip().endswith("}")
-        if depth == 0 and at_end:
+        if shut is not None and plain[shut : m.start()].strip():
+            shut = None
+        shut = m.end() if c == "}" or c == "\n" and shut is not None else None
+        if depth == 0 and (c == ";" or c == "\n" and shut is not None):
             if plain[start : m.end()].strip(" \n\t\r;"):
                 yield start, m.end()
-            start = m.end()
+            start, shut = m.end(), None
     if plain[start:].strip(" \n\t\r;"):
         yield start, len(plain)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sitelens.operators.modules import blanked
 
-MODULES = "file_id string, at long, module string, start long, size long, requires array<string>, exports array<string>"
+MODULES = "file_id string, at long, module string, start long, size long, requires array<string>, exports array<string>, stop long"
 #: An object with at least so many numbered factories is a table; of an array, at least this share are functions.
 LEAST_FACTORIES, LEAST_SHARE = 2, 0.4
 #: Confidence of a factory, what a require and a long body add, and the bytes that make a body long.
@@ -95,13 +95,14 @@ def _read(key: str, code: str) -> list[tuple]:
                 shut = clean.find("})", m.end())
                 exports += _GETTER.findall(clean[m.end() : shut if shut >= 0 else len(clean)])
         size = len(body.encode("utf-8", "surrogatepass"))
-        out.append((key, at, module, start, size, list(dict.fromkeys(requires)), sorted(set(exports))))
+        out.append((key, at, module, start, size, list(dict.fromkeys(requires)), sorted(set(exports)), end))
     return out
 
 
 def modules(files: DataFrame) -> DataFrame:
-    """(file_id, at, module, start, size, requires, exports, score) of every factory of a table of scripts.
+    """(file_id, at, module, start, size, requires, exports, stop, score) of every factory of a table of scripts.
 
+    start and stop count code points, size is of bytes.
     Null and empty files, and files without a module table, have none. Comments and strings
     don't count. A number that repeats in a file keeps its rows; edges go to the last.
     """
@@ -132,7 +133,7 @@ def importers(found: DataFrame) -> DataFrame:
 def remainder(files: DataFrame, found: DataFrame) -> DataFrame:
     """(file_id, start, end): what lies between and around the factories of each file that has some."""
     sized = files.select(F.col("file_id").cast("string").alias("file_id"), F.length("content").cast("long").alias("length"))
-    spans = found.select("file_id", F.col("start"), (F.col("start") + F.col("size")).alias("end"))
+    spans = found.select("file_id", "start", F.col("stop").alias("end"))
     marks = spans.unionByName(sized.join(spans.select("file_id").distinct(), "file_id", "left_semi").select("file_id", F.col("length").alias("start"), F.col("length").alias("end")))
     order = Window.partitionBy("file_id").orderBy("start", "end")
     before = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

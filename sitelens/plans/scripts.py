@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelens.operators import edits as E
-from sitelens.operators import evidence, linking, modules, scopes
+from sitelens.operators import evidence, linking, modules, patches, scopes
 from sitelens.plans.generated import _parts, _sql
 from sitelens.registry import query, table
 from sitelens.sources import sourcemaps as V
@@ -228,3 +228,46 @@ def missing_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dynamic imports that neither a part, an asset nor a stub answers, after all that can be reached is taken in."""
     files, edges, entries, stubs = _links(spark, sf_dir)
     return linking.missing(files, edges, entries, stubs)
+
+
+_BLOCK = """CASE sk % 4 WHEN 0 THEN concat('async function f', i, '(a, b = {}) {') WHEN 1 THEN concat('const f', i, ' = (a) => {') ELSE concat('g(/[}]/, "{", `}${', i, '}`); // {') END
+ || CASE WHEN sk % 4 < 2 AND q % 2 = 1 THEN ' return "}" /* } */ };' ELSE '' END"""
+
+
+@query(f"""WITH {_LINES}, h AS (SELECT *, sk % 4 < 2 AS fn, sk % 4 < 2 AND q % 2 = 0 AS nested, count(*) OVER (PARTITION BY f) AS lines FROM l),
+ o AS (SELECT *, sum(nested::INT) OVER (PARTITION BY f) AS m, coalesce(sum(nested::INT) OVER (PARTITION BY f ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h)
+ SELECT CAST(f AS VARCHAR) AS file_id, 'f' || i AS name, CAST(before AS BIGINT) AS depth, CAST(i AS BIGINT) AS first_line, CAST(CASE WHEN nested THEN lines + m - before ELSE i END AS BIGINT) AS last_line FROM o WHERE fn""")
+def function_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named functions, closed at the right brace, and how deep they nest."""
+    files = _files(_lines(spark, sf_dir), _BLOCK, "repeat('\\n}', CAST(count_if(sk % 4 < 2 AND q % 2 = 0) AS INT))")
+    found = patches.named_functions(files).join(files, "file_id")
+    line = lambda at: F.size(F.split(F.substring("content", F.lit(1), F.col(at)), "\n")).cast("long")
+    return found.select("file_id", "name", "depth", line("start").alias("first_line"), line("body_stop").alias("last_line"))
+
+
+_PIECE = "concat('x', pk % 5, '=', q, ';')"
+_SOURCE = "concat(CASE WHEN f % 6 = 0 THEN 'src/recovered-entry/' ELSE 'src/' END, f, '.js')"
+#: What an action asks for; next is the piece of the following line, if there is one.
+_ACTION = {
+    "action_id": "CAST(f * 100 + i AS BIGINT)", "type": "'replace'", "symbol": "concat('s', i)", "source_file": f"CASE WHEN sk % 23 = 0 THEN 'src/lost.js' ELSE {_SOURCE} END",
+    "before": "CASE sk % 12 WHEN 0 THEN NULL WHEN 1 THEN 'zz' WHEN 2 THEN concat(piece, next) WHEN 3 THEN concat(piece, next) ELSE piece END",
+    "after": "CASE WHEN sk % 12 = 4 THEN NULL ELSE concat('<', i, '>') END", "wrong": "sk % 12 = 5",
+}
+
+
+@query(f"""WITH {_LINES}, p AS (SELECT *, {_PIECE} AS piece FROM l), w AS (SELECT *, coalesce(lead(piece) OVER (PARTITION BY f ORDER BY i), '') AS next,
+  coalesce(sum(length(piece)) OVER (PARTITION BY f ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM p),
+ a AS (SELECT f, i, pos, next, {", ".join(f"{text} AS {name}" for name, text in _ACTION.items())} FROM w),
+ n AS (SELECT f, piece AS snippet, count(*) AS times, min(pos) AS pos FROM w GROUP BY ALL UNION ALL SELECT f, piece || next, count(*), min(pos) FROM w WHERE next <> '' GROUP BY ALL),
+ r AS (SELECT a.*, n.pos AS found, CASE WHEN before IS NULL THEN 'missing-exact-before-or-hash' WHEN wrong THEN 'plan-before-hash-mismatch' WHEN source_file LIKE 'src/recovered-entry/%' THEN 'generated-entry-locked' WHEN source_file = 'src/lost.js' THEN 'source-file-missing'
+   WHEN times IS NULL THEN 'exact-before-not-found' WHEN times > 1 THEN 'exact-before-not-unique' WHEN after IS NULL THEN 'missing-exact-after' END AS early FROM a LEFT JOIN n ON n.f = a.f AND n.snippet = before),
+ s AS (SELECT *, max(CASE WHEN early IS NULL THEN found + length(before) END) OVER (PARTITION BY source_file ORDER BY found, found + length(before), CAST(action_id AS VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r WHERE early IS NULL)
+ SELECT action_id, source_file, early AS reason FROM r WHERE early IS NOT NULL UNION ALL SELECT action_id, source_file, CASE WHEN found < reach THEN 'overlaps' END FROM s""")
+def patch_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every action of a plan with the one reason against it, or none."""
+    rows = _lines(spark, sf_dir).withColumn("piece", F.expr(_PIECE))
+    rows = rows.withColumn("next", F.coalesce(F.lead("piece").over(Window.partitionBy("f").orderBy("i")), F.lit("")))
+    files = _files(rows, _PIECE, between="").join(rows.select(F.col("f").cast("string").alias("file_id"), F.expr(_SOURCE).alias("path")).distinct(), "file_id")
+    actions = rows.selectExpr(*[f"{text} AS {name}" for name, text in _ACTION.items()])
+    actions = actions.withColumn("before_hash", F.when(F.col("wrong"), "0").otherwise(patches.snippet_hash(F.col("before"))))
+    return patches.judged_actions(actions, files.select("path", "content"), locked=True).select("action_id", "source_file", "reason")

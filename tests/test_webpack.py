@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sitelens.functions import text
-from sitelens.operators import iife, lines, scoring, webpack
+from sitelens.operators import iife, lines, modules, scoring, webpack
 from sitelens.sources import resolve
 
 from .test_operators import one
@@ -34,6 +34,37 @@ def test_requires_edges_and_remainder(spark):
     assert "".join(TABLE[a:b] for a, b in sorted(rest + spans)) == TABLE and rest[0][0] == 0 and rest[-1][1] == len(TABLE)
 
 
+def test_remainder_of_accented_text(spark):
+    code = "é('ñandú');x({100:(e,t,r)=>{'é😀'},200:function(){return/* ü */'ß'},300:function(){}})//é"
+    files = spark.createDataFrame([("a", code)], "file_id string, content string")
+    found = webpack.modules(files)
+    rest = [(r.start, r.end) for r in webpack.remainder(files, found).collect()]
+    spans = [(r.start, r.stop) for r in found.collect()]
+    assert "".join(code[a:b] for a, b in sorted(rest + spans)) == code and len(spans) == 3 and len(rest) == 4
+
+
+def test_regular_expressions_are_no_code():
+    code = "a = /\"/; b = x / y / z; f(/[/']/g, '`'); return /{/"
+    plain = modules.blanked(code)
+    assert len(plain) == len(code) and "{" not in plain and '"' not in plain and "x / y / z" in plain and plain.count(";") == 3
+    code = "a = /}/\nfunction f() {\n  g({\n  })\n}\n\nlet b = 1;c"
+    spans = [code[a:b] for a, b in modules.statement_spans(modules.blanked(code))]
+    assert spans == ["a = /}/\nfunction f() {\n  g({\n  })\n}\n", "\nlet b = 1;", "c"]
+
+
+def test_statements_take_linear_time():
+    import time
+
+    def took(lines):
+        code = "!function(){\n" + "a(b);\n" * lines + "}()"
+        began = time.process_time()
+        assert len(list(modules.statement_spans(code))) == 1 and iife.spans(code, 0, len(code))
+        return time.process_time() - began
+
+    took(1000)
+    assert took(160_000) < 40 * took(10_000) + 0.5
+
+
 def test_sub_sections_and_fragments(spark):
     code = "\n".join(["a();"] * 5 + ["}", "function f() {", "}", "", "function g() {"] + ["b();"] * 4)
     files = spark.createDataFrame([("x", code), ("y", ""), ("z", None)], "file_id string, content string")
