@@ -13,6 +13,7 @@ domain's counts first, so no page votes for itself.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import durable, fits, hash_sample, table
 from .wrappers import host_of, main_text
 
-#: Hash buckets of trigrams; halved, down to the least, where a model of many languages would pass its bound.
-BUCKETS, LEAST_BUCKETS, MOST_BYTES = 1 << 15, 1 << 10, 64_000_000
+#: Hash buckets of trigrams, the same for any number of languages; a language takes four bytes a bucket.
+BUCKETS = 1 << 15
 #: The bound of the training sample: different texts of each language, by hash order.
 MAX_PER_LANGUAGE = 1_500
 SAMPLE_PARTS = 12
@@ -49,22 +50,20 @@ def trigrams(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(15))) % np.uint64(buckets)).astype(np.int64)
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int = BUCKETS) -> tuple[list[str], np.ndarray]:
     """(languages, log P(trigram | language)); without labelled texts there is one language, ``und``.
 
     A language is the primary subtag, two or three letters, of what the lang column says;
     other values name none, so there are at most 26^2 + 26^3. Null texts and labels take no
     part. Copies of a text count once; of texts that share a hash, the least one counts.
+    ``buckets`` bounds the model: with many languages, fewer of them keep it small.
     """
     tag = F.regexp_extract(F.lower(F.col(lang)), r"^([a-z]{2,3})(?:[-_].*)?\z", 1)
     named = docs.select(F.col(text).alias("text"), tag.alias("lang")).filter("lang != '' and text is not null").withColumn("h", F.xxhash64("text"))
     chosen = durable(hash_sample(named.select("lang", "h").distinct(), "lang", "h", MAX_PER_LANGUAGE))
     languages = sorted(r.lang for r in chosen.select("lang").distinct().collect())
     if not languages:
-        return ["und"], np.zeros((1, BUCKETS), dtype=np.float32)
-    buckets = BUCKETS
-    while buckets > LEAST_BUCKETS and 4 * buckets * len(languages) > MOST_BYTES:
-        buckets //= 2
+        return ["und"], np.zeros((1, buckets), dtype=np.float32)
     counts = np.full((len(languages), buckets), 0.1)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,73 +116,85 @@ def domain_of(host: Column) -> Column:
     return F.regexp_extract(host, r"([^.]*\.?[^.]*)\z", 1)
 
 
-def _softmax(logs: Column) -> Column:
-    raised = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, y: a + y))
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+def _shares(raised: Column) -> Column:
+    return F.transform(raised, lambda x: x / _total(raised))
+
+
+def _numbers(values: np.ndarray) -> Column:
+    """An array of numbers as one literal, however many there are."""
+    return F.from_json(F.lit(json.dumps([float(x) for x in values])), "array<double>")
+
+
+def _mass(rows: DataFrame, key: str, shares: str) -> DataFrame:
+    """(key, mass): the element-wise sums of arrays, by key.
+
+    Elements are summed by key and place, so that the plan is the same for any number of
+    languages and a key with most of the rows is reduced before it is shuffled.
+    """
+    each = rows.select(key, F.posexplode(shares).alias("at", "x")).groupBy(key, "at").agg(F.sum("x").alias("x"))
+    listed = F.array_sort(F.collect_list(F.struct("at", "x")))
+    return each.groupBy(key).agg(F.transform(listed, lambda e: e["x"]).alias("mass"))
 
 
 def with_language(pages: DataFrame, model: tuple[list[str], np.ndarray], html: str = "html", url: str = "url") -> DataFrame:
     """Add declared, address, text_language, language and probability, in place of columns
-    that have these names; the html column is left out, all other columns and rows stay.
+    that have these names; the html column is left out, all other columns and rows stay,
+    whatever their names.
 
     Null and empty pages have no text evidence and go by the other kinds; null addresses
     share one empty host. Ties go to the first language by name.
     """
     languages, _ = model
-    n = len(languages)
-    host = host_of(F.col(url))
+    made = ("declared", "address", "text_language", "language", "probability")
+    keep = [c for c in pages.columns if c != html and c not in made]
+    # The page's own columns travel as one, so that no name can meet another.
+    own = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None)
+    base = pages.select(own.alias("own"), F.col(html).alias("html"), F.col(url).alias("url"))
+    base = base.withColumns({"host": host_of(F.col("url")), "declared": declared_language(F.col("html")), "address": address_suffix(F.col("url"))})
     # Only these few columns are counted and joined, pages themselves don't move for it.
-    seen = with_text_evidence(pages.withColumns({"_host": host, "_declared": declared_language(F.col(html)), "_address": address_suffix(F.col(url))}), model, html)
-    seen = durable(seen.withColumn("_p", _softmax(F.col("logp"))).drop(html))
-    each = [F.sum(F.get("_p", k)).alias(f"s{k}") for k in range(n)]
-
-    def mix(*keys: Column) -> DataFrame:
-        """Soft counts of the languages, by key."""
-        counts = seen.groupBy(*keys).agg(*each)
-        return counts.select(*[k for k in counts.columns if not re.fullmatch(r"s\d+", k)], F.array(*[F.col(f"s{k}") for k in range(n)]).alias("mass"))
-
-    hosts = durable(mix("_host").withColumn("_domain", domain_of(F.col("_host"))).withColumnRenamed("mass", "host_mass"))
-    domains = hosts.groupBy("_domain").agg(*[F.sum(F.get("host_mass", k)).alias(f"s{k}") for k in range(n)])
-    domains = domains.select("_domain", F.array(*[F.col(f"s{k}") for k in range(n)]).alias("domain_mass"))
-    total = np.array(mix().first()["mass"] or [0.0] * n, dtype=float) if n else []
-    total = np.nan_to_num(np.array([x or 0.0 for x in total])) + 1.0
-    world = F.array(*[F.lit(float(x)) for x in total / total.sum()])
+    seen = with_text_evidence(base, model).drop("html", "url")
+    seen = seen.withColumn("raised", F.transform("logp", lambda x: F.exp(x - F.array_max("logp"))))
+    seen = durable(seen.withColumn("p", _shares(F.col("raised"))).drop("raised"))
+    hosts = durable(_mass(seen, "host", "p").withColumn("domain", domain_of(F.col("host"))))
+    domains = _mass(hosts, "domain", "mass").withColumnRenamed("mass", "domain_mass")
+    total = np.ones(len(languages))
+    for r in hosts.select(F.posexplode("mass").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect():
+        total[r.at] += r.x
+    world = _numbers(total / total.sum())
 
     def given(column: str) -> DataFrame:
         """log P(value | language), smoothed over the values."""
-        counts = mix(column)
-        values = counts.count()
-        logs = [F.log((F.get("mass", k) + EVIDENCE_PRIOR) / F.lit(float(total[k]) + EVIDENCE_PRIOR * (values + 1))) for k in range(n)]
-        return counts.select(F.col(column).alias(f"{column}_key"), F.array(*logs).alias(f"{column}_log"))
-
-    priors = hosts.join(domains, "_domain").select(F.col("_host").alias("_host_key"), "host_mass", "domain_mass")
-    out = seen.join(priors, F.col("_host") == F.col("_host_key"))
-    for c in ("_declared", "_address"):
+        counts = durable(_mass(seen, column, "p"))
+        below = _numbers(total + EVIDENCE_PRIOR * (counts.count() + 1))
+        log = F.zip_with("mass", below, lambda x, b: F.log((x + EVIDENCE_PRIOR) / b))
+        return counts.select(F.col(column).alias(f"{column}_key"), log.alias(f"{column}_log"))
+
+    rest = lambda mass: F.greatest(_total(F.col(mass)) - 1, F.lit(0.0))
+    priors = hosts.join(domains, "domain").select(F.col("host").alias("host_key"), F.col("mass").alias("host_mass"), "domain_mass")
+    priors = priors.withColumns({"host_rest": rest("host_mass"), "domain_rest": rest("domain_mass")})
+    out = seen.join(priors, F.col("host") == F.col("host_key"))
+    for c in ("declared", "address"):
         out = out.join(given(c), F.col(c) == F.col(f"{c}_key"))
-
-    def without(mass: str, k: int) -> Column:
-        return F.greatest(F.get(mass, k) - F.get("_p", k), F.lit(0.0))
-
-    def rest(mass: str) -> Column:
-        return F.greatest(sum((F.get(mass, k) for k in range(1, n)), F.get(mass, 0)) - 1, F.lit(0.0))
-
-    posterior = []
-    for k in range(n):
-        domain = (without("domain_mass", k) + DOMAIN_PRIOR * F.get(world, k)) / (rest("domain_mass") + DOMAIN_PRIOR)
-        own = (without("host_mass", k) + HOST_PRIOR * domain) / (rest("host_mass") + HOST_PRIOR)
-        posterior.append(F.get("logp", k) + F.get("_declared_log", k) + F.get("_address_log", k) + F.log(own + 1e-9))
-    out = out.withColumn("_post", _softmax(F.array(*posterior)))
-    names = F.array(*map(F.lit, languages))
-    best = lambda p: F.get(names, F.array_position(p, F.array_max(p)).cast("int") - 1)
-    made = ("declared", "address", "text_language", "language", "probability")
-    keep = [c for c in pages.columns if c != html and c not in made]
+    without = lambda mass: F.zip_with(F.col(mass), F.col("p"), lambda m, x: F.greatest(m - x, F.lit(0.0)))
+    mixed = lambda counts, parent, prior, n: F.zip_with(counts, parent, lambda m, q: (m + prior * q) / (n + prior))
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    out = out.withColumn("domain_mix", mixed(without("domain_mass"), world, DOMAIN_PRIOR, F.col("domain_rest")))
+    out = out.withColumn("host_mix", mixed(without("host_mass"), F.col("domain_mix"), HOST_PRIOR, F.col("host_rest")))
+    known = plus(plus(F.col("logp"), F.col("declared_log")), F.col("address_log"))
+    out = out.withColumn("logs", plus(known, F.transform("host_mix", lambda x: F.log(x + 1e-9))))
+    out = out.withColumn("raised", F.transform("logs", lambda x: F.exp(x - F.array_max("logs")))).withColumn("post", _shares(F.col("raised")))
+    best = lambda p: F.element_at(F.from_json(F.lit(json.dumps(languages)), "array<string>"), F.array_position(p, F.array_max(p)).cast("int"))
     return out.select(
-        *keep,
-        F.col("_declared").alias("declared"),
-        F.col("_address").alias("address"),
-        best(F.col("_p")).alias("text_language"),
-        best(F.col("_post")).alias("language"),
-        F.array_max("_post").alias("probability"),
+        *([F.col("own")[c].alias(c) for c in keep]),
+        "declared",
+        "address",
+        best(F.col("p")).alias("text_language"),
+        best(F.col("post")).alias("language"),
+        F.array_max("post").alias("probability"),
     )
 
 

@@ -1,4 +1,5 @@
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -33,6 +34,31 @@ def test_evidence_is_fused(spark):
     assert langid.with_language(pages.limit(0), model).count() == 0
 
 
+def test_columns_of_any_names_stay(spark):
+    model = langid.train(docs(spark))
+    names = ["_host", "host_mass", "_declared_log", "_p", "logp", "p", "own", "domain", "at", "x", "raised", "a.b", "declared"]
+    rows = [(k, f"http://a{k % 2}.org/", f"<p>{EN}</p>", *[f"mine {n}" for n in names]) for k in range(4)]
+    pages = spark.createDataFrame(rows, ["page_id", "url", "html", *names])
+    out = langid.with_language(pages, model)
+    assert out.columns == ["page_id", "url", *names[:-1], "declared", "address", "text_language", "language", "probability"]
+    assert all(list(r)[2 : 2 + len(names) - 1] == [f"mine {n}" for n in names[:-1]] and r.language == "en" for r in out.collect())
+
+
+def test_many_languages_take_no_larger_plan(spark):
+    pages = spark.createDataFrame([(k, f"http://a{k}.org/", f"<p>{EN if k % 2 else FR}</p>") for k in range(6)], "page_id long, url string, html string")
+
+    def plan(n):
+        model = [f"l{k:03}" for k in range(n)], np.log(np.random.default_rng(1).dirichlet(np.ones(512), n)).astype(np.float32)
+        began = time.time()
+        found = langid.with_language(pages, model)
+        assert len({r.language for r in found.collect()}) >= 1
+        return len(re.findall(r"\bProject\b|\bJoin\b|\bAggregate\b", found._jdf.queryExecution().optimizedPlan().toString())), time.time() - began
+
+    plan(2)
+    (few, first), (many, second) = plan(4), plan(200)
+    assert few == many and second < 2 * first + 5
+
+
 def test_no_training_texts(spark):
     model = langid.train(docs(spark).limit(0))
     pages = spark.createDataFrame([(1, "http://x.org", "<p>a</p>")], "page_id long, url string, html string")
@@ -51,7 +77,7 @@ def softmax(x):
     return e / e.sum()
 
 
-def test_training_counts_against_brute_force(spark, small, monkeypatch):
+def test_training_counts_against_brute_force(spark, small):
     table = spark.read.parquet(f"{small}/documents.parquet")
     rows = {(r.lang, r.text) for r in table.select("lang", "text").collect() if r.text is not None}
     names, logs = langid.train(table)
@@ -63,9 +89,9 @@ def test_training_counts_against_brute_force(spark, small, monkeypatch):
                 counts += np.bincount(langid.trigrams(t), minlength=langid.BUCKETS)
         assert np.allclose(logs[k], np.log(counts / counts.sum()), atol=1e-5)
     many = spark.createDataFrame([(f"{EN} {k}", f"{a}{b}") for k, (a, b) in enumerate((a, b) for a in "abcdefghij" for b in "klmnopqrst")] + [("no tag", "notalanguage"), (EN, "xx-YY"), (EN, "XX")], "text string, lang string")
-    monkeypatch.setattr(langid, "MOST_BYTES", 1_000_000)
-    names, logs = langid.train(many)
-    assert len(names) == 101 and "xx" in names and logs.nbytes <= 1_000_000 and logs.shape[1] >= langid.LEAST_BUCKETS
+    names, logs = langid.train(many, buckets=1 << 11)
+    assert len(names) == 101 and "xx" in names and logs.shape == (101, 1 << 11)
+    assert langid.train(many)[1].shape == (101, langid.BUCKETS)
 
 
 def test_fusion_against_brute_force(spark, small):
