@@ -14,16 +14,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.functions.tokens import tokens
+from sitelens.functions.tokens import Token, tokens
 from sitelens.operators import edits
 
-FUNCTIONS = "file_id string, name string, start long, stop long, body_start long, body_stop long, depth long, text string"
+FUNCTIONS = "file_id string, name string, start long, stop long, body_start long, body_stop long, depth long, text string, parameters array<string>"
 _SPACE_AND_END = re.compile(r"\s*;?")
 _PAIRS = {"(": ")", "[": "]", "{": "}", "${": "}"}
 
 
+def _parameters(t: list[Token], close: dict[int, int], head: int) -> list[str | None]:
+    """The parameters in the parentheses at ``head``; null for one that is more than a name."""
+    out, k, first = [], head + 1, head + 1
+    while k <= close[head]:
+        if k == close[head] or t[k][:2] == ("mark", ","):
+            if k > first:
+                out.append(t[first][1] if k == first + 1 and t[first][0] == "name" else None)
+            first = k + 1
+        k = close[k] + 1 if k != close[head] and k in close else k + 1
+    return out
+
+
 def _functions(code: str) -> list[tuple]:
-    """(name, start, stop, body_start, body_stop, depth, text) of ``function f(..) {..}`` and ``const f = (..) => {..}``."""
+    """(name, start, stop, body_start, body_stop, depth, text, parameters) of ``function f(..) {..}`` and ``const f = (..) => {..}``."""
     t = list(tokens(code))
     close, stack = {}, []
     for k, (kind, text, _) in enumerate(t):
@@ -50,12 +62,12 @@ def _functions(code: str) -> list[tuple]:
             continue
         inside = t[close[body]][2]
         stop = _SPACE_AND_END.match(code, inside + 1).end()
-        found.append((t[name][1], start, stop, t[body][2] + 1, inside, code[start:stop]))
+        found.append((t[name][1], start, stop, t[body][2] + 1, inside, code[start:stop], _parameters(t, close, head)))
     out, open_ = [], []
-    for name, start, stop, a, b, text in found:  # in order of start: the open ones hold what follows
+    for name, start, stop, a, b, text, parameters in found:  # in order of start: the open ones hold what follows
         while open_ and open_[-1] <= start:
             open_.pop()
-        out.append((name, start, stop, a, b, len(open_), text))
+        out.append((name, start, stop, a, b, len(open_), text, parameters))
         open_.append(stop)
     return out
 
@@ -67,7 +79,8 @@ def named_functions(files: DataFrame) -> DataFrame:
     strings, templates, comments and regular expressions don't count; blocks that aren't
     closed, null and empty files have no rows.
     """
-    kinds = {n: pa.string() if k == "string" else pa.int64() for n, k in (c.split() for c in FUNCTIONS.split(", "))}
+    types = {"string": pa.string(), "long": pa.int64(), "array<string>": pa.list_(pa.string())}
+    kinds = {n: types[k] for n, k in (c.split() for c in FUNCTIONS.split(", "))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelens.operators import edits as E
-from sitelens.operators import evidence, linking, modules, patches, scopes
+from sitelens.operators import evidence, linking, modules, patches, renames, scopes, vendors
 from sitelens.plans.generated import _parts, _sql
 from sitelens.registry import query, table
 from sitelens.sources import sourcemaps as V
@@ -271,3 +271,45 @@ def patch_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     actions = rows.selectExpr(*[f"{text} AS {name}" for name, text in _ACTION.items()])
     actions = actions.withColumn("before_hash", F.when(F.col("wrong"), "0").otherwise(patches.snippet_hash(F.col("before"))))
     return patches.judged_actions(actions, files.select("path", "content"), locked=True).select("action_id", "source_file", "reason")
+
+
+_PARAMETERS = "CASE q % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'a, b' WHEN 2 THEN 'value' ELSE 'a, { c }' END"
+_CALLS = ["isSpecifier", "hasPath", "shouldDraw", "parseError", "formatNumber", "mergeTypedArray", "drawShape"]
+_CALL = "CASE sk % 7 " + " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(_CALLS)) + " END"
+_NAMED = f"concat('function ', {_CALL}, '(', {_PARAMETERS}, ') {{ return ', CASE pk % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'a + value' ELSE '1' END, ' }}')"
+#: What a single parameter of each function is, and what the first and second of two are.
+_SINGLE = [("specifier", 0.88), ("pathValue", 0.82), ("value", 0.74), ("error", 0.86), ("value", 0.76), ("typedArray", 0.8), ("draw", 0.58)]
+_FIRST, _SECOND = (None, "has", "should", "parse", "format", "merge", "draw"), ("specifier", "path", "draw", "error", "number", "typed", "shape")
+_GUESSES = ", ".join(f"({k}, '{n}', {c}, {repr(a) if a else 'NULL'}, '{b}')" for k, ((n, c), a, b) in enumerate(zip(_SINGLE, _FIRST, _SECOND)))
+
+
+@query(f"""WITH {_LINES}, g(s, single, sure, first, second) AS (VALUES {_GUESSES}), r AS (
+  SELECT f, i, sk, pk, 'a' AS symbol, CASE WHEN q % 4 = 0 THEN single ELSE first END AS suggested, CASE WHEN q % 4 = 0 THEN sure ELSE 0.58 END AS sure, 1 + (pk % 3 < 2)::INT AS n FROM l JOIN g ON s = sk % 7 WHERE q % 4 <> 2
+  UNION ALL SELECT f, i, sk, pk, 'b', second, 0.58, 1 FROM l JOIN g ON s = sk % 7 WHERE q % 4 = 1)
+ SELECT CAST(f AS VARCHAR) AS file_id, CAST(i AS BIGINT) AS line, symbol, suggested, CASE WHEN suggested = 'value' AND pk % 3 = 1 THEN 'value2' ELSE suggested END AS new_name,
+  CAST(sure + CASE WHEN n > 1 THEN 0.04 ELSE 0 END AS DOUBLE) AS confidence, CASE WHEN sure + CASE WHEN n > 1 THEN 0.04 ELSE 0 END >= 0.85 THEN 'low' WHEN sure + CASE WHEN n > 1 THEN 0.04 ELSE 0 END >= 0.72 THEN 'medium' ELSE 'high' END AS risk,
+  CAST(n AS BIGINT) AS occurrences FROM r WHERE suggested IS NOT NULL""")
+def rename_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names for short parameters that clash with nothing in their functions."""
+    files = _files(_lines(spark, sf_dir), _NAMED)
+    plan = renames.rename_plan(files).join(files, "file_id")
+    line = F.size(F.split(F.substring("content", F.lit(1), F.col("from")), "\n")).cast("long")
+    return plan.select("file_id", line.alias("line"), "symbol", "suggested", "new_name", "confidence", "risk", "occurrences")
+
+
+_VENDOR = {
+    "package": "CASE k % 13 WHEN 0 THEN concat('@babel/', a) WHEN 1 THEN 'three' WHEN 2 THEN concat('three/', b) WHEN 3 THEN concat('three', a) WHEN 4 THEN concat('@codemirror/lang-', a) WHEN 5 THEN 'shiki' WHEN 6 THEN '@babel/standalone' WHEN 7 THEN 'babel-core' ELSE concat(a, '-', n) END",
+    "mode": "CASE n % 3 WHEN 0 THEN 'metadata' WHEN 1 THEN 'lazy' ELSE 'imports' END", "oversize": "CASE WHEN n % 5 = 0 THEN concat(n, ' kB') END",
+}
+_RULES = ", ".join([f"('{r}', true)" for r in vendors.HEAVY_PACKAGES] + [f"('{r}', false)" for r in vendors.HEAVY_BEGINNINGS])
+
+
+@query(_sql(f""", r(rule, whole) AS (VALUES {_RULES}), m AS (SELECT k, arg_max(rule, length(rule)) AS rule FROM f JOIN r ON CASE WHEN whole THEN package = rule ELSE starts_with(package, rule) END GROUP BY k),
+ y AS (SELECT f.*, m.rule, CASE WHEN mode = 'metadata' THEN 'metadata' WHEN m.rule IS NOT NULL OR mode = 'lazy' THEN 'lazy' ELSE 'imports' END AS kind FROM f LEFT JOIN m ON m.k = f.k)
+ SELECT k, package, CASE WHEN n % 4 = 0 THEN '*' ELSE '1.' || n END AS version, CASE WHEN kind = 'imports' AND oversize IS NOT NULL THEN 'lazy' ELSE kind END AS adapter_mode, kind = 'imports' AND oversize IS NULL AS build_check_import,
+  CASE WHEN mode = 'metadata' THEN 'metadata mode requested' WHEN rule IS NOT NULL THEN 'heavy vendor package' WHEN mode = 'lazy' THEN 'lazy mode requested' WHEN oversize IS NOT NULL THEN 'auto-downgraded after build-check oversize: ' || oversize ELSE 'static import mode requested' END AS reason, rule FROM y""", **_VENDOR))
+def vendor_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each package is taken in, by the longest rule its name begins with, after the downgrade of what is too large."""
+    rows = _parts(spark, sf_dir, **_VENDOR).withColumn("versions", F.expr("CASE WHEN n % 4 = 0 THEN array() ELSE array(concat('1.', n), '9') END"))
+    plan = vendors.downgraded(vendors.adapter_policy(rows, F.col("mode"), vendors.heavy_rules(spark)), F.col("oversize"))
+    return plan.select("k", "package", "version", "adapter_mode", "build_check_import", "reason", "rule")
