@@ -21,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import sys
 import zlib
 from bisect import bisect_left
 from collections import Counter
@@ -38,8 +39,10 @@ from .common import durable, private, table
 FAN_IN = 32
 #: Up to so many bytes of wrappers go to every worker as one table; beyond, they are joined.
 MOST_BROADCAST = 16_000_000
-#: Bounds of a wrapper: places kept (those most pages have), their depth, the length of a key.
-MOST_PLACES, DEEPEST, LONGEST_KEY = 1_500, 64, 48
+#: Bounds of a wrapper: places kept (those most pages have) and the length of a key. Places may lie at any depth.
+MOST_PLACES, LONGEST_KEY = 20_000, 48
+#: Places of the weighed wrappers that a worker remembers at a time.
+KNOWN_PLACES = 100_000
 #: A page's content is known by its longest blocks, so many of them. How many contents are remembered
 #: for each place, and how many a text must stay the same with to be furniture.
 LONGEST_BLOCKS, MOST_CONTENTS, FURNITURE_CONTENTS = 4, 6, 3
@@ -73,6 +76,8 @@ SKIP_WORDS = set(
 )
 HARD, WORD = 2, 1
 
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # for trees of any depth
+
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _LETTERS = re.compile(r"[a-z]+")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -248,11 +253,28 @@ class Node:
         return sorted(map(len, self.contents))[-2] if len(self.contents) > 1 else 0
 
     def pack(self) -> list:
-        return [self.key, self.skip, self.main, self.seen, self.mass, self.text, int(self.optional), int(self.repeated), self.contents, [k.pack() for k in self.kids]]
+        """The tree as a flat list, each node before its kids and with their number."""
+        out, stack = [], [self]
+        while stack:
+            n = stack.pop()
+            out.append([n.key, n.skip, n.main, n.seen, n.mass, n.text, int(n.optional), int(n.repeated), n.contents, len(n.kids)])
+            stack += reversed(n.kids)
+        return out
 
     @staticmethod
-    def unpack(x: list) -> Node:
-        return Node(*x[:6], bool(x[6]), bool(x[7]), x[8], [Node.unpack(k) for k in x[9]])
+    def unpack(rows: list) -> Node:
+        top, open_ = None, []  # nodes that still lack kids, with how many
+        for x in rows:
+            n = Node(*x[:6], bool(x[6]), bool(x[7]), x[8])
+            if open_:
+                open_[-1][0].kids.append(n)
+                open_[-1][1] -= 1
+            top = top or n
+            while open_ and not open_[-1][1]:
+                open_.pop()
+            if x[9]:
+                open_.append([n, x[9]])
+        return top
 
     @property
     def tag(self) -> str:
@@ -332,7 +354,10 @@ def _align(x: list[Node], y: list[Node]) -> list[tuple[Node | None, Node | None]
 
 
 def _merge(a: Node, b: Node, pages: bool = True) -> Node:
-    """The wrapper of both; pages: of different pages, else of one page's repeats."""
+    """The wrapper of both; pages: of different pages, else of one page's repeats.
+
+    Calls go as deep as places nest, which takes heap alone in this interpreter.
+    """
     text = a.text if a.text == b.text else 0 if None not in (a.text, b.text) else (b.text if a.text is None else a.text)
     seen = a.seen + b.seen if pages else max(a.seen, b.seen)
     contents = a.contents if a.contents == b.contents else [sorted({*p, *q})[:MOST_CONTENTS] for p, q in zip(a.contents, b.contents)]
@@ -387,14 +412,11 @@ def template(root: Element) -> Node:
     """The wrapper of a single page."""
     texts: list[str] = []
     top = Node("")
-    stack, made = [(root, top, 0)], [top]
+    stack, made = [(root, top)], [top]
     while stack:
-        e, node, depth = stack.pop()
+        e, node = stack.pop()
         if e.tag in RAW:
             continue
-        if depth >= DEEPEST:
-            node.text, node.mass = 0, e.whole
-            continue
         own, links = _own(e)
         if own:
             node.text, node.mass = _hash(own), max(0, len(own) - links)
@@ -404,7 +426,7 @@ def template(root: Element) -> Node:
             kid = Node(x.key, x.skip, x.main)
             node.kids.append(kid)
             made.append(kid)
-            stack.append((x, kid, depth + 1))
+            stack.append((x, kid))
     # Copies with small changes share most contents: a block counts by the least of its sentences.
     content = []
     for block in (sorted(texts, key=lambda t: (-len(t), t)) + [""] * LONGEST_BLOCKS)[:LONGEST_BLOCKS]:
@@ -610,13 +632,18 @@ def infer_wrappers(pages: DataFrame, html: str = "html", url: str = "url") -> Da
 
 
 class _Known(dict):
-    """Weighed wrappers by host, a bounded number of them."""
+    """Weighed wrappers by host, of a bounded number of places in all."""
+
+    places = 0
 
     def of(self, host: str, wrapper: str | None) -> Node | None:
         if host not in self:
-            if len(self) > 500:
+            rows = json.loads(wrapper) if wrapper else []
+            self.places += 1 + len(rows)
+            if self.places > KNOWN_PLACES:
                 self.clear()
-            self[host] = weigh(Node.unpack(json.loads(wrapper))) if wrapper else None
+                self.places = 1 + len(rows)
+            self[host] = weigh(Node.unpack(rows)) if rows else None
         return self[host]
 
 

@@ -64,6 +64,29 @@ def test_the_wrapper_decides_on_pages_without_names():
     assert sum(t != want(k, k % 4 + 1) for k, t in enumerate(alone)) > 10  # without the host's wrapper it can't be told
 
 
+def test_depth_and_number_of_places_change_nothing():
+    texts = [want(k, k % 4 + 1) for k in range(20)]
+    plain = [f"<div>{article(k, k % 4 + 1)}</div>" for k in range(20)]
+    deep = [nameless(k, x).replace("<body>", "<body>" + "<div>" * 300).replace("</body>", "</div>" * 300 + "</body>") for k, x in enumerate(plain)]
+    wrapper = wrapper_of(deep)
+    assert [wrappers.main_text(p, wrapper) for p in deep] == texts
+    inner = [nameless(k, "<div>" * 300 + x + "</div>" * 300) for k, x in enumerate(plain)]
+    wrapper = wrapper_of(inner)
+    assert [wrappers.main_text(p, wrapper) for p in inner] == texts
+    blocks = "".join(f"<div class=b{chr(97 + j // 676)}{chr(97 + j // 26 % 26)}{chr(97 + j % 26)}>x</div>" for j in range(1_600))
+    wide = [nameless(k, x).replace("<body>", "<body>" + blocks) for k, x in enumerate(plain)]
+    wrapper = wrapper_of(wide)
+    assert [wrappers.main_text(p, wrapper) for p in wide] == texts
+
+
+def test_flat_wrappers_come_back():
+    page = "<body>" + "<div><p>a</p><ul><li>b</li></ul><section>" * 900 + "c"
+    node = wrappers.template(wrappers.parse(page))
+    assert wrappers.Node.unpack(node.pack()).pack() == node.pack() and len(node.pack()) > 900
+    both = wrappers.merge_wrappers([wrappers.packed(node), wrappers.packed(wrappers.template(wrappers.parse(page[:-1] + "d")))])
+    assert len(wrappers.json.loads(both)) == len(node.pack())
+
+
 def test_furniture_of_unknown_names():
     inner = "<div class=qz><p>Share this with everyone you know, it only takes one click.</p></div>"
     pages = [f"<html><body><div class=xx>Words of welcome</div><article>{article(k)}{inner}<p>Last line {k}.</p></article><div class=yy>Trailing {k}</div></body></html>" for k in range(9)]
