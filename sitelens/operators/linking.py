@@ -25,50 +25,69 @@ def _spread(colours: DataFrame, edges: DataFrame) -> DataFrame:
     return colours
 
 
+def _onward(edges: DataFrame) -> DataFrame:
+    """The edges whose ends are a beginning of edges, too."""
+    begins = edges.select(F.col("src").alias("_begin")).distinct()
+    return edges.join(begins, F.col("dst") == F.col("_begin"), "left_semi")
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges among nodes that may lie on a cycle: what nothing points to, or points to nothing, goes until no more does."""
+    turn = lambda e: e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    count = None
+    while count != (count := edges.count()):
+        edges = durable(turn(_onward(turn(_onward(edges)))))
+    return edges
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component) of each node: the largest node of those that reach it and that it reaches.
 
     Edges (src, dst) whose ends aren't nodes, repeated and null ones don't count.
     """
-    left = durable(nodes.select("node").filter("node is not null").distinct())
-    ends = left.select(F.col("node").alias("_dst"))
-    inner = durable(edges.select("src", "dst").distinct().join(left, F.col("src") == F.col("node")).join(ends, F.col("dst") == F.col("_dst")).select("src", "dst"))
-    done = None
-    while not left.isEmpty():
-        # What nothing points to, or points to nothing, is alone.
-        inside = inner.filter("src != dst")
-        alone = left.join(inside.select("dst").distinct(), F.col("node") == F.col("dst"), "left_anti").unionByName(left.join(inside.select("src").distinct(), F.col("node") == F.col("src"), "left_anti")).distinct()
-        alone = durable(alone.select("node", F.col("node").alias("component")))
-        if alone.isEmpty():
-            colours = _spread(left.select("node", F.col("node").alias("colour")), inner)
-            colours = durable(colours)
-            same = inner.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("_a")), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("_b")), "dst").filter("_a = _b")
-            back = durable(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-            reached = closure(back, colours.filter("node = colour").select(F.col("node").alias("root")))
-            alone = durable(reached.select("node", F.col("root").alias("component")))
-        done = alone if done is None else done.unionByName(alone)
-        left = durable(left.join(alone.select("node"), "node", "left_anti"))
-        gone = alone.select(F.col("node").alias("_gone"))
-        inner = durable(inner.join(gone, F.col("src") == F.col("_gone"), "left_anti").join(gone, F.col("dst") == F.col("_gone"), "left_anti"))
-    return done if done is not None else left.select("node", F.col("node").alias("component"))
+    every = durable(nodes.select("node").filter("node is not null").distinct())
+    ends = every.select(F.col("node").alias("_node"))
+    inner = edges.filter("src != dst").select("src", "dst").distinct()
+    inner = inner.join(ends, F.col("src") == F.col("_node"), "left_semi").join(ends, F.col("dst") == F.col("_node"), "left_semi")
+    inner, found = _trimmed(durable(inner)), None
+    while not inner.isEmpty():
+        colours = _spread(inner.select(F.col("src").alias("node"), F.col("src").alias("colour")).distinct(), inner)
+        of = lambda end, into: colours.select(F.col("node").alias(end), F.col("colour").alias(into))  # noqa: B023, E731
+        same = inner.join(of("src", "_a"), "src").join(of("dst", "_b"), "dst").filter("_a = _b")
+        back = durable(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        reached = closure(back, colours.filter("node = colour").select(F.col("node").alias("root")))
+        mine = durable(reached.select("node", F.col("root").alias("component")))
+        found = mine if found is None else found.unionByName(mine)
+        gone = mine.select(F.col("node").alias("_gone"))
+        inner = inner.join(gone, F.col("src") == F.col("_gone"), "left_anti").join(gone, F.col("dst") == F.col("_gone"), "left_anti")
+        inner = _trimmed(durable(inner))
+    if found is None:
+        return every.select("node", F.col("node").alias("component"))
+    # What lies on no cycle is alone.
+    found = found.select(F.col("node").alias("_node"), "component")
+    return every.join(found, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component, level): 0 for what needs no other component, else one more than the highest that it needs.
 
     An edge (src, dst) says that src needs dst; the nodes of a component share its level.
+    A component that still begins an edge after t times leaving out the edges whose ends
+    begin none is above level t.
     """
     found = durable(components(nodes, edges))
     of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
-    needs = durable(edges.select("src", "dst").join(of("src"), "src").join(of("dst"), "dst").filter("_src != _dst").select("_src", "_dst").distinct())
-    left, level, done = durable(found.select("component").distinct()), 0, None
-    while not left.isEmpty():
-        ready = durable(left.join(needs, F.col("component") == F.col("_src"), "left_anti").withColumn("level", F.lit(level)))
-        done = ready if done is None else done.unionByName(ready)
-        left = durable(left.join(ready.select("component"), "component", "left_anti"))
-        needs = durable(needs.join(ready.select(F.col("component").alias("_dst")), "_dst", "left_anti"))
+    needs = edges.select("src", "dst").join(of("src"), "src").join(of("dst"), "dst").filter("_src != _dst")
+    needs, level, above = durable(needs.select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct()), 0, None
+    while not needs.isEmpty():
         level += 1
-    return found.join(done, "component").select("node", "component", "level") if done is not None else found.withColumn("level", F.lit(0))
+        mine = needs.select(F.col("src").alias("_component"), F.lit(level).alias("level")).distinct()
+        above = mine if above is None else above.unionByName(mine)
+        needs = durable(_onward(needs))
+    if above is None:
+        return found.withColumn("level", F.lit(0))
+    above = above.groupBy("_component").agg(F.max("level").alias("level"))
+    return found.join(above, F.col("component") == F.col("_component"), "left").select("node", "component", F.coalesce("level", F.lit(0)).alias("level"))
 
 
 def import_edges(statements: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from sitelens.operators.ranges import Step, fold_groups
 
 STATEMENTS = "file_id string, stmt long, start long, size long, kind string, declares array<string>, exports array<string>, imports array<string>, dynamic_imports array<string>, uses array<string>"
 TINY, LARGEST = 120, 4000
+#: Statements of a batch, about.
+BATCH_ROWS = 10_000
 ENTRY_SCORE, BASE_SCORE = 0.18, 0.3
 
 #: Comments, strings, templates as a whole, and regular expressions where an operand is expected.
@@ -78,11 +80,15 @@ def statements(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in STATEMENTS.split(", ")]
+        held: list[tuple] = []
         for rows in batches:
             for key, code in zip(rows["file_id"], rows["content"]):
                 plain = blanked(code or "")
-                found = [(key, k, a, b - a, *_statement(code[a:b], plain[a:b])) for k, (a, b) in enumerate(statement_spans(plain))]
-                yield pd.DataFrame(found, columns=names)
+                held += [(key, k, a, b - a, *_statement(code[a:b], plain[a:b])) for k, (a, b) in enumerate(statement_spans(plain))]
+                if len(held) >= BATCH_ROWS:
+                    yield pd.DataFrame(held, columns=names)
+                    held = []
+        yield pd.DataFrame(held, columns=names)
 
     return files.select(F.col("file_id").cast("string").alias("file_id"), "content").mapInPandas(run, STATEMENTS)
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from sitelens.operators.ranges import as_of, merge_adjacent
 
 _DIGITS = {c: k for k, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")}
+#: Rows of a batch of decoded mappings.
+BATCH_ROWS = 50_000
 MAPPINGS = "map_id string, gen_line long, gen_column long, source string, orig_line long, orig_column long, name string"
 
 
@@ -54,15 +56,20 @@ def mappings(maps: DataFrame, map_id: str = "map_id", content: str = "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in MAPPINGS.split(", ")]
+        frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"orig_line": "Int64", "orig_column": "Int64"})
+        held: list[tuple] = []
         for rows in batches:
             for key, text in zip(rows["map_id"], rows["content"]):
                 try:
-                    found = list(_rows(key, json.loads(text)))
+                    found = list(_rows(key, json.loads(text)))  # whole, since a broken map has no rows
                 except (TypeError, ValueError, KeyError, IndexError, AttributeError):
                     continue
-                for k in range(0, len(found), 50_000):
-                    part = pd.DataFrame(found[k : k + 50_000], columns=names)
-                    yield part.astype({"orig_line": "Int64", "orig_column": "Int64"})
+                held += found
+                while len(held) >= BATCH_ROWS:
+                    yield frame(held[:BATCH_ROWS])
+                    held = held[BATCH_ROWS:]
+        if held:
+            yield frame(held)
 
     return maps.select(F.col(map_id).cast("string").alias("map_id"), F.col(content).alias("content")).mapInPandas(run, MAPPINGS)
 
