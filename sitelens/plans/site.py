@@ -15,12 +15,12 @@ from sitelens.streaming import state as X
 
 #: About so many items of one or two words are looked for in all texts at a time.
 MOST_BARE_ITEMS = 1_000
-#: Up to so many inner words of items are a literal set, and the items broadcast.
-MOST_KEYS = 20_000
+#: Up to so many inner words of items are a literal set, and up to so many items of so many bytes are broadcast.
+MOST_KEYS, MOST_ITEM_BYTES = 20_000, 32 << 20
 
-_EMAIL, _PHONE = r"\b([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})\b", r"\b((?:\+\d{1,2}\s?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4})\b"
-_IPV4 = r"\b((?:\d{1,3}\.){3}\d{1,3})\b"
-_TOKEN = r"""(?i)(api|key|token)["'\s]*[:=]["'\s]*(\w+)["'\s]*"""
+#: The detectors' own patterns, which SQL reads as well.
+_PATTERNS = {d.category: d.pattern for d in D.DETECTORS}
+_EMAIL, _PHONE, _IPV4, _TOKEN = (_PATTERNS[c] for c in ("Email Address", "Phone Number", "IPv4 Address", "API Token/Key"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ WITH p AS (SELECT * FROM (VALUES (0, 'IPv4 Address', '{_IPV4}'), (1, 'Email Addr
 SELECT doc_id, category, rank, value FROM r JOIN p USING (k) WHERE rank <= 40 ORDER BY doc_id, r.k, i LIMIT 1000
 """)
 def findings_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.within_total(D.capped(D.matches(_documents(spark, sf_dir), _PII), _PII))
+    rows = D.within_total(D.capped(D.values(_documents(spark, sf_dir), _PII), _PII))
     return rows.select(F.col("file_id").alias("doc_id"), "category", "rank", "value")
 
 
@@ -96,7 +96,7 @@ WITH m AS (SELECT doc_id, 'pii' AS type, 'Email Address' AS category, len(regexp
 SELECT type, category, coalesce(toxic, -1) AS toxic, CAST(sum(n) AS BIGINT) AS findings, count(DISTINCT doc_id) AS files FROM m LEFT JOIN labels USING (doc_id) WHERE n > 0 GROUP BY 1, 2, 3
 """)
 def findings_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = D.matches(_documents(spark, sf_dir), _PII).groupBy("file_id", "type", "category").agg(F.count("*").alias("n"))
+    found = D.values(_documents(spark, sf_dir), _PII).groupBy("file_id", "type", "category").agg(F.count("*").alias("n"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     joined = found.join(labels, F.col("file_id") == F.col("doc_id"), "left")
     return joined.groupBy("type", "category", F.coalesce("toxic", F.lit(-1)).alias("toxic")).agg(F.sum("n").alias("findings"), F.count_distinct("file_id").alias("files"))
@@ -238,7 +238,8 @@ def theta_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A word that no text has keeps its item from all texts.
     rarest = each.join(frequency, "word").groupBy("item_id").agg(F.min(F.struct("n", "word"))["word"].alias("word"), F.count("*").alias("known"))
     keyed = durable(items.filter(F.size("inner") > 0).join(rarest.withColumnRenamed("item_id", "_id"), F.col("item_id") == F.col("_id")).filter(F.col("known") == F.size("inner")).select("item_id", "item", "word"))
-    if few:
+    count, size = keyed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("item")), F.lit(0))).first()
+    if few and count <= MOST_KEYS and size <= MOST_ITEM_BYTES:  # many items can share few words
         met = docs.select("doc_id", "text", F.explode(among(keyed.select("word").distinct())).alias("word")).join(F.broadcast(keyed), "word")
     else:
         pairs = docs.select("doc_id", F.explode(present).alias("word")).join(keyed, "word").select("doc_id", "item_id", "item")

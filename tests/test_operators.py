@@ -30,7 +30,7 @@ def test_paths(spark):
 
 
 def test_unlikely_secrets(spark):
-    rows = [("abc", True), ("12345678", True), ("MY_CONST_VALUE", True), ("camelCaseName", True), ("9f8e7d6c5b4a", False), ("my_service_api_key", False), ("menu_group_item", True), ("undefined", True)]
+    rows = [("abc", True), ("12345678", True), ("MY_CONST_VALUE", True), ("camelCaseName", True), ("9f8e7d6c5b4a", False), ("my_service_api_key", False), ("menu_group_item", True), ("undefined", True), ("abc-def12", False), ("abcdefgh\n", False), ("UNSAFE_xyz", True), ("_getString", True), ("a_b_c_d_e_token", False), ("x_1__y9zzz", False)]
     got = spark.createDataFrame(rows, "v string, w boolean").select("v", "w", findings.unlikely_secret(F.col("v")).alias("x")).collect()
     assert all(r.w == r.x for r in got), got
 
@@ -41,6 +41,8 @@ def test_findings_have_places_and_caps(spark):
     docs = spark.createDataFrame([(1, text), (2, many), (3, None), (4, "")], "file_id long, content string")
     found = findings.matches(docs)
     assert all(text[r.offset :].startswith(r.value) for r in found.filter("file_id = 1").collect())
+    plain = findings.values(docs).select("file_id", "pattern_order", "category", "type", "at", "value")
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, found.select(*plain.columns).collect()))
     kept = findings.capped(found)
     rows = [(r.category, r.value) for r in kept.filter("file_id = 1").collect()]
     assert sorted(rows) == [("API Token/Key", "9f8e7d6c5b4a"), ("Email Address", "a@b.org"), ("Email Address", "c@d.org"), ("IPv4 Address", "1.2.3.4"), ("URL", "https://x.y/z?q")]
