@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions import html as H
+from sitelens.operators.ranges import innermost
 
 #: What a part starts with, points for what it has, and the thresholds of the labels.
 READY_START, READY_POINTS = 0.2, {"semantic": 0.2, "whole": 0.18, "runnable": 0.08, "candidate": 0.08, "declares": 0.06, "named": 0.1}
@@ -270,3 +271,24 @@ def audit(parts: DataFrame) -> DataFrame:
         warning((F.col("files") > 0) & (F.col("sources") / F.col("files") < SOURCE_SHARE), "low-source-candidate-ratio", "warning", 1, F.col("sources")),
     ]
     return total.select(F.explode(F.array_compact(F.array(*found))).alias("w")).select("w.*").orderBy("priority", "code")
+
+
+def rolled_together(parts: DataFrame, plans: dict[str, DataFrame | None]) -> DataFrame:
+    """(file_id, part, in_parts) with ``has_`` and ``n_`` of each plan: optional plans met on the spans of parts.
+
+    parts has file_id, part, start and stop; a plan's rows have file_id and at, and belong to
+    the innermost part of their file that spans them. An absent plan (None) counts nowhere;
+    rows outside all parts are their file's row with a null part. It is one aggregate over
+    the union of all plans, so that any of them may be missing or hold files of its own.
+    """
+    rows = [parts.select("file_id", "part", F.lit("").alias("plan"))]
+    for name, plan in plans.items():
+        if plan is not None:
+            placed = innermost(plan.select("file_id", "at"), parts, ["file_id"], "at", "start", "stop", ["part"])
+            rows.append(placed.select("file_id", "part", F.lit(name).alias("plan")))
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.unionByName(more)
+    counts = [F.count_if(F.col("plan") == name).alias(f"n_{name}") for name in plans]
+    out = every.groupBy("file_id", "part").agg(F.count_if(F.col("plan") == "").alias("_own"), *counts)
+    return out.select("file_id", "part", (F.col("_own") > 0).alias("in_parts"), *[c for name in plans for c in ((F.col(f"n_{name}") > 0).alias(f"has_{name}"), f"n_{name}")])

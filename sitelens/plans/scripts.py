@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelens.operators import edits as E
-from sitelens.operators import evidence, linking, modules, patches, renames, scopes, vendors
+from sitelens.operators import evidence, linking, modules, patches, planning, reconstruction, renames, scopes, vendors
 from sitelens.plans.generated import _parts, _sql
 from sitelens.registry import query, table
 from sitelens.sources import sourcemaps as V
@@ -313,3 +313,62 @@ def vendor_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _parts(spark, sf_dir, **_VENDOR).withColumn("versions", F.expr("CASE WHEN n % 4 = 0 THEN array() ELSE array(concat('1.', n), '9') END"))
     plan = vendors.downgraded(vendors.adapter_policy(rows, F.col("mode"), vendors.heavy_rules(spark)), F.col("oversize"))
     return plan.select("k", "package", "version", "adapter_mode", "build_check_import", "reason", "rule")
+
+
+_PROJECT = {
+    "project": "CAST(k AS VARCHAR(20))", "label": "CASE WHEN k % 4 = 0 THEN '' ELSE b END", "shared_root": "CASE WHEN n % 3 = 0 THEN concat('root-', a) END",
+    "framework": "CASE WHEN n % 2 = 0 THEN 'react' ELSE 'unknown' END", "kind": "CASE WHEN k % 3 = 0 THEN 'react-app' ELSE 'npm-package' END", "typescript": "(n + k) % 5 < 2",
+}
+#: The manifest at the root, and one below that asks for other versions; some are broken.
+_ROOT = """CASE WHEN k % 11 = 0 THEN '{broken' ELSE concat('{"name":"', CASE WHEN n % 5 = 0 THEN ' ' ELSE concat(a, k) END, '","version":"1.', n, '","private":', CASE WHEN n % 4 = 0 THEN 'false' ELSE '"x"' END,
+ ',"dependencies":{"react":"', CASE WHEN n % 6 = 0 THEN '*' ELSE '18' END, '","', a, '":"2.', n, '"},"scripts":{"', CASE WHEN k % 2 = 0 THEN 'typecheck' ELSE 'dev' END, '":"own"}}') END"""
+_BELOW = """concat('{"name":"below', k, '","dependencies":{"react":"17","only":"1"},"peerDependencies":{"', b, '":"^', n, '"}}')"""
+_CLAIMS = """r AS (SELECT *, n % 7 < 5 AND k % 11 <> 0 AS rooted, n % 3 < 2 AS lower FROM f), m AS (SELECT *, rooted OR lower AS own, CASE WHEN rooted AND n % 5 <> 0 THEN a || k WHEN NOT rooted AND lower THEN 'below' || k END AS mine FROM r),
+ q AS (SELECT *, coalesce(mine, shared_root, nullif(label, ''), 'recovered-package') AS package, kind = 'react-app' AS app, framework = 'react' AS react, rooted AND k % 2 = 0 AS typed FROM m),
+ e AS (SELECT project, app, react, unnest([a, b, 'react', 'tiny', 'eco', package]) AS name, unnest([NULL, '3.' || n, CASE WHEN n % 4 = 0 THEN '19' END, '1', '1', '1']) AS version, unnest(['9', '8', NULL, NULL, NULL, NULL]) AS requested, unnest(['exact', 'exact', 'exact', 'exact', 'ecosystem', 'exact']) AS resolution, unnest(['high', 'medium', 'high', 'low', 'high', 'high']) AS confidence, package FROM q),
+ c AS (SELECT project, 'manifest' AS section, 'name' AS name, package AS value, CASE WHEN mine IS NULL THEN 4 ELSE 0 END AS rank FROM q UNION ALL SELECT project, 'manifest', 'version', CASE WHEN rooted THEN '1.' || n ELSE '0.0.0-recovered' END, CASE WHEN rooted THEN 0 ELSE 4 END FROM q
+  UNION ALL SELECT project, 'manifest', 'private', CASE WHEN rooted AND n % 4 = 0 THEN 'false' ELSE 'true' END, CASE WHEN rooted AND n % 4 = 0 THEN 0 ELSE 4 END FROM q
+  UNION ALL SELECT project, 'dependencies', 'react', CASE WHEN n % 6 = 0 THEN '*' ELSE '18' END, 0 FROM q WHERE rooted UNION ALL SELECT project, 'dependencies', a, '2.' || n, 0 FROM q WHERE rooted
+  UNION ALL SELECT project, 'dependencies', 'react', '17', 0 FROM q WHERE lower AND NOT rooted UNION ALL SELECT project, 'dependencies', 'only', '1', 0 FROM q WHERE lower AND NOT rooted UNION ALL SELECT project, 'peerDependencies', b, '^' || n, 0 FROM q WHERE lower AND NOT rooted
+  UNION ALL SELECT project, 'scripts', CASE WHEN k % 2 = 0 THEN 'typecheck' ELSE 'dev' END, 'own', 0 FROM q WHERE rooted
+  UNION ALL SELECT project, CASE WHEN react AND NOT app AND name = 'react' THEN 'peerDependencies' ELSE 'dependencies' END, name, coalesce(version, requested, '*'), 1 FROM e WHERE name <> package AND resolution <> 'ecosystem' AND confidence <> 'low'
+  UNION ALL SELECT project, 'dependencies', x, '*', 2 FROM q, (VALUES ('react'), ('react-dom')) AS t(x) WHERE app AND react UNION ALL SELECT project, 'devDependencies', x, '*', 3 FROM q, (VALUES ('vite'), ('@vitejs/plugin-react')) AS t(x) WHERE app AND react
+  UNION ALL SELECT project, 'devDependencies', 'typescript', '*', 3 FROM q WHERE typescript UNION ALL SELECT project, 'devDependencies', x, '*', 3 FROM q, (VALUES ('@types/react'), ('@types/react-dom')) AS t(x) WHERE typescript AND react
+  UNION ALL SELECT project, 'scripts', x, y, 4 FROM q, (VALUES ('dev', 'vite'), ('build', 'vite build'), ('preview', 'vite preview')) AS t(x, y) WHERE app UNION ALL SELECT project, 'scripts', 'typecheck', 'tsc --noEmit', 4 FROM q WHERE NOT app AND typescript
+  UNION ALL SELECT project, 'scripts', 'build', 'echo "Recovered package: review sources and add the appropriate build step."', 4 FROM q WHERE NOT app AND (NOT typescript OR typed))"""
+
+
+@query(_sql(f""", {_CLAIMS}, o AS (SELECT *, row_number() OVER (PARTITION BY project, section, name ORDER BY section IN ('dependencies', 'devDependencies') AND value = '*', rank, value) AS nth FROM c), v AS (SELECT project, section, name, count(DISTINCT value) AS n FROM c GROUP BY ALL)
+ SELECT o.project, o.section, o.name, value, ['recovered-manifest', 'package-evidence', 'react-template', 'tooling', 'default'][rank + 1] AS source, v.n - 1 AS rivals FROM o JOIN v ON v.project = o.project AND v.section = o.section AND v.name = o.name WHERE nth = 1""", **_PROJECT))
+def rebuilt_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field of every project's manifest with its source, and how many claims it won against."""
+    rows = _parts(spark, sf_dir, **_PROJECT)
+    root = rows.filter("n % 7 < 5").select("project", F.lit("package.json").alias("path"), F.expr(_ROOT).alias("content"))
+    files = root.unionByName(rows.filter("n % 3 < 2").select("project", F.concat("a", F.lit("/package.json")).alias("path"), F.expr(_BELOW).alias("content")))
+    package = reconstruction.claims(rows, files, spark.createDataFrame([], "project string, name string, version string, requested array<string>, resolution string, confidence string")).filter("section = 'manifest' and name = 'name'")
+    named = rows.join(package.select(F.col("project").alias("_p"), F.col("value").alias("package")), F.col("project") == F.col("_p"))
+    one = lambda name, version, asked, resolution, confidence: F.struct(F.expr(name).alias("name"), F.expr(version).cast("string").alias("version"), F.expr(asked).alias("requested"), F.lit(resolution).alias("resolution"), F.lit(confidence).alias("confidence"))
+    none = "CAST(array() AS array<string>)"
+    made = [
+        one("a", "NULL", "array('9', '7')", "exact", "high"), one("b", "concat('3.', n)", "array('8')", "exact", "medium"), one("'react'", "CASE WHEN n % 4 = 0 THEN '19' END", none, "exact", "high"),
+        one("'tiny'", "'1'", none, "exact", "low"), one("'eco'", "'1'", none, "ecosystem", "high"), one("package", "'1'", none, "exact", "high"),
+    ]
+    packages = named.select("project", F.explode(F.array(*made)).alias("e")).select("project", "e.*")
+    return reconstruction.reconstructed(reconstruction.claims(rows, files, packages)).withColumn("rivals", F.col("rivals").cast("long"))
+
+
+_SPAN = "CAST(sum(q) OVER (PARTITION BY f ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - q AS BIGINT)"
+
+
+@query(f"""WITH {_LINES}, b AS (SELECT f, i, {_SPAN} AS start, q, sk FROM l), s AS (SELECT f, i AS part, start, start + q - sk % 3 AS stop FROM b WHERE sk % 5 > 0 AND q > sk % 3),
+ a AS (SELECT f, 'stats' AS plan, pk % 200 AS pos FROM l UNION ALL SELECT f, 'renames', sk * 7 % 200 FROM l WHERE q % 2 = 0 UNION ALL SELECT f + 1, 'roadmap', pk % 50 FROM l WHERE q % 3 = 0),
+ r AS (SELECT a.f, part, plan FROM a LEFT JOIN s ON s.f = a.f AND start <= pos AND pos < stop UNION ALL SELECT f, part, '' FROM s)
+ SELECT CAST(f AS VARCHAR) AS file_id, part, count(*) FILTER (plan = '') > 0 AS in_parts, count(*) FILTER (plan = 'stats') > 0 AS has_stats, count(*) FILTER (plan = 'stats') AS n_stats, false AS has_structure, 0 AS n_structure,
+  count(*) FILTER (plan = 'renames') > 0 AS has_renames, count(*) FILTER (plan = 'renames') AS n_renames, count(*) FILTER (plan = 'roadmap') > 0 AS has_roadmap, count(*) FILTER (plan = 'roadmap') AS n_roadmap FROM r GROUP BY f, part""")
+def rolled_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four optional plans, one of them absent, met on the spans of their files' parts."""
+    rows = _lines(spark, sf_dir).withColumn("start", F.expr(_SPAN))
+    parts = rows.filter("sk % 5 > 0 AND q > sk % 3").selectExpr("CAST(f AS STRING) AS file_id", "i AS part", "start", "start + q - sk % 3 AS stop")
+    plan = lambda file, at, which="true": rows.filter(which).selectExpr(f"CAST({file} AS STRING) AS file_id", f"{at} AS at")
+    plans = {"stats": plan("f", "pk % 200"), "structure": None, "renames": plan("f", "sk * 7 % 200", "q % 2 = 0"), "roadmap": plan("f + 1", "pk % 50", "q % 3 = 0")}
+    return planning.rolled_together(parts, plans)
