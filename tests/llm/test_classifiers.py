@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -133,3 +135,71 @@ def test_the_stage_drops_what_the_query_marks(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     kept = toxicity.drop_toxic(docs, spark.read.parquet(f"{small}/labels.parquet")).collect()
     assert marked and {r.doc_id for r in kept} == {r.doc_id for r in docs.collect()} - marked
+
+
+def logistic(z):
+    return 1 / (1 + math.exp(-min(max(z, -30), 30)))
+
+
+def test_toxicity_scores_against_a_plain_scorer(spark, tiny):
+    """Every text's score from its words, one weight at a time; weights have single precision."""
+    docs, labels = (spark.read.parquet(f"{tiny}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    assert np.count_nonzero(model.weights) > 5
+
+    def plain(text):
+        words = [w for w in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()]
+        z = 0.0
+        for w in words:
+            for part in ["=" + w] + ["^" + w[:n] for n in (3, 4, 5) if len(w) >= n]:
+                z += model.weights[zlib.crc32(part.encode()) % len(model.weights)]
+        return logistic(model.bias + 50.0 * z / (len(words) + 30))
+
+    rows = toxicity.with_toxicity(docs.select("text").unionByName(spark.createDataFrame([(None,), ("",), ("Ünïcode WORDS vile_rotten 3rd",)], "text string")), model).collect()
+    assert len(rows) == docs.count() + 3
+    for r in rows:
+        assert abs(r.score - plain(r.text)) < 1e-6, r.text
+    query = {r.doc_id: r.score for r in toxicity.op2_toxicity(spark, tiny).collect()}
+    assert all(abs(query[d.doc_id] - plain(d.text)) < 1e-6 for d in docs.collect())
+
+
+def test_quality_scores_against_a_plain_scorer(spark, tiny):
+    """Features by counting, bins by comparing with every cut, scores by adding the bins."""
+    docs, labels = (spark.read.parquet(f"{tiny}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    assert len(model.tables) == len(quality.FEATURES) and len(model.pairs) == quality.PAIRS
+
+    def features(text):
+        text = text or ""
+        words = text.split()
+        if not words:
+            return [0.0] * 19
+        n, data = len(words), text.encode()
+        lines = [x for x in text.split("\n") if x.split()]
+        often = {w: words.count(w) for w in set(words)}
+        symbols = [c for c in text if not (c == "_" or c.isalnum() or c.isspace() or c in ".,;:'\"()!?-") and not re.match(r"\w", c)]
+        junk = lambda w: w.endswith("!!") or not (re.match(r"\w", w[-1]) or w[-1] in ".,;:'\")?")
+        squeezed = sum(len(zlib.compress(data[k : k + 32768], 1)) for k in range(0, len(data), 32768))
+        return [
+            math.log1p(n), sum(len(w) for w in words) / n, sum(1 for w in words if len(w) >= 15) / n, len(often) / n**0.8, max(often.values()) / n,
+            sum(often[words[k]] > 1 and often[words[k + 1]] > 1 for k in range(n - 1)) / n, sum(words[k] == words[k + 1] for k in range(n - 1)) / n,
+            math.log1p(len(lines)), len(set(lines)) / max(1, len(lines)), math.log1p(n / max(1, len(lines))), sum(w.isupper() for w in words) / n,
+            sum(c.isdigit() for c in text) / len(text), len(symbols) / n, len(set(symbols)), (text.count(".") + text.count("?")) / n, text.count(",") / n,
+            (len(data) - len(text)) / len(text), sum(map(junk, words)) / n, squeezed / len(data),
+        ]
+
+    def plain(text):
+        x = features(text)
+        z = model.bias + sum(values[sum(c <= x[k] for c in cuts)] for k, (cuts, values) in enumerate(zip(model.cuts, model.tables)))
+        for (a, b), values in model.pairs.items():
+            z += values[sum(c <= x[a] for c in model.coarse[a])][sum(c <= x[b] for c in model.coarse[b])]
+        return logistic(z)
+
+    small = docs.filter("length(text) < 20000 or text is null").select("text").unionByName(spark.createDataFrame([(None,), ("",), (" \n ",), ("A!! b$ $ $ 12\n\nÜ, ñ?",)], "text string"))
+    rows = quality.with_quality(small, model).collect()
+    assert len(rows) > 100
+    for r in rows:
+        assert np.allclose(quality.text_features(r.text), features(r.text), atol=1e-12)
+        assert abs(r.score - plain(r.text)) < 1e-9
+    query = {r.doc_id: r.score for r in quality.op9_quality(spark, tiny).collect()}
+    assert all(abs(query[d.doc_id] - plain(d.text)) < 1e-9 for d in docs.filter("length(text) < 20000").collect())
