@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sitelens.functions import short_names as S
 from sitelens.operators import edits as E
 from sitelens.operators import evidence, linking, modules, patches, planning, reconstruction, renames, scopes, vendors
 from sitelens.plans.generated import _parts, _sql
@@ -372,3 +373,19 @@ def rolled_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = lambda file, at, which="true": rows.filter(which).selectExpr(f"CAST({file} AS STRING) AS file_id", f"{at} AS at")
     plans = {"stats": plan("f", "pk % 200"), "structure": None, "renames": plan("f", "sk * 7 % 200", "q % 2 = 0"), "roadmap": plan("f + 1", "pk % 50", "q % 3 = 0")}
     return planning.rolled_together(parts, plans)
+
+
+#: One statement a letter: what it is asked for, by the line's keys, and a text that may have the new name already.
+_LETTER = "CASE pk % 5 WHEN 0 THEN concat(v, '.target;') WHEN 1 THEN concat(v, '.classList;') WHEN 2 THEN concat('try {} catch (', v, ') { ', v, '.message }') WHEN 3 THEN concat(v, '.json();') ELSE concat(v, '.other;') END || CASE WHEN q % 8 = 0 THEN ' // element' ELSE '' END"
+_V = "substr('abcdefghijklmnopqrstuvwxyz', i, 1)"
+
+
+@query(f"""WITH {_LINES}, t AS (SELECT *, {_V} AS v, CASE pk % 5 WHEN 0 THEN 'event' WHEN 1 THEN 'element' WHEN 2 THEN 'error' WHEN 3 THEN 'response' END AS name FROM l WHERE i <= 26),
+ h AS (SELECT f, bool_or(q % 8 = 0) AS taken FROM t GROUP BY f), o AS (SELECT t.*, row_number() OVER (PARTITION BY f, name ORDER BY i) AS nth, taken FROM t JOIN h USING (f)),
+ n AS (SELECT *, CASE WHEN name IS NOT NULL AND nth = 1 AND NOT (name = 'element' AND taken) THEN name ELSE v END AS word FROM o)
+ SELECT CAST(f AS VARCHAR) AS file_id, string_agg(CASE pk % 5 WHEN 0 THEN word || '.target;' WHEN 1 THEN word || '.classList;' WHEN 2 THEN 'try {{}} catch (' || word || ') {{ ' || word || '.message }}' WHEN 3 THEN word || '.json();' ELSE word || '.other;' END
+  || CASE WHEN q % 8 = 0 THEN ' // element' ELSE '' END, chr(10) ORDER BY i) AS content FROM n GROUP BY f""")
+def named_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose letters got the names that their members tell, each name once and only where it is free."""
+    files = _files(_lines(spark, sf_dir).filter("i <= 26").withColumn("v", F.expr(_V)), _LETTER)
+    return files.select("file_id", S.with_letter_names(F.col("content"), S.letter_names(F.col("content"))).alias("content"))

@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from sitelens.functions import short_names
 from sitelens.operators import edits, renames, scopes, vendors
 
 
@@ -63,3 +66,28 @@ def test_longest_beginnings(spark):
     assert {x.k: x.rule for x in got.collect()} == want and len(set(want.values())) > 10
     none = spark.createDataFrame([], "rule string, whole boolean")
     assert vendors.longest_beginning(got.drop("rule"), "package", none).filter("rule is not null").count() == 0
+
+
+def test_letters_get_names_where_these_are_free(spark):
+    cases = [
+        ("e.target; e.x; be.e", "event.target; event.x; be.event"),
+        ("e.target; r.json(); e.querySelector()", "event.target; response.json(); event.querySelector()"),
+        ("e.target; f.pageX", "event.target; f.pageX"),
+        ("d.body; let document", "d.body; let document"),
+        ("x.on('a'); y.onclick = function (k) { k }", "x.on('a'); y.onclick = function (event) { event }"),
+        ("e.key; try {} catch (e) { e.stack }", "error.key; try {} catch (error) { error.stack }"),
+        ("", ""),
+        (None, None),
+    ]
+    rows = spark.createDataFrame([(k, c) for k, (c, _) in enumerate(cases)], "k int, code string")
+    got = {r.k: r.new for r in rows.select("k", short_names.with_letter_names(F.col("code"), short_names.letter_names(F.col("code"))).alias("new")).collect()}
+    assert [got[k] for k in range(len(cases))] == [want for _, want in cases]
+
+
+def test_aliases_are_inlined_and_calls_unwrapped(spark):
+    cases = [("var a = (1, 2);\nuse(a);", "\nuse((1, 2));"), ("var a = 1;\na + a", "var a = 1;\na + a"), ("var b = '$1\\\\';\nf(b)", "\nf('$1\\\\')"), ("x", "x")]
+    rows = spark.createDataFrame([(k, c) for k, (c, _) in enumerate(cases)], "k int, code string")
+    got = {r.k: r.new for r in rows.select("k", short_names.inlined(F.col("code"), short_names.single_use_aliases(F.col("code"))).alias("new")).collect()}
+    assert [got[k] for k in range(len(cases))] == [want for _, want in cases]
+    whole = spark.createDataFrame([("(() => { a; { b } })();",), ("(function () {c})()\n",), ("(() => {})",)], "code string")
+    assert [r[0] for r in whole.select(short_names.unwrapped(F.col("code"))).collect()] == [" a; { b } ", "c", "(() => {})"]
