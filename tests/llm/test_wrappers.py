@@ -142,3 +142,15 @@ def test_rounds_and_odd_rows(spark, monkeypatch):
     assert wrappers.infer_wrappers(pages).count() == 3 and wrappers.with_main_text(pages.limit(0)).count() == 0
     monkeypatch.setattr(wrappers, "MOST_BROADCAST", 0)
     assert sorted((str(r.page_id), r.text) for r in wrappers.with_main_text(pages).collect()) == got
+
+
+def test_texts_are_the_same_for_any_partitions_and_batches(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    found = []
+    for parts, batch in ((1, 10_000), (4, 10_000), (16, 7)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            found.append({r.page_id: r.text for r in wrappers.with_main_text(pages.repartition(parts)).select("page_id", "text").collect()})
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] == found[2] and len(found[0]) == pages.count()
