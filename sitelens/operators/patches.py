@@ -18,6 +18,8 @@ from sitelens.functions.tokens import Token, tokens
 from sitelens.operators import edits
 
 FUNCTIONS = "file_id string, name string, start long, stop long, body_start long, body_stop long, depth long, text string, parameters array<string>"
+#: Functions of a batch, about.
+BATCH_ROWS = 5_000
 _SPACE_AND_END = re.compile(r"\s*;?")
 _PAIRS = {"(": ")", "[": "]", "{": "}", "${": "}"}
 
@@ -82,12 +84,19 @@ def named_functions(files: DataFrame) -> DataFrame:
     types = {"string": pa.string(), "long": pa.int64(), "array<string>": pa.list_(pa.string())}
     kinds = {n: types[k] for n, k in (c.split() for c in FUNCTIONS.split(", "))}
 
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
-            for key, code in zip(batch.column(0), batch.column(1)):
-                rows = [(key.as_py(), *r) for r in _functions(code.as_py() or "")]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
+            for key, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held += [(key, *r) for r in _functions(code or "")]
+                if len(held) >= BATCH_ROWS:
+                    yield pack(held)
+                    held = []
+        if held:
+            yield pack(held)
 
     return files.select(F.col("file_id").cast("string").alias("file_id"), "content").mapInArrow(run, FUNCTIONS)
 
@@ -115,7 +124,7 @@ def snippet_hash(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
-def judged_actions(actions: DataFrame, files: DataFrame, locked: bool = False, prefix: str = "src/recovered-entry/") -> DataFrame:
+def judged_actions(actions: DataFrame, files: DataFrame, locked: bool = False, prefix: str = "src/recovered-entry/", apart: bool = True) -> DataFrame:
     """Actions with ``reason`` (null: applies), ``start`` and ``stop`` of the snippet.
 
     actions has action_id, type, source_file, before, before_hash, after and symbol; files
@@ -124,13 +133,13 @@ def judged_actions(actions: DataFrame, files: DataFrame, locked: bool = False, p
     generated-entry-locked (below ``prefix``, if ``locked``), source-file-missing,
     exact-before-not-found, exact-before-not-unique, missing-exact-after, and, for what
     begins before an earlier snippet that applies ends, overlaps. Occurrences that overlap
-    the first one don't count as second ones.
+    the first one don't count as second ones if they have to be ``apart``.
     """
     known = files.select(F.col("path").alias("_path"), F.coalesce("content", F.lit("")).alias("_content"))
     rows = actions.join(known, F.col("source_file") == F.col("_path"), "left")
     found = lambda start: F.call_function("locate", F.col("before"), F.col("_content"), start)
     rows = rows.withColumn("_at", found(F.lit(1)).cast("int"))
-    rows = rows.withColumn("_again", F.when(F.col("_at") > 0, found(F.col("_at") + F.length("before"))).otherwise(0))
+    rows = rows.withColumn("_again", F.when(F.col("_at") > 0, found(F.col("_at") + (F.length("before") if apart else 1))).otherwise(0))
     lost = lambda c: F.col(c).isNull() | (F.col(c) == "")
     reason = (
         F.when(lost("source_file") | lost("before") | lost("before_hash"), "missing-exact-before-or-hash")
