@@ -109,8 +109,7 @@ def clusters() -> Step:
 
 def modules(rows: DataFrame) -> DataFrame:
     """(file_id, module, declares, exports, dynamic_imports, size, statements, kind, score, confidence)."""
-    dealt = fold_groups(rows, ["file_id"], ["stmt"], "size", clusters(), "module").select("file_id", "stmt", "module")
-    joined = rows.join(dealt, ["file_id", "stmt"])
+    joined = fold_groups(rows.filter("file_id is not null"), ["file_id"], ["stmt"], "size", clusters(), "module", ["start", "declares", "exports", "dynamic_imports"])
     merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
     out = joined.groupBy("file_id", "module").agg(merged("declares"), merged("exports"), merged("dynamic_imports"), F.sum("size").alias("size"), F.count("*").alias("statements"), F.min("start").alias("start"))
     named = (F.size("declares") > 0).cast("double")
@@ -131,7 +130,8 @@ def edges(rows: DataFrame, graph: DataFrame) -> DataFrame:
     used = rows.select("file_id", F.col("start").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("module"), "uses")
     placed = marks.unionByName(used).withColumn("source", F.last("module", ignorenulls=True).over(order)).filter("side = 1")
     names = placed.select("file_id", "source", F.explode("uses").alias("name"))
-    found = names.join(first, ["file_id", "name"]).filter("source != target")
+    # Python's rows are more than Spark takes them for, so neither side is to be broadcast.
+    found = names.join(first.hint("merge"), ["file_id", "name"]).filter("source != target")
     return found.groupBy("file_id", "source", "target").agg(F.count_distinct("name").alias("symbols"))
 
 
@@ -144,4 +144,5 @@ def missing_imports(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Dynamic imports whose target no file of the table has, with the number of statements."""
     wanted = rows.select(F.explode("dynamic_imports").alias("target")).withColumn("target", F.regexp_replace("target", r"^\./", ""))
     known = files.select(F.col("path").alias("_path")).distinct()
-    return wanted.join(known, F.col("target") == F.col("_path"), "left_anti").groupBy("target").agg(F.count("*").alias("statements"))
+    counts = wanted.groupBy("target").agg(F.count("*").alias("statements"))
+    return counts.join(known.hint("merge"), F.col("target") == F.col("_path"), "left_anti")

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,28 +127,33 @@ def fold(step: Step, sizes: list[int]) -> list[int]:
     return out
 
 
-def fold_groups(rows: DataFrame, keys: list[str], order: list[str], size: str, step: Step, into: str) -> DataFrame:
-    """An ordered fold within each group whose state depends on what came before.
+def fold_groups(rows: DataFrame, keys: list[str], order: list[str], size: str, step: Step, into: str, kept: Sequence[str] = ()) -> DataFrame:
+    """An ordered fold within each group whose state depends on what came before; ``kept`` columns go along.
 
     Rows are sorted within partitions and pass in batches; only the fold's state is held,
     however many rows a group has. Null keys are a group; a null size counts as 0.
     """
-    narrow = rows.select(*keys, *order, size)
+    narrow = rows.select(*keys, *order, size, *kept)
+    at = len(keys) + len(order)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def plain(value: object) -> object:
+        return None if value != value else value  # NaN, as a key, equals itself
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, state = None, None
-        for pdf in batches:
-            values = pdf[keys].astype(object).where(pdf[keys].notna(), None)
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(len(keys))]
             numbers = []
-            for key, n in zip(values.itertuples(index=False, name=None), pdf[size].fillna(0)):
+            for n, *values in zip(batch.column(at).to_pylist(), *columns):
+                key = [plain(v) for v in values]
                 state = state if key == group else None
                 group = key
-                state, number = step(state, int(n))
+                state, number = step(state, int(plain(n) or 0))
                 numbers.append(number)
-            yield pdf.assign(**{into: numbers})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=[*batch.schema.names, into])
 
     schema = narrow.withColumn(into, F.lit(0).cast("long")).schema
-    return narrow.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return narrow.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def greedy_bins(target: int) -> Step:

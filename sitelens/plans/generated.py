@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitelens.durable import durable
 from sitelens.functions import html as H
 from sitelens.functions import paths as P
 from sitelens.functions import text as X
@@ -19,7 +20,7 @@ from sitelens.operators import modules as M
 from sitelens.operators import scoring
 from sitelens.operators import webpack as W
 from sitelens.plans import packages as K
-from sitelens.registry import query, table
+from sitelens.registry import query, spread, table
 from sitelens.sources import files as S
 from sitelens.sources import resolve
 from sitelens.sources import sourcemaps as V
@@ -30,7 +31,7 @@ _PARTS = "SELECT p_partkey AS k, p_size AS n, split_part(p_name, ' ', 1) AS a, s
 
 def _parts(spark: SparkSession, sf_dir: str, **made: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").selectExpr("p_partkey AS k", "p_size AS n", "split_part(p_name, ' ', 1) AS a", "split_part(p_name, ' ', 2) AS b")
-    return rows.selectExpr("*", *[f"{text} AS {name}" for name, text in made.items()])
+    return spread(rows, "k").selectExpr("*", *[f"{text} AS {name}" for name, text in made.items()])
 
 
 def _sql(select: str, **made: str) -> str:
@@ -285,14 +286,14 @@ def statement_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_sql("SELECT CAST(k AS VARCHAR) AS file_id, s AS source, 1 - s AS target, 1 AS symbols FROM f, (VALUES (0), (1)) AS t(s) WHERE k % 3 <> 2"))
 def module_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The import and the constants are small and share module 0; the function and the export follow as 1."""
-    rows = M.statements(_parts(spark, sf_dir, **_BUNDLE))
-    return M.edges(rows, M.modules(rows))
+    rows = durable(M.statements(_parts(spark, sf_dir, **_BUNDLE)))
+    return M.edges(rows, durable(M.modules(rows)))
 
 
 @query(_sql("SELECT count(DISTINCT k) AS chunks, 2 * count(*) AS modules, round(avg((0.3 + 0.25 + 0.18 + 0.3 + 0.25 + 0.2) / 2), 6) AS average_score, 2 * count(*) AS edges FROM f WHERE k % 3 <> 2"))
 def module_graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = M.statements(_parts(spark, sf_dir, **_BUNDLE))
-    graph = M.modules(rows)
+    rows = durable(M.statements(_parts(spark, sf_dir, **_BUNDLE)))
+    graph = durable(M.modules(rows))
     return M.graph_summary(graph, M.edges(rows, graph))
 
 

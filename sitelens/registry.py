@@ -24,5 +24,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Tasks for each core that rows are dealt to where much is made of each row.
+TASKS_PER_CORE = 4
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to tasks by key. Rows that are few bytes in a file are one split, and one task, however much is made of them."""
+    return rows.repartition(TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -25,3 +25,42 @@ def test_pieces_that_overlap_their_own_repeat(spark, tmp_path):
     folder = made(tmp_path, "lineitem", "SELECT 1::BIGINT AS l_orderkey, 5::BIGINT AS l_partkey, CASE WHEN i = 1 THEN 2 ELSE 7 END::BIGINT AS l_suppkey, i::INT AS l_linenumber, 3.0 AS l_quantity, 1.0 AS l_extendedprice FROM range(1, 4) t(i)")
     got = held_against_sql(spark, "patch_actions", folder, "lineitem")
     assert [r[2] for r in got] == ["exact-before-not-unique"] * 3
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_bytes_of_parts_are_dealt_to_all_cores(spark, tiny):
+    from sitelens.plans.generated import _parts
+
+    assert _parts(spark, tiny).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("name", ["module_graph_summary", "module_edges", "called_sections", "webpack_edges", "module_importers", "bundle_breakdown", "lookup_original_position", "island_files", "bundle_roles", "missing_dynamic_imports"])
+def test_what_grows_is_not_broadcast(spark, tiny, name):
+    assert "BroadcastHashJoin" not in plan(entry.queries()[name](spark, tiny))
+
+
+def test_edges_of_a_site_are_read_once(spark, tiny):
+    from sitelens.plans.scripts import _links
+
+    files, edges, _, _ = _links(spark, tiny)
+    assert "MapInPandas" not in plan(edges) and "BroadcastHashJoin" not in plan(files) and edges.count()
+
+
+def test_folds_take_columns_along(spark):
+    from sitelens.operators import ranges
+
+    rows = spark.createDataFrame([("a", 2, 60, "y"), ("a", 1, 150, "x"), (None, 1, None, "n"), ("a", 3, 150, None)], "g string, at int, size int, word string")
+    got = ranges.fold_groups(rows, ["g"], ["at"], "size", ranges.greedy_bins(200), "bin", ["word"]).collect()
+    assert {(r.g, r.at, r.bin, r.word) for r in got} == {("a", 1, 0, "x"), ("a", 2, 1, "y"), ("a", 3, 2, None), (None, 1, 0, "n")}
+
+
+def test_members_of_webpack_tables_in_batches(spark):
+    from sitelens.operators import webpack
+
+    pack = "x({100:(e,t,r)=>{r(101)},101:(e,t,r)=>{r(100);r(101);r(999)}})"
+    files = spark.range(6000).selectExpr("CAST(id AS STRING) AS file_id", f"IF(id % 3 = 0, NULL, '{pack}') AS content").repartition(1)
+    found = webpack.modules(files)
+    assert found.count() == 8000 and webpack.edges(found).count() == 8000
