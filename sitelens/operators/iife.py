@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.operators.modules import blanked
+from sitelens.operators.modules import BATCH_ROWS, blanked
 from sitelens.operators.ranges import Step, fold_groups
 
 ITEMS = "file_id string, at long, type string, name string, lines long"
@@ -110,14 +110,17 @@ def items(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in ITEMS.split(", ")]
+        held: list[tuple] = []
         for rows in batches:
             for key, code in zip(rows["file_id"], rows["content"]):
                 plain = blanked(code or "")
-                found = []
                 for at, (a, b) in enumerate(body_spans(plain)):
                     a += len(plain[a:b]) - len(plain[a:b].lstrip())
-                    found.append((key, at, *statement_type(code[a:b], plain[a:b]), code[a:b].rstrip().count("\n") + 1))
-                yield pd.DataFrame(found, columns=names)
+                    held.append((key, at, *statement_type(code[a:b], plain[a:b]), code[a:b].rstrip().count("\n") + 1))
+                if len(held) >= BATCH_ROWS:
+                    yield pd.DataFrame(held, columns=names)
+                    held = []
+        yield pd.DataFrame(held, columns=names)
 
     return files.select(F.col("file_id").cast("string").alias("file_id"), "content").mapInPandas(run, ITEMS)
 
@@ -160,20 +163,19 @@ def sections(files: DataFrame, target: int = 5000) -> DataFrame:
     for name, k in _NUMBER.items():
         number = F.when(category == name, k).otherwise(number)
     rows = rows.withColumn("category", category).withColumn("value", F.col("lines") * 8 + number)
-    dealt = fold_groups(rows, ["file_id"], ["at"], "value", grouping(), "group").select("file_id", "at", "group")
-    rows = rows.join(dealt, ["file_id", "at"])
-    groups = rows.groupBy("file_id", "group").agg(F.sum("lines").alias("size"), F.min_by("category", "at").alias("kind"))
-    order = Window.partitionBy("file_id").orderBy("group").rowsBetween(Window.unboundedPreceding, 0)
-    anchor = F.max(F.when(F.col("size") >= TINY_LINES, F.col("group"))).over(order)
-    groups = groups.withColumn("into", F.coalesce(anchor, F.lit(-1)))
-    kinds = groups.groupBy("file_id", "into").agg(F.min_by("kind", "group").alias("category"))
-    rows = rows.drop("category").join(groups.select("file_id", "group", "into"), ["file_id", "group"])
+    held = ["type", "name", "lines"]
+    rows = fold_groups(rows.filter("file_id is not null"), ["file_id"], ["at"], "value", grouping(), "group", [*held, "category"])
+    # A tiny group joins the last one before it that isn't, leading ones stay together; the first statement names what they make up.
+    size = F.sum("lines").over(Window.partitionBy("file_id", "group"))
+    before = Window.partitionBy("file_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    anchor = F.max(F.when(F.col("size") >= TINY_LINES, F.col("group"))).over(before)
+    rows = rows.withColumn("size", size).withColumn("into", F.coalesce(anchor, F.lit(-1)))
     unit = F.col("type").isin("class", "component") | ((F.col("type") == "function") & (F.col("lines") >= UNIT_LINES))
     rows = rows.withColumn("value", F.col("lines") * 2 + unit.cast("int"))
-    parts = fold_groups(rows, ["file_id", "into"], ["at"], "value", splitting(target), "part").select("file_id", "at", "part")
-    out = rows.join(parts, ["file_id", "at"]).groupBy("file_id", "into", "part").agg(
-        F.min("at").alias("first"), F.count("*").alias("statements"), F.sum("lines").alias("lines"), F.array_sort(F.collect_set("name")).alias("names")
+    rows = rows.withColumn("category", F.first("category").over(Window.partitionBy("file_id", "into").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    parts = fold_groups(rows, ["file_id", "into"], ["at"], "value", splitting(target), "part", ["name", "lines", "category"])
+    out = parts.groupBy("file_id", "into", "part").agg(
+        F.min("category").alias("category"), F.min("at").alias("first"), F.count("*").alias("statements"), F.sum("lines").alias("lines"), F.array_sort(F.collect_set("name")).alias("names")
     )
-    out = out.join(kinds, ["file_id", "into"])
     section = F.row_number().over(Window.partitionBy("file_id").orderBy("first")) - 1
     return out.select("file_id", section.alias("section"), "category", "first", "statements", "lines", "names")
