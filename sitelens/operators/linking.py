@@ -18,8 +18,8 @@ def _spread(colours: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, colour): the largest colour of all that reach a node over edges (src, dst)."""
     changed = colours
     while not changed.isEmpty():
-        sent = changed.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("_node")).agg(F.max("colour").alias("_colour"))
-        met = colours.join(sent, F.col("node") == F.col("_node"), "left")
+        sent = changed.join(edges.hint("merge"), F.col("node") == F.col("src")).groupBy(F.col("dst").alias("_node")).agg(F.max("colour").alias("_colour"))
+        met = colours.join(sent.hint("merge"), F.col("node") == F.col("_node"), "left")
         met = durable(met.select("node", F.greatest("colour", "_colour").alias("colour"), F.coalesce(F.col("_colour") > F.col("colour"), F.lit(False)).alias("moved")))
         colours, changed = met.select("node", "colour"), met.filter("moved").select("node", "colour")
     return colours
@@ -28,7 +28,7 @@ def _spread(colours: DataFrame, edges: DataFrame) -> DataFrame:
 def _onward(edges: DataFrame) -> DataFrame:
     """The edges whose ends are a beginning of edges, too."""
     begins = edges.select(F.col("src").alias("_begin")).distinct()
-    return edges.join(begins, F.col("dst") == F.col("_begin"), "left_semi")
+    return edges.join(begins.hint("merge"), F.col("dst") == F.col("_begin"), "left_semi")
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
@@ -48,24 +48,24 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     every = durable(nodes.select("node").filter("node is not null").distinct())
     ends = every.select(F.col("node").alias("_node"))
     inner = edges.filter("src != dst").select("src", "dst").distinct()
-    inner = inner.join(ends, F.col("src") == F.col("_node"), "left_semi").join(ends, F.col("dst") == F.col("_node"), "left_semi")
+    inner = inner.join(ends.hint("merge"), F.col("src") == F.col("_node"), "left_semi").join(ends.hint("merge"), F.col("dst") == F.col("_node"), "left_semi")
     inner, found = _trimmed(durable(inner)), None
     while not inner.isEmpty():
         colours = _spread(inner.select(F.col("src").alias("node"), F.col("src").alias("colour")).distinct(), inner)
-        of = lambda end, into: colours.select(F.col("node").alias(end), F.col("colour").alias(into))  # noqa: B023, E731
+        of = lambda end, into: colours.select(F.col("node").alias(end), F.col("colour").alias(into)).hint("merge")  # noqa: B023, E731
         same = inner.join(of("src", "_a"), "src").join(of("dst", "_b"), "dst").filter("_a = _b")
         back = durable(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         reached = closure(back, colours.filter("node = colour").select(F.col("node").alias("root")))
         mine = durable(reached.select("node", F.col("root").alias("component")))
         found = mine if found is None else found.unionByName(mine)
-        gone = mine.select(F.col("node").alias("_gone"))
+        gone = mine.select(F.col("node").alias("_gone")).hint("merge")
         inner = inner.join(gone, F.col("src") == F.col("_gone"), "left_anti").join(gone, F.col("dst") == F.col("_gone"), "left_anti")
         inner = _trimmed(durable(inner))
     if found is None:
         return every.select("node", F.col("node").alias("component"))
     # What lies on no cycle is alone.
     found = found.select(F.col("node").alias("_node"), "component")
-    return every.join(found, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("component", "node").alias("component"))
+    return every.join(found.hint("merge"), F.col("node") == F.col("_node"), "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     begin none is above level t.
     """
     found = durable(components(nodes, edges))
-    of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+    of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")).hint("merge")
     needs = edges.select("src", "dst").join(of("src"), "src").join(of("dst"), "dst").filter("_src != _dst")
     needs, level, above = durable(needs.select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct()), 0, None
     while not needs.isEmpty():
@@ -87,7 +87,7 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     if above is None:
         return found.withColumn("level", F.lit(0))
     above = above.groupBy("_component").agg(F.max("level").alias("level"))
-    return found.join(above, F.col("component") == F.col("_component"), "left").select("node", "component", F.coalesce("level", F.lit(0)).alias("level"))
+    return found.join(above.hint("merge"), F.col("component") == F.col("_component"), "left").select("node", "component", F.coalesce("level", F.lit(0)).alias("level"))
 
 
 def import_edges(statements: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def available(parts: DataFrame, assets: DataFrame | None = None) -> DataFrame:
     own = parts.select("path", "content", F.lit("part").alias("origin"))
     if assets is None:
         return own
-    more = assets.filter(~is_page(F.col("content"))).join(parts.select("path"), "path", "left_anti")
+    more = assets.filter(~is_page(F.col("content"))).join(parts.select("path").hint("merge"), "path", "left_anti")
     return own.unionByName(more.select("path", "content", F.lit("asset").alias("origin")))
 
 
@@ -124,7 +124,7 @@ def bundles(files: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame
     together. Null contents are empty; an entry without a file has what else it reaches.
     """
     placed = levels(files.select(F.col("path").alias("node")), edges)
-    held = _reached(edges, entries).join(placed, "node").join(files.select(F.col("path").alias("node"), "content"), "node")
+    held = _reached(edges, entries).join(placed.hint("merge"), "node").join(files.select(F.col("path").alias("node"), "content").hint("merge"), "node")
     row = F.struct("level", "component", "node", F.coalesce("content", F.lit("")).alias("content"))
     whole = held.groupBy(F.col("root").alias("entry")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     joined = lambda c, mark: F.array_join(F.transform("rows", lambda x: x[c]), mark)
@@ -137,9 +137,9 @@ def missing(files: DataFrame, edges: DataFrame, entries: DataFrame, stubs: DataF
     An entry that is itself no file is missing without a source.
     """
     known = files.select("path")
-    wanted = _reached(edges, entries).join(edges.filter("dynamic"), F.col("node") == F.col("src")).select(F.col("root").alias("entry"), F.col("dst").alias("target"), F.col("src").alias("source"))
+    wanted = _reached(edges, entries).join(edges.filter("dynamic").hint("merge"), F.col("node") == F.col("src")).select(F.col("root").alias("entry"), F.col("dst").alias("target"), F.col("src").alias("source"))
     wanted = wanted.unionByName(entries.select("entry", F.col("entry").alias("target"), F.lit(None).cast("string").alias("source")))
-    lost = wanted.join(known, F.col("target") == F.col("path"), "left_anti")
+    lost = wanted.join(known.hint("merge"), F.col("target") == F.col("path"), "left_anti")
     if stubs is not None:
-        lost = lost.join(stubs.select(F.col("path").alias("_stub")), F.col("target") == F.col("_stub"), "left_anti")
+        lost = lost.join(stubs.select(F.col("path").alias("_stub")).hint("merge"), F.col("target") == F.col("_stub"), "left_anti")
     return lost.distinct()

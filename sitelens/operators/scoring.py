@@ -102,13 +102,14 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, depth): everything reachable from the roots over edges (src, dst), roots too.
 
     Each round joins the frontier only, leaves out what is already known and is checkpointed.
+    Neither the edges nor what is known grow small by the sizes that Spark guesses, so they are not broadcast.
     """
     known = frontier = durable(roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
     depth = 0
     while not frontier.isEmpty():
         depth += 1
-        step = frontier.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.lit(depth).alias("depth")).distinct()
+        step = frontier.join(edges.hint("merge"), F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.lit(depth).alias("depth")).distinct()
         seen = known.select(F.col("root").alias("_root"), F.col("node").alias("_node"))
-        frontier = durable(step.join(seen, (F.col("root") == F.col("_root")) & (F.col("node") == F.col("_node")), "left_anti"))
+        frontier = durable(step.join(seen.hint("merge"), (F.col("root") == F.col("_root")) & (F.col("node") == F.col("_node")), "left_anti"))
         known = known.unionByName(frontier)
     return known
