@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.operators.modules import blanked
+from sitelens.operators.modules import BATCH_ROWS, blanked
 
 MODULES = "file_id string, at long, module string, start long, size long, requires array<string>, exports array<string>, stop long"
 #: An object with at least so many numbered factories is a table; of an array, at least this share are functions.
@@ -109,9 +109,14 @@ def modules(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in MODULES.split(", ")]
+        held: list[tuple] = []
         for rows in batches:
             for key, code in zip(rows["file_id"], rows["content"]):
-                yield pd.DataFrame(_read(key, code or ""), columns=names)
+                held += _read(key, code or "")
+                if len(held) >= BATCH_ROWS:
+                    yield pd.DataFrame(held, columns=names)
+                    held = []
+        yield pd.DataFrame(held, columns=names)
 
     found = files.select(F.col("file_id").cast("string").alias("file_id"), "content").mapInPandas(run, MODULES)
     score = F.lit(BASE_SCORE) + F.when(F.size("requires") > 0, REQUIRE_BONUS).otherwise(0.0) + F.when(F.col("size") >= LONG_BYTES, LONG_BONUS).otherwise(0.0)
@@ -120,9 +125,12 @@ def modules(files: DataFrame) -> DataFrame:
 
 def edges(found: DataFrame) -> DataFrame:
     """(file_id, source, target): requires of modules that the file defines; the last definition of a number counts, a module itself doesn't."""
-    last = found.groupBy("file_id", F.col("module").alias("target")).agg(F.max("at").alias("to"))
-    wanted = found.select("file_id", "at", F.col("module").alias("source"), F.explode("requires").alias("target"))
-    return wanted.join(last, ["file_id", "target"]).filter(F.col("at") != F.col("to")).select("file_id", "source", "target").distinct()
+    # A module's own number and those it requires are rows of one pass, which meet by number: what defines it, and what asks for it.
+    own = F.array(F.struct(F.col("module").alias("target"), F.lit(True).alias("defines")))
+    asked = F.transform("requires", lambda r: F.struct(r.alias("target"), F.lit(False).alias("defines")))
+    named = found.filter("file_id is not null").select("file_id", "at", F.col("module").alias("source"), F.explode(F.concat(own, asked)).alias("n")).select("file_id", "at", "source", "n.*")
+    met = named.withColumn("to", F.max(F.when(F.col("defines"), F.col("at"))).over(Window.partitionBy("file_id", "target")))
+    return met.filter(~F.col("defines") & (F.col("at") != F.col("to"))).select("file_id", "source", "target").distinct()
 
 
 def importers(found: DataFrame) -> DataFrame:
