@@ -88,7 +88,8 @@ def spans(found: DataFrame, lines: DataFrame) -> DataFrame:
     lines: (map_id, gen_line, line_length).
     """
     order = Window.partitionBy("map_id", "gen_line").orderBy("gen_column")
-    joined = found.join(lines, ["map_id", "gen_line"])
+    # A map's rows are many times its text, so no side of these joins is to be broadcast by the text's size.
+    joined = found.join(lines.hint("merge"), ["map_id", "gen_line"])
     return joined.withColumn("gen_end", F.coalesce(F.lead("gen_column").over(order), F.col("line_length")) - 1).filter("gen_end >= gen_column")
 
 
@@ -102,7 +103,7 @@ def bytes_by_source(found: DataFrame, lines: DataFrame) -> DataFrame:
     """(map_id, source, bytes): UTF-8 bytes of each bundle by original source; null: no source."""
     merged = merge_adjacent(spans(found, lines.drop("line")), ["map_id", "gen_line", "source"], "gen_column", "gen_end")
     text = F.expr("substring(line, cast(gen_column as int) + 1, cast(gen_end - gen_column as int) + 1)")
-    joined = merged.join(lines.select("map_id", "gen_line", "line"), ["map_id", "gen_line"])
+    joined = merged.join(lines.select("map_id", "gen_line", "line").hint("merge"), ["map_id", "gen_line"])
     return joined.groupBy("map_id", "source").agg(F.sum(F.octet_length(text)).alias("bytes"))
 
 
@@ -112,7 +113,7 @@ def bundle_breakdown(found: DataFrame, bundles: DataFrame, map_id: str = "map_id
     by_source = bytes_by_source(found, lines).select("map_id", F.lit("source").alias("kind"), F.coalesce("source", F.lit("[no source]")).alias("path"), "bytes")
     total = bundles.select(F.col(map_id).cast("string").alias("map_id"), F.octet_length(code).alias("total"), (F.octet_length(code) - F.octet_length(F.regexp_replace(code, "[\r\n]", ""))).alias("eol"))
     mapped = by_source.groupBy("map_id").agg(F.sum("bytes").alias("mapped"))
-    rest = total.join(mapped, "map_id", "left").withColumn("rest", F.greatest(F.col("total") - F.coalesce("mapped", F.lit(0)) - F.col("eol"), F.lit(0)))
+    rest = total.join(mapped.hint("merge"), "map_id", "left").withColumn("rest", F.greatest(F.col("total") - F.coalesce("mapped", F.lit(0)) - F.col("eol"), F.lit(0)))
     ends = rest.select("map_id", F.lit("eol").alias("kind"), F.lit("[EOL]").alias("path"), F.col("eol").cast("long").alias("bytes"))
     open_ = rest.select("map_id", F.lit("unmapped").alias("kind"), F.lit("[unmapped]").alias("path"), F.col("rest").cast("long").alias("bytes"))
     return by_source.unionByName(ends).unionByName(open_).filter("bytes > 0")
@@ -134,7 +135,8 @@ def lookup_original(found: DataFrame, asks: DataFrame) -> DataFrame:
     asks: (ask_id, map_id, source, orig_line, orig_column).
     """
     keys = ["map_id", "source", "orig_line", "orig_column"]
-    met = asks.join(found.select(*keys, F.struct("gen_line", "gen_column").alias("place")), keys, "left")
+    places = found.select(*keys, F.struct("gen_line", "gen_column").alias("place"))
+    met = asks.join(places.hint("merge"), keys, "left")  # a map's rows are many times its text, so they aren't to be broadcast
     return met.groupBy("ask_id").agg(F.array_sort(F.collect_set("place")).alias("matches"))
 
 
