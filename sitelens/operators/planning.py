@@ -95,7 +95,7 @@ def bundle_roles(files: DataFrame, pages: DataFrame, framework: str = "unknown")
     linked = linked.groupBy(plain(F.col("url")).alias("_linked")).agg(F.count_distinct("page_id").alias("pages"))
     hydrated = pages.select(F.explode(H.islands(F.col("html"))).alias("i")).select(plain(F.col("i.url")).alias("_hydrated")).distinct()
     rows = files.withColumn("_plain", plain(F.col("path")))
-    rows = rows.join(linked, F.col("_plain") == F.col("_linked"), "left").join(hydrated, F.col("_plain") == F.col("_hydrated"), "left")
+    rows = rows.join(linked.hint("merge"), F.col("_plain") == F.col("_linked"), "left").join(hydrated.hint("merge"), F.col("_plain") == F.col("_hydrated"), "left")
     role = F.when(F.col("pages") > 0, "page-script").otherwise("unknown")
     role = F.when((F.lit(framework) == "astro") & F.col("path").rlike(VENDOR_SIGN), "vendor").otherwise(role)
     for name, sign in reversed(ROLE_SIGNS):
