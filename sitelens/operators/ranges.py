@@ -43,24 +43,28 @@ def innermost(points: DataFrame, intervals: DataFrame, keys: list[str], at: str,
     schema = f"_row {out.simpleString()}, _found struct<{', '.join(f'`{v}`: {kinds[v]}' for v in values)}>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, open_ = None, []
+        group, open_, held = None, [], None  # an open interval is its end and the row of its value
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(len(keys) + 3)]
+            key_, place_, side_, stop_ = zip(*[batch.column(k).to_pylist() for k in range(len(keys))]), *[batch.column(len(keys) + k).to_pylist() for k in range(3)]
             value = batch.column(len(keys) + 4)
+            if held is not None:  # what is open from before goes behind this batch's values
+                open_ = [(stop, len(value) + k) for k, (stop, _) in enumerate(open_)]
+                value = pa.concat_arrays([value, held])
             found, kept = [], []
-            for k, (*key, place, side, stop) in enumerate(zip(*columns)):
+            for k, (key, place, side, stop) in enumerate(zip(key_, place_, side_, stop_)):
                 if key != group:
                     group, open_ = key, []
                 while open_ and place is not None and open_[-1][0] <= place:
                     open_.pop()
                 if side == 0:
-                    open_.append((stop, value[k].as_py()))
+                    open_.append((stop, k))
                 else:
                     kept.append(k)
                     found.append(open_[-1][1] if open_ and place is not None and None not in key else None)
             if kept:
                 rows_ = batch.column(len(keys) + 3).take(pa.array(kept, pa.int64()))
-                yield pa.RecordBatch.from_arrays([rows_, pa.array(found, value.type)], names=["_row", "_found"])
+                yield pa.RecordBatch.from_arrays([rows_, value.take(pa.array(found, pa.int64()))], names=["_row", "_found"])
+            held = value.take(pa.array([at for _, at in open_], pa.int64())) if open_ else None
 
     done = rows.mapInArrow(run, schema)
     return done.select("_row.*", *[F.col(f"_found.{v}").alias(name) for name, v in added])

@@ -64,3 +64,16 @@ def test_members_of_webpack_tables_in_batches(spark):
     files = spark.range(6000).selectExpr("CAST(id AS STRING) AS file_id", f"IF(id % 3 = 0, NULL, '{pack}') AS content").repartition(1)
     found = webpack.modules(files)
     assert found.count() == 8000 and webpack.edges(found).count() == 8000
+
+
+def test_intervals_stay_open_over_batches(spark):
+    from sitelens.operators import ranges
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        points = spark.range(300).selectExpr("'f' AS f", "id AS at")
+        stretches = spark.createDataFrame([("f", 0, 200, "out"), ("f", 50, 150, "in"), ("f", 60, 61, None), ("g", 0, 300, "other")], "f string, start long, stop long, name string")
+        got = {r.at: r.name for r in ranges.innermost(points, stretches, ["f"], "at", "start", "stop", ["name"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {k: None if k == 60 or k >= 200 else "in" if 50 <= k < 150 else "out" for k in range(300)}
