@@ -21,6 +21,7 @@ FUNCTIONS = "file_id string, name string, start long, stop long, body_start long
 #: Functions of a batch, about.
 BATCH_ROWS = 5_000
 _SPACE_AND_END = re.compile(r"\s*;?")
+_HEADS = frozenset(("function", "const", "let", "var"))
 _PAIRS = {"(": ")", "[": "]", "{": "}", "${": "}"}
 
 
@@ -36,9 +37,8 @@ def _parameters(t: list[Token], close: dict[int, int], head: int) -> list[str |
     return out
 
 
-def _functions(code: str) -> list[tuple]:
-    """(name, start, stop, body_start, body_stop, depth, text, parameters) of ``function f(..) {..}`` and ``const f = (..) => {..}``."""
-    t = list(tokens(code))
+def functions_among(t: list[Token], code: str) -> list[tuple]:
+    """(name, start, stop, body_start, body_stop, depth, text, parameters) of ``function f(..) {..}`` and ``const f = (..) => {..}`` among the tokens of code."""
     close, stack = {}, []
     for k, (kind, text, _) in enumerate(t):
         if kind == "mark" and text in _PAIRS:
@@ -48,7 +48,7 @@ def _functions(code: str) -> list[tuple]:
     word = lambda k: t[k][1] if 0 <= k < len(t) and t[k][0] != "string" else ""
     found = []
     for k, (kind, text, start) in enumerate(t):
-        if kind != "name" or word(k - 1) in (".", "?."):
+        if text not in _HEADS or kind != "name" or word(k - 1) in (".", "?."):
             continue
         head = None
         if text == "function":
@@ -91,7 +91,7 @@ def named_functions(files: DataFrame) -> DataFrame:
         held: list[tuple] = []
         for batch in batches:
             for key, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held += [(key, *r) for r in _functions(code or "")]
+                held += [(key, *r) for r in functions_among(list(tokens(code or "")), code or "")]
                 if len(held) >= BATCH_ROWS:
                     yield pack(held)
                     held = []

@@ -3,11 +3,13 @@
 What a parameter is likely to be comes from its function's name and text, by rules over
 columns. The names are then given out so that no two live names meet: a greedy colouring in
 order of confidence, in which a candidate conflicts with every name its function's stretch
-holds and with the names given in stretches that hold it or that it holds.
+holds and with the names given there before. Functions on the top don't overlap, so each
+colours its own row, and one pass over a file's tokens is all that it takes.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,17 +18,18 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import text as X
 from sitelens.functions.tokens import RESERVED, tokens
-from sitelens.operators.patches import named_functions
+from sitelens.operators.patches import BATCH_ROWS, functions_among
 
 #: What is added for a second occurrence, the most a confidence can be, and where risks begin.
 USED_BONUS, MOST_CONFIDENCE, LOW_RISK, MEDIUM_RISK = 0.04, 0.96, 0.85, 0.72
 SHORT = r"^[A-Za-z_$][\w$]?\z"
-PLAN = "file_id string, rename_id string, function string, symbol string, suggested string, new_name string, confidence double, risk string, occurrences long, `from` long, upto long"
+PLAN = "file_id string, rename_id string, function string, symbol string, suggested string, new_name string, confidence double, risk string, occurrences long, `from` long, upto long, line long"
+TOP = "file_id string, function string, start long, stop long, line long, text string, parameters array<string>, held array<string>"
 
 
-def inferred_parameter(function: Column, index: Column, count: Column, text: Column) -> Column:
-    """(name, confidence) of the parameter at ``index`` (from 0) of ``count``; the first rule that holds."""
-    words, lower = X.split_words(function), F.lower(function)
+def inferred_parameter(function: Column, index: Column, count: Column, text: Column, words: Column | None = None) -> Column:
+    """(name, confidence) of the parameter at ``index`` (from 0) of ``count``; the first rule that holds. ``words`` are the function's, if known."""
+    words, lower = X.split_words(function) if words is None else words, F.lower(function)
     guess = lambda name, confidence: F.struct((name if isinstance(name, Column) else F.lit(name)).alias("name"), F.lit(confidence).alias("confidence"))
     noun = F.array_join(F.slice(words, F.lit(2), F.size(words)), " ")
     asks = (count == 1) & lower.rlike("^(?:is|has|should)")
@@ -47,59 +50,91 @@ def inferred_parameter(function: Column, index: Column, count: Column, text: Col
     )
 
 
+def _top_functions(files: DataFrame) -> DataFrame:
+    """Rows of TOP: functions within no other, with the line they begin in and the names that their stretch holds."""
+    types = {"string": pa.string(), "long": pa.int64(), "array<string>": pa.list_(pa.string())}
+    kinds = {n: types[k] for n, k in (c.split() for c in TOP.split(", "))}
+
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for key, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                t = list(tokens(code or ""))
+                at, line, seen = [start for *_, start in t], 1, 0
+                for name, start, stop, _, _, depth, text, parameters in functions_among(t, code or ""):
+                    if depth:
+                        continue
+                    line, seen = line + code.count("\n", seen, start), start
+                    names = {word for kind, word, _ in t[bisect_left(at, start) : bisect_left(at, stop)] if kind == "name"}
+                    held.append((key, name, start, stop, line, text, parameters, sorted(names)))
+                if len(held) >= BATCH_ROWS:
+                    yield pack(held)
+                    held = []
+        if held:
+            yield pack(held)
+
+    known = files.filter("file_id is not null")
+    return known.select(F.col("file_id").cast("string").alias("file_id"), "content").mapInArrow(run, TOP)
+
+
+def _asked(files: DataFrame) -> DataFrame:
+    """Rows of TOP with ``asked``, the candidates of each function by falling confidence, then by place."""
+    found = _top_functions(files).filter(F.exists("parameters", lambda p: p.rlike(SHORT))).withColumn("words", X.split_words(F.col("function")))
+    guess = lambda p, k: F.struct(k.alias("index"), p.alias("symbol"), inferred_parameter(F.col("function"), k, F.size("parameters"), F.col("text"), F.col("words")).alias("guess"))
+    found = found.withColumn("guesses", F.transform("parameters", guess))
+
+    def fit(x: Column) -> Column:
+        name = x["guess"]["name"]
+        return x["symbol"].rlike(SHORT) & name.rlike(r"^[A-Za-z_$][\w$]*\z") & ~name.isin(*sorted(RESERVED)) & ~F.array_contains(F.array_compact("parameters"), name) & (name != x["symbol"])
+
+    found = found.withColumn("fit", F.filter("guesses", fit))
+    pattern = lambda x: F.concat(F.lit(r"(?<!\w)\Q"), x["symbol"], F.lit(r"\E(?!\w)"))
+    counted = lambda x: F.struct(x["index"].alias("index"), x["symbol"].alias("symbol"), x["guess"].alias("guess"), F.regexp_count("text", pattern(x)).cast("long").alias("occurrences"))
+    found = found.withColumn("counted", F.transform("fit", counted))
+    bonus = lambda x: F.when(x["occurrences"] >= 2, USED_BONUS).otherwise(0.0)
+    sure = lambda x: F.round(F.least(F.lit(MOST_CONFIDENCE), x["guess"]["confidence"] + bonus(x)), 6)
+    row = lambda x: F.struct((-sure(x)).alias("order"), x["index"].alias("index"), x["symbol"].alias("symbol"), x["guess"]["name"].alias("suggested"), x["occurrences"].alias("occurrences"))
+    return found.withColumn("asked", F.array_sort(F.transform("counted", row))).select("file_id", "function", "start", "stop", "line", "held", "asked")
+
+
+def _rows(each: DataFrame) -> DataFrame:
+    """The columns of a plan from rows with one candidate a."""
+    ident = F.concat_ws("/", F.lpad(F.col("start").cast("string"), 12, "0"), F.lpad(F.col("a.index").cast("string"), 3, "0"))
+    each = each.withColumn("rename_id", ident).withColumn("confidence", -F.col("a.order"))
+    risk = F.when(F.col("confidence") >= LOW_RISK, "low").when(F.col("confidence") >= MEDIUM_RISK, "medium").otherwise("high")
+    return each.withColumn("risk", risk).select("*", "a.symbol", "a.suggested", "a.occurrences", F.col("start").alias("from"), F.col("stop").alias("upto"))
+
+
 def candidates(files: DataFrame) -> DataFrame:
     """(file_id, rename_id, function, symbol, suggested, confidence, risk, occurrences, from, upto) of functions on the top.
 
     Only parameters that are mere short names have rows, and only where a rule gives an
     identifier that is no reserved word and no parameter of the function itself.
     """
-    found = named_functions(files).filter("depth = 0")
-    each = found.select("*", F.posexplode("parameters").alias("index", "symbol")).filter(F.col("symbol").rlike(SHORT))
-    each = each.withColumn("guess", inferred_parameter(F.col("name"), F.col("index"), F.size("parameters"), F.col("text")))
-    name = F.col("guess.name")
-    fit = name.rlike(r"^[A-Za-z_$][\w$]*\z") & ~name.isin(*sorted(RESERVED)) & ~F.array_contains(F.array_compact("parameters"), name) & (name != F.col("symbol"))
-    pattern = F.concat(F.lit(r"(?<!\w)\Q"), F.col("symbol"), F.lit(r"\E(?!\w)"))
-    each = each.filter(fit).withColumn("occurrences", F.regexp_count("text", pattern).cast("long"))
-    confidence = F.round(F.least(F.lit(MOST_CONFIDENCE), F.col("guess.confidence") + F.when(F.col("occurrences") >= 2, USED_BONUS).otherwise(0.0)), 6)
-    risk = F.when(F.col("confidence") >= LOW_RISK, "low").when(F.col("confidence") >= MEDIUM_RISK, "medium").otherwise("high")
-    each = each.withColumn("confidence", confidence).withColumn("risk", risk)
-    ident = F.concat_ws("/", F.lpad(F.col("start").cast("string"), 12, "0"), F.lpad(F.col("index").cast("string"), 3, "0"))
-    return each.select("file_id", ident.alias("rename_id"), F.col("name").alias("function"), "symbol", name.alias("suggested"), "confidence", "risk", "occurrences", F.col("start").alias("from"), F.col("stop").alias("upto"))
-
-
-def _assign(code: str, asked: list[dict]) -> list[str]:
-    """A name for each candidate, in their order."""
-    places = [(start, text) for kind, text, start in tokens(code) if kind == "name"]
-    given: list[tuple[int, int, str]] = []
-    for a in asked:
-        start, stop = a["from"], a["upto"]
-        taken = {text for at, text in places if start <= at < stop}
-        taken |= {name for s, e, name in given if s < stop and start < e}
-        name, n = a["suggested"], 1
-        while name in taken:
-            n += 1
-            name = f"{a['suggested']}{n}"
-        given.append((start, stop, name))
-    return [name for *_, name in given]
+    return _rows(_asked(files).withColumn("a", F.explode_outer("asked")).filter("a is not null")).select("file_id", "rename_id", "function", "symbol", "suggested", "confidence", "risk", "occurrences", "from", "upto")
+
+
+def _given(asked: Column, held: Column) -> Column:
+    """The names of a function's candidates, in their order: the suggested one, or that with the first number from 2 that is free."""
+
+    def step(given: Column, a: Column) -> Column:
+        free = lambda name: ~F.array_contains(held, name) & ~F.array_contains(given, name)
+        numbered = F.transform(F.sequence(F.lit(2), F.size(held) + F.size(given) + 2), lambda n: F.concat(a["suggested"], n.cast("string")))
+        name = F.when(free(a["suggested"]), a["suggested"]).otherwise(F.get(F.filter(numbered, free), 0))
+        return F.concat(given, F.array(name))
+
+    return F.aggregate(asked, F.array().cast("array<string>"), step)
 
 
 def rename_plan(files: DataFrame) -> DataFrame:
     """Rows of PLAN: candidates with names that clash with nothing, given out by falling confidence, then by place.
 
-    The rows are what edits.rename_edits takes. Null and empty files have none.
+    The rows are what edits.rename_edits takes. Null and empty files, and those without an id, have none.
     """
-    found = candidates(files)
-    row = F.struct((-F.col("confidence")).alias("order"), *[c for c in found.columns if c != "file_id"])
-    asked = found.groupBy(F.col("file_id").alias("_file")).agg(F.array_sort(F.collect_list(row)).alias("asked"))  # a file's own functions
-    rows = files.join(asked, F.col("file_id").cast("string") == F.col("_file")).select(F.col("_file").alias("file_id"), "content", "asked")
-    kinds = {"string": pa.string(), "double": pa.float64(), "long": pa.int64()}
-    fields = [(n.strip("`"), kinds[k]) for n, k in (c.split() for c in PLAN.split(", "))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for key, code, asked in zip(*[c.to_pylist() for c in batch.columns]):
-                out += [{**a, "file_id": key, "new_name": name} for a, name in zip(asked, _assign(code or "", asked))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], k) for n, k in fields], names=[n for n, _ in fields])
-
-    return rows.mapInArrow(run, PLAN)
+    found = _asked(files).withColumn("given", _given(F.col("asked"), F.col("held")))
+    # Outer, as an inner one would have the optimizer ask for the size of the array first, and make it twice.
+    each = found.select("*", F.posexplode_outer("asked").alias("at", "a")).filter("a is not null").withColumn("new_name", F.get("given", F.col("at")))
+    return _rows(each).select(*[c.split()[0].strip("`") for c in PLAN.split(", ")])

@@ -28,9 +28,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 TASKS_PER_CORE = 4
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Rows dealt to tasks by key. Rows that are few bytes in a file are one split, and one task, however much is made of them."""
-    return rows.repartition(TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism, key)
+def spread(rows: DataFrame, key: str, most: int | None = None) -> DataFrame:
+    """Rows dealt to tasks by key. Rows that are few bytes in a file are one split, and one task, however much is made of them.
+
+    With ``most``, the tasks grow in number with the rows, which are counted, so that one gets about so many at most.
+    """
+    tasks = TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(tasks, -(-rows.count() // most)) if most else tasks, key)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

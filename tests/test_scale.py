@@ -77,3 +77,26 @@ def test_intervals_stay_open_over_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {k: None if k == 60 or k >= 200 else "in" if 50 <= k < 150 else "out" for k in range(300)}
+
+
+def test_names_are_planned_in_one_pass_over_files(spark, tiny):
+    text = plan(entry.queries()["rename_plan"](spark, tiny))
+    assert "Join" not in text and text.count("MapInArrow") == 1 and text.count("Exchange hashpartitioning") == 1
+
+
+def test_tasks_grow_with_rows(spark):
+    from sitelens.registry import spread
+
+    assert spread(spark.range(1000), "id", 10).rdd.getNumPartitions() == 100 and spread(spark.range(5), "id", 10).rdd.getNumPartitions() >= 8
+
+
+def test_plain_code_is_cut_as_code_with_slashes():
+    import random
+
+    from sitelens.functions import tokens
+
+    r = random.Random(5)
+    for _ in range(400):
+        code = "".join(r.choice(["a", "$b", " ", "\n", "1.5", ".", "?.", "...", "=>", "'x", '"y"', "\\", "{", "}", "(", ")", "// c\n", "/* d */", "é", "/*"]) for _ in range(r.randint(0, 14)))
+        for comments in (False, True):
+            assert list(tokens.tokens(code, comments)) == list(tokens._stateful(code, comments))
