@@ -93,7 +93,7 @@ def bundle_roles(files: DataFrame, pages: DataFrame, framework: str = "unknown")
     plain = lambda c: F.regexp_replace(c, "^/", "")
     linked = pages.select("page_id", F.explode(F.array_distinct(H.linked_scripts(F.col("html")))).alias("url"))
     linked = linked.groupBy(plain(F.col("url")).alias("_linked")).agg(F.count_distinct("page_id").alias("pages"))
-    hydrated = pages.select(F.explode(H.islands(F.col("html"))).alias("i")).select(plain(F.col("i.url")).alias("_hydrated")).distinct()
+    hydrated = H.island_rows(pages.select("html")).select(plain(F.col("url")).alias("_hydrated")).distinct()
     rows = files.withColumn("_plain", plain(F.col("path")))
     rows = rows.join(linked.hint("merge"), F.col("_plain") == F.col("_linked"), "left").join(hydrated.hint("merge"), F.col("_plain") == F.col("_hydrated"), "left")
     role = F.when(F.col("pages") > 0, "page-script").otherwise("unknown")

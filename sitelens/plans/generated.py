@@ -117,8 +117,8 @@ _ISLANDS = {
 
 @query(_sql("""SELECT k, CASE k % 2 WHEN 0 THEN 'My' || upper(substr(a, 1, 1)) || substr(a, 2) ELSE 'Own' || k END AS component, CASE k % 3 WHEN 0 THEN 'react' WHEN 1 THEN 'vue' ELSE 'unknown' END AS renderer, 'load' AS directive, '{"n":' || n || '}' AS props FROM f"""))
 def page_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _parts(spark, sf_dir, **_ISLANDS).select("k", F.explode(H.islands(F.col("html"))).alias("i"))
-    return rows.select("k", "i.component", "i.renderer", "i.directive", "i.props")
+    rows = H.island_rows(_parts(spark, sf_dir, **_ISLANDS).select("k", "html"))
+    return rows.select("k", "component", "renderer", "directive", "props")
 
 
 @query(_sql("""SELECT f.k AS page_id, CASE f.k % 2 WHEN 0 THEN 'My' || upper(substr(f.a, 1, 1)) || substr(f.a, 2) ELSE 'Own' || f.k END AS component, g.file_id

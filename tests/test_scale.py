@@ -100,3 +100,24 @@ def test_plain_code_is_cut_as_code_with_slashes():
         code = "".join(r.choice(["a", "$b", " ", "\n", "1.5", ".", "?.", "...", "=>", "'x", '"y"', "\\", "{", "}", "(", ")", "// c\n", "/* d */", "é", "/*"]) for _ in range(r.randint(0, 14)))
         for comments in (False, True):
             assert list(tokens.tokens(code, comments)) == list(tokens._stateful(code, comments))
+
+
+@pytest.mark.parametrize("name, step, most", [("page_islands", "&quot;", 1)])
+def test_what_a_page_declares_is_read_once(spark, tiny, name, step, most):
+    text = entry.queries()[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < text.count(step) - text.count("split(p_name") <= most
+
+
+def test_attributes_of_odd_tags(spark):
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+    from sitelens.functions import html
+
+    r = random.Random(3)
+    tags = ["".join(r.choice(["src", "SRC", "a", "=", " ", "\n", '"', "'", '"x y"', "'>'", "/", "é", "1"]) for _ in range(r.randint(0, 9))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(tags)), "k int, t string").select("k", html.attribute(F.col("t"), "src").alias("v"))
+    met = lambda t: next((m[2] or m[3] or m[4] or "" for m in re.finditer(html._ATTRIBUTE, t) if m[1].lower() == "src"), None)
+    got = {x.k: x.v for x in rows.collect()}
+    assert got == {k: met(t) for k, t in enumerate(tags)} and len(set(got.values())) > 4
