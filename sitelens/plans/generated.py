@@ -134,8 +134,9 @@ _CSS = {"css": "':root{--main: #' || k || '; --gap:' || n || 'px;} /* --not: 1;
 
 @query(_sql("""SELECT k, '{"--gap":"' || n || 'px","--main":"' || a || '"}' AS properties, b || '|Mono' || n AS fonts FROM f"""))
 def css_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    css = F.col("css")
-    return _parts(spark, sf_dir, **_CSS).select("k", F.to_json(H.css_properties(css)).alias("properties"), F.array_join(H.font_families(css), "|").alias("fonts"))
+    css, declared = F.col("css"), F.col("declared")
+    rows = _parts(spark, sf_dir, **_CSS).withColumn("declared", H.declarations(css))  # read twice
+    return rows.select("k", F.to_json(H.css_properties(css, declared)).alias("properties"), F.array_join(H.font_families(css, declared), "|").alias("fonts"))
 
 
 _SCRIPT = {

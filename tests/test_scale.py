@@ -102,7 +102,7 @@ def test_plain_code_is_cut_as_code_with_slashes():
             assert list(tokens.tokens(code, comments)) == list(tokens._stateful(code, comments))
 
 
-@pytest.mark.parametrize("name, step, most", [("page_islands", "&quot;", 1), ("html_assets", "regexp_extract_all(", 13)])
+@pytest.mark.parametrize("name, step, most", [("page_islands", "&quot;", 1), ("html_assets", "regexp_extract_all(", 13), ("css_props", "split(", 1)])
 def test_what_a_page_declares_is_read_once(spark, tiny, name, step, most):
     text = entry.queries()[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
     assert 0 < text.count(step) - text.count("split(p_name") <= most
