@@ -9,25 +9,27 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.operators import scoring
-from sitelens.operators.ranges import Step, fold_groups
+from sitelens.operators.ranges import Step, fold
+from sitelens.registry import spread
 
-STATEMENTS = "file_id string, stmt long, start long, size long, kind string, declares array<string>, exports array<string>, imports array<string>, dynamic_imports array<string>, uses array<string>"
+STATEMENTS = "file_id string, stmt long, start long, size long, kind string, declares array<string>, exports array<string>, imports array<string>, dynamic_imports array<string>, uses array<string>, module long"
 TINY, LARGEST = 120, 4000
 #: Statements of a batch, about.
 BATCH_ROWS = 10_000
 ENTRY_SCORE, BASE_SCORE = 0.18, 0.3
 
-#: Comments, strings, templates as a whole, and regular expressions where an operand is expected.
-_SKIP = re.compile(
-    r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"""
-    r"""|(?:(?<=[=(,:;!&|?{}\[+\-*%~^<>\n])|(?<=\breturn)|(?<=\btypeof)|(?<=\bcase)|\A)[ \t]*/(?![*/])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*""",
-    re.S,
-)
+#: Where something to blank may begin; comments, strings and templates as a whole; and regular expressions, which stand where an operand is expected.
+_BEGINS = re.compile(r"""["'`/]""")
+_SKIP = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.S)
+_PATTERN = re.compile(r"/(?![*/])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*")
+_BEFORE_OPERAND = frozenset("=(,:;!&|?{}[+-*%~^<>\n")
+_OPERAND_WORDS = ("return", "typeof", "case")
+_KIND = re.compile(r"(?:import|export|function|class|const|let|var)\b")
 _DECLARED = re.compile(r"^\s*(?:export\s+(?:default\s+)?)?(?:async\s+)?(?:function\s*\*?|class|const|let|var)\s+([A-Za-z_$][\w$]*)")
 _MORE = re.compile(r",\s*([A-Za-z_$][\w$]*)\s*=")
 _NAME = re.compile(r"(?<![\w$.])[A-Za-z_$][\w$]*")
@@ -36,9 +38,33 @@ _FROM = re.compile(r"""(?:\bfrom|^\s*import)\s*["']([^"']+)["']""")
 _DYNAMIC = re.compile(r"""\bimport\s*\(\s*["']([^"']+)["']""")
 
 
+def _operand_place(code: str, at: int) -> int | None:
+    """Where the blanks before a slash begin, if what stands before them makes it the start of a regular expression."""
+    while at and code[at - 1] in " \t":
+        at -= 1
+    if at == 0 or code[at - 1] in _BEFORE_OPERAND:
+        return at
+    for word in _OPERAND_WORDS:
+        if code.endswith(word, 0, at):
+            before = code[at - len(word) - 1 : at - len(word)]
+            return None if before.isalnum() or before == "_" else at
+    return None
+
+
 def blanked(code: str) -> str:
     """The code with comments and string contents replaced by spaces, place for place."""
-    return _SKIP.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code)
+    out, done, m = [], 0, _BEGINS.search(code)
+    while m:
+        at = m.start()
+        found, first = _SKIP.match(code, at), at
+        if not found and m[0] == "/" and (first := _operand_place(code, at)) is not None:
+            found = _PATTERN.match(code, at)
+        if found:
+            at, text = first, code[first : found.end()]
+            out += [code[done:at], re.sub(r"[^\n]", " ", text) if "\n" in text else " " * len(text)]
+            done = found.end()
+        m = _BEGINS.search(code, found.end() if found else at + 1)
+    return "".join([*out, code[done:]])
 
 
 def statement_spans(plain: str) -> Iterator[tuple[int, int]]:
@@ -63,34 +89,42 @@ def statement_spans(plain: str) -> Iterator[tuple[int, int]]:
 
 
 def _statement(code: str, plain: str) -> tuple:
-    head = plain.strip()
-    kind = next((k for k in ("import", "export", "function", "class", "const", "let", "var") if re.match(rf"{k}\b", head)), "expression")
-    declared = [m[1]] if (m := _DECLARED.match(plain)) else []
+    flat = " ".join(plain.split())  # as many blanks as there are don't tell names apart
+    kind = m[0] if (m := _KIND.match(flat)) else "expression"
+    declared = [m[1]] if (m := _DECLARED.match(flat)) else []
     if declared and kind in ("const", "let", "var"):
-        declared += _MORE.findall(plain)
+        declared += _MORE.findall(flat)
     exported = list(declared) if kind == "export" else []
-    if kind == "export" and (block := re.search(r"\{([^}]*)\}", plain)) and not declared:
+    if kind == "export" and (block := re.search(r"\{([^}]*)\}", flat)) and not declared:
         exported = [b or a for a, b in _EXPORTED.findall(block[1])]
-    uses = sorted(set(_NAME.findall(plain)) - set(declared))
-    return kind, declared, exported, _FROM.findall(code) if kind in ("import", "export") else [], _DYNAMIC.findall(code), uses
+    uses = sorted(set(_NAME.findall(flat)) - set(declared))
+    return kind, declared, exported, _FROM.findall(code) if kind in ("import", "export") else [], _DYNAMIC.findall(code) if "import" in code else [], uses
 
 
 def statements(files: DataFrame) -> DataFrame:
-    """Top-level statements of a table with file_id and content; null and empty files have none."""
+    """Top-level statements of a table with file_id and content, and the module each belongs to; null and empty files have none."""
+
+    types = {"string": pa.string(), "long": pa.int64(), "array<string>": pa.list_(pa.string())}
+    kinds = {n: types[k] for n, k in (c.split() for c in STATEMENTS.split(", "))}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in STATEMENTS.split(", ")]
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for rows in batches:
-            for key, code in zip(rows["file_id"], rows["content"]):
+        for batch in batches:
+            for key, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 plain = blanked(code or "")
-                held += [(key, k, a, b - a, *_statement(code[a:b], plain[a:b])) for k, (a, b) in enumerate(statement_spans(plain))]
+                spans = list(statement_spans(plain))
+                parts = fold(clusters(), [b - a for a, b in spans])
+                held += [(key, k, a, b - a, *_statement(code[a:b], plain[a:b]), part) for k, ((a, b), part) in enumerate(zip(spans, parts))]
                 if len(held) >= BATCH_ROWS:
-                    yield pd.DataFrame(held, columns=names)
+                    yield pack(held)
                     held = []
-        yield pd.DataFrame(held, columns=names)
+        if held:
+            yield pack(held)
 
-    return files.select(F.col("file_id").cast("string").alias("file_id"), "content").mapInPandas(run, STATEMENTS)
+    return files.select(F.col("file_id").cast("string").alias("file_id"), "content").mapInArrow(run, STATEMENTS)
 
 
 def clusters() -> Step:
@@ -109,7 +143,7 @@ def clusters() -> Step:
 
 def modules(rows: DataFrame) -> DataFrame:
     """(file_id, module, declares, exports, dynamic_imports, size, statements, kind, score, confidence)."""
-    joined = fold_groups(rows.filter("file_id is not null"), ["file_id"], ["stmt"], "size", clusters(), "module", ["start", "declares", "exports", "dynamic_imports"])
+    joined = rows.filter("file_id is not null")
     merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
     out = joined.groupBy("file_id", "module").agg(merged("declares"), merged("exports"), merged("dynamic_imports"), F.sum("size").alias("size"), F.count("*").alias("statements"), F.min("start").alias("start"))
     named = (F.size("declares") > 0).cast("double")
@@ -119,19 +153,16 @@ def modules(rows: DataFrame) -> DataFrame:
     return out.withColumn("kind", kind).withColumn("score", score).withColumn("confidence", scoring.confidence_label(F.col("score")))
 
 
-def edges(rows: DataFrame, graph: DataFrame) -> DataFrame:
-    """(file_id, source, target, symbols): a use points to the first other module that declares the name."""
-    declared = graph.select("file_id", "module", F.explode("declares").alias("name"))
-    first = declared.groupBy("file_id", "name").agg(F.min("module").alias("target"))
-    starts = graph.select("file_id", "module", "start", (F.col("start") + F.col("size")).alias("_end"))
-    # Statements belong to the module they begin in: the latest start at or before them.
-    order = Window.partitionBy("file_id").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    marks = starts.select("file_id", F.col("start").alias("at"), F.lit(0).alias("side"), "module", F.lit(None).cast("array<string>").alias("uses"))
-    used = rows.select("file_id", F.col("start").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("module"), "uses")
-    placed = marks.unionByName(used).withColumn("source", F.last("module", ignorenulls=True).over(order)).filter("side = 1")
-    names = placed.select("file_id", "source", F.explode("uses").alias("name"))
-    # Python's rows are more than Spark takes them for, so neither side is to be broadcast.
-    found = names.join(first.hint("merge"), ["file_id", "name"]).filter("source != target")
+def edges(rows: DataFrame) -> DataFrame:
+    """(file_id, source, target, symbols): a use points to the first other module that declares the name.
+
+    Declarations and uses of a file lie together, so that all is done by one shuffle.
+    """
+    marked = lambda c, declares: F.transform(c, lambda n: F.struct(n.alias("name"), F.lit(declares).alias("declares")))
+    both = F.explode(F.concat(marked("declares", True), marked("uses", False)))
+    names = rows.filter("file_id is not null").select("file_id", F.col("module").alias("source"), both.alias("n")).select("file_id", "source", "n.*")
+    target = F.min(F.when(F.col("declares"), F.col("source"))).over(Window.partitionBy("file_id", "name"))
+    found = spread(names, "file_id").withColumn("target", target).filter("not declares and source != target")
     return found.groupBy("file_id", "source", "target").agg(F.count_distinct("name").alias("symbols"))
 
 

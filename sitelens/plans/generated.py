@@ -287,15 +287,13 @@ def statement_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_sql("SELECT CAST(k AS VARCHAR) AS file_id, s AS source, 1 - s AS target, 1 AS symbols FROM f, (VALUES (0), (1)) AS t(s) WHERE k % 3 <> 2"))
 def module_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The import and the constants are small and share module 0; the function and the export follow as 1."""
-    rows = durable(M.statements(_parts(spark, sf_dir, **_BUNDLE)))
-    return M.edges(rows, durable(M.modules(rows)))
+    return M.edges(M.statements(_parts(spark, sf_dir, **_BUNDLE)))
 
 
 @query(_sql("SELECT count(DISTINCT k) AS chunks, 2 * count(*) AS modules, round(avg((0.3 + 0.25 + 0.18 + 0.3 + 0.25 + 0.2) / 2), 6) AS average_score, 2 * count(*) AS edges FROM f WHERE k % 3 <> 2"))
 def module_graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = durable(M.statements(_parts(spark, sf_dir, **_BUNDLE)))
-    graph = durable(M.modules(rows))
-    return M.graph_summary(graph, M.edges(rows, graph))
+    return M.graph_summary(M.modules(rows), M.edges(rows))
 
 
 @query(_sql("SELECT 'late' || (k % 9) || '.js' AS target, count(*) AS statements FROM f WHERE k % 3 <> 2 AND k % 9 > 3 GROUP BY 1"))

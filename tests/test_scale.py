@@ -102,7 +102,7 @@ def test_plain_code_is_cut_as_code_with_slashes():
             assert list(tokens.tokens(code, comments)) == list(tokens._stateful(code, comments))
 
 
-@pytest.mark.parametrize("name, step, most", [("page_islands", "&quot;", 1), ("html_assets", "regexp_extract_all(", 13), ("css_props", "split(", 1)])
+@pytest.mark.parametrize("name, step, most", [("page_islands", "&#x27;", 1), ("html_assets", "regexp_extract_all(", 13), ("css_props", "split(", 1)])
 def test_what_a_page_declares_is_read_once(spark, tiny, name, step, most):
     text = entry.queries()[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
     assert 0 < text.count(step) - text.count("split(p_name") <= most
@@ -121,3 +121,15 @@ def test_attributes_of_odd_tags(spark):
     met = lambda t: next((m[2] or m[3] or m[4] or "" for m in re.finditer(html._ATTRIBUTE, t) if m[1].lower() == "src"), None)
     got = {x.k: x.v for x in rows.collect()}
     assert got == {k: met(t) for k, t in enumerate(tags)} and len(set(got.values())) > 4
+
+
+def test_edges_of_modules_by_one_shuffle(spark, tiny):
+    text = plan(entry.queries()["module_edges"](spark, tiny))
+    assert "Join" not in text and text.count("MapInArrow") == 1 and text.count("Exchange hashpartitioning") == 2
+
+
+def test_blanks_before_patterns():
+    from sitelens.operators import modules
+
+    assert modules.blanked("x = \t/a;b/g; y / z; /* ; */ return /;/") == "x =        ; y / z;         return    "
+    assert modules.blanked("f('a;') // ;\n`;\n;`") == "f(    )     \n  \n  "
