@@ -128,7 +128,7 @@ def test_edges_of_modules_by_one_shuffle(spark, tiny):
     assert "Join" not in text and text.count("MapInArrow") == 1 and text.count("Exchange hashpartitioning") == 2
 
 
-@pytest.mark.parametrize("name", ["missing_dynamic_imports"])
+@pytest.mark.parametrize("name", ["statement_modules", "missing_dynamic_imports"])
 def test_statements_pass_as_arrow(spark, tiny, name):
     assert "MapInPandas" not in plan(entry.queries()[name](spark, tiny))
 
