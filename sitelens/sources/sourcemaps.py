@@ -5,15 +5,20 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.operators.ranges import as_of, merge_adjacent
 
 _DIGITS = {c: k for k, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")}
-#: Rows of a batch of decoded mappings.
-BATCH_ROWS = 50_000
+#: Rows of a batch of decoded mappings, and characters of mappings that are decoded at once, about.
+BATCH_ROWS, BATCH_CHARACTERS = 50_000, 1 << 20
+_COMMA, _LINE, _MAP, _NONE, _LONGEST = 64, 65, 66, 255, 12
+_CODES = np.full(256, _NONE, np.uint8)
+for _c, _k in (*_DIGITS.items(), (",", _COMMA), (";", _LINE), ("|", _MAP)):
+    _CODES[ord(_c)] = _k
 MAPPINGS = "map_id string, gen_line long, gen_column long, source string, orig_line long, orig_column long, name string"
 
 
@@ -51,27 +56,117 @@ def _rows(map_id: str, one: dict, line0: int = 0, column0: int = 0) -> Iterator[
             yield map_id, line0 + k + 1, gen, where, line + 1, column, names[name] if len(n) > 4 and name < len(names) else None
 
 
+def _plain_map(text: str) -> tuple[str, list[str], list[str]] | None:
+    """(mappings, sources, names) of a map without sections whose lists hold strings; else null."""
+    one = json.loads(text)
+    sources, names, root, coded = one.get("sources") or [], one.get("names") or [], one.get("sourceRoot") or "", one.get("mappings") or ""
+    if one.get("sections") or not (isinstance(coded, str) and coded.isascii() and "|" not in coded and isinstance(root, str) and isinstance(sources, list) and isinstance(names, list)):
+        return None
+    if any(not isinstance(x, str) for x in (*sources, *names)):
+        return None
+    return coded, [f"{root.rstrip('/')}/{x}" for x in sources] if root else sources, names
+
+
+def _since(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Running sums that begin anew at each place of ``first``, of which 0 is one."""
+    total = np.cumsum(values)
+    before = total[first] - values[first]
+    return total - np.repeat(before, np.diff(np.append(first, len(values))))
+
+
+def _decoded(keys: list, maps: list[tuple[str, list[str], list[str]]]) -> tuple[pa.RecordBatch | None, list[int]]:
+    """The mappings of plain maps, decoded together, and which of the maps are odd: these have to be read one by one and have no rows here."""
+    code = _CODES[np.frombuffer("".join(f"{m[0]}|" for m in maps).encode(), np.uint8)]
+    digit = code < _COMMA
+    which = np.cumsum(code == _MAP) - (code == _MAP)
+    more = digit & (code & 32 > 0)
+    odd = set(np.unique(which[(code == _NONE) | (more & ~np.append(digit[1:], False))]).tolist())  # no digit, or a number that isn't closed
+    if not odd:
+        at = np.flatnonzero(digit)
+        if not len(at):
+            return None, []
+        d = code[at]
+        first = np.flatnonzero(np.append(True, d[:-1] < 32))  # where numbers begin among the digits
+        lengths = np.diff(np.append(first, len(d)))
+        odd = set(np.unique(which[at[first[lengths > _LONGEST]]]).tolist())
+    if not odd:
+        value = np.add.reduceat((d & 31).astype(np.int64) << (5 * (np.arange(len(d)) - np.repeat(first, lengths))), first)
+        value = np.where(value & 1, -(value >> 1), value >> 1)
+        place = at[first]
+        part = np.cumsum(~digit)[place]
+        begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))  # where segments begin among the numbers
+        count, place = np.diff(np.append(begin, len(part))), place[begin]
+        field = lambda k, least: np.where(count >= least, value[np.minimum(begin + k, len(value) - 1)], 0)
+        which, lines = which[place], np.cumsum(code == _LINE)
+        ends = np.append(0, lines[code == _MAP])  # line ends up to each map
+        line = lines[place] - ends[which]
+        by_map = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+        by_line = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (line[1:] != line[:-1])))
+        column, source = _since(value[begin], by_line), _since(field(1, 4), by_map)
+        row, across, name = _since(field(2, 4), by_map) + 1, _since(field(3, 4), by_map), _since(field(4, 5), by_map)
+        known, named = count >= 4, count >= 5
+        listed = lambda k: np.array([len(m[k]) for m in maps])
+        n_sources, n_names = listed(1), listed(2)
+        odd = set(np.unique(which[known & ((source < 0) | (source >= n_sources[which])) | named & (name < 0)]).tolist())
+    if odd:
+        rest = [k for k in range(len(maps)) if k not in odd]
+        batch, others = _decoded([keys[k] for k in rest], [maps[k] for k in rest]) if rest else (None, [])
+        return batch, sorted([*odd, *(rest[k] for k in others)])
+    named &= name < n_names[which]
+    texts = lambda k, n, at, there: pa.array([x for m in maps for x in m[k]], pa.string()).take(pa.array((np.cumsum(n) - n)[which] + at, pa.int64(), mask=~there))
+    numbers = lambda values, there: pa.array(values, pa.int64(), mask=~there)
+    columns = [pa.array(keys, pa.string()).take(pa.array(which)), pa.array(line + 1), pa.array(column), texts(1, n_sources, source, known), numbers(row, known), numbers(across, known), texts(2, n_names, name, named)]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in MAPPINGS.split(", ")]), []
+
+
 def mappings(maps: DataFrame, map_id: str = "map_id", content: str = "content") -> DataFrame:
-    """All mappings of a table of map texts: lines from 1, columns from 0. Broken maps give no rows."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in MAPPINGS.split(", ")]
-        frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"orig_line": "Int64", "orig_column": "Int64"})
-        held: list[tuple] = []
-        for rows in batches:
-            for key, text in zip(rows["map_id"], rows["content"]):
+    """All mappings of a table of map texts: lines from 1, columns from 0. Broken maps give no rows.
+
+    The mappings of many maps are decoded together, as arrays; maps with sections, and odd ones, one by one.
+    """
+    kinds = {n: pa.string() if t == "string" else pa.int64() for n, t in (c.split() for c in MAPPINGS.split(", "))}
+
+    def pieces(batch: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
+        for k in range(0, batch.num_rows if batch else 0, BATCH_ROWS):
+            yield batch.slice(k, BATCH_ROWS)
+
+    def single(key: str, text: str) -> Iterator[pa.RecordBatch]:
+        try:
+            found = list(_rows(key, json.loads(text)))  # whole, since a broken map has no rows
+            found = found and pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds.values())], names=list(kinds))
+        except (TypeError, ValueError, KeyError, IndexError, AttributeError, OverflowError):
+            return
+        if found:
+            yield from pieces(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, held, texts, size = [], [], [], 0
+
+        def given() -> Iterator[pa.RecordBatch]:
+            batch, odd = _decoded(keys, held) if held else (None, [])
+            yield from pieces(batch)
+            for k in odd:
+                yield from single(keys[k], texts[k])
+
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    found = list(_rows(key, json.loads(text)))  # whole, since a broken map has no rows
-                except (TypeError, ValueError, KeyError, IndexError, AttributeError):
+                    plain = _plain_map(text)
+                except (TypeError, ValueError, AttributeError):
+                    continue
+                if plain is None:
+                    yield from single(key, text)
                     continue
-                held += found
-                while len(held) >= BATCH_ROWS:
-                    yield frame(held[:BATCH_ROWS])
-                    held = held[BATCH_ROWS:]
-        if held:
-            yield frame(held)
-
-    return maps.select(F.col(map_id).cast("string").alias("map_id"), F.col(content).alias("content")).mapInPandas(run, MAPPINGS)
+                keys.append(key)
+                held.append(plain)
+                texts.append(text)
+                size += len(plain[0])
+                if size >= BATCH_CHARACTERS:
+                    yield from given()
+                    keys, held, texts, size = [], [], [], 0
+        yield from given()
+
+    return maps.select(F.col(map_id).cast("string").alias("map_id"), F.col(content).alias("content")).mapInArrow(run, MAPPINGS)
 
 
 def original_files(maps: DataFrame, map_id: str = "map_id", content: str = "content") -> DataFrame:

@@ -123,6 +123,28 @@ def test_attributes_of_odd_tags(spark):
     assert got == {k: met(t) for k, t in enumerate(tags)} and len(set(got.values())) > 4
 
 
+def test_maps_decoded_together_as_one_by_one(spark):
+    import json
+    import random
+
+    from sitelens.sources import sourcemaps as V
+
+    r = random.Random(11)
+    coded = lambda: "".join(r.choice(["AAAA", "AACA", "CAAC", "DADD", "KAAAC", "A", "gB", "AAA", "ACAAD", "g", "", ",", ";", ";", ",", "!", "ggggggggggggggA"][: r.choice([8, 15, 17])]) for _ in range(r.randint(0, 12)))
+    one = lambda: {"sources": [f"s{k}é" for k in range(r.randint(0, 4))], "names": ["n", "m"][: r.randint(0, 2)], "sourceRoot": r.choice(["", "r/"]), "mappings": ",".join(coded() for _ in range(r.randint(0, 3)))}
+    texts = [json.dumps(one()) for _ in range(500)] + [json.dumps({"sections": [{"offset": {"line": 2, "column": 3}, "map": one()}]}) for _ in range(40)]
+    texts += [None, "", "[]", '{"sources": ["a"], "mappings": "ggggggggggggggBAAA"}', "{", '{"sources": [null], "mappings": "AAAA"}', '{"sources": 5, "mappings": "AAAA"}', '{"sources": ["a"], "mappings": "A|A"}', '{"sources": ["a"], "mappings": "é"}']
+    want = []
+    for key, text in enumerate(texts):
+        try:
+            want += [x for x in V._rows(str(key), json.loads(text)) if x[2] < 1 << 63]  # larger numbers are broken
+        except (TypeError, ValueError, KeyError, IndexError, AttributeError):
+            pass
+    got = V.mappings(spark.createDataFrame(list(enumerate(texts)), "map_id int, content string").repartition(3))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) and len(want) > 500
+    assert "MapInArrow" in plan(got)
+
+
 def test_edges_of_modules_by_one_shuffle(spark, tiny):
     text = plan(entry.queries()["module_edges"](spark, tiny))
     assert "Join" not in text and text.count("MapInArrow") == 1 and text.count("Exchange hashpartitioning") == 2
