@@ -12,7 +12,8 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What a rename passes over: strings and templates as a whole, which may span lines, and comments.
@@ -66,6 +67,95 @@ def spliced(files: DataFrame, standing: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, files.schema)
 
 
+def _reached(script: list[tuple], size: int) -> tuple[list[tuple], list[str | None]]:
+    """A file's edits (start, stop, edit_id, replacement) in their order, and what is against each, as ``checked`` says."""
+    script, reach, reasons = sorted(script, key=lambda e: (e[0] is not None, e[0], e[1] is not None, e[1], e[2] is not None, e[2])), 0, []
+    for start, stop, _, replacement in script:
+        if replacement is None:
+            reasons.append("no replacement")
+        elif start is None or stop is None or not 0 <= start <= stop <= size:
+            reasons.append("outside")
+        else:  # one that overlaps counts as reached too
+            reasons.append("overlaps" if start < reach else None)
+            reach = max(reach, stop)
+    return script, reasons
+
+
+def _joined(text: str, standing: Iterator[tuple]) -> str:
+    """A text with edits that don't overlap, in order, made."""
+    parts, at = [], 0
+    for start, stop, _, replacement in standing:
+        parts += [text[at:start], replacement]
+        at = stop
+    return "".join([*parts, text[at:]])
+
+
+def spliced_scripts(files: DataFrame) -> DataFrame:
+    """(file_id, content, overlapping, refused) of files whose ``script``, an array of (start, stop, edit_id, replacement), is in their row.
+
+    What ``checked`` and ``spliced`` do with tables of edits, in one pass where a file's edits come with it.
+    """
+    kinds = [("file_id", pa.string()), ("content", pa.string()), ("overlapping", pa.int64()), ("refused", pa.int64())]
+    script = F.transform("script", lambda e: F.struct(e["start"].cast("long").alias("start"), e["stop"].cast("long").alias("stop"), e["edit_id"].alias("edit_id"), e["replacement"].alias("replacement")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scripts = batch.column(2)
+            flat, sizes = scripts.flatten(), scripts.value_lengths().to_pylist()
+            every = list(zip(*[flat.field(k).to_pylist() for k in range(4)]))
+            out, at = [], 0
+            for key, text, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sizes):
+                n = n or 0
+                edits, reasons = _reached(every[at : at + n], len(text or ""))
+                at += n
+                refused = n - reasons.count(None)
+                new = _joined(text or "", (e for e, r in zip(edits, reasons) if r is None)) if n > refused else text
+                out.append((key, new, reasons.count("overlaps"), refused))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*out) if out else [[]] * 4, kinds)], names=[n for n, _ in kinds])
+
+    return files.select(F.col("file_id").cast("string").alias("file_id"), "content", script.alias("script")).mapInArrow(run, "file_id string, content string, overlapping long, refused long")
+
+
+def renamed_texts(files: DataFrame) -> DataFrame:
+    """(file_id, content, report) of files whose ``asked``, an array of renames that are all to be made, is in their row.
+
+    A rename is (rename_id, symbol, new_name, from, upto); report is an array of (rename_id,
+    replacements, refused), one for each. What ``rename_edits``, ``checked`` and ``spliced``
+    do with tables of renames, in one pass where a file's renames come with it.
+    """
+    one = pa.struct([("rename_id", pa.string()), ("replacements", pa.int64()), ("refused", pa.int64())])
+    kinds = [("file_id", pa.string()), ("content", pa.string()), ("report", pa.list_(one))]
+    parts = lambda a: F.struct(*[a[c].cast("string").alias(c) for c in ("rename_id", "symbol", "new_name")], *[a[c].cast("long").alias(c) for c in ("from", "upto")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, text, asked in zip(*[c.to_pylist() for c in batch.columns]):
+                counts = {a["rename_id"]: [0, 0] for a in asked or ()}
+                script = list(_places(text or "", asked or ()))
+                edits, reasons = _reached([e for e, _ in script], len(text or ""))
+                for (_, _, edit_id, _), reason in zip(edits, reasons):
+                    counts[edit_id.rpartition("@")[0]][reason is not None] += 1
+                new = _joined(text or "", (e for e, r in zip(edits, reasons) if r is None)) if None in reasons else text
+                out.append((key, new, [{"rename_id": k, "replacements": a, "refused": b} for k, (a, b) in counts.items()]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*out) if out else [[]] * 3, kinds)], names=[n for n, _ in kinds])
+
+    schema = "file_id string, content string, report array<struct<rename_id:string,replacements:long,refused:long>>"
+    return files.select(F.col("file_id").cast("string").alias("file_id"), "content", F.transform("asked", parts).alias("asked")).mapInArrow(run, schema)
+
+
+def _places(text: str, asked: list[dict]) -> Iterator[tuple[tuple, str]]:
+    """((start, stop, edit_id, replacement), rename_id) of the places in a text that renames change."""
+    by_name: dict[str, list] = {}
+    for a in asked:
+        by_name.setdefault(a["symbol"], []).append(a)
+    code = _PASSED.sub(lambda m: " " * len(m[0]), text)
+    for m in _IDENTIFIER.finditer(code):
+        for a in by_name.get(m[0], ()):
+            if (a["from"] is None or a["from"] <= m.start()) and (a["upto"] is None or m.end() <= a["upto"]):
+                yield (m.start(), m.end(), f"{a['rename_id']}@{m.start()}", a["new_name"]), a["rename_id"]
+
+
 def rename_edits(files: DataFrame, renames: DataFrame) -> DataFrame:
     """(file_id, edit_id, start, stop, replacement, rename_id): the places that renames change.
 
@@ -82,22 +172,19 @@ def rename_edits(files: DataFrame, renames: DataFrame) -> DataFrame:
         for rows_ in batches:
             found = []
             for key, text, asked in zip(rows_["file_id"], rows_["content"], rows_["asked"]):
-                by_name: dict[str, list] = {}
-                for a in asked:
-                    by_name.setdefault(a["symbol"], []).append(a)
-                code = _PASSED.sub(lambda m: " " * len(m[0]), text or "")
-                for m in _IDENTIFIER.finditer(code):
-                    for a in by_name.get(m[0], ()):
-                        if (a["from"] is None or a["from"] <= m.start()) and (a["upto"] is None or m.end() <= a["upto"]):
-                            found.append((key, f"{a['rename_id']}@{m.start()}", m.start(), m.end(), a["new_name"], a["rename_id"]))
+                found += [(key, edit_id, start, stop, new, rename_id) for (start, stop, edit_id, new), rename_id in _places(text or "", asked)]
             yield pd.DataFrame(found, columns=names)
 
     return rows.mapInPandas(run, f"{EDITS}, rename_id string")
 
 
+def is_selected(confidence: Column, risk: Column, least: float = LEAST_CONFIDENCE) -> Column:
+    return (confidence >= least) & (risk == "low")
+
+
 def selected_renames(candidates: DataFrame, least: float = LEAST_CONFIDENCE, most: int | None = MOST_RENAMES) -> DataFrame:
     """Candidates of low risk and enough confidence; the first by falling confidence, file and id, if ``most`` is given."""
-    chosen = candidates.filter((F.col("confidence") >= least) & (F.col("risk") == "low"))
+    chosen = candidates.filter(is_selected(F.col("confidence"), F.col("risk"), least))
     return chosen if most is None else chosen.orderBy(F.desc("confidence"), "file_id", "rename_id").limit(most)
 
 

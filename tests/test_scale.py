@@ -160,3 +160,39 @@ def test_blanks_before_patterns():
 
     assert modules.blanked("x = \t/a;b/g; y / z; /* ; */ return /;/") == "x =        ; y / z;         return    "
     assert modules.blanked("f('a;') // ;\n`;\n;`") == "f(    )     \n  \n  "
+
+
+@pytest.mark.parametrize("name", ["renamed_files", "spliced_files"])
+def test_edits_come_with_their_files(spark, tiny, name):
+    text = plan(entry.queries()[name](spark, tiny))
+    assert "Join" not in text and text.count("Exchange hashpartitioning") == 1 and "MapInPandas" not in text
+
+
+def test_scripts_in_rows_as_tables_of_edits(spark):
+    import random
+
+    from pyspark.sql import functions as F
+    from sitelens.operators import edits
+
+    r = random.Random(4)
+    some = lambda: r.choice([None, -1, *range(14)])
+    files = spark.createDataFrame([(str(k), r.choice([None, "", "abcdé😀ghijkl"])) for k in range(80)], "file_id string, content string")
+    script = spark.createDataFrame([(str(r.randint(0, 70)), f"e{k}", some(), some(), r.choice([None, "", "<x>"])) for k in range(300)], edits.EDITS)
+    judged = edits.checked(script, files)
+    counts = judged.groupBy("file_id").agg(F.count_if(F.col("reason") == "overlaps").alias("overlapping"), F.count("reason").alias("refused"))
+    want = edits.spliced(files, judged.filter("reason is null")).join(counts, "file_id", "left").fillna(0)
+    rows = files.join(script.groupBy("file_id").agg(F.collect_list(F.struct("start", "stop", "edit_id", "replacement")).alias("script")), "file_id", "left")
+    assert sorted(map(repr, map(tuple, edits.spliced_scripts(rows).collect()))) == sorted(map(repr, map(tuple, want.collect())))
+
+
+def test_renames_in_rows_as_tables_of_renames(spark):
+    from pyspark.sql import functions as F
+    from sitelens.operators import edits
+
+    files = spark.createDataFrame([("f", "a.b(a, 'a', c) // a\na"), ("g", None), ("h", "x")], "file_id string, content string")
+    asked = spark.createDataFrame([("f", "r1", "a", "new", 0.9, "low", None, 9), ("f", "r2", "a", "old", 0.9, "low", None, None), ("f", "r3", "c", "d", 0.9, "low", None, None), ("g", "r4", "a", "b", 0.9, "low", None, None)], "file_id string, rename_id string, symbol string, new_name string, confidence double, risk string, `from` long, upto long")
+    changed, report = edits.applied_renames(files, asked)
+    rows = files.join(asked.groupBy("file_id").agg(F.collect_list(F.struct("rename_id", "symbol", "new_name", "from", "upto")).alias("asked")), "file_id", "left")
+    got = edits.renamed_texts(rows)
+    assert sorted(map(repr, map(tuple, got.select("file_id", "content").collect()))) == sorted(map(repr, map(tuple, changed.collect())))
+    assert {(x.file_id, *x.r) for x in got.select("file_id", F.explode("report").alias("r")).collect()} == set(map(tuple, report.collect()))
