@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitelens.functions.text import let
+
 #: Members, and handlers, that tell what a letter is, in order; then its name.
 RULES = [
     (r"\b(\w)\.(?:preventDefault|stopPropagation|target|currentTarget|clientX|clientY|pageX|pageY|key|keyCode|which|type|bubbles|detail)\b", "event"),
@@ -39,12 +41,14 @@ def letter_names(code: Column) -> Column:
     def met(pattern: str, name: str) -> Column:
         return F.transform(F.regexp_extract_all(code, F.lit(pattern), 1), lambda v: F.struct(v.alias("letter"), F.lit(name).alias("name")))
 
-    caught = F.regexp_extract_all(code, F.lit(CAUGHT), 1)
     every = F.concat(*[met(*rule) for rule in [*RULES, (CAUGHT, "error")]])
-    letters = F.array_distinct(F.transform(every, lambda x: x["letter"]))
-    first = lambda v: F.get(F.filter(every, lambda x: x["letter"] == v), 0)["name"]
-    named = F.transform(letters, lambda v: F.struct(v.alias("letter"), F.when(F.array_contains(caught, v), "error").otherwise(first(v)).alias("name")))
-    return F.coalesce(named, F.array().cast("array<struct<letter:string,name:string>>"))
+
+    def named(e: Column) -> Column:
+        own = lambda v: F.filter(e, lambda x: x["letter"] == v)
+        name = lambda o: F.when(F.exists(o, lambda x: x["name"] == "error"), "error").otherwise(F.get(o, 0)["name"])
+        return F.transform(F.array_distinct(F.transform(e, lambda x: x["letter"])), lambda v: F.struct(v.alias("letter"), let(own(v), name).alias("name")))
+
+    return F.coalesce(let(every, named), F.array().cast("array<struct<letter:string,name:string>>"))
 
 
 def with_letter_names(code: Column, names: Column) -> Column:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value, which is computed once however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def split_words(name: Column) -> Column:
     """Lower-case words of camel, snake, kebab or spaced names."""
     spaced = F.regexp_replace(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1 $2"), r"[^A-Za-z0-9]+", " ")

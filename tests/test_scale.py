@@ -196,3 +196,7 @@ def test_renames_in_rows_as_tables_of_renames(spark):
     got = edits.renamed_texts(rows)
     assert sorted(map(repr, map(tuple, got.select("file_id", "content").collect()))) == sorted(map(repr, map(tuple, changed.collect())))
     assert {(x.file_id, *x.r) for x in got.select("file_id", F.explode("report").alias("r")).collect()} == set(map(tuple, report.collect()))
+
+
+def test_letters_are_sought_once(spark, tiny):
+    assert plan(entry.queries()["named_letters"](spark, tiny)).count("regexp_extract_all(") == 7
