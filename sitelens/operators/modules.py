@@ -7,8 +7,10 @@ ordered fold per file, and symbols, edges and scores are joins and aggregations.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,7 @@ ENTRY_SCORE, BASE_SCORE = 0.18, 0.3
 _BEGINS = re.compile(r"""["'`/]""")
 _SKIP = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.S)
 _PATTERN = re.compile(r"/(?![*/])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*")
+_MARKS = re.compile(r"[{}()\[\];\n]")
 _BEFORE_OPERAND = frozenset("=(,:;!&|?{}[+-*%~^<>\n")
 _OPERAND_WORDS = ("return", "typeof", "case")
 _KIND = re.compile(r"(?:import|export|function|class|const|let|var)\b")
@@ -34,8 +37,10 @@ _DECLARED = re.compile(r"^\s*(?:export\s+(?:default\s+)?)?(?:async\s+)?(?:functi
 _MORE = re.compile(r",\s*([A-Za-z_$][\w$]*)\s*=")
 _NAME = re.compile(r"(?<![\w$.])[A-Za-z_$][\w$]*")
 _EXPORTED = re.compile(r"([A-Za-z_$][\w$]*)(?:\s+as\s+([A-Za-z_$][\w$]*))?")
-_FROM = re.compile(r"""(?:\bfrom|^\s*import)\s*["']([^"']+)["']""")
-_DYNAMIC = re.compile(r"""\bimport\s*\(\s*["']([^"']+)["']""")
+#: Words to look for stand first, so that what isn't one is passed over quickly; what stands before them is looked at after.
+_FROM = re.compile(r"""from(?<!\wfrom)\s*["']([^"']+)["']""")
+_IMPORTED = re.compile(r"""\s*import\s*["']([^"']+)["']""")
+_DYNAMIC = re.compile(r"""import(?<!\wimport)\s*\(\s*["']([^"']+)["']""")
 
 
 def _operand_place(code: str, at: int) -> int | None:
@@ -71,7 +76,7 @@ def statement_spans(plain: str) -> Iterator[tuple[int, int]]:
     """Top-level statements of blanked code: cut at ``;``, and after a block that ends a line."""
     depth = start = 0
     shut = None  # how far all is blank after a closing brace
-    for m in re.finditer(r"[{}()\[\];\n]", plain):
+    for m in _MARKS.finditer(plain):
         c = m[0]
         if c in "{([":
             depth += 1
@@ -88,6 +93,16 @@ def statement_spans(plain: str) -> Iterator[tuple[int, int]]:
         yield start, len(plain)
 
 
+def _sources(code: str) -> list[str]:
+    """What an import or export statement takes from: a bare import's file, and what follows ``from``."""
+    bare = _IMPORTED.match(code)
+    return [*([bare[1]] if bare else []), *[m[1] for m in _FROM.finditer(code, bare.end() if bare else 0)]]
+
+
+def _uses(flat: str, declared: list[str]) -> list[str]:
+    return sorted(set(_NAME.findall(flat)) - set(declared))
+
+
 def _statement(code: str, plain: str) -> tuple:
     flat = " ".join(plain.split())  # as many blanks as there are don't tell names apart
     kind = m[0] if (m := _KIND.match(flat)) else "expression"
@@ -97,34 +112,62 @@ def _statement(code: str, plain: str) -> tuple:
     exported = list(declared) if kind == "export" else []
     if kind == "export" and (block := re.search(r"\{([^}]*)\}", flat)) and not declared:
         exported = [b or a for a, b in _EXPORTED.findall(block[1])]
-    uses = sorted(set(_NAME.findall(flat)) - set(declared))
-    return kind, declared, exported, _FROM.findall(code) if kind in ("import", "export") else [], _DYNAMIC.findall(code) if "import" in code else [], uses
+    return flat, kind, declared, exported
 
 
-def statements(files: DataFrame) -> DataFrame:
-    """Top-level statements of a table with file_id and content, and the module each belongs to; null and empty files have none."""
+def statements(files: DataFrame, wanted: Sequence[str] = ()) -> DataFrame:
+    """Top-level statements of a table with file_id and content, and the module each belongs to; null and empty files have none.
 
+    ``wanted`` are the columns to make, all if empty: what isn't asked for isn't sought.
+    """
     types = {"string": pa.string(), "long": pa.int64(), "array<string>": pa.list_(pa.string())}
-    kinds = {n: types[k] for n, k in (c.split() for c in STATEMENTS.split(", "))}
-
-    def pack(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
+    shapes = {n: k for n, k in (c.split() for c in STATEMENTS.split(", "))}
+    shapes = {n: shapes[n] for n in wanted or shapes}
+    told, clustered = shapes.keys() & {"kind", "declares", "exports", "imports", "uses"}, "module" in shapes
+
+    def columns(key: str, code: str) -> dict[str, list]:
+        plain = blanked(code)
+        spans = list(statement_spans(plain))
+        sizes, codes = [b - a for a, b in spans], [code[a:b] for a, b in spans]
+        out = {"file_id": [key] * len(spans), "stmt": range(len(spans)), "start": [a for a, _ in spans], "size": sizes}
+        if told:
+            flats, out["kind"], out["declares"], out["exports"] = zip(*[_statement(c, plain[a:b]) for c, (a, b) in zip(codes, spans)]) if spans else [()] * 4
+            out["imports"] = [_sources(c) if kind in ("import", "export") else [] for c, kind in zip(codes, out["kind"])]
+            if "uses" in told:
+                out["uses"] = map(_uses, flats, out["declares"])
+        if "dynamic_imports" in shapes:
+            out["dynamic_imports"] = [_DYNAMIC.findall(c) if "import" in c else [] for c in codes]
+        if clustered:
+            out["module"] = fold(clusters(), sizes)
+        return out
+
+    def pack(held: dict[str, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_array(held[n], types[k]) for n, k in shapes.items()], names=list(shapes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: dict[str, list] = {n: [] for n in shapes}
+        rows = next(iter(held.values()))
         for batch in batches:
             for key, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                plain = blanked(code or "")
-                spans = list(statement_spans(plain))
-                parts = fold(clusters(), [b - a for a, b in spans])
-                held += [(key, k, a, b - a, *_statement(code[a:b], plain[a:b]), part) for k, ((a, b), part) in enumerate(zip(spans, parts))]
-                if len(held) >= BATCH_ROWS:
+                if code:
+                    found = columns(key, code)
+                    for n, values in held.items():
+                        values += found[n]
+                if len(rows) >= BATCH_ROWS:
                     yield pack(held)
-                    held = []
-        if held:
+                    for values in held.values():
+                        values.clear()
+        if rows:
             yield pack(held)
 
-    return files.select(F.col("file_id").cast("string").alias("file_id"), "content").mapInArrow(run, STATEMENTS)
+    return files.select(F.col("file_id").cast("string").alias("file_id"), "content").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in shapes.items()))
+
+
+def _array(values: list, kind: pa.DataType) -> pa.Array:
+    if not pa.types.is_list(kind):
+        return pa.array(values, kind)
+    ends = np.append(0, np.cumsum(np.fromiter(map(len, values), np.int64, len(values))))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(list(chain.from_iterable(values)), pa.string()))
 
 
 def clusters() -> Step:

@@ -279,15 +279,15 @@ _BUNDLE = {
  CASE s WHEN 3 THEN 'default,boot' || k ELSE '' END AS exports, CASE s WHEN 0 THEN './lib' || (k % 40) || '.js' ELSE '' END AS imports, CASE s WHEN 2 THEN './late' || (k % 9) || '.js' ELSE '' END AS dynamic_imports
  FROM f, (VALUES (0), (1), (2), (3)) AS t(s) WHERE k % 3 <> 2"""))
 def statement_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = M.statements(_parts(spark, sf_dir, **_BUNDLE))
     names = ("declares", "exports", "imports", "dynamic_imports")
+    found = M.statements(_parts(spark, sf_dir, **_BUNDLE))
     return found.selectExpr("file_id", "stmt", "kind", *[f"array_join({c}, ',') AS {c}" for c in names])
 
 
 @query(_sql("SELECT CAST(k AS VARCHAR) AS file_id, s AS source, 1 - s AS target, 1 AS symbols FROM f, (VALUES (0), (1)) AS t(s) WHERE k % 3 <> 2"))
 def module_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The import and the constants are small and share module 0; the function and the export follow as 1."""
-    return M.edges(M.statements(_parts(spark, sf_dir, **_BUNDLE)))
+    return M.edges(M.statements(_parts(spark, sf_dir, **_BUNDLE), ("file_id", "declares", "uses", "module")))
 
 
 @query(_sql("SELECT count(DISTINCT k) AS chunks, 2 * count(*) AS modules, round(avg((0.3 + 0.25 + 0.18 + 0.3 + 0.25 + 0.2) / 2), 6) AS average_score, 2 * count(*) AS edges FROM f WHERE k % 3 <> 2"))
@@ -299,7 +299,7 @@ def module_graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_sql("SELECT 'late' || (k % 9) || '.js' AS target, count(*) AS statements FROM f WHERE k % 3 <> 2 AND k % 9 > 3 GROUP BY 1"))
 def missing_dynamic_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _parts(spark, sf_dir, **_BUNDLE)
-    return M.missing_imports(M.statements(files), files)
+    return M.missing_imports(M.statements(files, ("dynamic_imports",)), files)
 
 
 #: Bundles whose modules are functions by number, in an object or an array, with their requires.

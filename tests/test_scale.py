@@ -200,3 +200,17 @@ def test_renames_in_rows_as_tables_of_renames(spark):
 
 def test_letters_are_sought_once(spark, tiny):
     assert plan(entry.queries()["named_letters"](spark, tiny)).count("regexp_extract_all(") == 7
+
+
+def test_only_the_wanted_of_statements_is_made(spark, tiny):
+    from sitelens.operators import modules
+
+    assert "uses#" not in plan(entry.queries()["missing_dynamic_imports"](spark, tiny))
+    code = "import 'a';\nimport { b } from \"c\"; xfrom 'd';\nexport * from'e';\nconst f = import( './g' ), h = ximport('i');\nfunction j() {\n}\n"
+    files = spark.createDataFrame([("1", code), ("2", None), ("3", " ;"), ("4", "k")], "file_id string, content string")
+    every = sorted(modules.statements(files).collect())
+    assert [r.imports for r in every] == [["a"], ["c"], [], ["e"], [], [], []] and every[4].dynamic_imports == ["./g"]
+    for wanted in (("dynamic_imports",), ("file_id", "stmt", "kind", "uses"), ("module", "imports")):
+        got = modules.statements(files, wanted)
+        assert got.columns == list(wanted)
+        assert sorted(map(tuple, got.collect())) == sorted(tuple(r[c] for c in wanted) for r in every)
