@@ -280,7 +280,7 @@ _BUNDLE = {
  FROM f, (VALUES (0), (1), (2), (3)) AS t(s) WHERE k % 3 <> 2"""))
 def statement_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("declares", "exports", "imports", "dynamic_imports")
-    found = M.statements(_parts(spark, sf_dir, **_BUNDLE))
+    found = M.statements(_parts(spark, sf_dir, **_BUNDLE), ("file_id", "stmt", "kind", *names))
     return found.selectExpr("file_id", "stmt", "kind", *[f"array_join({c}, ',') AS {c}" for c in names])
 
 

@@ -214,3 +214,8 @@ def test_only_the_wanted_of_statements_is_made(spark, tiny):
         got = modules.statements(files, wanted)
         assert got.columns == list(wanted)
         assert sorted(map(tuple, got.collect())) == sorted(tuple(r[c] for c in wanted) for r in every)
+
+
+def test_modules_of_statements_leave_out_what_is_not_shown(spark, tiny):
+    text = plan(entry.queries()["statement_modules"](spark, tiny))
+    assert not any(f" {c}#" in text for c in ("uses", "module", "start", "size"))
