@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,9 @@ _COMMA, _LINE, _MAP, _NONE, _LONGEST = 64, 65, 66, 255, 12
 _CODES = np.full(256, _NONE, np.uint8)
 for _c, _k in (*_DIGITS.items(), (",", _COMMA), (";", _LINE), ("|", _MAP)):
     _CODES[ord(_c)] = _k
+_LETTERS = np.frombuffer("".join(_DIGITS).encode(), np.uint8)
+#: Bytes of maps' texts that are written at once, at most, unless one map has more.
+MOST_TEXT = 1 << 26
 MAPPINGS = "map_id string, gen_line long, gen_column long, source string, orig_line long, orig_column long, name string"
 
 
@@ -255,45 +259,111 @@ def encoded_vlq(number: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), count - 1), digit), "")
 
 
-def _numbered(found: DataFrame, column: str) -> DataFrame:
-    """(map_id, value, number): the distinct values of a map, from 0, by first place."""
-    first = found.filter(F.col(column).isNotNull()).groupBy("map_id", F.col(column).alias("value")).agg(F.min(F.struct("gen_line", "gen_column")).alias("first"))
-    return first.select("map_id", "value", (F.row_number().over(Window.partitionBy("map_id").orderBy("first", "value")) - 1).alias("number"))
+def _numbered(values: pa.Array, maps: int, which: np.ndarray, *place: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """The number of each row's value among the distinct ones of its map, from 0 by first place and value (none: -1), and the values of each map."""
+    coded = values.dictionary_encode()
+    words, by_rank = coded.dictionary, pc.sort_indices(coded.dictionary).to_numpy()
+    at = np.flatnonzero(coded.indices.is_valid().to_numpy(zero_copy_only=False))
+    rank = np.argsort(by_rank)[coded.indices.drop_null().to_numpy()]
+    at, rank = (x[np.lexsort((rank, *(p[at] for p in reversed(place)), which[at]))] for x in (at, rank))
+    pairs, first, inverse = np.unique(which[at] * max(1, len(words)) + rank, return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    of, rank = np.divmod(pairs[order], max(1, len(words)))
+    ends = np.append(0, np.cumsum(np.bincount(of, minlength=maps)))
+    number, out = np.empty(len(pairs), np.int64), np.full(len(values), -1)
+    number[order] = np.arange(len(pairs)) - ends[of]
+    out[at] = number[inverse]
+    return out, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words.take(pa.array(by_rank[rank])))
+
+
+def _changes(values: np.ndarray, there: np.ndarray, groups: np.ndarray, first: int) -> np.ndarray:
+    """What is added to the value before it in its group, or to ``first``, where there is a value; else 0."""
+    at = np.flatnonzero(there)
+    value, out = values[at], np.zeros(len(values), np.int64)
+    before = np.where(np.diff(groups[at], prepend=-1) != 0, first, np.append(first, value)[:-1])
+    if (np.abs(value.astype(float) - before) >= 2.0**62).any():
+        raise OverflowError("mappings lie too far apart for a map's text")
+    out[at] = value - before
+    return out
 
 
-def encoded_maps(found: DataFrame) -> DataFrame:
+def _written(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """(map_id, sources, names, mappings) of mappings of whole maps, which lie together, written at once."""
+    ids = rows.column(0).dictionary_encode(null_encoding="encode")
+    which, maps = ids.indices.to_numpy().astype(np.int64), len(ids.dictionary)
+    number = lambda k, none=0: pc.fill_null(rows.column(k), none).to_numpy()
+    there = lambda k: rows.column(k).is_valid().to_numpy(zero_copy_only=False)
+    line, column, sourced = number(1), number(2), there(3)
+    (source, sources), (name, names) = (_numbered(rows.column(k), maps, which, line, column) for k in (3, 6))
+    name = np.where(sourced, name, -1)
+    least = np.iinfo(np.int64).min  # nulls come first
+    order = np.lexsort((name, number(5, least), number(4, least), source, column, line, which))
+    given = np.column_stack((np.full(len(order), True), sourced, sourced & there(4), sourced & there(5), name >= 0))[order]
+    which, line = which[order], line[order]
+    fresh, lower = np.diff(which, prepend=-1) != 0, np.diff(line, prepend=0)
+    same = ~fresh & (lower == 0)
+    groups = (np.cumsum(~same), which, which, which, which)
+    changes = [_changes(v[order], given[:, k], groups[k], int(k == 2)) for k, v in enumerate((column, source, number(4), number(5), name))]
+    value = np.column_stack([np.where(c < 0, 1 - 2 * c, 2 * c) for c in changes])
+    digits, rest = given.astype(np.int64), value >> 5
+    while rest.any():
+        digits += rest > 0
+        rest >>= 5
+    marks = np.where(same, 1, np.maximum(np.where(fresh, line - 1, lower), 0))
+    widths = np.column_stack((marks, digits))
+    ends = np.cumsum(widths).reshape(widths.shape)
+    if ends[-1, -1] > MOST_TEXT and maps > 1:
+        half = int(np.searchsorted(which, maps // 2))
+        for part in (rows.slice(0, half), rows.slice(half)):
+            yield from _written(part)
+        return
+    text, begin = np.full(ends[-1, -1], ord(";"), np.uint8), ends - widths
+    text[begin[same, 0]] = ord(",")
+    at, left, value = begin[:, 1:][given], digits[given], value[given]
+    while len(at):
+        more = left > 1
+        text[at] = _LETTERS[(value & 31) + 32 * more]
+        at, left, value = at[more] + 1, left[more] - 1, value[more] >> 5
+    bounds = np.append(0, ends[np.append(fresh[1:], True), -1]).astype(np.int32)
+    mapped = pa.StringArray.from_buffers(maps, pa.py_buffer(bounds), pa.py_buffer(text))
+    yield pa.RecordBatch.from_arrays([ids.dictionary, sources, names, mapped], names=["map_id", "sources", "names", "mappings"])
+
+
+def encoded_maps(found: DataFrame, dealt: bool = False) -> DataFrame:
     """(map_id, content): map texts that hold the given mappings, the inverse of ``mappings``.
 
-    Deltas come from windows over a map's mappings in order of line and column. Mappings
-    without a source are bare columns; sources and names are listed by first place; lines
-    without mappings are empty ones. A map without rows has no text; a null map_id is one.
+    Deltas go over a map's mappings in order of line and column. Mappings without a source
+    are bare columns, those without a line or column aren't any; sources and names are listed
+    by first place; lines without mappings are empty ones. A map without rows has no text; a
+    null map_id is one. The maps are dealt to tasks by one shuffle, unless ``dealt`` says
+    that each map's rows are in one partition, and many are written together, as arrays; a map
+    is held whole, as its text is.
     """
-    rows = found.select(*(c.split()[0] for c in MAPPINGS.split(", ")))
-    for column, into in (("source", "source_at"), ("name", "name_at")):
-        numbers = _numbered(rows, column).select(F.col("map_id").alias("_map"), F.col("value").alias("_value"), F.col("number").alias(into))
-        rows = rows.join(numbers, F.col("map_id").eqNullSafe(F.col("_map")) & (F.col(column) == F.col("_value")), "left").drop("_map", "_value")
-    rows = rows.withColumn("name_at", F.when(F.col("source").isNotNull(), F.col("name_at")))
-    by = ["gen_column", "source_at", "orig_line", "orig_column", "name_at"]
-    order = Window.partitionBy("map_id").orderBy("gen_line", *by)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    sourced = F.col("source").isNotNull()
-    delta = lambda c, first=0: F.col(c) - F.coalesce(F.last(F.when(sourced, F.col(c)), ignorenulls=True).over(before), F.lit(first))
-    column = F.col("gen_column") - F.coalesce(F.lag("gen_column").over(Window.partitionBy("map_id", "gen_line").orderBy(*by)), F.lit(0))
-    rows = rows.withColumn("deltas", F.array(column, delta("source_at"), delta("orig_line", 1), delta("orig_column"), delta("name_at")))
-    used = F.when(~sourced, F.slice("deltas", 1, 1)).when(F.col("name_at").isNull(), F.slice("deltas", 1, 4)).otherwise(F.col("deltas"))
-    rows = rows.select("map_id", "gen_line", F.row_number().over(order).alias("k"), F.array_join(F.transform(used, encoded_vlq), "").alias("segment"))
-    joined = lambda c, mark: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", c))), lambda x: x[c]), mark)
-    lines = rows.groupBy("map_id", "gen_line").agg(joined("segment", ",").alias("line"), F.min("k").alias("k"))
-    gap = F.col("gen_line") - F.coalesce(F.lag("gen_line").over(Window.partitionBy("map_id").orderBy("gen_line")), F.lit(1))
-    lines = lines.withColumn("line", F.concat(F.repeat(F.lit(";"), gap.cast("int")), "line"))
-    texts = lines.groupBy("map_id").agg(joined("line", "").alias("mappings"))
-    for column, into in (("source", "sources"), ("name", "names")):
-        listed = _numbered(found, column).withColumnRenamed("number", "k").groupBy(F.col("map_id").alias("_map"))
-        listed = listed.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]).alias(into))
-        texts = texts.join(listed, F.col("map_id").eqNullSafe(F.col("_map")), "left").drop("_map")
-    empty = F.array().cast("array<string>")
-    content = F.struct(F.lit(3).alias("version"), F.coalesce("sources", empty).alias("sources"), F.coalesce("names", empty).alias("names"), "mappings")
-    return texts.select("map_id", F.to_json(content).alias("content"))
+    columns = [c.split() for c in MAPPINGS.split(", ")]
+    rows = found.select(*[F.col(n).cast(t).alias(n) for n, t in columns]).filter("gen_line is not null and gen_column is not null")
+
+    def whole(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _written(pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(k) for b in held]) for k in range(len(columns))], names=[n for n, _ in columns]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0  # the last map of what is held may go on
+        for batch in filter(len, batches):
+            ids = batch.column(0)
+            codes = ids.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            last = int(np.searchsorted(codes, codes[-1]))  # where the batch's last map begins
+            goes_on = last == 0 and held and held[-1].column(0)[-1].as_py() == ids[0].as_py()
+            if size + last >= BATCH_ROWS and not goes_on:
+                yield from whole([*held, batch.slice(0, last)])
+                held, size, batch = [], 0, batch.slice(last)
+            held.append(batch)
+            size += len(batch)
+        if held:
+            yield from whole(held)
+
+    rows = (rows if dealt else rows.repartition("map_id")).sortWithinPartitions("map_id")
+    texts = rows.mapInArrow(run, "map_id string, sources array<string>, names array<string>, mappings string")
+    content = F.struct(F.lit(3).alias("version"), "sources", "names", "mappings")
+    return texts.select(F.col("map_id").cast(found.schema["map_id"].dataType).alias("map_id"), F.to_json(content).alias("content"))
 
 
 def line_mappings(files: DataFrame) -> DataFrame:

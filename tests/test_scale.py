@@ -219,3 +219,42 @@ def test_only_the_wanted_of_statements_is_made(spark, tiny):
 def test_modules_of_statements_leave_out_what_is_not_shown(spark, tiny):
     text = plan(entry.queries()["statement_modules"](spark, tiny))
     assert not any(f" {c}#" in text for c in ("uses", "module", "start", "size"))
+
+
+def test_maps_are_written_in_one_pass(spark, tiny):
+    text = plan(entry.queries()["encoded_mappings"](spark, tiny))
+    assert "Join" not in text and text.count("Exchange") == 1 and text.count("MapInArrow") == 2
+    text = plan(entry.queries()["line_maps"](spark, tiny))
+    assert "Join" not in text and text.count("Exchange hashpartitioning(map_id") == 1
+
+
+def test_texts_of_maps(spark, monkeypatch):
+    import json
+
+    import pyarrow as pa
+    from sitelens.sources import sourcemaps as V
+
+    one = [(1, 0, None, None, None, "alone"), (1, 5, "b", 1, 0, "n"), (1, 5, "a", 2, 0, None), (3, 2, "a", 1, 9, "n")]
+    long = [(k, 3 * k, "s", k, 0, None) for k in range(1, 400)]
+    rows = [(m, *r) for m, part in ((None, one), ("", one[3:]), ("é", long), ("z", one[::-1])) for r in part]
+    # Sources and names are listed by first place and value: a, b; alone, n.
+    want = {None: (["a", "b"], ["alone", "n"], "A,KACA,ACDAC;;EDASA"), "": (["a"], ["n"], ";;EAASA"), "z": (["a", "b"], ["alone", "n"], "A,KACA,ACDAC;;EDASA")}
+    found = spark.createDataFrame(rows, V.MAPPINGS)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for df in (V.encoded_maps(found.repartition(5)), V.encoded_maps(found.coalesce(1), dealt=True)):
+            texts = {r.map_id: r.content for r in df.collect()}
+            assert texts.keys() == {None, "", "é", "z"}
+            for key, (sources, names, mapped) in want.items():
+                assert json.loads(texts[key]) == {"version": 3, "sources": sources, "names": names, "mappings": mapped}
+            assert sorted(V.mappings(df.filter("map_id = 'é'")).collect()) == sorted(("é", *r) for r in long)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    columns = [pa.array(c, pa.string() if t == "string" else pa.int64()) for c, (_, t) in zip(zip(*rows), (c.split() for c in V.MAPPINGS.split(", ")))]
+    batch = pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in V.MAPPINGS.split(", ")])
+    whole = [r for b in V._written(batch) for r in b.to_pylist()]
+    monkeypatch.setattr(V, "MOST_TEXT", 10)
+    parts = list(V._written(batch))
+    assert len(parts) == 4 and [r for b in parts for r in b.to_pylist()] == whole
+    with pytest.raises(OverflowError):
+        list(V._written(pa.RecordBatch.from_arrays([pa.array([2**62]) if k == 2 else c[:1] for k, c in enumerate(columns)], names=batch.schema.names)))
