@@ -9,10 +9,13 @@ identifiers become such edits.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,7 +84,7 @@ def _reached(script: list[tuple], size: int) -> tuple[list[tuple], list[str | No
     return script, reasons
 
 
-def _joined(text: str, standing: Iterator[tuple]) -> str:
+def _joined(text: str, standing: Iterable[tuple]) -> str:
     """A text with edits that don't overlap, in order, made."""
     parts, at = [], 0
     for start, stop, _, replacement in standing:
@@ -94,24 +97,29 @@ def spliced_scripts(files: DataFrame) -> DataFrame:
     """(file_id, content, overlapping, refused) of files whose ``script``, an array of (start, stop, edit_id, replacement), is in their row.
 
     What ``checked`` and ``spliced`` do with tables of edits, in one pass where a file's edits come with it.
+    The edits of a batch of files are held against each other together, as arrays.
     """
     kinds = [("file_id", pa.string()), ("content", pa.string()), ("overlapping", pa.int64()), ("refused", pa.int64())]
-    script = F.transform("script", lambda e: F.struct(e["start"].cast("long").alias("start"), e["stop"].cast("long").alias("stop"), e["edit_id"].alias("edit_id"), e["replacement"].alias("replacement")))
+    script = F.sort_array(F.transform("script", lambda e: F.struct(e["start"].cast("long").alias("start"), e["stop"].cast("long").alias("stop"), e["edit_id"].alias("edit_id"), e["replacement"].alias("replacement"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scripts = batch.column(2)
-            flat, sizes = scripts.flatten(), scripts.value_lengths().to_pylist()
-            every = list(zip(*[flat.field(k).to_pylist() for k in range(4)]))
-            out, at = [], 0
-            for key, text, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sizes):
-                n = n or 0
-                edits, reasons = _reached(every[at : at + n], len(text or ""))
-                at += n
-                refused = n - reasons.count(None)
-                new = _joined(text or "", (e for e, r in zip(edits, reasons) if r is None)) if n > refused else text
-                out.append((key, new, reasons.count("overlaps"), refused))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*out) if out else [[]] * 4, kinds)], names=[n for n, _ in kinds])
+        for batch in filter(len, batches):
+            texts, scripts, files_ = batch.column(1).to_pylist(), batch.column(2), len(batch)
+            sizes, counts = (pc.fill_null(c, 0).to_numpy().astype(np.int64) for c in (pc.utf8_length(batch.column(1)), scripts.value_lengths()))
+            flat, which = scripts.flatten(), np.repeat(np.arange(files_), counts)
+            start, stop = (pc.fill_null(flat.field(k), -1).to_numpy() for k in (0, 1))
+            inside = flat.field(3).is_valid().to_numpy(zero_copy_only=False) & (start >= 0) & (start <= stop) & (stop <= sizes[which])
+            base = which * (sizes.max() + 1)  # above all that is reached in the files before
+            reach = np.maximum.accumulate(np.append(-1, base + np.where(inside, stop, 0)))[:-1] - base  # one that overlaps counts as reached too
+            overlaps = inside & (start < reach)
+            at = np.flatnonzero(inside & ~overlaps)
+            made = list(zip(start[at].tolist(), stop[at].tolist(), repeat(None), flat.field(3).take(pa.array(at)).to_pylist()))
+            standing = np.bincount(which[at], minlength=files_)
+            ends = np.cumsum(standing)
+            for k in np.flatnonzero(standing).tolist():
+                texts[k] = _joined(texts[k] or "", made[ends[k] - standing[k] : ends[k]])
+            columns = [batch.column(0), texts, np.bincount(which[overlaps], minlength=files_), counts - standing]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], names=[n for n, _ in kinds])
 
     return files.select(F.col("file_id").cast("string").alias("file_id"), "content", script.alias("script")).mapInArrow(run, "file_id string, content string, overlapping long, refused long")
 

@@ -258,3 +258,15 @@ def test_texts_of_maps(spark, monkeypatch):
     assert len(parts) == 4 and [r for b in parts for r in b.to_pylist()] == whole
     with pytest.raises(OverflowError):
         list(V._written(pa.RecordBatch.from_arrays([pa.array([2**62]) if k == 2 else c[:1] for k, c in enumerate(columns)], names=batch.schema.names)))
+
+
+def test_edits_are_held_together_as_arrays(spark):
+    from pyspark.sql import functions as F
+    from sitelens.operators import edits
+
+    rows = [("a", "abcdef", [(4, 5, "z", "<4>"), (0, 2, "y", "<0>"), (1, 3, "x", "<1>"), (2, 2, "w", None), (2, 3, "v", "<2>")]), ("b", None, [(0, 0, "e", "new"), (0, 1, "f", "far")]), ("c", "left", []), ("d", "left", None), ("e", "xy", [(None, 1, "g", "n"), (2, 2, "h", "!")])]
+    files = spark.createDataFrame(rows, "file_id string, content string, script array<struct<start:int,stop:int,edit_id:string,replacement:string>>").coalesce(1)
+    got = edits.spliced_scripts(files)
+    assert "sort_array(" in plan(got)
+    assert sorted(map(tuple, got.collect())) == [("a", "<0>cd<4>f", 2, 3), ("b", "new", 0, 1), ("c", "left", 0, 0), ("d", "left", 0, 0), ("e", "xy!", 0, 1)]
+    assert edits.spliced_scripts(files.filter(F.lit(False))).count() == 0
