@@ -112,7 +112,8 @@ def links(points: DataFrame, large_cell: int = LARGE_CELL) -> DataFrame:
     spread = points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     grid = spread.select("fp", F.explode(_cells(embedding(F.col("fp")))).alias("cell"))
     sizes = grid.groupBy("cell").agg(F.count("*").alias("n"))
-    shared = durable(grid.join(sizes.filter("n > 1"), "cell"))
+    # Spark sizes an exploded table as the table before, and would broadcast one 40 times larger.
+    shared = durable(grid.hint("merge").join(sizes.filter("n > 1"), "cell"))
     few = shared.filter(F.col("n") <= large_cell)
     a, b = few.select("cell", F.col("fp").alias("a")), few.select("cell", F.col("fp").alias("b"))
     near = a.join(b, (a["cell"] == b["cell"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2))
@@ -120,7 +121,7 @@ def links(points: DataFrame, large_cell: int = LARGE_CELL) -> DataFrame:
     many = shared.filter(F.col("n") > large_cell).select("fp").distinct()
     words = many.select("fp", F.explode(_one_bit(F.col("fp"))).alias("word"))
     first = words.groupBy("word").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    star = words.join(first, "word").filter("a < fp").select("a", F.col("fp").alias("b"))
+    star = words.hint("merge").join(first, "word").filter("a < fp").select("a", F.col("fp").alias("b"))
     return near.unionByName(star).distinct()
 
 

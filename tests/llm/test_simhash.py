@@ -105,3 +105,20 @@ def test_embedding_is_a_lower_bound_and_cells_meet(spark):
         packed = [signed(sum(n << 3 * k for k, n in enumerate(c))) for c in counts]
         assert packed == [r.x, r.y] and sum(abs(m - n) for m, n in zip(*counts)) <= 2
         assert set(r.a) & set(r.b) and len(set(r.a)) == len(r.a) <= 45
+
+
+def broadcast_whole(df):
+    """For each broadcast of a plan that has run: what stands between it and the last shuffle below."""
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return [part.split("ShuffleQueryStage")[0] for part in final.split("BroadcastExchange")[1:]]
+
+
+@pytest.mark.parametrize("large_cell", [1, 48])
+def test_exploded_rows_are_never_broadcast(spark, monkeypatch, large_cell):
+    written, durable = [], simhash.durable
+    monkeypatch.setattr(simhash, "durable", lambda df: written.append(df) or durable(df))
+    points = spark.range(64).selectExpr("shiftleft(1L, CAST(id AS INT)) AS fp")
+    edges = simhash.links(points, large_cell)
+    assert len(written) == 1 and edges.count() >= 63
+    assert not [part for df in (*written, edges) for part in broadcast_whole(df) if "Generate" in part]
