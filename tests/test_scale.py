@@ -84,6 +84,12 @@ def test_names_are_planned_in_one_pass_over_files(spark, tiny):
     assert "Join" not in text and text.count("MapInArrow") == 1 and text.count("Exchange hashpartitioning") == 1
 
 
+@pytest.mark.parametrize("name", ["scoped_aliases", "free_names"])
+def test_scopes_are_settled_in_one_pass_over_files(spark, tiny, name):
+    text = plan(entry.queries()[name](spark, tiny))
+    assert "Join" not in text and "RDDScan" not in text and text.count("MapInArrow") == 1 and text.count("Exchange hashpartitioning") == 1
+
+
 def test_tasks_grow_with_rows(spark):
     from sitelens.registry import spread
 
