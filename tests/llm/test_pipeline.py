@@ -4,7 +4,7 @@ from sitelens.llm import decontaminate, simhash
 from .helpers import odd_documents
 from .test_decontaminate import brute
 from .test_packing import check
-from .test_simhash import brute_components, brute_print
+from .test_simhash import broadcast_whole, brute_components, brute_print
 
 
 def test_stages_against_brute_force(spark, tiny):
@@ -36,3 +36,12 @@ def test_run_on_odd_rows(spark, tmp_path):
     spark.createDataFrame([(1, "nothing to see")], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 5
     assert simhash.SEED == 42 and decontaminate.WINDOW == 13
+
+
+def test_near_copies_are_found_without_broadcasts_of_exploded_rows(spark, tiny, monkeypatch):
+    written, durable = [], simhash.durable
+    monkeypatch.setattr(simhash, "durable", lambda df: written.append(df) or durable(df))
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").filter("doc_id < 60")
+    assert 0 < corpus_pipeline.near_duplicates(spark, docs, tiny).count() <= 60 and len(written) > 3
+    exploded = [df for df in written if "Generate" in df._jdf.queryExecution().executedPlan().toString()]
+    assert exploded and not [part for df in exploded for part in broadcast_whole(df) if "Generate" in part]
